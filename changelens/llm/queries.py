@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_simhash_covering": "simhash",
+    "op4_pii_bootstrap": "pii",
+    "op5_mix_sources": "mixing",
+    "op6_pack_bin_slack": "packing",
     "op10_quality_divergence": "quality",
 }
 
