@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_simhash_covering": "simhash",
+    "op2_chat_prefix_targets": "chat",
+    "op3_license_rules": "licenses",
     "op4_pii_bootstrap": "pii",
     "op5_mix_sources": "mixing",
     "op6_pack_bin_slack": "packing",
@@ -21,4 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from changelens.llm import chat
+
+    return {"op2_chat_prefix_targets": chat.OP2_SQL}
