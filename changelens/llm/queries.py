@@ -14,6 +14,9 @@ _WHERE = {
     "op4_pii_bootstrap": "pii",
     "op5_mix_sources": "mixing",
     "op6_pack_bin_slack": "packing",
+    "op7_warc_segments": "warc",
+    "op8_flac_media": "flac",
+    "op9_url_gbt": "urls",
     "op10_quality_divergence": "quality",
 }
 
@@ -23,6 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from changelens.llm import chat
+    from changelens.llm import chat, warc
 
-    return {"op2_chat_prefix_targets": chat.OP2_SQL}
+    return {"op2_chat_prefix_targets": chat.OP2_SQL, "op7_warc_segments": warc.OP7_SQL}
