@@ -88,9 +88,9 @@ def l08(spark, sf):
     return lookup.resolve(star(spark, sf).symbols, "Customer#000000004", True)
 
 
-@query("l11_symbols_in_files", f"""SELECT {C} FROM symbols WHERE lower(relative_path) IN ('france.cs', 'china.cs') OR lower(project || '/' || relative_path) IN ('asia/japan.cs') ORDER BY qualified_name, id LIMIT 500""")
+@query("l11_symbols_in_files", f"""SELECT {C} FROM symbols WHERE lower(relative_path) IN ('nation_3.cs', 'nation_7.cs') OR lower(project || '/' || relative_path) IN ('asia.tests/nation_2.cs') ORDER BY qualified_name, id LIMIT 500""")
 def l11(spark, sf):
-    return lookup.in_files(star(spark, sf).symbols, spark.createDataFrame([("FRANCE.cs",), ("china.CS",), ("ASIA\\Japan.cs",)], "path string"))
+    return lookup.in_files(star(spark, sf).symbols, spark.createDataFrame([("NATION_3.cs",), ("nation_7.CS",), ("ASIA.Tests\\Nation_2.cs",)], "path string"))
 
 
 @query("l12_public_symbols", f"SELECT {C} FROM symbols WHERE lower(visibility) = 'public' ORDER BY project, qualified_name, id LIMIT 100000")
@@ -275,13 +275,13 @@ def t09(spark, sf):
     return traverse.budgeted_callers(g.symbols, g.edges, _roots(g), 100).select("id", "via_target", "rn")
 
 
-@query("t10_deletion_impact", f""", gone AS (SELECT id FROM symbols WHERE lower(relative_path) = 'kenya.cs')
+@query("t10_deletion_impact", f""", gone AS (SELECT id FROM symbols WHERE lower(relative_path) = 'nation_5.cs')
 , c AS (SELECT {S}, e.target_id AS via_target, row_number() OVER (PARTITION BY e.target_id, s.id ORDER BY e.line, e.source_id, e.kind) AS k FROM edges e JOIN gone g ON e.target_id = g.id JOIN symbols s ON s.id = e.source_id
 WHERE e.kind = 'Calls' OR (e.kind = 'References' AND e.resolution_kind = 'semantic' AND starts_with(s.project, 'scip:')))
 SELECT id, via_target FROM (SELECT *, row_number() OVER (PARTITION BY via_target ORDER BY project, qualified_name, coalesce(signature, ''), id) AS rn FROM c WHERE k = 1) WHERE rn <= 5""")
 def t10(spark, sf):
     g = star(spark, sf)
-    return traverse.deletion_impact(g.symbols, g.edges, spark.createDataFrame([("KENYA.cs",)], "path string"), 5).select("id", "via_target")
+    return traverse.deletion_impact(g.symbols, g.edges, spark.createDataFrame([("NATION_5.cs",)], "path string"), 5).select("id", "via_target")
 
 
 @query("t13_propagation", None)

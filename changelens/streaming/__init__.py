@@ -1 +1 @@
-"""See the modules of this package."""
+"""Watching for changed files with Structured Streaming."""
