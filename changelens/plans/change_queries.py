@@ -108,10 +108,11 @@ def p08c(spark, sf):
     return obligations.constraints(spark, obligations.Completeness(impact_truncated=True), POLICY, _change(spark, sf)[6])
 
 
-@query("p09_app_contracts", f"{_CHANGE} {_P09}")
+@query("p09_app_contracts", f"{_CHANGE} {_P09.replace('edge_kind IN', "CASE edge_kind WHEN 'Calls' THEN 'RoutesTo' WHEN 'Implements' THEN 'BindsTo' ELSE edge_kind END IN")}")
 def p09(spark, sf):
     _, _, im, _, rel, *_ = _change(spark, sf)
-    return obligations.app_contracts(rel, im, POLICY)
+    kind = F.when(F.col("edge_kind") == "Calls", "RoutesTo").when(F.col("edge_kind") == "Implements", "BindsTo").otherwise(F.col("edge_kind"))
+    return obligations.app_contracts(rel.withColumn("edge_kind", kind), im, POLICY)
 
 
 _VIOLATIONS = ", vi AS (SELECT id AS subject_id, CASE WHEN start_line % 2 = 0 THEN 'layer' ELSE 'fan-in' END AS kind FROM symbols WHERE start_line < 20 UNION ALL SELECT id, 'orphan' FROM symbols WHERE start_line < 10)"
@@ -257,11 +258,11 @@ def v09(spark, sf):
     return binding.certificate_diff(st.where("length(id) % 2 = 0 or required"), after).select("id", "change")
 
 
-@query("v04_route_coverage", f"{_CHANGE} SELECT DISTINCT e.target_id AS id FROM edges e JOIN ch ON ch.id = e.target_id WHERE e.kind = 'Calls' AND e.resolution_kind = 'semantic' AND NOT ch.is_test AND e.source_id LIKE '%1'")
+@query("v04_route_coverage", f"{_CHANGE} SELECT DISTINCT e.target_id AS id FROM edges e JOIN ch ON ch.id = e.target_id WHERE e.kind = 'Calls' AND e.resolution_kind = 'semantic' AND NOT ch.is_test AND e.source_id LIKE '%4'")
 def v04(spark, sf):
     g, ch, *_ = _change(spark, sf)
     routes = g.edges.where("kind = 'Calls'").withColumn("kind", F.lit("RoutesTo"))
-    return binding.route_coverage(routes, g.symbols.where("id like '%1'").select(F.col("id").alias("route")), ch)
+    return binding.route_coverage(routes, g.symbols.where("id like '%4'").select(F.col("id").alias("route")), ch)
 
 
 @query("v15_test_projects", f"SELECT id, CASE WHEN project = 'EUROPE' THEN true WHEN project = 'ASIA.Tests' THEN false ELSE {_IS_TEST} END AS is_test FROM symbols")
@@ -361,18 +362,18 @@ def d13(spark, sf):
     return diagnostics.retained(runs, F.lit("1998-01-08").cast("timestamp"), protected="5").select("run_id", "prune")
 
 
-@query("d16_latest_run", """SELECT run_id, "at" FROM (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS "at", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""", graph=False)
+@query("d16_latest_run", """SELECT run_id, "at" FROM (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "at", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""", graph=False)
 def d16(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").cast("date").alias("at"), "o_custkey", F.struct("o_orderdate", "o_orderkey").alias("by"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").cast("date").cast("string").alias("at"), "o_custkey", F.struct("o_orderdate", "o_orderkey").alias("by"))
     return obligations.latest(o, "o_custkey", "by").select("run_id", "at")
 
 
-@query("a13_history", """SELECT kind, value, count(*) AS n, min("at") AS first_at, max("at") AS last_at FROM (SELECT CAST(o_orderdate AS DATE) AS "at", 'verdict' AS kind, o_orderstatus AS value FROM orders UNION ALL SELECT CAST(o_orderdate AS DATE), 'rule', o_orderpriority FROM orders UNION ALL SELECT CAST(o_orderdate AS DATE), 'reason', 'open' FROM orders WHERE o_orderstatus = 'O') GROUP BY kind, value""", graph=False)
+@query("a13_history", """SELECT kind, value, count(*) AS n, min("at") AS first_at, max("at") AS last_at FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "at", 'verdict' AS kind, o_orderstatus AS value FROM orders UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'rule', o_orderpriority FROM orders UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'reason', 'open' FROM orders WHERE o_orderstatus = 'O') GROUP BY kind, value""", graph=False)
 def a13(spark, sf):
     from changelens.operators import rank
 
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return rank.history(o.select(F.col("o_orderdate").cast("date").alias("at"), F.col("o_orderstatus").alias("verdict"), F.array("o_orderpriority").alias("rules"), F.array(F.when(F.col("o_orderstatus") == "O", "open")).alias("reasons")))
+    return rank.history(o.select(F.col("o_orderdate").cast("date").cast("string").alias("at"), F.col("o_orderstatus").alias("verdict"), F.array("o_orderpriority").alias("rules"), F.array(F.when(F.col("o_orderstatus") == "O", "open")).alias("reasons")))
 
 
 @query("v07_gate", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS run_id FROM orders WHERE lower(o_orderpriority) IN ('1-urgent', '2-high')", graph=False)
