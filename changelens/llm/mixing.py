@@ -178,25 +178,29 @@ def mix(docs: DataFrame) -> DataFrame:
     A document that is taken whole keeps its text; of one that is taken in part
     the taken words stay, in order, joined by spaces. n_chars is set anew.
     """
-    columns = docs.columns
-    tagged = docs.select(*columns, n_words().alias("size"), F.xxhash64("text").alias("tie"))
-    narrow = written(tagged.select("doc_id", "source", "size", "tie").where("size > 0"))
-    placed, _, cut = mixed(narrow)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tagged = docs.select(row, "doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("tie")).where("size > 0")
+    narrow = written(tagged.select("doc_id", "source", "size", "tie"))
+    _, _, cut = mixed(narrow)
     # Copy c of a document has the words of its segments that are used more than c times.
     per = F.expr("flatten(transform(amounts, x -> array_repeat(least(hi, x.words) - lo, int(x.n))))")
     part = cut.withColumn("got", F.array_sort(F.filter(per, lambda x: x > 0), lambda a, b: (b - a).cast("int")))
-    part = part.select("source", "start", "size", "doc_id", "tie", (F.col("block") * BLOCK + F.col("lo") - F.col("start")).alias("first"), F.posexplode("got").alias("copy", "n"))
-    copies = part.groupBy("source", "start", "size", "doc_id", "tie", "copy").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"))
-    copies = copies.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("tie").alias("tie_"), "all", "cuts")
+    keys = ["source", "start", "size", "doc_id", "tie"]
+    part = part.select(*keys, (F.col("block") * BLOCK + F.col("lo") - F.col("start")).alias("first"), F.posexplode("got").alias("copy", "n"))
+    copies = part.groupBy(*keys, "copy").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"))
+    copies = copies.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("tie").alias("tie_"), "taken", "cuts")
     # Equal rows share their text, so one row of each text serves the copies of all of them.
-    texts = tagged.where("size > 0").dropDuplicates(["doc_id", "source", "tie"])
+    texts = tagged.dropDuplicates(["doc_id", "source", "tie"])
     hit = copies.join(texts, F.col("id_").eqNullSafe(F.col("doc_id")) & F.col("source_").eqNullSafe(F.col("source")) & (F.col("tie_") == F.col("tie")))
-    words = F.split(F.regexp_replace("text", f"^{_WORD_GAP}", ""), _WORD_GAP)
+    words = F.split(F.regexp_replace("row.text", f"^{_WORD_GAP}", ""), _WORD_GAP)
+    hit = hit.withColumn("words", F.when(F.col("taken") < F.col("size"), words))
     some = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(F.col("words"), (c["first"] + 1).cast("int"), c["n"].cast("int")))), " ")
-    out = hit.withColumn("words", F.when(F.col("all") < F.col("size"), words)).withColumn("text", F.when(F.col("all") < F.col("size"), some).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    text = F.when(F.col("taken") < F.col("size"), some).otherwise(F.col("row.text"))
+    out = hit.withColumn("new_text", text)
+    fresh = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

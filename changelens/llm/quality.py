@@ -158,18 +158,17 @@ RESULT = (
 )
 
 
-def judge(docs: DataFrame, keep: list[str], refs: dict | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and the columns of ``RESULT``, one row for each input row.
+def judge(docs: DataFrame, refs: dict | None = None) -> DataFrame:
+    """``row`` (all columns of ``docs``) and the columns of ``RESULT``, one row for each input row.
 
     ``docs`` has text and lang. A null text counts as empty; an unknown or null
     lang has no reference, so only the base rules can reject. Repeated rows are
-    judged alike; extra columns are ignored unless they are in ``keep``.
+    judged alike; other columns, whatever their names, stay in ``row``. An empty
+    table gives none.
     """
     refs = references(docs) if refs is None else refs
     refs = {k: (np.array(a), np.array(b)) for k, (a, b) in refs.items()}
     common = _common()
-    n_keep = len(keep)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def verdict(text: str | None, lang: str | None) -> tuple:
         base = base_counts(text)
@@ -188,16 +187,17 @@ def judge(docs: DataFrame, keep: list[str], refs: dict | None = None) -> DataFra
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [verdict(t, lang) for t, lang in zip(batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist(), strict=True)]
+        row = batch.column(0)
+        rows = [verdict(t, lang) for t, lang in zip(row.field("text").to_pylist(), row.field("lang").to_pylist(), strict=True)]
         new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-        names = [*keep, *(x.split()[0] for x in RESULT.split(", "))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *new], names=names)
+        return pa.RecordBatch.from_arrays([row, *new], names=["row", *(x.split()[0] for x in RESULT.split(", "))])
 
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text__"), F.col("lang").alias("lang__"))
-    return map_arrow(picked, run, f"{fields}, {RESULT}")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return map_arrow(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, {RESULT}")
 
 
 def op10_quality_divergence(spark, sf_dir: str) -> DataFrame:
     from changelens.llm.common import table
 
-    return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs).select("row.doc_id", *(x.split()[0] for x in RESULT.split(", ")))

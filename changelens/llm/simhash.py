@@ -165,14 +165,14 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest doc_id, ties by the hash of the text."""
-    tagged = docs.withColumn("h__", F.xxhash64("text"))
-    found = near_duplicates(tagged, ["h__"])
-    # A component without any doc_id is named by its fingerprint's rows alone.
-    group = [F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint"))).alias("g")]
-    best = found.select(*group, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h__").alias("s")).groupBy("g").agg(F.min("s").alias("s"))
-    best = best.select(F.col("s.doc_id").alias("id_"), F.col("s.h__").alias("h_"))
-    hit = tagged.join(best, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h__") == F.col("h_")), "left_semi")
-    return hit.dropDuplicates(["doc_id", "h__"]).select(*docs.columns)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
+    found = near_duplicates(tagged, ["hash"])
+    # A component without any doc_id is named by its fingerprint.
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint"))).alias("g")
+    best = found.select(group, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash").alias("s")).groupBy("g").agg(F.min("s").alias("s"))
+    best = best.select(F.col("s.doc_id").alias("best_id"), F.col("s.hash").alias("best_hash"))
+    hit = tagged.drop("text").join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("hash") == F.col("best_hash")), "left_semi")
+    return hit.dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def op1_simhash_covering(spark, sf_dir: str) -> DataFrame:
