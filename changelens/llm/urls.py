@@ -21,7 +21,6 @@ from changelens.llm.common import table, written
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 8, 3, 7
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ALPHABET = _LOWER + "0123456789-._~:/?#=&%+"
 
 
 def split_url(pages: DataFrame) -> DataFrame:
@@ -51,14 +50,17 @@ def lexical(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.length(url)
     times = lambda c, among=url: F.length(among) - F.length(F.translate(among, c, ""))
-    counts = F.array(*[times(c, F.translate(url, _UPPER, _LOWER)) for c in _ALPHABET])
-    known = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
-    bits = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0))
+    # Runs of the sorted characters are their counts: entropy is log n less the mean of log count.
+    bits = F.expr(
+        "aggregate(array_sort(split(lower(coalesce(url, '')), '')), named_struct('c', '', 'n', 0L, 's', 0D), "
+        "(a, c) -> if(a.c = c, named_struct('c', c, 'n', a.n + 1, 's', a.s), named_struct('c', c, 'n', 1L, 's', a.s + if(a.n > 0, a.n * log2(a.n), 0D))), "
+        "a -> a.s + if(a.n > 0, a.n * log2(a.n), 0D))"
+    )
     return pages.select(
         "*", n.cast("double").alias("f_length"), F.length("host").cast("double").alias("f_host"), F.length("path").cast("double").alias("f_path"),
         times("/", F.col("path")).cast("double").alias("f_depth"), (times(".", F.col("host")) + 1).cast("double").alias("f_labels"),
         (times("0123456789") / F.greatest(n, F.lit(1))).alias("f_digits"),
-        F.when(known > 0, F.log2(known.cast("double")) + bits / known).otherwise(0.0).alias("f_entropy"),
+        F.when(n > 0, F.log2(n.cast("double")) - bits / n).otherwise(0.0).alias("f_entropy"),
         times("=").cast("double").alias("f_params"), times("-").cast("double").alias("f_hyphens"),
         F.substring_index("host", ".", -1).alias("suffix"),
     )
