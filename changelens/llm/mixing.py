@@ -25,7 +25,7 @@ MAX_REPEATS = 3
 BLOCK = 256
 SHARD = 4096
 #: Documents of a hash bucket whose sizes one window task adds up.
-BUCKET = 20_000
+BUCKET = 2_000
 #: Any other seed gives another mix of the same sizes.
 SEED = 7
 _WORD_GAP = r"[\x20\x09-\x0D]+"
