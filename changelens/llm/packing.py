@@ -29,7 +29,7 @@ CAPACITY = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k"
 #: Pieces of one length that a window task ranks.
-BUCKET = 50_000
+BUCKET = 4_000
 
 
 @cache
