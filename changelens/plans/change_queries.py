@@ -258,11 +258,11 @@ def v09(spark, sf):
     return binding.certificate_diff(st.where("length(id) % 2 = 0 or required"), after).select("id", "change")
 
 
-@query("v04_route_coverage", f"{_CHANGE} SELECT DISTINCT e.target_id AS id FROM edges e JOIN ch ON ch.id = e.target_id WHERE e.kind = 'Calls' AND e.resolution_kind = 'semantic' AND NOT ch.is_test AND e.source_id LIKE '%4'")
+@query("v04_route_coverage", f"{_CHANGE} SELECT DISTINCT e.target_id AS id FROM edges e JOIN ch ON ch.id = e.target_id WHERE e.kind = 'Implements' AND e.resolution_kind = 'semantic' AND NOT ch.is_test ")
 def v04(spark, sf):
     g, ch, *_ = _change(spark, sf)
-    routes = g.edges.where("kind = 'Calls'").withColumn("kind", F.lit("RoutesTo"))
-    return binding.route_coverage(routes, g.symbols.where("id like '%4'").select(F.col("id").alias("route")), ch)
+    routes = g.edges.where("kind = 'Implements'").withColumn("kind", F.lit("RoutesTo"))
+    return binding.route_coverage(routes, g.symbols.select(F.col("id").alias("route")), ch)
 
 
 @query("v15_test_projects", f"SELECT id, CASE WHEN project = 'EUROPE' THEN true WHEN project = 'ASIA.Tests' THEN false ELSE {_IS_TEST} END AS is_test FROM symbols")

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changelens.functions import exprs as X
+from changelens.functions.storage import kept
 from changelens.operators import arch, lookup, rank, relations, traverse
 from changelens.plans.base import C, E, S, V, query
 from changelens.sources import graph as G
 
 star = G.star_graph
+
+
+def walked(spark, sf):
+    """The graph with its edges kept: traversals read them once for each level."""
+    g = star(spark, sf)
+    g.edges = kept(g.edges)
+    return g
+
+
 _IS_TEST = "(lower(project) LIKE '%.tests' OR lower(name) LIKE '%tests' OR ('/' || lower(replace(relative_path, chr(92), '/')) || '/') LIKE '%/test/%' OR ('/' || lower(replace(relative_path, chr(92), '/')) || '/') LIKE '%/tests/%' OR ('/' || lower(relative_path) || '/') LIKE '%tests.cs/%')"
 _ENOUGH = "(e.confidence IS NULL OR e.confidence >= {})"
 _CODE = "('References', 'Calls', 'Constructs', 'UsesType', 'Implements', 'Inherits')"
@@ -205,25 +215,25 @@ JOIN walk w ON w.id = e.{near} AND w.depth = m.depth - 1 JOIN symbols s ON s.id
 
 @query("t01_callees", _bfs_sql("edges", "c:1", 3, False, "e.source_id, e.target_id", f"e.kind = 'Calls' AND {_ENOUGH.format(0.91)}"))
 def t01(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.callees(g.symbols, g.edges, "c:1", 3, 0.91)
 
 
 @query("t02_impact", _bfs_sql("edges", "s:1", 3, True, "e.source_id, e.kind, e.target_id, e.line", f"e.kind IN {_CODE}"))
 def t02(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.impact(g.symbols, g.edges, traverse.single_root(g.symbols, "s:1"), 3)
 
 
 @query("t02_impact_app_di", _PICK + _bfs_sql("narrowed", "p:2", 2, True, "e.source_id, e.kind, e.target_id, e.line", f"e.kind IN {_APP}"))
 def t02_app(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.impact(g.symbols, g.edges, traverse.single_root(g.symbols, "p:2"), 2, "app", g.di)
 
 
 @query("t03_flow_http", _PICK + _bfs_sql("narrowed", "c:2", 3, False, "e.kind, e.source_id, e.target_id", f"e.kind IN {_HTTP} AND {_ENOUGH.format(0.92)}"))
 def t03(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.flow(g.symbols, g.edges, "c:2", "http", 3, 0.92, g.di)
 
 
@@ -237,7 +247,7 @@ JOIN walk w ON w.root_id = m.root_id AND w.id = e.target_id AND w.depth = m.dept
 @query("t04_impact_union", f"""{_UNION}, cut AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth, qualified_name, id) AS k FROM one WHERE rn = 1)
 SELECT {C}, {V}, depth, root_id FROM (SELECT cut.*, row_number() OVER (PARTITION BY id ORDER BY depth, root_order) AS f FROM cut JOIN roots USING (root_id) WHERE k <= 200) WHERE f = 1""")
 def t04(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.impact_union(g.symbols, g.edges, _roots(g), 2, 200)
 
 
@@ -249,20 +259,20 @@ def _roots(g):
 
 @query("t05_impact_detailed", f"{_UNION} SELECT {C}, {V}, depth, root_id FROM one WHERE rn = 1")
 def t05(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.impact(g.symbols, g.edges, _roots(g), 2)
 
 
 @query("t06_focus_distance", """, u AS (SELECT source_id, target_id FROM edges WHERE kind NOT IN ('Contains', 'Defines') UNION ALL SELECT target_id, source_id FROM edges WHERE kind NOT IN ('Contains', 'Defines'))
 , b(id, depth) AS (SELECT 's:7', 0 UNION SELECT u.target_id, b.depth + 1 FROM u JOIN b ON u.source_id = b.id WHERE b.depth < 2) SELECT id, min(depth) AS distance FROM b GROUP BY id""")
 def t06(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.focus_distance(g.symbols, g.edges, "Supplier#000000007")
 
 
 @query("t08_walk_truncated", f"{_UNION} SELECT r.root_id, count(o.id) AS impacted, count(o.id) > 300 AS truncated FROM roots r LEFT JOIN (SELECT * FROM one WHERE rn = 1) o USING (root_id) GROUP BY r.root_id")
 def t08(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     return traverse.walk_truncated(g.symbols, g.edges, _roots(g), 2, 300)
 
 
@@ -309,7 +319,7 @@ def a01(spark, sf):
 SELECT {C}, {_SCORE.format(more="+ CASE WHEN lower(name) = 'supplier#000000007' OR lower(qualified_name) = 'supplier#000000007' THEN 30 WHEN contains(lower(name), 'supplier#000000007') OR contains(lower(qualified_name), 'supplier#000000007') THEN 12 ELSE 0 END + CASE WHEN distance <= 2 THEN 10 - distance * 3 ELSE 0 END")}
 FROM symbols LEFT JOIN deg USING (id) LEFT JOIN fd USING (id)""")
 def a01_focus(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     name = "Supplier#000000007"
     return rank.map_scores(g.symbols, g.edges, name, None, traverse.focus_distance(g.symbols, g.edges, name))
 
@@ -333,7 +343,7 @@ def a03(spark, sf):
 (SELECT count(*) FROM ch WHERE NOT {_IS_TEST} AND id NOT IN (SELECT root_id FROM imp WHERE {_IS_TEST})) AS untested, (SELECT avg(CASE WHEN via_confidence IS NULL OR via_confidence = 0 THEN 1.0 ELSE via_confidence END) FROM imp) AS w)
 SELECT public_apis, callers, cross_project, untested, round_even(public_apis * 2 + callers * w + cross_project * 2 + untested * 3, 2) AS weighted_total, 'high' AS level FROM n""")
 def a04(spark, sf):
-    g = star(spark, sf)
+    g = walked(spark, sf)
     roots = _roots(g)
     changed = g.symbols.join(roots.select(F.col("root_id").alias("id")), "id", "left_semi")
     return rank.risk(changed, traverse.impact(g.symbols, g.edges, roots, 2))
