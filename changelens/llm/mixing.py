@@ -26,6 +26,8 @@ BLOCK = 256
 SHARD = 4096
 #: Documents of a hash bucket whose sizes one window task adds up.
 BUCKET = 2_000
+#: Slots that one task makes.
+SLOTS_PER_TASK = 200_000
 #: Any other seed gives another mix of the same sizes.
 SEED = 7
 _WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -108,10 +110,12 @@ def slots(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     total = F.sum("slots").over(Window.partitionBy())
     base = F.coalesce(F.sum("slots").over(Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     p = p.withColumn("total", total).withColumn("base", base)
-    # Slots are made in runs, so that the slots of a large source come from many tasks.
-    run = 1 << 16
+    # Slots are made in runs, so that the slots of a large source come from many tasks, as many as the total asks for.
+    run = 1 << 14
+    made = p.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(1, -(-made // SLOTS_PER_TASK))
     p = p.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("slots", F.lit(1)) - 1) / run).cast("long"))))
-    p = p.repartition("source", "run")
+    p = p.repartition(tasks, "source", "run")
     s = p.withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, "slots") - 1)))
     s = s.withColumn("j", F.pmod("slot", "blocks")).withColumn("one", F.expr("slot div blocks"))
     # Full blocks are permuted; the short block keeps the last place of a pass.
