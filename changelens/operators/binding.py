@@ -235,16 +235,19 @@ def certificate_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null")
 
 
-def suggest_maps(uncovered: DataFrame, tests: DataFrame) -> DataFrame:
-    """V-10: symbol, test pairs whose test name holds the last name of the symbol as a token.
+def suggest_maps(bare: DataFrame, tests: DataFrame) -> DataFrame:
+    """V-10: id, test: tests (id, display, file) for symbols (id, display, file) without one: of the same file, or whose name holds a part of theirs.
 
-    Test names are cut into tokens, so this is an equi-join.
+    Parts of four letters or more count. A name that contains a part contains its
+    first four letters, so names meet parts by their runs of four letters.
     """
-    words = F.filter(F.split(F.regexp_replace(last_name("test"), r"([a-z0-9])([A-Z])", "$1_$2"), r"[^A-Za-z0-9]+"), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.lower(F.array_join(F.slice(words, i, n), "")))))
-    t = tests.where(~blank("test")).select("test", F.explode(F.array_distinct(runs)).alias("key"))
-    s = uncovered.select("symbol", F.lower(F.regexp_replace(last_name("symbol"), "[^A-Za-z0-9]", "")).alias("key")).where("length(key) >= 4")
-    return s.join(t, "key").select("symbol", "test").distinct()
+    t = tests.select(F.col("display").alias("test"), F.lower("file").alias("key"))
+    same = bare.where(~blank("file")).select("id", F.lower("file").alias("key")).join(t, "key").select("id", "test")
+    grams = F.expr("array_distinct(transform(sequence(1, greatest(1, length(display) - 3)), i -> substring(display, i, 4)))")
+    named = tests.select(F.col("display").alias("test"), F.explode(grams).alias("key"))
+    parts = bare.select("id", F.explode(F.array_distinct(F.split("display", r"\."))).alias("raw")).select("id", F.trim("raw").alias("part")).where("length(part) >= 4")
+    hit = parts.withColumn("key", F.substring("part", 1, 4)).join(named, "key").where(F.col("test").contains(F.col("part")))
+    return same.unionByName(hit.select("id", "test")).distinct()
 
 
 def coverage_hits(obligations: DataFrame, executed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ _CHANGE = f""", ch AS (SELECT id, qualified_name AS display, project, relative_p
 , rel AS (SELECT e.target_id AS root_id, e.source_id AS impacted_id, e.kind AS edge_kind, e.resolution_kind AS resolution, e.confidence FROM edges e JOIN ch ON ch.id = e.target_id)
 , im AS (SELECT DISTINCT s.id, qualified_name AS display, project, relative_path AS file, visibility = 'public' AS is_public, {_IS_TEST} AS is_test FROM symbols s JOIN rel ON rel.impacted_id = s.id)
 , ca AS (SELECT DISTINCT root_id AS changed_id, impacted_id AS caller_id, im.project AS caller_project, im.is_test FROM rel JOIN im ON im.id = impacted_id WHERE edge_kind = 'Calls')
-, tm AS (SELECT display AS symbol, 'Mapped.' || display AS test FROM ch WHERE id LIKE 'c:%' AND length(id) % 2 = 0)
+, tm AS (SELECT display AS symbol, 'Mapped.' || display AS test FROM ch WHERE id LIKE 'c:%' AND length(id) % 2 = 1)
 , dl AS (SELECT CASE l_linenumber WHEN 1 THEN 'Deleted' WHEN 2 THEN 'BinaryModified' WHEN 3 THEN 'SubmoduleChanged' WHEN 4 THEN 'Modified' ELSE 'Unsupported' END AS kind, 'src/' || CASE WHEN l_partkey % 10 = 0 THEN 'secrets/' ELSE 'lib/' END || 'F' || CAST(l_partkey AS VARCHAR) || '.cs' AS path FROM (SELECT l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_partkey))"""
 
 
@@ -32,7 +32,7 @@ def _change(spark, sf):
     impacted = kept(shape(g.symbols.join(rel.select(F.col("impacted_id").alias("id")), "id", "left_semi")))
     callers = rel.where("edge_kind = 'Calls'").join(impacted.select(F.col("id").alias("impacted_id"), F.col("project").alias("caller_project"), "file", "is_test"), "impacted_id")
     callers = callers.select(F.col("root_id").alias("changed_id"), F.col("impacted_id").alias("caller_id"), "caller_project", "file", "is_test").distinct()
-    maps = changed.where("id like 'c:%' and length(id) % 2 = 0").select(F.col("display").alias("symbol"), F.concat(F.lit("Mapped."), "display").alias("test"))
+    maps = changed.where("id like 'c:%' and length(id) % 2 = 1").select(F.col("display").alias("symbol"), F.concat(F.lit("Mapped."), "display").alias("test"))
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_partkey").agg(F.min("l_linenumber").alias("n"))
     kind = F.when(F.col("n") == 1, "Deleted").when(F.col("n") == 2, "BinaryModified").when(F.col("n") == 3, "SubmoduleChanged").when(F.col("n") == 4, "Modified").otherwise("Unsupported")
     path = F.concat(F.lit("src/"), F.when(F.col("l_partkey") % 10 == 0, "secrets/").otherwise("lib/"), F.lit("F"), "l_partkey", F.lit(".cs"))
@@ -443,11 +443,13 @@ def s05(spark, sf):
     return incremental.replace_projects(g, fresh, spark.createDataFrame([("MIDDLE EAST",)], "project string")).edges.select("source_id", "target_id", "kind")
 
 
-@query("m09_readiness", "SELECT CAST(o_orderkey AS VARCHAR) AS index_id, CASE WHEN o_orderstatus = 'P' THEN 'building' WHEN o_orderkey % 2 = 0 THEN 'rebuild' WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_custkey % 3 > 0 THEN 'stale' ELSE 'ready' END AS readiness FROM orders", graph=False)
+@query("m09_readiness", """SELECT index_id, error IS NULL AS can_query, NOT (so OR ao) AND state IN ('Building', 'Failed', 'Stale', 'Updating') AS stale, error FROM (SELECT *, CASE WHEN so THEN 'schema_outdated' WHEN ao THEN 'analyzer_outdated' WHEN state IN ('Missing', 'RebuildRequired') THEN 'index_not_found'
+WHEN state = 'Building' THEN 'index_building' WHEN state = 'Failed' THEN 'index_failed' WHEN state = 'Updating' AND NOT pr THEN 'index_updating' END AS error FROM (SELECT o_orderkey AS index_id, o_orderkey % 10 = 0 AS so, o_orderkey % 11 = 0 AS ao, o_custkey % 2 = 0 AS pr,
+CASE o_orderkey % 7 WHEN 0 THEN 'Missing' WHEN 1 THEN 'Building' WHEN 2 THEN 'Failed' WHEN 3 THEN 'Stale' WHEN 4 THEN 'Updating' WHEN 5 THEN 'RebuildRequired' ELSE 'Ready' END AS state FROM orders))""", graph=False)
 def m09(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    state = F.when(F.col("o_orderstatus") == "P", "building").when(F.col("o_orderstatus") == "F", "failed").otherwise("ready")
-    return incremental.readiness(o.select(F.col("o_orderkey").cast("string").alias("index_id"), state.alias("state"), (F.col("o_orderkey") % 2 == 1).alias("schema_ok"), (F.col("o_custkey") % 3).alias("dirty_files")))
+    state = F.element_at(F.array(*map(F.lit, ["Missing", "Building", "Failed", "Stale", "Updating", "RebuildRequired", "Ready"])), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return incremental.readiness(o.select(F.col("o_orderkey").alias("index_id"), state.alias("state"), (F.col("o_orderkey") % 10 == 0).alias("schema_outdated"), (F.col("o_orderkey") % 11 == 0).alias("analyzer_outdated"), (F.col("o_custkey") % 2 == 0).alias("previous_ready")))
 
 
 @query("s16_hunks", "SELECT 'd' || CAST(p_partkey AS VARCHAR) AS doc_id, CAST(1 AS BIGINT) AS hunk_no, 'a/F' || CAST(p_partkey AS VARCHAR) || '.cs' AS file, CAST(p_size AS INT) AS old_start, 1 AS old_length, CAST(p_size AS INT) + 1 AS new_start, CAST(p_size % 4 AS INT) AS new_length, CAST(3 AS BIGINT) AS n_lines FROM part UNION ALL SELECT 'd' || CAST(p_partkey AS VARCHAR), 2, 'gone.cs', 7, 2, 0, 0, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END FROM part", graph=False)

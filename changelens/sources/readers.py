@@ -16,7 +16,7 @@ TEST_EVENT = "v int, type string, name string, outcome string, durationMs double
 TRX = "struct<Results: struct<UnitTestResult: array<struct<_testId: string, _testName: string, _outcome: string, _duration: string, Output: struct<ErrorInfo: struct<Message: string, StackTrace: string>>>>>>"
 JUNIT = "struct<testsuite: array<struct<_name: string, testcase: array<struct<_name: string, _classname: string, _time: double, failure: struct<_message: string, _VALUE: string>, error: struct<_message: string, _VALUE: string>, skipped: string>>>>>"
 COBERTURA = "struct<packages: struct<package: array<struct<_name: string, classes: struct<class: array<struct<_name: string, _filename: string, methods: struct<method: array<struct<_name: string, _signature: string, lines: struct<line: array<struct<_number: int, _hits: long>>>>>>>>>>>>>"
-API_COMPAT = "struct<tool: string, suppressed: int, differences: array<struct<id: string, kind: string, member: string, project: string>>>"
+API_COMPAT = "struct<projects: array<struct<project: string, status: string, message: string>>>"
 
 _HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 
@@ -116,10 +116,19 @@ def cobertura(docs: DataFrame) -> DataFrame:
 
 
 def api_compat(docs: DataFrame) -> DataFrame:
-    """S-23: doc_id, status, id, member and project of API differences; a document that cannot be read is inconclusive."""
-    r = docs.select("doc_id", F.from_json("text", API_COMPAT).alias("r"))
-    status = F.when(F.col("r.tool").isNull(), "Inconclusive").when(F.size("r.differences") > 0, "Fail").otherwise("Pass")
-    return r.select("doc_id", status.alias("status"), F.explode_outer("r.differences").alias("d")).select("doc_id", "status", "d.id", "d.member", "d.project")
+    """S-23: diagnostics of API reports (doc_id, text) by project; entries without project or status are passed over."""
+    p = docs.select("doc_id", F.explode(F.from_json("text", API_COMPAT)["projects"]).alias("p")).select("doc_id", "p.*").where("trim(coalesce(project, '')) <> '' and trim(coalesce(status, '')) <> ''")
+    low = F.lower("status")
+    severity = F.when(low.isin("fail", "failed", "breaking"), "Error").when(low.isin("pass", "passed", "unchanged", "additive"), "Info").otherwise("Warning")
+    message = F.coalesce("message", F.concat(F.lit("API compatibility "), "status", F.lit(" for "), "project"))
+    return p.select(F.concat_ws("-", "doc_id", "project").alias("id"), "doc_id", F.lit("Analysis").alias("kind"), severity.alias("severity"), F.lit("apicompat").alias("source"), F.upper("status").alias("code"), message.alias("message"), "project", F.lit(1.0).alias("confidence"))
+
+
+def api_status(docs: DataFrame) -> DataFrame:
+    """S-23: doc_id, status: failed by any project, passed by all, else uncertain; so is a report that cannot be read."""
+    d = api_compat(docs).groupBy("doc_id").agg(F.bool_or(F.col("severity") == "Error").alias("bad"), F.bool_and(F.col("severity") == "Info").alias("good"))
+    status = F.when(F.col("bad"), "Fail").when(F.col("good"), "Pass").otherwise("Uncertain")
+    return docs.select("doc_id").join(d, "doc_id", "left").select("doc_id", status.alias("status"))
 
 
 def format_text(docs: DataFrame) -> DataFrame:
