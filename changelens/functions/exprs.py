@@ -112,11 +112,11 @@ def heuristic_match(haystack: Column, needle: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """F-11: ``**`` any path, ``*`` and ``?`` within a segment."""
+    """F-11: ``**`` any text, with the slash behind it; ``*`` and ``?`` within a segment."""
     out, i = "", 0
     while i < len(pattern):
         if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
+            out, i = out + ".*", i + 3
         elif pattern.startswith("**", i):
             out, i = out + ".*", i + 2
         else:

@@ -152,7 +152,7 @@ def constraints(spark: SparkSession, c: Completeness, p: Policy, deltas: DataFra
     """P-06, P-08: code, severity, message and subject of what limits a conclusion."""
     rows = [(code, "blocking" if d == "blocking" else "advisory", message, None) for code, message, d in _uncertain(c, p)]
     capture = [
-        (c.file_wide_fallback, "FILE_WIDE_FALLBACK", "advisory", "Hunks were unavailable; file-wide spans were used."),
+        (c.file_wide_fallback, "CHANGE_FILE_WIDE_FALLBACK", "advisory", "Hunks were unavailable; file-wide spans were used."),
         (c.untracked_failed, "CHANGE_CAPTURE_UNTRACKED_FAILED", "blocking", "Untracked files could not be captured."),
         (c.hashes_failed, "CHANGE_CAPTURE_CONTENT_HASH_FAILED", "blocking", "Content hashes could not be captured."),
         (c.deltas_failed, "CHANGE_STRUCTURED_DELTA_FAILED", "blocking", "Change kinds could not be captured."),
@@ -293,7 +293,7 @@ def coverable(obligations: DataFrame, capabilities: DataFrame) -> DataFrame:
 def uncovered(obligations: DataFrame, covers: DataFrame) -> DataFrame:
     """P-13: blocking constraints for required obligations that no check covers."""
     bare = obligations.where("required").join(covers.select(F.col("obligation_id").alias("id")), "id", "left_anti")
-    return bare.select(F.lit("OBLIGATION_UNCOVERED").alias("code"), F.lit("blocking").alias("severity"), F.col("id").alias("subject"))
+    return bare.select(F.lit("REQUIRED_EVIDENCE_CAPABILITY_MISSING").alias("code"), F.lit("blocking").alias("severity"), F.col("id").alias("subject"))
 
 
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:

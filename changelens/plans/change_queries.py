@@ -158,7 +158,7 @@ def p12(spark, sf):
     return spark.createDataFrame(list(enumerate(obligations.with_dependencies(chosen, {"tests": ["build-all"]}))), "step int, check_id string")
 
 
-@query("p13_uncovered", f"{_CHANGE} {_VIOLATIONS}, pl AS ({_PLAN}) SELECT 'OBLIGATION_UNCOVERED' AS code, 'blocking' AS severity, id AS subject FROM pl WHERE required AND kind NOT IN ('Build', 'Compatibility', 'Test', 'StaticAnalysis')")
+@query("p13_uncovered", f"{_CHANGE} {_VIOLATIONS}, pl AS ({_PLAN}) SELECT 'REQUIRED_EVIDENCE_CAPABILITY_MISSING' AS code, 'blocking' AS severity, id AS subject FROM pl WHERE required AND kind NOT IN ('Build', 'Compatibility', 'Test', 'StaticAnalysis')")
 def p13(spark, sf):
     plan = _plan(spark, sf)
     return obligations.uncovered(plan, obligations.coverable(plan, spark.createDataFrame(_CAPS, "check_id string, kind string, project string")))
