@@ -4,7 +4,9 @@ A document is described by two histograms: characters by class, and words by
 membership of a list of very common words of its language. Both are compared
 with the reference of the language, which is the sum of the histograms of all
 documents of that language, by the Jensen-Shannon distance (base 2, so 0 to 1).
-A minimum number of characters or words guards each comparison.
+A minimum number of characters or words guards each comparison. A document that
+is far from its language is compared once more, with the mixture of languages
+that its common words tell of: texts in several languages are no junk.
 
 Two passes over the texts: one sums the histograms by language (a row for each
 partition and known language leaves a task), one judges. The references are a
@@ -15,6 +17,7 @@ closure of the second pass.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ COMMON_WORDS = {
 # Few words scatter about their reference: the square of the word distance may exceed its bound by WORD_NOISE / words.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.30, 200
 MAX_WORD_DISTANCE, WORD_NOISE, MIN_WORDS = 0.11, 9.5, 50
+# The same for mixtures of languages, whose classes must fit more closely.
+MIXED_CLASS_DISTANCE, MIXED_WORD_DISTANCE, MIXED_NOISE = 0.178, 0.27, 10.0
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ["lower", "upper", "digit", "blank", "newline", "stop", "symbol", "other", "beyond_ascii"]
@@ -62,19 +67,43 @@ def class_histogram(raw: bytes) -> np.ndarray:
     return np.bincount(CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=len(CLASSES) + 1)[:-1]
 
 
-def word_histogram(raw: bytes, common: dict[bytes, int]) -> np.ndarray:
-    """Words by place in the list of common words, the last bin for all others."""
+#: Place of every common word of any language; the last bin of a word histogram is for all others.
+LANGS = list(COMMON_WORDS)
+PLACE = {w.encode(): i for i, w in enumerate(dict.fromkeys(w for ws in COMMON_WORDS.values() for w in ws))}
+OWN = {lang: np.array(sorted({PLACE[w.encode()] for w in ws})) for lang, ws in COMMON_WORDS.items()}
+_SHARED = Counter(i for own in OWN.values() for i in own)
+#: Of each language, the places of words that no other language's list has.
+ONLY = {lang: np.array([i for i in own if _SHARED[i] == 1]) for lang, own in OWN.items()}
+
+
+def word_histogram(raw: bytes) -> np.ndarray:
+    """Words by place among the common words of all languages, the last bin for all others."""
     words = raw.translate(_TRIM).split()
-    out = np.zeros(len(common) + 1, np.int64)
-    hits = [k for k in map(common.get, words) if k is not None]
+    out = np.zeros(len(PLACE) + 1, np.int64)
+    hits = [k for k in map(PLACE.get, words) if k is not None]
     if hits:
-        out[:-1] += np.bincount(hits, minlength=len(common))
+        out[:-1] += np.bincount(hits, minlength=len(PLACE))
     out[-1] = len(words) - len(hits)
     return out
 
 
-def _common() -> dict[str, dict[bytes, int]]:
-    return {lang: {w.encode(): i for i, w in enumerate(dict.fromkeys(ws))} for lang, ws in COMMON_WORDS.items()}
+def of_language(words: np.ndarray, lang: str) -> np.ndarray:
+    """The histogram with the common words of one language alone."""
+    own = words[OWN[lang]]
+    return np.append(own, words.sum() - own.sum())
+
+
+def mixture(words: np.ndarray, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Class and word reference of the mixture of languages with the words that only they have; null without any such word."""
+    weights = {}
+    for lang, (_, w) in refs.items():
+        rate = w[ONLY[lang]].sum() / w.sum()
+        if rate and (n := words[ONLY[lang]].sum()):
+            weights[lang] = n / rate
+    if not weights:
+        return None
+    total = sum(weights.values())
+    return tuple(sum(v / total * refs[lang][k] / refs[lang][k].sum() for lang, v in weights.items()) for k in range(2))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -126,30 +155,30 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(_SYMBOL_RE.findall(raw)), len(lines) - len(set(lines)), repeat_words(words)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Class and word histograms of every known language, summed over all documents of it."""
-    common = _common()
-    known = docs.select("lang", "text").where(F.col("lang").isin(list(common)) & F.col("text").isNotNull())
+def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Class and word histograms of every known language that occurs, summed over all documents of it."""
+    known = docs.select("lang", "text").where(F.col("lang").isin(LANGS) & F.col("text").isNotNull())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                at = total.setdefault(lang, [np.zeros(len(CLASSES), np.int64), np.zeros(len(common[lang]) + 1, np.int64)])
+                at = total.setdefault(lang, [np.zeros(len(CLASSES), np.int64), np.zeros(len(PLACE) + 1, np.int64)])
                 at[0] += class_histogram(raw)
-                at[1] += word_histogram(raw, common[lang])
+                at[1] += word_histogram(raw)
         rows = [(lang, kind, i, int(n)) for lang, at in total.items() for kind, h in enumerate(at) for i, n in enumerate(h)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))],
             names=["lang", "kind", "bin", "n"],
         )
 
-    out = {lang: ([0] * len(CLASSES), [0] * (len(c) + 1)) for lang, c in common.items()}
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     rows = known.mapInArrow(sums, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
     for r in rows.collect():  # languages x bins: a fixed number
-        out[r["lang"]][r["kind"]][r["bin"]] = r["n"]
-    return out
+        at = out.setdefault(r["lang"], (np.zeros(len(CLASSES), np.int64), np.zeros(len(PLACE) + 1, np.int64)))
+        at[r["kind"]][r["bin"]] = r["n"]
+    return {lang: at for lang, at in out.items() if at[0].sum() and at[1].sum()}
 
 
 RESULT = (
@@ -167,21 +196,23 @@ def judge(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     table gives none.
     """
     refs = references(docs) if refs is None else refs
-    refs = {k: (np.array(a), np.array(b)) for k, (a, b) in refs.items()}
-    common = _common()
 
     def verdict(text: str | None, lang: str | None) -> tuple:
         base = base_counts(text)
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
         far_class = far_word = 0.0
+        kept = not failed
         if lang in refs:
             raw = (text or "").encode("utf-8", "surrogatepass")
-            chars = class_histogram(raw)
+            chars, words = class_histogram(raw), word_histogram(raw)
+            noise = 1 / max(1, base[0])
             if chars.sum() >= MIN_CHARS:
                 far_class = js_distance(chars, refs[lang][0])
             if base[0] >= MIN_WORDS:
-                far_word = js_distance(word_histogram(raw, common[lang]), refs[lang][1])
-        kept = not failed and far_class <= MAX_CLASS_DISTANCE and far_word**2 <= MAX_WORD_DISTANCE**2 + WORD_NOISE / max(1, base[0])
+                far_word = js_distance(of_language(words, lang), of_language(refs[lang][1], lang))
+            if kept and (far_class > MAX_CLASS_DISTANCE or far_word**2 > MAX_WORD_DISTANCE**2 + WORD_NOISE * noise):
+                mix = mixture(words, refs)
+                kept = mix is not None and js_distance(chars, mix[0]) <= MIXED_CLASS_DISTANCE and js_distance(words, mix[1]) ** 2 <= MIXED_WORD_DISTANCE**2 + MIXED_NOISE * noise
         return (*base, failed, kept, far_class, far_word)
 
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
