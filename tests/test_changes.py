@@ -121,3 +121,17 @@ def test_watcher(spark, tmp_path):
     watch.watch(spark, src, state, once=True).awaitTermination(60)
     assert {(r["project"], r["relative_path"], r["content_hash"]) for r in watch.current(spark, state).collect()} == {("P", "a.cs", "2"), ("Q", "c.cs", "1")}
     assert watch.latest_version(spark, state) == 1
+
+
+def test_index_file(spark, tmp_path):
+    from changelens.sources import scip
+
+    field = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
+    number = lambda n, v: bytes([n << 3, v])
+    occ = field(2, field(1, bytes([4, 0, 3])) + field(2, b"a().") + number(3, 1) + field(7, bytes([4, 0, 9, 1])))
+    occ += field(2, field(1, bytes([6, 0, 3])) + field(2, b"b().")) + field(2, field(1, bytes([20, 0, 3])) + field(2, b"b().") + number(3, 1) + field(7, bytes([20, 0, 22, 1])))
+    sym = field(3, field(1, b"a().") + number(5, 26) + field(6, b"a") + field(4, field(1, b"b().") + number(3, 1))) + field(3, field(1, b"b().") + number(5, 7))
+    (tmp_path / "i.scip").write_bytes(field(2, field(1, b"x.ts") + occ + sym + field(4, b"ts")))
+    g = scip.to_graph("demo", *scip.tables(scip.read_indexes(spark, str(tmp_path / "i.scip"))))
+    assert {(r["name"], r["kind"], r["start_line"], r["end_line"]) for r in g.symbols.collect()} == {("a", "Method", 5, 10), ("b().", "Class", 21, 23)}
+    assert {(r["source_id"][-5:], r["kind"], r["line"]) for r in g.edges.collect()} == {("%28%29."[-5:], "References", 7), ("28%29."[-5:], "Implements", None), ("28%29."[-5:], "ImplementedBy", None)}
