@@ -25,7 +25,7 @@ MAX_REPEATS = 3
 BLOCK = 256
 SHARD = 4096
 #: Documents of a hash bucket whose sizes one window task adds up.
-BUCKET = 2_000
+BUCKET = 1_000
 #: Slots that one task makes.
 SLOTS_PER_TASK = 200_000
 #: Any other seed gives another mix of the same sizes.
