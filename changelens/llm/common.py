@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text that travel to a Python worker at once; keeps batches small when texts are long.
 TEXT_ROWS_PER_BATCH = 512
+#: Bytes from which a batch is closed, whatever its rows.
+BYTES_PER_BATCH = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,7 @@ def map_arrow(
 ) -> DataFrame:
     """``mapInArrow`` with small batches; ``fn`` maps one batch to one batch or to several."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

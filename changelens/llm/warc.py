@@ -127,7 +127,6 @@ _READ = (
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row of ``_READ`` for each record below ``path``: whole records decoded, segments with their block."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
