@@ -43,12 +43,19 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 
 @dataclass
 class Graph:
-    """files(id, project, relative_path, ...), symbols joined with their file, and typed edges."""
+    """files(id, project, relative_path, ...), symbols joined with their file, and typed edges.
+
+    ``forward`` are the edges as stored by source, for walks along them; ``edges`` of a stored graph lie by target.
+    """
 
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
     di: DataFrame | None = None
+    forward: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        self.forward = self.edges if self.forward is None else self.forward
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -70,11 +77,21 @@ class NotReadable(RuntimeError):
 
 
 def save(graph: Graph, path: str, analyzer_versions: dict[str, str] | None = None) -> None:
-    """S-05/S-06: tables and metadata below ``path``; the state is set to ready last."""
+    """S-05/S-06: tables and metadata below ``path``; the state is set to ready last.
+
+    Symbols lie by id, edges by target and once more by source, so that lookups
+    read the row groups that hold their keys. Ranges are cut by both ends: a hub
+    with many edges spreads over several.
+    """
     spark = graph.symbols.sparkSession
-    graph.files.write.mode("overwrite").parquet(f"{path}/files")
-    graph.symbols.write.mode("overwrite").parquet(f"{path}/symbols")
-    graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+    def put(df: DataFrame, name: str, *by: str) -> None:
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    put(graph.files, "files", "project", "relative_path")
+    put(graph.symbols, "symbols", "id")
+    put(graph.edges, "edges", "target_id", "source_id")
+    put(graph.edges, "edges_by_source", "source_id", "target_id")
     meta = {"schema_version": SCHEMA_VERSION, "state": "ready", **{f"analyzer:{k}": v for k, v in (analyzer_versions or {}).items()}}
     spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
@@ -89,7 +106,7 @@ def load(spark: SparkSession, path: str, analyzer_versions: dict[str, str] | Non
     for k, v in (analyzer_versions or {}).items():
         if meta.get(f"analyzer:{k}", v) != v:
             raise NotReadable(f"analyzer {k} has another version")
-    return Graph(*(spark.read.parquet(f"{path}/{t}") for t in ("files", "symbols", "edges")))
+    return Graph(*(spark.read.parquet(f"{path}/{t}") for t in ("files", "symbols", "edges")), forward=spark.read.parquet(f"{path}/edges_by_source"))
 
 
 def architecture_projection(graph: Graph, exclude_heuristic: bool = False) -> Graph:

@@ -91,7 +91,9 @@ def test_save_load_and_guards(spark, tmp_path):
     s = letters(spark)
     g = G.Graph(s.select(F.col("file_id").alias("id"), "project", "relative_path", "language"), s, edges(spark, ("a", "b", "Calls", None)))
     G.save(g, str(tmp_path / "g"), {"csharp": "7"})
-    assert G.load(spark, str(tmp_path / "g"), {"csharp": "7"}).edges.count() == 1
+    got = G.load(spark, str(tmp_path / "g"), {"csharp": "7"})
+    assert got.edges.count() == got.forward.count() == 1
+    assert traverse.callees(got.symbols, got.forward, "a", 1).count() == 1
     with pytest.raises(G.NotReadable):
         G.load(spark, str(tmp_path / "g"), {"csharp": "8"})
     spark.createDataFrame([("schema_version", "3"), ("state", "ready")], "key string, value string").write.mode("overwrite").parquet(str(tmp_path / "g/metadata"))
