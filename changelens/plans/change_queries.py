@@ -476,7 +476,7 @@ def s19(spark, sf):
     return readers.test_events(docs)[1]
 
 
-@query("s24_format_text", "SELECT event_id AS doc_id, 'src/F' || CAST(user_id AS VARCHAR) || '.cs' AS file, CAST(event_id % 90 AS INT) AS line, 0.8 AS confidence FROM events UNION ALL SELECT event_id, NULL, NULL, 0.7 FROM events", graph=False)
+@query("s24_format_text", "SELECT event_id AS doc_id, 'src/F' || CAST(user_id AS VARCHAR) || '.cs' AS file, CAST(event_id % 90 AS INT) AS line, CAST(0.8 AS DOUBLE) AS confidence FROM events UNION ALL SELECT event_id, NULL, NULL, CAST(0.7 AS DOUBLE) FROM events", graph=False)
 def s24(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     text = F.format_string("src/F%s.cs(%s,3): error IDE1\nhello\nFormat complete", "user_id", F.col("event_id") % 90)

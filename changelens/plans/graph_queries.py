@@ -166,10 +166,11 @@ def r05(spark, sf):
     return relations.referenced_by(g.symbols, g.edges, "p:8")
 
 
-@query("r06_pair_relations", f"SELECT {S}, {E} FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.source_id = 's:4' AND e.target_id = 'c:4' AND {_ENOUGH.format(0.5)}")
+@query("r06_pair_relations", f"SELECT {S}, {E} FROM edges e JOIN symbols s ON s.id = e.target_id WHERE (e.source_id, e.target_id) = (SELECT (source_id, target_id) FROM edges WHERE kind = 'Implements' ORDER BY source_id, target_id LIMIT 1) AND {_ENOUGH.format(0.5)}")
 def r06(spark, sf):
     g = star(spark, sf)
-    return relations.pair_relations(g.symbols, g.edges, "s:4", "c:4", least=0.5)
+    a, b = g.edges.where("kind = 'Implements'").orderBy("source_id", "target_id").select("source_id", "target_id").first()
+    return relations.pair_relations(g.symbols, g.edges, a, b, least=0.5)
 
 
 @query("r07_caller_view", f"""SELECT id, rank FROM (SELECT id, rank, row_number() OVER (PARTITION BY id ORDER BY rank) AS rn FROM (
@@ -187,7 +188,7 @@ def r08(spark, sf):
     return relations.reference_view(g.symbols, g.edges, "s:6").select("id", "source")
 
 
-@query("r09_top_targets", f"""SELECT via_source, rn, {C} FROM (SELECT e.source_id AS via_source, {S}, row_number() OVER (PARTITION BY e.source_id ORDER BY s.qualified_name, s.id, e.kind) AS rn
+@query("r09_top_targets", f"""SELECT via_source, CAST(rn AS INT) AS rn, {C} FROM (SELECT e.source_id AS via_source, {S}, row_number() OVER (PARTITION BY e.source_id ORDER BY s.qualified_name, s.id, e.kind) AS rn
 FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.kind IN ('Calls', 'UsesType', 'Constructs')) WHERE rn <= 3""")
 def r09(spark, sf):
     g = star(spark, sf)
@@ -376,7 +377,7 @@ def _best(g):
     return _candidates(g).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-@query("a07_ranked_candidates", f"{_RANKED} SELECT id, CAST(relevance AS DOUBLE) AS relevance, rank FROM r")
+@query("a07_ranked_candidates", f"{_RANKED} SELECT id, CAST(relevance AS DOUBLE) AS relevance, CAST(rank AS INT) AS rank FROM r")
 def a07(spark, sf):
     return rank.ranked_candidates(_best(star(spark, sf)), "trace").select("id", "relevance", "rank")
 

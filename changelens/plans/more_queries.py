@@ -27,7 +27,7 @@ def s15(spark, sf):
     return readers.name_status(events(spark, sf).select(F.col("event_id").alias("doc_id"), F.concat(text, nul).alias("text")))
 
 
-@query("s17_trx", "SELECT event_id AS doc_id, 'T.N' || user_id AS name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'passed' END AS outcome, 1500.0 AS duration_ms, CASE WHEN event_type = 'error' THEN 'boom' END AS message FROM events", graph=False)
+@query("s17_trx", "SELECT event_id AS doc_id, 'T.N' || user_id AS name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'passed' END AS outcome, CAST(1500.0 AS DOUBLE) AS duration_ms, CASE WHEN event_type = 'error' THEN 'boom' END AS message FROM events", graph=False)
 def s17(spark, sf):
     bad = F.col("event_type") == "error"
     info = F.when(bad, "<Output><ErrorInfo><Message>boom</Message><StackTrace>at X()</StackTrace></ErrorInfo></Output>").otherwise("")
@@ -35,7 +35,7 @@ def s17(spark, sf):
     return readers.trx(events(spark, sf).select(F.col("event_id").alias("doc_id"), text.alias("text"))).select("doc_id", "name", "outcome", "duration_ms", "message")
 
 
-@query("s18_junit", "SELECT event_id AS doc_id, 'K.' || user_id AS name, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'passed' END AS outcome, 250.0 AS duration_ms FROM events", graph=False)
+@query("s18_junit", "SELECT event_id AS doc_id, 'K.' || user_id AS name, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'passed' END AS outcome, CAST(250.0 AS DOUBLE) AS duration_ms FROM events", graph=False)
 def s18(spark, sf):
     inner = F.when(F.col("event_type") == "error", '<failure message="m">trace</failure>').when(F.col("event_type") == "view", "<skipped>s</skipped>").otherwise("")
     suite = F.format_string('<testsuite name="s"><testcase name="%s" classname="K" time="0.25">%s</testcase></testsuite>', "user_id", inner)
