@@ -35,8 +35,7 @@ _WORD_GAP = r"[\x20\x09-\x0D]+"
 
 def n_words(text: str = "text") -> Column:
     """Number of words between ASCII white space; null counts as empty."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{_WORD_GAP}", "")
-    return F.when(F.length(trimmed) == 0, 0).otherwise(F.regexp_count(trimmed, F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def permuted(df: DataFrame, name: str, j: Column, n: Column, *key: Column | str) -> DataFrame:
