@@ -134,10 +134,30 @@ def detections(form: bytes) -> list[Hit]:
     for key, members in _by_keyword():
         if (hinted or key in texts) and b" " + key in form:
             found += [Hit(r.label, m.start(1), m.end(1), r.priority) for r in members for m in r.pattern.finditer(form)]
+    return resolved(found)
+
+
+def resolved(found: list[Hit]) -> list[Hit]:
+    """``found``, strongest first, without those that lie inside a kept one.
+
+    A Fenwick tree over the starts holds the furthest end of the kept ones that
+    begin there or before, so a text with very many detections is no square.
+    """
+    place = {s: i for i, s in enumerate(sorted({h.start for h in found}), 1)}
+    furthest = [-1] * (len(place) + 1)
     kept: list[Hit] = []
     for h in sorted(found, key=lambda h: (-h.priority, h.start - h.end, h.start, h.label)):
-        if not any(k.start <= h.start and h.end <= k.end for k in kept):
-            kept.append(h)
+        i, end = place[h.start], -1
+        while i:
+            end = max(end, furthest[i])
+            i -= i & -i
+        if end >= h.end:
+            continue
+        kept.append(h)
+        i = place[h.start]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], h.end)
+            i += i & -i
     return kept
 
 
