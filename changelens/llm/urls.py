@@ -20,6 +20,8 @@ from changelens.llm.common import table, written
 # Fixed values: (verdict, rule); a rule is a host and the start of a path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 8, 3, 7
+#: Hash values that the sample picks from: a share of a few out of 10^15 URLs is no zero.
+HASHES = 1 << 60
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,12 +68,17 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
+def sample(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """About ``train_rows`` distinct URLs of ``labelled``, picked by hash before anything is shuffled by URL."""
+    total = labelled.agg(F.approx_count_distinct("url", 0.01)).first()[0]
+    share = min(1.0, train_rows / max(1, total))
+    picked = labelled.where(F.pmod(F.xxhash64("url"), F.lit(HASHES)) < int(share * HASHES))
+    return picked.groupBy("url", "host", "path").agg(F.min("verdict").alias("verdict"))
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[GBTClassificationModel | None, DataFrame]:
     """Trees and suffix statistics from ``labelled`` (url, host, path, verdict). No trees unless both verdicts occur."""
-    once = written(labelled.groupBy("url", "host", "path").agg(F.min("verdict").alias("verdict")))
-    total = once.count()
-    share = min(1.0, train_rows / max(1, total))
-    picked = once.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = written(sample(labelled, train_rows))
     rows = lexical(picked).withColumn("label", (F.col("verdict") == "block").cast("double"))
     suffixes = written(rows.groupBy("suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_n"), ((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("f_suffix_blocked")))
     train = written(with_vector(rows, suffixes).select("features", "label").coalesce(4))
