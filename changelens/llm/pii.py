@@ -8,8 +8,9 @@ weighted share of trusted instances among its fillers, an instance by the
 accepted patterns that reach it. Identifier-shaped fillers of the accepted
 patterns become spans of the pattern's kind.
 
-Candidates are the ``MAX_PATTERNS`` with most distinct seeds, as usual in
-bootstrapping, so pattern tables have a fixed bound and travel in closures.
+Candidates hold at least ``MIN_SHARE`` of all distinct seeds, whatever the size
+of the corpus. So there are at most ``1 / MIN_SHARE`` of them and no others are
+cut off: pattern tables have a proven bound and travel in closures.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from changelens.llm.common import map_arrow, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
-MAX_PATTERNS, MIN_SEEDS, ROUNDS = 64, 5, 3
+MIN_SHARE, MIN_SEEDS, ROUNDS = 1 / 2000, 5, 3
 #: Share of trusted instances among all fillers from which a pattern is believed.
 MIN_TRUST = 0.6
 
@@ -119,7 +120,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> dict[str, str]:
-    """Kind by pattern, of the patterns with most distinct seeds."""
+    """Kind by pattern, of the patterns with ``MIN_SEEDS`` and ``MIN_SHARE`` of the distinct seeds."""
 
     def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = set()
@@ -130,8 +131,9 @@ def candidates(docs: DataFrame) -> dict[str, str]:
     found = map_arrow(_texts(docs), seeds, "pattern string, kind string, instance string").distinct()
     counted = found.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"))
-    top = best.where(F.col("n") >= MIN_SEEDS).orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS)
-    return {r["pattern"]: r["kind"] for r in top.collect()}
+    best = written(best)
+    least = max(MIN_SEEDS, (best.agg(F.sum("n")).first()[0] or 0) * MIN_SHARE)
+    return {r["pattern"]: r["kind"] for r in best.where(F.col("n") >= least).collect()}  # 1 / MIN_SHARE rows at most
 
 
 def learn(docs: DataFrame) -> dict[str, str]:
@@ -164,7 +166,7 @@ def learn(docs: DataFrame) -> dict[str, str]:
     accepted: dict[str, float] = {}
     for _ in range(ROUNDS):
         scores = trust.groupBy("pattern").agg((F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + F.lit(1))).alias("score"))
-        scores = {r["pattern"]: r["score"] for r in scores.collect() if r["score"] >= MIN_TRUST}  # MAX_PATTERNS rows at most
+        scores = {r["pattern"]: r["score"] for r in scores.collect() if r["score"] >= MIN_TRUST}  # a row for each candidate
         if scores.keys() == accepted.keys():
             break
         accepted = scores
