@@ -174,6 +174,19 @@ def test_license_rules():
         assert licenses.scan(t)[:5] == license_base(t)
 
 
+def test_license_suppression_against_all_pairs():
+    rng = random.Random(11)
+    for _ in range(200):
+        hits = [licenses.Hit(rng.choice("ab"), at := rng.randint(0, 30), at + rng.randint(1, 12), rng.choice((20, 60, 90))) for _ in range(rng.randint(0, 25))]
+        kept = []
+        for h in sorted(hits, key=lambda h: (-h.priority, h.start - h.end, h.start, h.label)):
+            if not any(k.start <= h.start and h.end <= k.end for k in kept):
+                kept.append(h)
+        assert licenses.resolved(hits) == kept
+    many = licenses.detections(b" under the mit license" * 100_000 + b" ")  # a square of these would not end
+    assert len(many) == 100_000
+
+
 def pii_base(text):
     """By the patterns as they stand, one after the other."""
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -499,6 +512,13 @@ def test_url_trees_learn(spark):
     assert right >= 0.95 * held.count()
 
 
+def test_url_sample(spark):
+    twice = spark.range(8000).select(F.concat(F.lit("http://a.org/"), F.pmod("id", F.lit(4000))).alias("url"), F.lit("a.org").alias("host"), F.lit("/").alias("path"), F.lit("allow").alias("verdict"))
+    assert urls.sample(twice, 10_000).count() == 4000
+    assert 800 <= urls.sample(twice, 1000).count() <= 1200
+    assert int(urls.TRAIN_ROWS / 10**14 * urls.HASHES) > 0
+
+
 def quality_base(text):
     t = text or ""
     w = WORDS.findall(t)
