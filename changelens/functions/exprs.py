@@ -183,8 +183,11 @@ def paths_align(deleted: Column, resolved: Column) -> Column:
 
 
 def escape_id(text: Column | str) -> Column:
-    """F-19: percent escapes as in URIs, blanks as %20 and stars escaped."""
-    return F.replace(F.replace(F.url_encode(col(text)), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    """F-19: percent escapes of all but the unreserved characters of URIs: blanks are %20, stars %2A, tildes stay."""
+    out = F.url_encode(col(text))
+    for found, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(found), F.lit(wanted))
+    return out
 
 
 def redact(text: Column | str, more: list[str] | None = None) -> Column:
