@@ -19,6 +19,9 @@ Linking never emits all pairs of a bucket:
 
 The result is exact: two nodes with different labels that share a bucket are
 compared, nodes with equal labels need no comparison.
+
+``keep_one``, the stage of the pipeline, has limits of its own: 5-word shingles
+and a Jaccard similarity of 0.8, candidates by bands of MinHash, links verified.
 """
 
 from __future__ import annotations
@@ -35,6 +38,13 @@ RADIUS = 4
 SHINGLE = 4
 _CHUNK = 1 << 16
 
+#: Limits of ``keep_one``. Bands of MinHash meet at 0.8 with probability 1 - (1 - 0.8^BAND_ROWS)^BANDS = 0.9993, above with more.
+KEEP_SHINGLE, KEEP_SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS, LIKELY = 24, 6, 0.65
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLY = np.array([[xxhash.xxh64_intdigest(b"multiply", i) | 1] for i in range(BANDS * BAND_ROWS)], np.uint64)
+_ADD = np.array([[xxhash.xxh64_intdigest(b"add", i)] for i in range(BANDS * BAND_ROWS)], np.uint64)
+
 
 def covers(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """The masks, as signed 64-bit integers; codes go round the non-zero values so that they occur evenly."""
@@ -163,13 +173,118 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     )
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the ``KEEP_SHINGLE``-word shingles; a shorter text is one shingle, one without words has none."""
+    words = ascii_lower(text or "").split()
+    if len(words) < KEEP_SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(words) - KEEP_SHINGLE + 1
+    out = np.zeros(n, np.uint64)
+    for j in range(KEEP_SHINGLE):
+        out = (out ^ h[j : j + n]) * _ODD
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each band of the MinHash signature, as signed 64-bit integers; and a byte of each minimum."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024] * _MULTIPLY + _ADD).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.zeros(BANDS, np.uint64)
+    for j in range(BAND_ROWS):
+        keys = (keys ^ rows[:, j]) * _ODD
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64), (least * _ODD >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of ``KEEP_SIMILARITY`` or more; two empty ones have."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    if min(len(x), len(y)) < KEEP_SIMILARITY * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= KEEP_SIMILARITY * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose texts are similar."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets: dict[int, np.ndarray] = {}
+        ok = []
+        for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for node, text in ((a, ta), (b, tb)):
+                if node not in sets:
+                    sets[node] = shingle_set(text)
+            ok.append(similar(sets[a], sets[b]))
+        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    first, second = (texts.select(F.col("hash").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
+
+
+def _likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose signatures agree in ``LIKELY`` of their bytes: similar texts do but for 4.5 standard deviations."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * BAND_ROWS) for i in (2, 3))
+        return batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LIKELY, pa.bool_()))
+
+    first, second = (prints.select(F.col("fp").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
+    return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+
+
+def similar_texts(texts: DataFrame) -> DataFrame:
+    """``node``, ``label`` of the hashes of ``texts`` (hash, text; distinct) that have a link, as in ``link``.
+
+    Candidates share a band; every link is verified on the texts. Stars of the
+    buckets come first, then all pairs of a bucket that have different labels
+    and of which one is outside the bucket's most frequent component.
+    """
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [band_keys(shingle_set(t)) for t in batch.column(1).to_pylist()]
+        new = [pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *new], names=["fp", "keys", "sig"])
+
+    prints = written(map_arrow(texts.select("hash", "text"), keys, "fp long, keys array<long>, sig binary"))
+    keyed = prints.select("fp", F.posexplode("keys").alias("t", "key"))
+    ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = written(keyed.join(ends, ["t", "key"]))
+    stars = full.select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
+    edges = written(_verified(stars, texts))
+    full = full.where("n > 2").select("t", "key", "fp")
+    labels = written(connected_components(edges))
+    named = full.join(labels, F.col("fp") == F.col("node"), "left").select("t", "key", "fp", F.coalesce("label", "fp").alias("label"))
+    sizes = named.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("t", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    open_ = written(named.join(mixed.drop("k"), ["t", "key"]))
+    few = open_.where("label <> main").select("t", "key", F.col("fp").alias("x"), F.col("label").alias("xl"))
+    found = few.join(open_, ["t", "key"]).where(F.col("xl") != F.col("label"))
+    found = found.select(F.greatest("x", "fp").alias("a"), F.least("x", "fp").alias("b")).distinct()
+    more = written(_verified(_likely(found, prints), texts))
+    if more.limit(1).count():
+        labels = written(connected_components(edges.unionByName(more)))
+    return labels
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each component: that of the smallest doc_id, ties by the hash of the text."""
+    """The rows of ``docs``, one of each component of similar texts: that of the smallest doc_id, ties by the hash of the text.
+
+    Texts link from a Jaccard similarity of ``KEEP_SIMILARITY`` of their shingle
+    sets; the limits of the fingerprints above have no part in it.
+    """
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
-    found = near_duplicates(tagged, ["hash"])
-    # A component without any doc_id is named by its fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint"))).alias("g")
-    best = found.select(group, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash").alias("s")).groupBy("g").agg(F.min("s").alias("s"))
+    # Equal texts are one node, combined before the shuffle.
+    own = tagged.groupBy("hash").agg(F.first("text").alias("text"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("s"))
+    own = written(own)
+    labels = similar_texts(own.select("hash", "text"))
+    joined = own.drop("text").join(labels, F.col("hash") == F.col("node"), "left")
+    best = joined.groupBy(F.coalesce("label", "hash").alias("g")).agg(F.min(F.struct("s.none", "s.doc_id", "hash")).alias("s"))
     best = best.select(F.col("s.doc_id").alias("best_id"), F.col("s.hash").alias("best_hash"))
     hit = tagged.drop("text").join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("hash") == F.col("best_hash")), "left_semi")
     return hit.dropDuplicates(["doc_id", "hash"]).select("row.*")

@@ -117,6 +117,30 @@ def test_simhash_edges(spark, edge):
     assert simhash.near_duplicates(edge.limit(0)).collect() == [] and simhash.keep_one(edge.limit(0)).collect() == []
 
 
+def test_near_dedup_against_all_pairs(spark):
+    """Copies with a word changed here and there, against the components of all pairs with a Jaccard of 0.8 or more."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 300)) for _ in range(rng.randint(60, 400))]
+        for _ in range(14):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(0, len(base) // 30)):
+                copy[at] = f"new{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    group, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                far += bin((fingerprint(texts[i]) ^ fingerprint(texts[j])) & (2**64 - 1)).count("1") > 4
+                x, y = sorted((group[i], group[j]))
+                group = [x if g == y else g for g in group]
+    assert far > 50 and len(set(group)) > 12  # most links are none of op1, and not all copies link
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(group))
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, sf, duck, name):
     assert rows(queries()[name](spark, sf)) == rows(duck.sql(oracle_sql()[name]).df())
