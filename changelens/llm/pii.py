@@ -8,9 +8,9 @@ weighted share of trusted instances among its fillers, an instance by the
 accepted patterns that reach it. Identifier-shaped fillers of the accepted
 patterns become spans of the pattern's kind.
 
-Candidates hold at least ``MIN_SHARE`` of all distinct seeds, whatever the size
-of the corpus. So there are at most ``1 / MIN_SHARE`` of them and no others are
-cut off: pattern tables have a proven bound and travel in closures.
+Patterns are tables of any size. What a task carries is a filter of their
+hashes of at most ``FILTER_BITS`` bits: it only saves rows, what passes it is
+joined with the patterns.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm.common import map_arrow, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
-MIN_SHARE, MIN_SEEDS, ROUNDS = 1 / 2000, 5, 3
+MIN_SEEDS, ROUNDS = 5, 3
+FILTER_BITS = 1 << 25
 #: Share of trusted instances among all fillers from which a pattern is believed.
 MIN_TRUST = 0.6
 
@@ -40,6 +43,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'()[]{}<>.,;:!?"
 _SHAPE = re.compile(r"[A-Za-z0-9._%+@#/-]{5,64}")
+#: Joints of a name without digits, as in name_at_host; only patterns of mail addresses take it.
+_JOINT = re.compile(r"[A-Za-z][._@%+][A-Za-z]")
+# Digits in groups, for the slots of phones and cards.
+_GROUPS = re.compile(r"\+?[(\[]?[0-9](?:[ ().\[\]+-]*[0-9])*")
+#: Kinds that are written in several words, with the numbers of digits they have.
+WIDE = {"card": (13, 19), "phone": (7, 15)}
 
 
 def luhn(digits: str) -> bool:
@@ -93,34 +102,78 @@ def context(text: str, start: int) -> str | None:
     return " ".join(words[-2:]).lower()
 
 
-def _fillers(text: str, last: set[str], patterns: dict[str, object]) -> Iterator[tuple[str, int, int]]:
-    """(pattern, start, end) of the word in every slot of the patterns, without punctuation at its ends."""
+def pattern_filter(patterns: DataFrame) -> np.ndarray:
+    """A bit set of the hashes of ``patterns``: 64 bits for each, ``FILTER_BITS`` at most."""
+    n = patterns.count()
+    bits = min(FILTER_BITS, 1 << max(12, (n * 64).bit_length()))
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = [int(_hashes(p.split())[0]) & (bits - 1) for p in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([x >> 5 for x in at], pa.int64()), pa.array([1 << (x & 31) for x in at], pa.int64())], names=["at", "bit"])
+
+    out = np.zeros(bits >> 5, np.uint32)
+    found = map_arrow(patterns.select("pattern"), places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    for r in found.toLocalIterator():  # FILTER_BITS / 32 rows at most
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """A hash of each two neighbouring words."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+    return out ^ (out >> np.uint64(32))
+
+
+def _slots(text: str, bits: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
+    """(pattern, start, end, wide start, wide end) of the slots whose pattern passes the filter.
+
+    start, end: the word, without punctuation at its ends. The wide span goes
+    over the groups of digits that begin at the slot; it is empty without any.
+    """
     low = text.lower().split()
-    at = [i for i, w in enumerate(low[:-1]) if i and w in last and f"{low[i - 1]} {w}" in patterns]
-    if not at:
+    if len(low) < 3:
         return
-    places = [m.span() for m in re.finditer(r"\S+", text)]
+    at = _hashes(low[:-1]) & np.uint64(len(bits) * 32 - 1)
+    hits = np.nonzero(bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1))[0].tolist()
+    places = [m.span() for m in re.finditer(r"\S+", text)] if hits else []
     if len(places) != len(low):
         return
-    for i in at:
-        s, e = places[i + 1]
+    for i in hits:
+        pattern = f"{low[i]} {low[i + 1]}"
+        first, e = places[i + 2]
+        s = first
         while s < e and text[s] in _EDGE:
             s += 1
         while s < e and text[e - 1] in _EDGE:
             e -= 1
-        yield f"{low[i - 1]} {low[i]}", s, e
+        at = next((x for x in range(first, s + 1) if (m := _GROUPS.match(text, x))), None)
+        ws, we = _GROUPS.match(text, at).span() if at is not None else (s, s)
+        yield pattern, s, e, ws, we
+
 
+def _wide(text: str, kind: str) -> bool:
+    return WIDE[kind][0] <= sum(c.isdecimal() for c in text) <= WIDE[kind][1]
 
-def _identifier(word: str) -> bool:
-    return bool(_SHAPE.fullmatch(word)) and bool(_DIGIT.search(word))
+
+def _identifier(word: str, kind: str) -> bool:
+    return bool(_SHAPE.fullmatch(word)) and bool(_DIGIT.search(word) or kind == "email" and _JOINT.search(word))
+
+
+def _filler(text: str, slot: tuple[str, int, int, int, int], kind: str) -> tuple[int, int] | None:
+    """The span of the identifier of ``kind`` in a slot; None if it has none."""
+    _, s, e, ws, we = slot
+    if kind in WIDE and ws < we and _wide(text[ws:we], kind):
+        return ws, max(we, e if s < we else we)
+    return (s, e) if _identifier(text[s:e], kind) else None
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").where(F.col("text").isNotNull())
 
 
-def candidates(docs: DataFrame) -> dict[str, str]:
-    """Kind by pattern, of the patterns with ``MIN_SEEDS`` and ``MIN_SHARE`` of the distinct seeds."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """pattern, kind of the patterns with ``MIN_SEEDS`` distinct seeds."""
 
     def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = set()
@@ -131,65 +184,117 @@ def candidates(docs: DataFrame) -> dict[str, str]:
     found = map_arrow(_texts(docs), seeds, "pattern string, kind string, instance string").distinct()
     counted = found.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"))
-    best = written(best)
-    least = max(MIN_SEEDS, (best.agg(F.sum("n")).first()[0] or 0) * MIN_SHARE)
-    return {r["pattern"]: r["kind"] for r in best.where(F.col("n") >= least).collect()}  # 1 / MIN_SHARE rows at most
+    return written(best.where(F.col("n") >= MIN_SEEDS).select("pattern", "kind"))
 
 
-def learn(docs: DataFrame) -> dict[str, str]:
-    """Accepted patterns with their kind. Empty tables and corpora without repeated contexts give none."""
+def _of_kind(prefix: str) -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, F.col(f"{prefix}_{k}")) for k in KINDS])
+
+
+def learned(docs: DataFrame) -> DataFrame | None:
+    """pattern, kind of the accepted patterns. Empty tables and corpora without repeated contexts give None."""
     patterns = candidates(docs)
-    if not patterns:
-        return {}
-    last = {p.split()[-1] for p in patterns}
+    if patterns.isEmpty():
+        return None
+    bits = pattern_filter(patterns)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                hits = list(_fillers(text, last, patterns))
-                seeds = base_spans(text) if hits else []
-                for p, s, e in hits:
-                    seed = any(a < e and s < b and kind == patterns[p] for kind, a, b in seeds)
-                    word = text[s:e]
-                    # Plain words of a slot count as one untrusted instance.
-                    n[p, word if seed or _identifier(word) else "", seed] += 1
+                slots = list(_slots(text, bits))
+                seeds = base_spans(text) if slots else []
+                for slot in slots:
+                    p, s, e, ws, we = slot
+                    row: list = [p]
+                    # The kind of the pattern is known after the join: a seed and a filler for each.
+                    for k in KINDS:
+                        row.append(next((text[a:b] for kind, a, b in seeds if kind == k and a < e and s < b), None))
+                    for k in KINDS:
+                        span = _filler(text, slot, k)
+                        row.append(text[span[0] : span[1]] if span else None)
+                    n[tuple(row)] += 1
             rows = [(*k, v) for k, v in n.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))],
-                names=["pattern", "instance", "seed", "n"],
-            )
-
-    graph = _texts(docs).mapInArrow(edges, "pattern string, instance string, seed boolean, n long")
-    graph = written(graph.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")))
-    trust = graph.select("pattern", "instance", "seed", "n", F.col("seed").cast("double").alias("trust"))
-    accepted: dict[str, float] = {}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 9 else pa.string()) for i in range(10)], names=names)
+
+    names = ["pattern", *(f"seed_{k}" for k in KINDS), *(f"filler_{k}" for k in KINDS), "n"]
+    found = _texts(docs).mapInArrow(edges, ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names))
+    found = found.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).join(patterns, "pattern")
+    # Plain words of a slot count as one untrusted instance.
+    found = found.select("pattern", "n", _of_kind("seed").alias("own"), _of_kind("filler").alias("filler"))
+    found = found.select("pattern", F.coalesce("own", "filler", F.lit("")).alias("instance"), F.col("own").isNotNull().alias("seed"), "n")
+    graph = written(found.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")))
+    trust = graph.select("pattern", "n", F.col("seed").cast("double").alias("trust"))
+    accepted = None
     for _ in range(ROUNDS):
         scores = trust.groupBy("pattern").agg((F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + F.lit(1))).alias("score"))
-        scores = {r["pattern"]: r["score"] for r in scores.collect() if r["score"] >= MIN_TRUST}  # a row for each candidate
-        if scores.keys() == accepted.keys():
-            break
+        scores = written(scores.where(F.col("score") >= MIN_TRUST))
+        if scores.isEmpty():
+            return None
+        same = accepted is not None and scores.count() == accepted.count() == scores.join(accepted, "pattern", "left_semi").count()
         accepted = scores
-        doubt = F.create_map(*[F.lit(x) for p, s in accepted.items() for x in (p, max(1e-9, 1.0 - s))]) if accepted else None
-        if doubt is None:
+        if same:
             break
-        reach = graph.where((F.col("instance") != "") & F.col("pattern").isin(list(accepted)))
-        reach = reach.groupBy("instance").agg((1 - F.exp(F.sum(F.log(doubt[F.col("pattern")])))).alias("reached"))
-        trust = graph.join(reach, "instance", "left").select(
-            "pattern", "instance", "seed", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0))).alias("trust")
-        )
-    return {p: patterns[p] for p in accepted}
+        reach = graph.where("instance <> ''").join(scores, "pattern")
+        reach = reach.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("reached"))
+        trust = graph.join(reach, "instance", "left").select("pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0))).alias("trust"))
+    return written(patterns.join(accepted, "pattern", "left_semi"))
+
+
+def learn(docs: DataFrame) -> dict[str, str]:
+    """The accepted patterns with their kind, for a look at them; ``find`` and ``redact`` leave them in a table."""
+    patterns = learned(docs)
+    return {r["pattern"]: r["kind"] for r in patterns.toLocalIterator()} if patterns is not None else {}
+
+
+def _table(docs: DataFrame, patterns: DataFrame | dict[str, str] | None) -> DataFrame | None:
+    if isinstance(patterns, dict):
+        return docs.sparkSession.createDataFrame(list(patterns.items()), "pattern string, kind string") if patterns else None
+    return learned(docs) if patterns is None else patterns
+
+
+SPAN = "struct<k:int,s:int,e:int>"
+
+
+def contextual(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """hash, spans (array of ``SPAN``) of the distinct texts in which a pattern reveals something beside the base spans."""
+    bits = pattern_filter(patterns)
+
+    def slots(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = set()
+        for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            base = None
+            for slot in _slots(text, bits):
+                for k, kind in enumerate(KINDS):
+                    if span := _filler(text, slot, kind):
+                        base = base_spans(text) if base is None else base
+                        if not any(a < span[1] and span[0] < b for _, a, b in base):
+                            rows.add((h, slot[0], k, *span))
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["hash", "pattern", "k", "s", "e"])
+
+    texts = docs.where(F.col("text").isNotNull()).select(_digest(), "text")
+    found = map_arrow(texts, slots, "hash string, pattern string, k int, s int, e int").distinct()
+    kinds = patterns.select("pattern", (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int").alias("k"))
+    return found.join(kinds, ["pattern", "k"]).groupBy("hash").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
+
+
+def _digest() -> Column:
+    return F.md5(F.col("text").cast("binary")).alias("hash")
+
+
+def _with_more(docs: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """``docs`` with a last column ``more__``, the contextual spans of the text; null without any."""
+    if patterns is None:
+        return docs.withColumn("more__", F.lit(None).cast(f"array<{SPAN}>"))
+    more = contextual(docs, patterns).select(F.col("hash").alias("hash__"), F.col("more").alias("more__"))
+    return docs.withColumn("key__", _digest()).join(more, F.col("key__") == F.col("hash__"), "left").drop("key__", "hash__").select(*[F.col(f"`{c}`") for c in docs.columns], "more__")
 
 
-def all_spans(text: str, patterns: dict[str, str], last: set[str]) -> tuple[list, list]:
+def all_spans(text: str, more: list[dict] | None) -> tuple[list, list]:
     """Base spans, and base plus contextual spans, both by kind, then start."""
     base = base_spans(text)
-    if not patterns:
-        return base, base
-    new = set()
-    for p, s, e in _fillers(text, last, patterns):
-        if _identifier(text[s:e]) and not any(a < e and s < b for _, a, b in base):
-            new.add((patterns[p], s, e))
+    new = {(KINDS[x["k"]], x["s"], x["e"]) for x in more or ()}
     return base, sorted({*base, *new}, key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if new else base
 
 
@@ -200,36 +305,32 @@ def _joined(spans: list) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def find(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+def find(docs: DataFrame, patterns: DataFrame | dict[str, str] | None = None) -> DataFrame:
     """doc_id and ``RESULT``, one row for each row of ``docs``. A null text counts as empty; repeated rows get equal rows."""
-    patterns = learn(docs) if patterns is None else patterns
-    last = {p.split()[-1] for p in patterns}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text in batch.column(1).to_pylist():
-            base, full = all_spans(text or "", patterns, last)
+        for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            base, full = all_spans(text or "", more)
             n = Counter(k for k, _, _ in base)
             rows.append((*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(full)))
         new = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)]
         return pa.RecordBatch.from_arrays([batch.column(0), *new], names=["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, {RESULT}")
+    return map_arrow(_with_more(docs.select("doc_id", "text"), _table(docs, patterns)), run, f"doc_id {kind}, {RESULT}")
 
 
-def redact(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+def redact(docs: DataFrame, patterns: DataFrame | dict[str, str] | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets and n_chars set anew; null texts stay null."""
-    patterns = learn(docs) if patterns is None else patterns
-    last = {p.split()[-1] for p in patterns}
     names = docs.columns
     at = names.index("text")
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, more: list[dict] | None) -> str | None:
         if text is None:
             return None
         out, done = [], 0
-        spans = sorted(all_spans(text, patterns, last)[1], key=lambda x: (x[1], -x[2]))
+        spans = sorted(all_spans(text, more)[1], key=lambda x: (x[1], -x[2]))
         for kind, s, e in spans:
             if s < done:  # overlaps one that is replaced: hide what is left of it
                 done = max(done, e)
@@ -239,11 +340,11 @@ def redact(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame
         return "".join(out) + text[done:] if spans else text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(batch.columns)
-        columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
+        *columns, more = batch.columns
+        columns[at] = pa.array(list(map(clean, columns[at].to_pylist(), more.to_pylist())), pa.string())
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = map_arrow(docs, run, docs.schema)
+    out = map_arrow(_with_more(docs, _table(docs, patterns)), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

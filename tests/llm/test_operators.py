@@ -255,6 +255,30 @@ def test_pii_bootstrap(spark):
     assert red[0] == "text 0 please write contact mail [EMAIL] today or not" and red[100] == "please write contact mail [EMAIL] today"
 
 
+def test_pii_patterns_do_not_depend_on_other_documents(spark):
+    """A pattern of a few seeds stays a candidate beside many contexts that occur once."""
+    own = [(i, f"write to the contact mail user{i}@host{i}.example.com today") for i in range(8)] + [(50, "see the contact mail joe_at_host today")]
+    others = [(100 + i, f"then word{i} other{i} u{i}@h{i}.example.org stands") for i in range(20_000)]
+    df = spark.createDataFrame(own + others, "doc_id long, text string")
+    assert pii.learn(df) == {"contact mail": "email"}
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(df).where("doc_id < 100").collect()}
+    assert spans[50] == "email:21:32"  # has no digit
+
+
+def test_pii_spaced_phones_and_cards(spark):
+    phones = [(i, f"please call us phone number: +1 (974) 555-{3000 + i} or not") for i in range(9)]
+    cards = [(100 + i, f"paid with the card number {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} today") for i in range(9) if (c := next(x for x in (f"4111{1000 + i}22223{k:03}" for k in range(1000)) if pii.luhn(x)))]
+    odd = [(200, "call us phone number: (974) 555-3436 or not"), (201, "with the card number 4111 1111 1111 1112 today")]
+    df = spark.createDataFrame(phones + cards + odd, "doc_id long, text string")
+    assert pii.learn(df) == {"phone number:": "phone", "card number": "card"}
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    for d, kind, text in ((200, "phone", "(974) 555-3436"), (201, "card", "4111 1111 1111 1112")):
+        s = dict(odd)[d].index(text)
+        assert spans[d] == f"{kind}:{s}:{s + len(text)}"
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert red[200] == "call us phone number: [PHONE] or not" and red[201] == "with the card number [CARD] today"
+
+
 def test_pii_query(spark, sf, duck):
     docs = dict(duck.sql("select doc_id, text from documents").fetchall())
     for r in queries()["op4_pii_bootstrap"](spark, sf).collect():
