@@ -59,6 +59,11 @@ WAYS = [
     ("{n} licen[sc]e{v}", 70),
     ("licen[sc]e {n}{v}", 60),
 ]
+# Ways that need a version, as they lack the word license.
+VERSIONED_WAYS = [("under (?:the )?(?:terms of )?(?:the )?{n}(?: public)?{v}", 75)]
+_LATER = "(?: of the licen[sc]e)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?"
+# Families whose notices spell versions out, as (label, name, versions).
+GNU = [("gpl", "general", "123"), ("lgpl", "lesser general", "3"), ("lgpl", "library general", "2"), ("agpl", "affero general", "3")]
 # Texts of licenses and notices that name none, as (label, keyword, pattern, priority).
 TEXTS = [
     ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software", 95),
@@ -70,6 +75,18 @@ TEXTS = [
     ("apache-2", "apache org licenses", "apache org licenses license 2 0", 95),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 95),
     ("public-domain", "public domain", "(?:released|dedicated|placed|is)(?: in| into| to)?(?: the)? public domain", 50),
+    ("apache-2", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 95),
+    ("mpl-2", "this source code form", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0", 96),
+    ("bsl-1", "permission is hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 95),
+    ("zlib", "this software is provided", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 95),
+    ("wtfpl-2", "everyone is permitted", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", 95),
+    ("dual", "dual", "dual(?:ly)? licen[sc]ed", 65),
+    ("dual", "licen", "licen[sc]ed under either(?: of)?", 65),
+    ("classpath-exception", "classpath", "classpath exception", 65),
+    ("gcc-exception", "gcc", "gcc runtime library exception", 65),
+    ("llvm-exception", "llvm", "llvm exceptions?", 65),
+    ("linking-exception", "linking", "linking exception", 65),
+    ("linking-exception", "as a special exception", "as a special exception the copyright holders? [^ ]+(?: [^ ]+){0,8} give you permission to link", 65),
     ("proprietary", "all rights reserved", "all rights reserved", 20),
     ("proprietary", "confidential", "proprietary and confidential", 40),
     ("non-commercial", "commercial", "(?:for )?non ?commercial (?:use|purposes) only", 45),
@@ -94,13 +111,20 @@ def rules() -> list[Rule]:
     made = [(label, key, pattern, priority) for label, key, pattern, priority in TEXTS]
     for family, names, versions in FAMILIES:
         for name in names:
-            for way, priority in WAYS:
+            for way, priority in WAYS + VERSIONED_WAYS:
                 first = re.match(r"[a-z0-9 ]+", name)[0].strip()
                 for version in versions:
                     major, minor = version.split()
-                    tail = f"(?: version)? (?:v ?)?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}")
+                    tail = f"(?:(?: version)? (?:v ?)?|v?){major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}")
                     made.append((_label(family, version), first, way.format(n=name, v=tail), priority + 5))
-                made.append((family, first, way.format(n=name, v=""), priority))
+                    made.append((f"{_label(family, version)}-or-later", first, way.format(n=name, v=tail + _LATER), priority + 5))
+                if (way, priority) not in VERSIONED_WAYS:
+                    made.append((family, first, way.format(n=name, v=""), priority))
+    for family, name, versions in GNU:
+        for major in versions:
+            notice = f"gnu {name} public licen[sc]e as published by the free software foundation(?: either)? version {major}(?: 0)?"
+            made.append((f"{family}-{major}", "gnu", notice, 97))
+            made.append((f"{family}-{major}-or-later", "gnu", notice + _LATER, 97))
     out = [Rule(label, key.encode(), re.compile(f" (?=({pattern}) )".encode()), priority) for label, key, pattern, priority in made]
     return sorted(out, key=lambda r: -r.priority)
 

@@ -198,6 +198,17 @@ def test_license_rules():
         assert licenses.scan(t)[:5] == license_base(t)
 
 
+def test_license_spellings():
+    scan = lambda t: set(licenses.scan(t)[5].split(","))
+    assert scan("This is licensed under the GPLv3.") == scan("License: GPLv3") == scan("use it under the GPL version 3 here") == {"gpl-3"}
+    assert scan("licensed under LGPLv2.1 only") == {"lgpl-2.1"}
+    assert "gpl-2-or-later" in scan("SPDX-License-Identifier: GPL-2.0-or-later")
+    assert "gpl-3-or-later" in scan("the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    assert "dual" in scan("dual-licensed under MIT and Apache 2.0") and "classpath-exception" in scan("GPL with the Classpath exception")
+    assert scan("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == {"mpl-2"}
+    assert scan("the gplv of v3 tables and a file under 3 tables") == {""}
+
+
 def test_license_suppression_against_all_pairs():
     rng = random.Random(11)
     for _ in range(200):
