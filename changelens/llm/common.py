@@ -16,20 +16,22 @@ BYTES_PER_BATCH = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the cluster's shared checkpoint folder.
+    """A new path below the cluster's shared checkpoint folder, in a folder of this application.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a folder of our own is used.
+    Local sessions without ``spark.checkpoint.dir`` (tests) get a folder of their
+    own; on a cluster a missing setting is an error, as executors share no local
+    folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = tempfile.mkdtemp(prefix="checkpoints-")
-            spark.sparkContext.setCheckpointDir(base)
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get()
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -37,19 +39,40 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the table behind a frame of ``written`` that nothing reads any more: steps of a loop whose next step is written."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with small batches.
+
+    The sizes are settings of the session that Spark reads when the frame is
+    run, so they cannot be set back here; they are only ever lowered.
+    """
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = df.sparkSession.conf.get(key)
+        if not held.isdigit() or not 0 < int(held) <= most:
+            df.sparkSession.conf.set(key, str(most))
+    return df.mapInArrow(fn, schema)
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` with small batches; ``fn`` maps one batch to one batch or to several."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+    """``map_batches`` by a function of one batch, which gives one batch or several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +82,7 @@ def map_arrow(
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def ascii_lower(text: str) -> bytes:

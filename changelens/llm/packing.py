@@ -15,13 +15,17 @@ buckets so that a common length is no single task, and find their place by rank.
 
 from __future__ import annotations
 
+import base64
+import os
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from changelens.llm.common import map_arrow, table, written
 
@@ -40,15 +44,9 @@ def _encoder(name: str):
     faster; it serves texts within Latin-1 that name no special token, for which
     tests hold both equal. All other texts go to tokenizers itself.
     """
-    import base64
-    import os
-
     import public_tokenizers
-    import tiktoken
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     slow = Tokenizer.from_file(str(public_tokenizers.path(f"{name}.json")))
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:

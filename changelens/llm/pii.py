@@ -1,12 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of unseen identifiers.
 
-Seeds are the base matches. The two words before a seed are its lexical
-pattern. Patterns with enough distinct seeds are candidates; a second pass
-counts everything that fills their slot in the whole corpus, which gives a
-graph of patterns and instances. Spark scores it iteratively: a pattern by the
-weighted share of trusted instances among its fillers, an instance by the
-accepted patterns that reach it. Identifier-shaped fillers of the accepted
-patterns become spans of the pattern's kind.
+The two words before an identifier are its lexical pattern. Seeds are the base
+matches. Every word of the corpus that may be an identifier gives an edge of the
+graph of patterns and instances, a table. Spark scores it round by round: seeds
+induce the patterns that they fill well, accepted patterns make seeds of the
+identifiers in their slots, these induce patterns of the next round, until no
+pattern is new. Identifiers in the slots of accepted patterns become spans of
+the pattern's kind.
 
 Patterns are tables of any size. What a task carries is a filter of their
 hashes of at most ``FILTER_BITS`` bits: it only saves rows, what passes it is
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from changelens.llm.common import map_arrow, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
-MIN_SEEDS, ROUNDS = 5, 3
+#: Distinct trusted instances that a pattern needs, in a corpus of any size.
+MIN_SEEDS = 5
 FILTER_BITS = 1 << 25
 #: Share of trusted instances among all fillers from which a pattern is believed.
 MIN_TRUST = 0.6
@@ -45,6 +46,9 @@ _EDGE = "\"'()[]{}<>.,;:!?"
 _SHAPE = re.compile(r"[A-Za-z0-9._%+@#/-]{5,64}")
 #: Joints of a name without digits, as in name_at_host; only patterns of mail addresses take it.
 _JOINT = re.compile(r"[A-Za-z][._@%+][A-Za-z]")
+#: Where a word may be an identifier: a digit, or a joint.
+_HINT = re.compile(r"[0-9]|[A-Za-z][._@%+](?=[A-Za-z])")
+_BLANK = re.compile(r"\s")
 # Digits in groups, for the slots of phones and cards.
 _GROUPS = re.compile(r"\+?[(\[]?[0-9](?:[ ().\[\]+-]*[0-9])*")
 #: Kinds that are written in several words, with the numbers of digits they have.
@@ -90,16 +94,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def context(text: str, start: int) -> str | None:
-    """The two lower-case words before the word that starts (behind opening punctuation) at ``start``; null if there are none."""
+    """The two lower-case words, however long, before the word that starts (behind opening punctuation) at ``start``; null if there are none."""
     s = start
     while s > 0 and start - s < 3 and text[s - 1] in _EDGE:
         s -= 1
     if s == 0 or not text[s - 1].isspace():
         return None
-    words = text[max(0, s - 80) : s].split()
-    if len(words) < (2 if s <= 80 else 3):
-        return None
-    return " ".join(words[-2:]).lower()
+    words = []
+    for _ in range(2):
+        while s > 0 and text[s - 1].isspace():
+            s -= 1
+        end = s
+        while s > 0 and not text[s - 1].isspace():
+            s -= 1
+        words.append(text[s:end])
+    return f"{words[1]} {words[0]}".lower() if words[1] else None
 
 
 def pattern_filter(patterns: DataFrame) -> np.ndarray:
@@ -125,31 +134,46 @@ def _hashes(words: list[str]) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _slots(text: str, bits: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
-    """(pattern, start, end, wide start, wide end) of the slots whose pattern passes the filter.
+def _slot(text: str, first: int, end: int) -> tuple[int, int, int, int]:
+    """start, end, wide start and wide end of the slot at the word from ``first`` to ``end``.
 
     start, end: the word, without punctuation at its ends. The wide span goes
     over the groups of digits that begin at the slot; it is empty without any.
     """
+    s, e = first, end
+    while s < e and text[s] in _EDGE:
+        s += 1
+    while s < e and text[e - 1] in _EDGE:
+        e -= 1
+    wide = next((m for x in range(first, min(s, first + 3) + 1) if (m := _GROUPS.match(text, x))), None)
+    return (s, e, *(wide.span() if wide else (s, s)))
+
+
+def _slots(text: str, bits: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
+    """(pattern, and the places of ``_slot``) of the words whose pattern passes the filter."""
     low = text.lower().split()
     if len(low) < 3:
         return
     at = _hashes(low[:-1]) & np.uint64(len(bits) * 32 - 1)
     hits = np.nonzero(bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1))[0].tolist()
     places = [m.span() for m in re.finditer(r"\S+", text)] if hits else []
-    if len(places) != len(low):
-        return
-    for i in hits:
-        pattern = f"{low[i]} {low[i + 1]}"
-        first, e = places[i + 2]
-        s = first
-        while s < e and text[s] in _EDGE:
-            s += 1
-        while s < e and text[e - 1] in _EDGE:
-            e -= 1
-        at = next((x for x in range(first, s + 1) if (m := _GROUPS.match(text, x))), None)
-        ws, we = _GROUPS.match(text, at).span() if at is not None else (s, s)
-        yield pattern, s, e, ws, we
+    for i in hits:  # lower case has the same blanks, so the words are the same
+        yield f"{low[i]} {low[i + 1]}", *_slot(text, *places[i + 2])
+
+
+def _identifiers(text: str) -> Iterator[tuple[str, int, int, int, int]]:
+    """(pattern, and the places of ``_slot``) of the words that hold a digit or the joint of a name."""
+    done = 0
+    for m in _HINT.finditer(text):
+        if m.start() < done:
+            continue
+        first = m.start()
+        while first > done and not text[first - 1].isspace():
+            first -= 1
+        blank = _BLANK.search(text, m.end())
+        done = blank.start() if blank else len(text)
+        if pattern := context(text, first):
+            yield pattern, *_slot(text, first, done)
 
 
 def _wide(text: str, kind: str) -> bool:
@@ -164,7 +188,7 @@ def _filler(text: str, slot: tuple[str, int, int, int, int], kind: str) -> tuple
     """The span of the identifier of ``kind`` in a slot; None if it has none."""
     _, s, e, ws, we = slot
     if kind in WIDE and ws < we and _wide(text[ws:we], kind):
-        return ws, max(we, e if s < we else we)
+        return ws, max(we, e)
     return (s, e) if _identifier(text[s:e], kind) else None
 
 
@@ -172,77 +196,111 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").where(F.col("text").isNotNull())
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """pattern, kind of the patterns with ``MIN_SEEDS`` distinct seeds."""
+_SLOT_FIELDS = "pattern string, base string, kind string, narrow string, wide string, digits int, n long"
 
-    def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = set()
-        for text in batch.column(0).to_pylist():
-            rows.update((c, kind, text[s:e]) for kind, s, e in base_spans(text) if (c := context(text, s)))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["pattern", "kind", "instance"])
 
-    found = map_arrow(_texts(docs), seeds, "pattern string, kind string, instance string").distinct()
-    counted = found.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"))
-    return written(best.where(F.col("n") >= MIN_SEEDS).select("pattern", "kind"))
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """``_SLOT_FIELDS``: every word of the corpus that may be an identifier, with its pattern, equal ones counted.
+
+    base and kind: the base match that meets the slot. narrow: the word, if it
+    has the shape of an identifier (shorter and longer words have not); wide and
+    digits: the groups of digits that begin there.
+    """
+    names = [x.split()[0] for x in _SLOT_FIELDS.split(", ")]
+    least = min(lo for lo, _ in WIDE.values())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            base = base_spans(text)
+            for pattern, s, e, ws, we in _identifiers(text):
+                hits = [x for x in base if x[1] < max(e, we) and s < x[2]] if base else []
+                for kind, a, b in hits:
+                    if a >= s:  # else it began at a slot before
+                        n[pattern, text[a:b], kind, None, None, None] += 1
+                if not hits:
+                    word, wide = text[s:e], text[ws : max(we, e)] if ws < we else None
+                    narrow = word if _identifier(word, "email") else None
+                    digits = sum(c.isdecimal() for c in text[ws:we])
+                    if narrow or wide and digits >= least:
+                        n[pattern, None, None, narrow, wide, digits] += 1
+        rows = [(*k, v) for k, v in n.items()]
+        types = [pa.string()] * 5 + [pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return map_arrow(_texts(docs), run, _SLOT_FIELDS).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def _graph(docs: DataFrame) -> DataFrame:
+    """pattern, kind, instance, base, n: what fills the slot of a pattern, for each kind that it may be, with ``MIN_SEEDS`` instances or more.
+
+    A pattern with fewer can be accepted in no round.
+    """
+    found = written(_occurrences(docs))
+    known = found.where("base is not null").select("pattern", "kind", F.col("base").alias("instance"), F.lit(True).alias("base"), "n")
+    whole = F.lit(None).cast("string")
+    for kind, (least, most) in WIDE.items():
+        whole = F.when((F.col("kind") == kind) & F.col("digits").between(least, most), F.col("wide")).otherwise(whole)
+    # A word without a digit is an identifier of an e-mail pattern alone.
+    narrow = F.when((F.col("kind") == "email") | F.col("narrow").rlike("[0-9]"), F.col("narrow"))
+    other = found.where("base is null").withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
+    other = other.select("pattern", "kind", F.coalesce(whole, narrow).alias("instance"), F.lit(False).alias("base"), "n").where("instance is not null")
+    edges = known.unionByName(other).groupBy("pattern", "kind", "instance").agg(F.max("base").alias("base"), F.sum("n").alias("n"))
+    # A kind without any base instance has nothing to begin with.
+    able = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MIN_SEEDS).select("pattern", "kind")
+    return written(edges.join(able, ["pattern", "kind"]))
+
+
+def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how often each of ``patterns`` is followed by any word at all."""
+    bits = pattern_filter(patterns)
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = Counter(slot[0] for text in batch.column(0).to_pylist() for slot in _slots(text, bits))
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "n"])
 
-def _of_kind(prefix: str) -> Column:
-    return F.coalesce(*[F.when(F.col("kind") == k, F.col(f"{prefix}_{k}")) for k in KINDS])
+    found = map_arrow(_texts(docs), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return written(found.join(patterns, "pattern", "left_semi"))
 
 
 def learned(docs: DataFrame) -> DataFrame | None:
-    """pattern, kind of the accepted patterns. Empty tables and corpora without repeated contexts give None."""
-    patterns = candidates(docs)
-    if patterns.isEmpty():
+    """pattern, kind, score, round of the accepted patterns; None if there are none (an empty table, say).
+
+    Round by round, until no pattern is new: a pattern with ``MIN_SEEDS``
+    distinct trusted instances of a kind, whose trust is ``MIN_TRUST`` of all
+    that fills its slot, is accepted with that score for good; then every
+    identifier in its slot is trusted by what its patterns' scores make of it
+    together, base matches wholly. Trust only grows, so the rounds end: each
+    but the last accepts a pattern. Shares and not numbers of occurrences
+    decide, so copies of the corpus change nothing.
+    """
+    graph = _graph(docs)
+    patterns = graph.select("pattern").distinct()
+    if graph.where("base").isEmpty():
         return None
-    bits = pattern_filter(patterns)
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                slots = list(_slots(text, bits))
-                seeds = base_spans(text) if slots else []
-                for slot in slots:
-                    p, s, e, ws, we = slot
-                    row: list = [p]
-                    # The kind of the pattern is known after the join: a seed and a filler for each.
-                    for k in KINDS:
-                        row.append(next((text[a:b] for kind, a, b in seeds if kind == k and a < e and s < b), None))
-                    for k in KINDS:
-                        span = _filler(text, slot, k)
-                        row.append(text[span[0] : span[1]] if span else None)
-                    n[tuple(row)] += 1
-            rows = [(*k, v) for k, v in n.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 9 else pa.string()) for i in range(10)], names=names)
-
-    names = ["pattern", *(f"seed_{k}" for k in KINDS), *(f"filler_{k}" for k in KINDS), "n"]
-    found = _texts(docs).mapInArrow(edges, ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names))
-    found = found.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).join(patterns, "pattern")
-    # Plain words of a slot count as one untrusted instance.
-    found = found.select("pattern", "n", _of_kind("seed").alias("own"), _of_kind("filler").alias("filler"))
-    found = found.select("pattern", F.coalesce("own", "filler", F.lit("")).alias("instance"), F.col("own").isNotNull().alias("seed"), "n")
-    graph = written(found.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")))
-    trust = graph.select("pattern", "n", F.col("seed").cast("double").alias("trust"))
-    accepted = None
-    for _ in range(ROUNDS):
-        scores = trust.groupBy("pattern").agg((F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + F.lit(1))).alias("score"))
-        scores = written(scores.where(F.col("score") >= MIN_TRUST))
-        if scores.isEmpty():
-            return None
-        same = accepted is not None and scores.count() == accepted.count() == scores.join(accepted, "pattern", "left_semi").count()
-        accepted = scores
-        if same:
-            break
-        reach = graph.where("instance <> ''").join(scores, "pattern")
-        reach = reach.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("reached"))
-        trust = graph.join(reach, "instance", "left").select("pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0))).alias("trust"))
-    return written(patterns.join(accepted, "pattern", "left_semi"))
+    graph = written(graph.join(_totals(docs, patterns), "pattern"))
+    accepted, trusted, turn = None, graph.where("base").select("kind", "instance", F.lit(1.0).alias("trust")).distinct(), 0
+    while True:
+        turn += 1
+        rated = graph.join(trusted, ["kind", "instance"]).groupBy("pattern", "kind", "total")
+        rated = rated.agg(F.count(F.lit(1)).alias("seeds"), F.sum(F.col("n") * F.col("trust")).alias("weight"))
+        rated = rated.select("pattern", "kind", "seeds", F.least(F.col("weight") / F.col("total"), F.lit(1.0)).alias("score")).where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= MIN_TRUST))
+        best = rated.groupBy("pattern").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "seeds", "kind")).alias("b"))
+        new = best.select("pattern", "b.kind", "b.score", F.lit(turn).alias("round"))
+        if accepted is not None:
+            new = new.join(accepted, "pattern", "left_anti")
+        new = written(new)
+        if new.isEmpty():
+            return accepted
+        accepted = new if accepted is None else written(accepted.unionByName(new))
+        reached = graph.join(accepted.select("pattern", "kind", "score"), ["pattern", "kind"])
+        reached = reached.groupBy("kind", "instance").agg(F.max("base").alias("base"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("t"))
+        both = reached.select("kind", "instance", F.col("t").alias("trust")).unionByName(graph.where("base").select("kind", "instance", F.lit(1.0).alias("trust")))
+        trusted = written(both.groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
 
 
 def learn(docs: DataFrame) -> dict[str, str]:
-    """The accepted patterns with their kind, for a look at them; ``find`` and ``redact`` leave them in a table."""
+    """The accepted patterns with their kind, for a look at a small corpus; ``find`` and ``redact`` leave them in a table."""
     patterns = learned(docs)
     return {r["pattern"]: r["kind"] for r in patterns.toLocalIterator()} if patterns is not None else {}
 
@@ -306,7 +364,12 @@ def _joined(spans: list) -> str:
 
 
 def find(docs: DataFrame, patterns: DataFrame | dict[str, str] | None = None) -> DataFrame:
-    """doc_id and ``RESULT``, one row for each row of ``docs``. A null text counts as empty; repeated rows get equal rows."""
+    """doc_id and ``RESULT``, one row for each row of ``docs`` (doc_id, text).
+
+    A null text counts as empty, a null doc_id stays; repeated rows get equal
+    rows; an empty table gives none; other columns, whatever their names, are
+    ignored.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -322,7 +385,11 @@ def find(docs: DataFrame, patterns: DataFrame | dict[str, str] | None = None) ->
 
 
 def redact(docs: DataFrame, patterns: DataFrame | dict[str, str] | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets and n_chars set anew; null texts stay null."""
+    """``docs`` with every span replaced by its kind in brackets and n_chars set anew.
+
+    Null texts stay null, repeated rows are repeated, an empty table stays empty
+    and further columns stay as they are; a doc_id is not needed.
+    """
     names = docs.columns
     at = names.index("text")
 

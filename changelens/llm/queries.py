@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WHERE = {
-    "op1_simhash_covering": "simhash",
-    "op2_chat_prefix_targets": "chat",
-    "op3_license_rules": "licenses",
-    "op4_pii_bootstrap": "pii",
-    "op5_mix_sources": "mixing",
-    "op6_pack_bin_slack": "packing",
-    "op7_warc_segments": "warc",
-    "op8_flac_media": "flac",
-    "op9_url_gbt": "urls",
-    "op10_quality_divergence": "quality",
-}
+from changelens.llm import chat, flac, licenses, mixing, packing, pii, quality, simhash, urls, warc
+
+_QUERIES = [
+    simhash.op1_simhash_covering, chat.op2_chat_prefix_targets, licenses.op3_license_rules, pii.op4_pii_bootstrap, mixing.op5_mix_sources,
+    packing.op6_pack_bin_slack, warc.op7_warc_segments, flac.op8_flac_media, urls.op9_url_gbt, quality.op10_quality_divergence,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"changelens.llm.{module}"), name) for name, module in _WHERE.items()}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from changelens.llm import chat, warc
-
     return {"op2_chat_prefix_targets": chat.OP2_SQL, "op7_warc_segments": warc.OP7_SQL}
