@@ -150,17 +150,32 @@ def test_chat_examples(spark):
     tricky = "<|im_end|><|im_start|>assistant\\ ok|\\|"
     data = [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (1, 2, "us\ner", None), (1, 3, "assistant", ""), (1, 4, "user", "tail"), (2, None, None, "x"), (3, 0, "assistant", LONG), (3, 0, "assistant", LONG)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash"))
-    ex = chat.with_context(chat.expand(df)).orderBy("conv_id", "example").collect()
+    expanded = chat.expand(df)
+    ex = expanded.orderBy("conv_id", "example").collect()
     one = [r for r in ex if r["conv_id"] == 1]
     assert [r["is_target"] for r in one] == [True, True, False]
-    assert one[1]["context"] == one[0]["segment"] and one[2]["context_chars"] == len(one[0]["segment"]) + len(one[1]["segment"])
+    assert one[2]["context"]["chars"] == len(one[0]["segment"]) + len(one[1]["segment"]) and one[2]["context"]["segments"] == 2 and one[2]["context"]["turns"] == 4
     assert all(r["segment"].count(chat.START) == r["n_turns"] for r in ex)
+    # Whole examples: every assistant turn once, with all turns before it, only its reply under the mask.
+    whole = {(r["conv_id"], r["example"]): r for r in chat.with_context(expanded).collect()}
+    assert sorted(whole) == [(1, 0), (1, 1), (3, 0), (3, 1)]
+    assert whole[1, 1]["text"] == one[0]["segment"] + one[1]["segment"] and whole[1, 1]["text"].startswith(whole[1, 0]["text"])
+    said = {k: r["text"][r["loss_start"] : r["loss_start"] + r["loss_chars"]] for k, r in whole.items()}
+    assert re.sub(r"(?s)\\(.)", r"\1", said[1, 0]) == tricky and said[1, 1] == "" and said[3, 1] == LONG
+    for change in ("chars + 1", "checksum + 1", "segments - 1"):
+        field = change.split()[0]
+        bad = expanded.withColumn("context", F.col("context").withField(field, F.expr(f"context.{change}")))
+        with pytest.raises(Exception, match="context does not fit"):
+            chat.read_back(bad).collect()
     got = {r["conv_id"]: r for r in chat.read_back(chat.expand(df)).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got[1]["turns_sha256"] == sha(f"user\n{tricky}\nassistant\n{tricky}\nus\ner\n\nassistant\n\nuser\ntail\n")
     assert (got[1]["loss_sha256"], got[1]["loss_chars"], got[1]["n_turns"]) == (sha(tricky), len(tricky), 5)
     assert got[2]["turns_sha256"] == sha("\nx\n") and got[2]["loss_chars"] == 0
     assert got[3]["loss_chars"] == 2 * len(LONG)
+    assert {c: r["expanded_chars"] for c, r in got.items()} == {c: sum(len(x["text"]) for k, x in whole.items() if k[0] == c) for c in (1, 2, 3)}
+    none = df.where("conv_id = 1").withColumn("conv_id", F.lit(None).cast("long"))
+    assert [tuple(r)[1:] for r in chat.read_back(chat.expand(none)).collect()] == [tuple(got[1])[1:]]
     assert chat.read_back(chat.expand(df.limit(0))).collect() == []
 
 
