@@ -6,16 +6,19 @@ t words out of a source of s words takes every block floor(t / s) times, and
 (t mod s) words more from blocks in the order of a pseudorandom permutation; its
 last slot takes only the start of its block. A slot is one use of one block.
 
-The slots of all sources are dealt to output shards of ``SHARD`` slots by one
-more permutation over all slots. The counts of the sources in a shard are then a
-multinomial draw given the totals over the corpus: independent draws for each
-shard would miss the target of a source with few blocks by the square root of
-their number. Slots meet blocks in a join by source and block index.
+Output shards have ``SHARD`` places. Every place draws a source with the
+source's share of all slots, seeded by its number, so the counts of the sources
+in a shard are multinomial draws. Over all shards a source is drawn more or less
+often than it has slots, by about the root of their number: the draws of a
+source are numbered, a pseudorandom permutation of the source maps the numbers to
+its slots, and the draws that find no slot, scattered over the shards, go to the
+slots that no draw has found. So every slot has one place, and the totals of the
+sources hold exactly. Slots meet blocks in a join by source and block index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.llm.common import table, written
@@ -26,8 +29,10 @@ BLOCK = 256
 SHARD = 4096
 #: Documents of a hash bucket whose sizes one window task adds up.
 BUCKET = 1_000
-#: Slots that one task makes.
-SLOTS_PER_TASK = 200_000
+#: Places that one task draws.
+PLACES_PER_TASK = 200_000
+#: Numbers that share a bucket in a search for ranges.
+RANGE_BUCKET = 64
 #: Any other seed gives another mix of the same sizes.
 SEED = 7
 _WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -79,53 +84,102 @@ def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 
 
 def offsets(docs: DataFrame) -> DataFrame:
-    """``docs`` (with source, size, doc_id, tie) plus ``start``: its place in the word stream of its source.
+    """``docs`` (with source, size, doc_id, tie, salt) plus ``start``: its place in the word stream of its source.
 
     Two levels, so that a source of any size is no single task: sizes are added
     up inside hash buckets, and the buckets of a source by their sums.
     """
     rows = docs.count()
     buckets = max(1, -(-rows // BUCKET))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
+    # Equal rows go to different buckets; the table is written, so every run numbers its rows alike.
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "salt"), F.lit(buckets)))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     back = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("n").over(back), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie", "salt").rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     joined = ranked.join(bases, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
     return joined.select(*docs.columns, (F.col("base") + F.col("inner")).alias("start"))
 
 
-def slots(plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, block, shard, place, words: every use of a block by the mix, from ``targets``.
+def in_ranges(rows: DataFrame, at: str, ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` plus ``columns`` of the range (lo, hi; not empty, none overlaps) that holds ``at``, from a join by buckets.
+
+    Ranges are whole numbers, so a bucket of ``RANGE_BUCKET`` numbers meets no
+    more ranges than that, however many there are.
+    """
+    spread = ranges.select(
+        F.struct("lo", "hi", *columns).alias("range_"),
+        F.explode(F.sequence(F.expr(f"lo div {RANGE_BUCKET}"), F.expr(f"(hi - 1) div {RANGE_BUCKET}"))).alias("bucket_"),
+    )
+    held = spread.groupBy("bucket_").agg(F.collect_list("range_").alias("ranges_"))
+    hit = rows.withColumn("bucket_", F.expr(f"{at} div {RANGE_BUCKET}")).join(held, "bucket_")
+    one = F.filter("ranges_", lambda r: (r["lo"] <= F.col(at)) & (F.col(at) < r["hi"]))[0]
+    return hit.withColumn("range_", one).select(*rows.columns, *[F.col(f"range_.{c}").alias(c) for c in columns])
+
+
+def _running(column: str) -> Column:
+    """The sum of ``column`` over the sources before a row; one row for each source."""
+    return F.coalesce(F.sum(column).over(Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def draws(spark: SparkSession, ranges: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
+    """shard, place, source: a source for each of ``total`` places, drawn in proportion to its range (``lo`` to ``hi`` below total).
+
+    The places are drawn one by one from the hash of their number, so the counts
+    of the sources in a shard are multinomial.
+    """
+    places = spark.range(0, total, 1, max(1, -(-total // PLACES_PER_TASK)))
+    drawn = places.select(F.col("id").alias("at_"), F.pmod(F.xxhash64(F.lit(SEED), F.lit("draw"), "id"), F.lit(total)).alias("u_"))
+    found = in_ranges(drawn, "u_", ranges, ["source"])
+    return found.select(F.expr(f"at_ div {shard}").alias("shard"), F.pmod("at_", F.lit(shard)).alias("place"), "source")
+
+
+def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """source, block, words, shard, place: every use of a block by the mix, and where it goes, from ``targets``.
 
     words: how many words of the block are used, from its first.
     """
+    spark = plan.sparkSession
     p = plan.where("source_size > 0 and target > 0").withColumn("t", F.round("target").cast("long"))
-    p = p.withColumn("t", F.least("t", F.col("source_size") * MAX_REPEATS))
+    p = p.withColumn("t", F.least("t", F.col("source_size") * MAX_REPEATS)).where("t > 0")
     p = p.withColumn("full", F.floor(F.col("source_size") / block).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     p = p.withColumn("passes", F.floor(F.col("t") / F.col("source_size")).cast("long")).withColumn("rest", F.pmod("t", "source_size"))
     p = p.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
-    total = F.sum("slots").over(Window.partitionBy())
-    base = F.coalesce(F.sum("slots").over(Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = p.withColumn("total", total).withColumn("base", base)
-    # Slots are made in runs, so that the slots of a large source come from many tasks, as many as the total asks for.
-    run = 1 << 14
-    made = p.agg(F.sum("slots")).first()[0] or 0
-    tasks = max(1, -(-made // SLOTS_PER_TASK))
-    p = p.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("slots", F.lit(1)) - 1) / run).cast("long"))))
-    p = p.repartition(tasks, "source", "run")
-    s = p.withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, "slots") - 1)))
+    p = p.withColumn("lo", _running("slots"))
+    p = written(p.withColumn("hi", F.col("lo") + F.col("slots")))
+    total = p.agg(F.max("hi")).first()[0] or 0
+    drawn = written(draws(spark, p.select("lo", "hi", "source"), total, shard))
+    # The draws of a source in their order: those of earlier shards, then those of the shard.
+    counts = drawn.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(counts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    # What a source is drawn too often, and too seldom, as ranges that cover the same numbers.
+    sums = counts.groupBy(F.col("source").alias("source_")).agg(F.sum("n").alias("drawn"))
+    p = p.join(sums, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    p = p.withColumn("over", F.greatest(F.col("drawn") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("drawn"), F.lit(0)))
+    p = written(p.withColumn("over_lo", _running("over")).withColumn("under_lo", _running("under")))
+    named = p.select(F.col("source").alias("source_"), F.col("slots").alias("slots_"), F.col("drawn").alias("drawn_"), "over_lo")
+    inside = Window.partitionBy("source", "shard").orderBy("place")
+    numbered = drawn.withColumn("inside", F.row_number().over(inside) - 1)
+    bases = counts.select(F.col("source").alias("s_"), F.col("shard").alias("shard_"), "earlier")
+    numbered = numbered.join(bases, F.col("source").eqNullSafe(F.col("s_")) & (F.col("shard") == F.col("shard_"))).drop("s_", "shard_")
+    numbered = numbered.join(named, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    numbered = permuted(numbered, "slot", F.col("earlier") + F.col("inside"), F.col("drawn_"), F.lit("slots"), "source")
+    keep = ["source", "slot", "shard", "place"]
+    held = numbered.where("slot < slots_").select(*keep)
+    spare = numbered.where("slot >= slots_").select("shard", "place", (F.col("over_lo") + F.col("slot") - F.col("slots_")).alias("q_"))
+    lacking = p.where("under > 0").select(F.col("under_lo").alias("lo"), (F.col("under_lo") + F.col("under")).alias("hi"), "source", F.col("drawn").alias("first"), F.col("under_lo").alias("from"))
+    moved = in_ranges(spare, "q_", lacking, ["source", "first", "from"]).withColumn("slot", F.col("first") + F.col("q_") - F.col("from"))
+    sizes = p.select(F.col("source").alias("source_"), "source_size", "full", "blocks", "passes", "rest")
+    s = written(held.unionByName(moved.select(*keep)))
+    s = s.join(sizes, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     s = s.withColumn("j", F.pmod("slot", "blocks")).withColumn("one", F.expr("slot div blocks"))
     # Full blocks are permuted; the short block keeps the last place of a pass.
     s = permuted(s, "turned", F.col("j"), F.greatest("full", F.lit(1).cast("long")), "source", "one")
-    s = permuted(s, "at", F.col("base") + F.col("slot"), F.col("total"), F.lit("deal"))
     size = F.when(F.col("j") < F.col("full"), F.lit(block)).otherwise(F.pmod("source_size", F.lit(block)))
     words = F.when(F.col("one") < F.col("passes"), size).otherwise(F.least(size, F.col("rest") - F.col("j") * block))
-    return s.select(
-        "source", F.when(F.col("j") < F.col("full"), F.col("turned")).otherwise(F.col("j")).alias("block"),
-        F.expr(f"at div {SHARD}").alias("shard"), F.pmod("at", F.lit(SHARD)).alias("place"), words.cast("long").alias("words"),
-    )
+    return s.select("source", F.when(F.col("j") < F.col("full"), F.col("turned")).otherwise(F.col("j")).alias("block"), words.cast("long").alias("words"), "shard", "place")
 
 
 def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -136,16 +190,16 @@ def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return spread.withColumn("lo", F.greatest(F.col("start") - at, F.lit(0))).withColumn("hi", F.least(stop - at, F.lit(block)))
 
 
-def uses(slot_rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source_, block_, amounts: for each used block the number of slots by how many words they take."""
-    n = slot_rows.groupBy("source", "block", "words").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy(F.col("source").alias("source_"), F.col("block").alias("block_")).agg(F.collect_list(F.struct("words", "n")).alias("amounts"))
+def uses(slot_rows: DataFrame) -> DataFrame:
+    """source_, block_, uses: for each used block its slots, ``MAX_REPEATS`` + 1 at most, as (words, shard, place)."""
+    return slot_rows.groupBy(F.col("source").alias("source_"), F.col("block").alias("block_")).agg(F.collect_list(F.struct("words", "shard", "place")).alias("uses"))
 
 
 def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with source_size, target and start; the slots; and the document segments with their uses.
 
-    ``docs`` has doc_id, source, size, tie (to order equal doc_ids) and any more columns.
+    ``docs`` has doc_id, source, size, tie (to order equal doc_ids) and salt (to
+    order equal rows); it is a written table.
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = written(targets(sizes))
@@ -158,40 +212,53 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each row of ``docs`` (doc_id, source, text).
+    """doc_id, size, source_size, target, taken, shard, place: one row for each row of ``docs`` (doc_id, source, text).
 
-    A null text has no words; a null source is a source of its own, the last;
+    shard and place: the first place among the slots that take its words; null
+    without any. A null text has no words; a null source is a source of its own, the last;
     repeated rows count each on their own; an empty table gives none. Extra
     columns are ignored.
     """
-    narrow = written(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("tie")))
+    narrow = written(_narrow(docs))
     placed, _, cut = mixed(narrow)
-    word_uses = F.expr("aggregate(amounts, 0L, (a, x) -> a + x.n * greatest(0L, least(hi, x.words) - lo))")
-    got = cut.groupBy("source", "start").agg(F.sum(word_uses).alias("taken"))
-    got = got.select(F.col("source").alias("source_"), F.col("start").alias("start_"), "taken")
+    cut = cut.withColumn("uses", F.filter("uses", lambda x: x["words"] > F.col("lo")))
+    word_uses = F.expr("aggregate(uses, 0L, (a, x) -> a + least(hi, x.words) - lo)")
+    first = F.array_min(F.transform("uses", lambda x: F.struct(x["shard"].alias("shard"), x["place"].alias("place"))))
+    got = cut.groupBy("source", "start").agg(F.sum(word_uses).alias("taken"), F.min(first).alias("first"))
+    got = got.select(F.col("source").alias("source_"), F.col("start").alias("start_"), "taken", "first.shard", "first.place")
     some = placed.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("source_")) & (F.col("start") == F.col("start_")), "left")
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    no = F.lit(None).cast("long")
+    none = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "shard": no, "place": no})
     keep = ["doc_id", "size", "source_size", "target"]
-    return some.select(*keep, F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(none.select(*keep, "taken"))
+    return some.select(*keep, F.coalesce("taken", F.lit(0)).alias("taken"), "shard", "place").unionByName(none.select(*keep, "taken", "shard", "place"))
+
+
+def _narrow(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """doc_id, source, size, tie, salt and ``more`` of ``docs``; salt tells equal rows apart."""
+    return docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt"), *more)
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, with_place: bool = False) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: a row for each time that words of a document are taken.
 
     A document that is taken whole keeps its text; of one that is taken in part
-    the taken words stay, in order, joined by spaces. n_chars is set anew.
+    the taken words stay, in order, joined by spaces. n_chars is set anew. With
+    ``with_place`` columns ``shard`` and ``place`` follow, the first place among
+    the slots that take the row's words: where in the output the row goes. Null
+    texts have no words and are never taken; a null source is a source; repeated
+    rows count each; an empty table gives an empty mix.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     tagged = docs.select(row, "doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("tie")).where("size > 0")
-    narrow = written(tagged.select("doc_id", "source", "size", "tie"))
+    narrow = written(_narrow(docs).where("size > 0"))
     _, _, cut = mixed(narrow)
-    # Copy c of a document has the words of its segments that are used more than c times.
-    per = F.expr("flatten(transform(amounts, x -> array_repeat(least(hi, x.words) - lo, int(x.n))))")
-    part = cut.withColumn("got", F.array_sort(F.filter(per, lambda x: x > 0), lambda a, b: (b - a).cast("int")))
+    # Copy c of a document has the words of its segments that are used more than c times, longest uses first.
+    got = F.filter(F.transform("uses", lambda x: F.struct((F.col("lo") - F.least("hi", x["words"])).alias("less"), x["shard"].alias("shard"), x["place"].alias("place"))), lambda x: x["less"] < 0)
     keys = ["source", "start", "size", "doc_id", "tie"]
-    part = part.select(*keys, (F.col("block") * BLOCK + F.col("lo") - F.col("start")).alias("first"), F.posexplode("got").alias("copy", "n"))
-    copies = part.groupBy(*keys, "copy").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"))
-    copies = copies.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("tie").alias("tie_"), "taken", "cuts")
+    part = cut.select(*keys, (F.col("block") * BLOCK + F.col("lo") - F.col("start")).alias("first"), F.posexplode(F.array_sort(got)).alias("copy", "use"))
+    part = part.select(*keys, "copy", "first", (-F.col("use.less")).alias("n"), F.struct("use.shard", "use.place").alias("at"))
+    copies = part.groupBy(*keys, "copy").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("cuts"), F.min("at").alias("at"))
+    copies = copies.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("tie").alias("tie_"), "taken", "cuts", "at")
     # Equal rows share their text, so one row of each text serves the copies of all of them.
     texts = tagged.dropDuplicates(["doc_id", "source", "tie"])
     hit = copies.join(texts, F.col("id_").eqNullSafe(F.col("doc_id")) & F.col("source_").eqNullSafe(F.col("source")) & (F.col("tie_") == F.col("tie")))
@@ -203,7 +270,8 @@ def mix(docs: DataFrame) -> DataFrame:
     fresh = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`") for c in docs.columns])
+    place = [F.col("at.shard"), F.col("at.place")] if with_place else []
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`") for c in docs.columns], *place)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

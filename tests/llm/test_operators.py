@@ -454,13 +454,63 @@ def test_mix_edges(spark, edge):
     assert mixing.mix(edge.limit(0)).count() == 0
 
 
+def slots_by_hand(size, target, block):
+    """Words of every slot of a source, by block kind: how often whole blocks, the short block and cut blocks are used."""
+    t = min(round(target), 3 * size)
+    full, short = divmod(size, block)
+    passes, rest = divmod(t, size)
+    out = Counter({block: passes * full})
+    out[short] += passes * (short > 0)
+    while rest > 0:
+        out[min(rest, block)] += 1
+        rest -= block
+    return Counter({k: n for k, n in out.items() if k and n})
+
+
 def test_slots_are_dealt_once(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", mixing.n_words().alias("size"), F.xxhash64("text").alias("tie"))
-    _, slots, _ = mixing.mixed(docs)
+    docs = mixing.written(mixing._narrow(spark.read.parquet(f"{sf}/documents.parquet")))
+    placed, slots, _ = mixing.mixed(docs)
     seen = [(r["shard"], r["place"]) for r in slots.collect()]
     assert len(seen) == len(set(seen)) and sorted(s * mixing.SHARD + p for s, p in seen) == list(range(len(seen)))
 
 
+def test_draws_are_multinomial_and_totals_hold(spark):
+    sizes = {"a": 400_000, "b": 90_000, "c": 1000, None: 60_000, "tiny": 3}
+    plan = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    want = {r["source"]: r for r in plan.collect()}
+    got = mixing.slots(plan, block=64, shard=128).collect()
+    per = {s: Counter(r["words"] for r in got if r["source"] == s) for s in sizes}
+    slots = {s: slots_by_hand(n, want[s]["target"], 64) for s, n in sizes.items()}
+    assert {s: c.total() for s, c in per.items()} == {s: c.total() for s, c in slots.items()}
+    assert {s: sum(k * n for k, n in c.items()) for s, c in per.items()} == {s: round(want[s]["target"]) for s in sizes}
+    # No block is used more often than passes over its source allow, and by passes alike.
+    for s, n in sizes.items():
+        used = Counter(r["block"] for r in got if r["source"] == s)
+        assert max(used.values()) - min(used.get(b, 0) for b in range(-(-n // 64))) <= 1
+    # The counts of the large sources in the shards scatter as multinomial counts do.
+    total = len(got)
+    assert sorted((r["shard"], r["place"]) for r in got) == [divmod(i, 128) for i in range(total)]
+    for s in ("a", "b", None):
+        share = slots[s].total() / total
+        counts = Counter(r["shard"] for r in got if r["source"] == s)
+        shards = range(total // 128)
+        spread = np.var([counts.get(k, 0) for k in shards]) / (128 * share * (1 - share))
+        assert 0.6 < spread < 1.5
+    # Blocks follow no order over the shards.
+    order = [r["block"] for r in sorted(got, key=lambda r: (r["shard"], r["place"])) if r["source"] == "a"]
+    assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.1
+    assert mixing.slots(plan.limit(0)).count() == 0
+
+
+def test_mix_rows_have_places(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = mixing.mix(docs, with_place=True)
+    taken = mixing.taken_words(docs)
+    assert got.columns == [*docs.columns, "shard", "place"] and got.where("shard is null or place is null").count() == 0
+    words = rows(got.groupBy("doc_id").agg(F.sum(mixing.n_words()).alias("taken"), F.min(F.struct("shard", "place")).alias("first")))
+    assert words == rows(taken.where("taken > 0").select("doc_id", "taken", F.struct("shard", "place").alias("first")))
+
+
 def subset_best(lengths, room):
     sums = {0}
     for x in lengths:
