@@ -1,15 +1,18 @@
 """Media columns: lossless FLAC streams of 8-bit mono samples, written and decoded in numpy.
 
-A payload's bytes less 128 are the samples. Frames hold ``BLOCK`` samples (the
-last fewer), each predicted by the fixed polynomial of order 0 to 2 with the
-smallest residual, which is Rice coded in one partition. Streams have STREAMINFO
-with the MD5 of the samples and, beyond one frame, a SEEKTABLE.
+A payload's bytes are companded: the bytes that are common in text have the samples
+of least size, which Rice codes keep short. Frames hold ``BLOCK`` samples (the
+last fewer). Each is predicted by the fixed polynomial of order 0 to 2, or by a
+linear predictor of order ``LPC`` with quantized coefficients (autocorrelation,
+Levinson-Durbin), whichever takes fewer bits; residuals are Rice coded in one
+partition. Streams have STREAMINFO with the MD5 of the samples and, beyond one
+frame, a SEEKTABLE.
 
 Many frames are coded and decoded side by side: the code of a sample starts where
 the last one ended, so the decoder steps along the samples of up to ``FRAMES``
-frames at once over a table of the next set bit. Frames of other writers (other
-partitions, escapes, linear predictors with coefficients, verbatim or constant
-frames) take a plain bit reader.
+frames at once over a table of the next set bit; linear predictors step along in
+the same way. Frames of other writers (several partitions, escapes, verbatim or
+constant frames) take a plain bit reader.
 """
 
 from __future__ import annotations
@@ -22,11 +25,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from changelens.llm.common import map_arrow, table
+from changelens.llm.common import map_arrow, table, written
 
 BLOCK, FRAMES, SEEK_EVERY, RATE = 1024, 1024, 16, 8000
 PAD = 64
 MAX_ORDER, MAX_K = 2, 14
+#: Order of linear predictors, bits of a coefficient, and the fewest samples of a frame that may have one.
+LPC, PRECISION, LEAST_LPC = 8, 10, 64
+
+
+# Bytes by how common they are in text, most common first; the others follow in order.
+_COMMON = b" etaoinsrhldcumfgpywbvk\xc3,.jxqz-0123456789'\n\"ETAOINSRHLDCUMFGPYWBVK:;()/_=+@#*|<>\x00"
+
+
+def _companding() -> tuple[np.ndarray, np.ndarray]:
+    """Sample of each byte, and byte of each sample (as unsigned): 0, -1, 1, -2 and so on by rank."""
+    order = np.array([*_COMMON, *(b for b in range(256) if b not in _COMMON)])
+    rank = np.arange(256)
+    sample = ((rank >> 1) ^ -(rank & 1)).astype(np.int8)
+    to_sample, to_byte = np.empty(256, np.int8), np.empty(256, np.uint8)
+    to_sample[order] = sample
+    to_byte[sample.view(np.uint8)] = order
+    return to_sample, to_byte
+
+
+TO_SAMPLE, TO_BYTE = _companding()
+
+
+def samples_of(payload: bytes) -> np.ndarray:
+    return TO_SAMPLE[np.frombuffer(payload, np.uint8)]
+
+
+def payload_from(samples: np.ndarray) -> bytes:
+    return TO_BYTE[samples.view(np.uint8)].tobytes()
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -43,6 +74,10 @@ class Damaged(ValueError):
     """A checksum, a sync code or a digest does not fit."""
 
 
+class EndOfBits(Damaged):
+    """A frame goes on behind the bytes at hand."""
+
+
 def crc8(data: bytes) -> int:
     c = 0
     for b in data:
@@ -71,6 +106,41 @@ def _coded_number(n: int) -> bytes:
     return bytes([head, *(0x80 | n >> 6 * i & 0x3F for i in reversed(range(tail)))])
 
 
+def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (``PRECISION`` bits), shifts and residuals of linear predictors of the rows of ``x``."""
+    f = x.astype(np.float64)
+    r = np.stack([(f[:, : f.shape[1] - j] * f[:, j:]).sum(axis=1) for j in range(LPC + 1)], axis=1)
+    error, a = r[:, 0] * (1 + 1e-9) + 1e-6, np.zeros((len(x), LPC))
+    for i in range(LPC):
+        reflect = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i] -= reflect[:, None] * a[:, :i][:, ::-1].copy()
+        a[:, i] = reflect
+        error = np.maximum(error * (1 - reflect**2), 1e-6)
+    top = np.maximum(np.abs(a).max(axis=1), 1e-6)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(top)), 0, 15).astype(np.int32)
+    half = 1 << (PRECISION - 1)
+    q = np.clip(np.rint(a * (1 << shift)[:, None]), -half, half - 1).astype(np.int32)
+    guess = np.zeros_like(x)
+    for j in range(LPC):
+        guess[:, LPC:] += q[:, j, None] * x[:, LPC - 1 - j : x.shape[1] - 1 - j]
+    res = x.copy()
+    res[:, LPC:] -= guess[:, LPC:] >> shift[:, None]
+    return q, shift, res
+
+
+def _bits_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The last ``width`` bits of each value, row by row."""
+    return (values[..., None] >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8).reshape(len(values), -1)
+
+
+def _rice_bits(res: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rice parameter and bits of the ``coded`` residuals of every row."""
+    u = (res << 1) ^ (res >> 31)
+    mean = (u * coded).sum(axis=1) / np.maximum(1, coded.sum(axis=1))
+    k = np.clip(np.floor(np.log2(np.maximum(mean, 1))), 0, MAX_K).astype(np.int32)
+    return k, (((u >> k[:, None]) + 1 + k[:, None]) * coded).sum(axis=1)
+
+
 def _encode_group(samples: list[np.ndarray], numbers: list[int]) -> list[bytes]:
     """Frames of up to ``FRAMES`` sample arrays."""
     n = np.array([len(s) for s in samples])
@@ -88,18 +158,26 @@ def _encode_group(samples: list[np.ndarray], numbers: list[int]) -> list[bytes]:
         a = np.abs(diffs[order]) * inside
         cost.append(np.where(n > MAX_ORDER, a[:, MAX_ORDER:].sum(axis=1), 0))
     order = np.argmin(np.stack(cost), axis=0)
-    res = np.stack(diffs)[order, np.arange(len(samples))] if len(diffs) > 1 else x
+    res = np.stack(diffs)[order, np.arange(len(samples))]
+    k, taken = _rice_bits(res, inside & (np.arange(width) >= order[:, None]))
+    linear = np.zeros(len(samples), bool)
+    head_bits = np.zeros((len(samples), 0), np.uint8)
+    if width >= LEAST_LPC:
+        q, shift, residual = _linear(x)
+        residual *= inside
+        k_linear, taken_linear = _rice_bits(residual, inside & (np.arange(width) >= LPC))
+        linear = (n >= LEAST_LPC) & (taken_linear + 9 + LPC * (PRECISION + 8) < taken + 8 * order)
+        res, k, order = np.where(linear[:, None], residual, res), np.where(linear, k_linear, k), np.where(linear, LPC, order)
+        head_bits = np.concatenate((_bits_of(np.full(len(samples), PRECISION - 1), 4), _bits_of(shift, 5), _bits_of(q, PRECISION)), axis=1)
     coded = inside & (np.arange(width) >= order[:, None])
     u = (res << 1) ^ (res >> 31)
-    mean = (u * coded).sum(axis=1) / np.maximum(1, coded.sum(axis=1))
-    k = np.clip(np.floor(np.log2(np.maximum(mean, 1))), 0, MAX_K).astype(np.int32)
-    q = u >> k[:, None]
-    length = np.where(coded, q + 1 + k[:, None], 0)
+    high = u >> k[:, None]
+    length = np.where(coded, high + 1 + k[:, None], 0)
     end = np.cumsum(length, axis=1)
     total = end[:, -1] if width else np.zeros(len(samples), int)
     room = -(-int(total.max()) // 8) * 8
     bits = np.zeros(len(samples) * room, np.uint8)
-    stop = (end - length + q + np.arange(len(samples))[:, None] * room)[coded]
+    stop = (end - length + high + np.arange(len(samples))[:, None] * room)[coded]
     value, each = u[coded], np.broadcast_to(k[:, None], coded.shape)[coded]
     bits[stop] = 1
     for one in np.unique(k):
@@ -107,38 +185,40 @@ def _encode_group(samples: list[np.ndarray], numbers: list[int]) -> list[bytes]:
         for j in range(one):
             bits[at + 1 + j] = v >> (one - 1 - j) & 1
     bits = bits.reshape(len(samples), room)
+    # Method 0 and partition order 0, then the parameter.
+    rice = np.concatenate((np.zeros((len(samples), 6), np.uint8), _bits_of(k, 4)), axis=1)
     bodies = []
     for i, s in enumerate(samples):
         o = int(order[i])
         head = b"\xff\xf8\x70\x02" + _coded_number(numbers[i]) + (len(s) - 1).to_bytes(2, "big")
-        head += bytes([crc8(head)]) + bytes([8 + o << 1]) + s[:o].astype(np.int8).tobytes()
-        # Method 0, partition order 0 and the parameter are ten bits: the residual starts two bits into a byte.
-        row = np.concatenate((np.unpackbits(np.array([int(k[i]) >> 2, int(k[i]) << 6 & 0xFF], np.uint8))[:10], bits[i, : total[i]]))
+        head += bytes([crc8(head)]) + bytes([(31 if linear[i] else 8) + o << 1]) + s[:o].astype(np.int8).tobytes()
+        row = np.concatenate((*([head_bits[i]] if linear[i] else []), rice[i], bits[i, : total[i]]))
         bodies.append(head + np.packbits(row).tobytes())
     return [b + int(c).to_bytes(2, "big") for b, c in zip(bodies, crc16(bodies).tolist(), strict=True)]
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream of each payload."""
-    cut = [(i, f, np.frombuffer(p, np.uint8, min(BLOCK, len(p) - f * BLOCK), f * BLOCK).astype(np.int16) - 128) for i, p in enumerate(payloads) for f in range(-(-len(p) // BLOCK))]
+    samples = list(map(samples_of, payloads))
+    cut = [(i, f, p[f * BLOCK : (f + 1) * BLOCK]) for i, p in enumerate(samples) for f in range(-(-len(p) // BLOCK))]
     order = sorted(range(len(cut)), key=lambda j: -len(cut[j][2]))
-    frames: list[list[bytes]] = [[b""] * -(-len(p) // BLOCK) for p in payloads]
+    frames: list[list[bytes]] = [[b""] * -(-len(p) // BLOCK) for p in samples]
     for at in range(0, len(order), FRAMES):
         group = [cut[j] for j in order[at : at + FRAMES]]
         for (i, f, _), frame in zip(group, _encode_group([s for _, _, s in group], [f for _, f, _ in group]), strict=True):
             frames[i][f] = frame
-    return [_stream(p, fs) for p, fs in zip(payloads, frames, strict=True)]
+    return [_stream(p, fs) for p, fs in zip(samples, frames, strict=True)]
 
 
-def _stream(payload: bytes, frames: list[bytes]) -> bytes:
+def _stream(samples: np.ndarray, frames: list[bytes]) -> bytes:
     sizes = [len(f) for f in frames] or [0]
-    md5 = hashlib.md5((np.frombuffer(payload, np.uint8) - np.uint8(128)).tobytes()).digest()
+    md5 = hashlib.md5(samples.tobytes()).digest()
     info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + md5
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(samples)).to_bytes(8, "big") + md5
     out = [b"fLaC", bytes([0 if len(frames) > 1 else 0x80]), len(info).to_bytes(3, "big"), info]
     if len(frames) > 1:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
-        points = b"".join((f * BLOCK).to_bytes(8, "big") + starts[f].to_bytes(8, "big") + min(BLOCK, len(payload) - f * BLOCK).to_bytes(2, "big") for f in range(0, len(frames), SEEK_EVERY))
+        points = b"".join((f * BLOCK).to_bytes(8, "big") + starts[f].to_bytes(8, "big") + min(BLOCK, len(samples) - f * BLOCK).to_bytes(2, "big") for f in range(0, len(frames), SEEK_EVERY))
         out += [b"\x83", len(points).to_bytes(3, "big"), points]
     return b"".join([*out, *frames])
 
@@ -146,13 +226,13 @@ def _stream(payload: bytes, frames: list[bytes]) -> bytes:
 class _Bits:
     """Plain bit reader for frames that the side-by-side decoder does not know."""
 
-    def __init__(self, data: bytes, at: int):
-        self.n, self.at, self.size = int.from_bytes(data[at:], "big"), 0, 8 * (len(data) - at)
+    def __init__(self, data: bytes):
+        self.n, self.at, self.size = int.from_bytes(data, "big"), 0, 8 * len(data)
 
     def take(self, k: int) -> int:
         self.at += k
         if self.at > self.size:
-            raise Damaged("frame ends early")
+            raise EndOfBits("frame ends early")
         return self.n >> (self.size - self.at) & ((1 << k) - 1)
 
     def signed(self, k: int) -> int:
@@ -162,7 +242,7 @@ class _Bits:
     def unary(self) -> int:
         rest = self.n & ((1 << (self.size - self.at)) - 1)
         if not rest:
-            raise Damaged("frame ends early")
+            raise EndOfBits("frame ends early")
         q = self.size - self.at - rest.bit_length()
         self.at += q + 1
         return q
@@ -173,8 +253,24 @@ _FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 
 def _decode_one(data: bytes, at: int, n: int, bps: int) -> tuple[np.ndarray, int]:
-    """Samples of one mono subframe that starts at byte ``at``, and the byte behind it."""
-    b = _Bits(data, at)
+    """Samples of one mono subframe that starts at byte ``at``, and the byte behind it.
+
+    The reader gets as many bytes as such a subframe seldom passes, and twice as
+    many again and again where it does: the rest of a long stream costs nothing.
+    """
+    room = 4096 + 4 * n
+    while True:
+        try:
+            samples, bits = _subframe(_Bits(data[at : at + room]), n, bps)
+            return samples, at + -(-bits // 8)
+        except EndOfBits:
+            if at + room >= len(data):
+                raise
+            room *= 2
+
+
+def _subframe(b: _Bits, n: int, bps: int) -> tuple[np.ndarray, int]:
+    """Samples of the subframe, and the bits it takes."""
     if b.take(1):
         raise Damaged("subframe header")
     kind, wasted = b.take(6), 0
@@ -205,7 +301,7 @@ def _decode_one(data: bytes, at: int, n: int, bps: int) -> tuple[np.ndarray, int
                 out.append(r + (sum(c * s for c, s in zip(coefficients, reversed(out), strict=False)) >> shift))
     else:
         raise Damaged(f"subframe type {kind}")
-    return np.array(out, np.int64) << wasted, at + -(-b.at // 8)
+    return np.array(out, np.int64) << wasted, b.at
 
 
 def _headers(stream: bytes) -> tuple[int, bytes, int]:
@@ -299,34 +395,72 @@ def _frame_starts(stream: bytes, first: int, samples: int) -> list[tuple[int, in
     return out
 
 
+def _linear_head(s: bytes, m: int, order: int) -> tuple[list[int], int, int, int]:
+    """Coefficients, shift, Rice parameter and the first residual bit behind byte ``m`` of a linear subframe; parameter 15 if it is not of the plain form."""
+    held = int.from_bytes(s[m : m + 64].ljust(64, b"\0"), "big")
+    take = lambda at, k: held >> (512 - at - k) & ((1 << k) - 1)
+    precision, shift = take(0, 4) + 1, take(4, 5)
+    if precision == 16 or shift > 15 or take(9 + order * precision, 6) or 19 + order * precision > 512:
+        return [], 0, 15, 0
+    half = 1 << (precision - 1)
+    coefficients = [(take(9 + i * precision, precision) ^ half) - half for i in range(order)]
+    return coefficients, shift, take(15 + order * precision, 4), 19 + order * precision
+
+
+def _restore_linear(rows: list[tuple[np.ndarray, np.ndarray, list[int], int]]) -> list[np.ndarray]:
+    """Samples of rows (first samples, residuals, coefficients, shift) of equal order, stepping along all of them."""
+    order = len(rows[0][0])
+    most = max(len(r[1]) for r in rows)
+    x = np.zeros((order + most, len(rows)), np.int64)
+    for c, (first, residuals, _, _) in enumerate(rows):
+        x[:order, c] = first
+        x[order : order + len(residuals), c] = residuals
+    q = np.array([r[2][::-1] for r in rows], np.int64).T.copy()
+    shift = np.array([r[3] for r in rows], np.int64)
+    for t in range(order, order + most):
+        x[t] += np.einsum("om,om->m", q, x[t - order : t]) >> shift
+    return [x[: order + len(r[1]), c] for c, r in enumerate(rows)]
+
+
 def _decode_frames(frames: list[tuple[bytes, int, int, int]]) -> list[tuple[np.ndarray, int]]:
     """Samples of each frame (stream, begin, samples, subframe), and the byte behind it; checksums are verified."""
     jobs, fast, out = [], [], [None] * len(frames)
     for i, (s, _, n, p) in enumerate(frames):
-        order = (s[p] >> 1) - 8
+        kind, coefficients, shift, first, k = s[p] >> 1, None, 0, 10, 15
+        order = kind - 8 if kind < 32 else kind - 31
         m = p + 1 + order
-        k = (s[m] & 3) << 2 | s[m + 1] >> 6 if 0 <= order <= 4 and m + 1 < len(s) else 15
-        if not s[p] & 1 and 0 <= order <= 4 and not s[m] >> 2 and k < 15 and n > order:
-            room = n * (k + 4) // 8 + 16  # codes seldom pass this; a frame that does is read on its own
-            jobs.append((s[m : m + room], 10, k, n - order))
-            fast.append((i, room))
+        if kind >= 32:
+            coefficients, shift, k, first = _linear_head(s, m, order)
+        elif 0 <= order <= 4 and m + 1 < len(s) and not s[m] >> 2:
+            k = (s[m] & 3) << 2 | s[m + 1] >> 6
+        if not s[p] & 1 and k < 15 and n > order:
+            room = first // 8 + n * (k + 4) // 8 + 16  # codes seldom pass this; a frame that does is read on its own
+            jobs.append((s[m : m + room], first, k, n - order))
+            fast.append((i, room, order, coefficients, shift))
         else:
             out[i] = _decode_one(s, p, n, 8)
-    for (i, room), (codes, bit) in zip(fast, _walk(jobs) if jobs else [], strict=True):
+    linear: dict[int, list] = {}
+    for (i, room, order, coefficients, shift), (codes, bit) in zip(fast, _walk(jobs) if jobs else [], strict=True):
         s, _, n, p = frames[i]
-        order = (s[p] >> 1) - 8
         if bit >= 8 * min(room, len(s) - p - 1 - order):
             out[i] = _decode_one(s, p, n, 8)
             continue
+        first, end = np.frombuffer(s, np.int8, order, p + 1), p + 1 + order - (-bit // 8)
+        if coefficients is not None:
+            linear.setdefault(order, []).append((i, end, (first, codes, coefficients, shift)))
+            continue
         t = np.empty(n, np.int64)
         t[order:] = codes
         if order:
-            t[:order] = np.frombuffer(s, np.int8, order, p + 1)
+            t[:order] = first
             for j in range(1, order):
                 t[j:order] = np.diff(t[j - 1 : order])
             for j in range(order - 1, -1, -1):
                 t[j:] = np.cumsum(t[j:])
-        out[i] = t, p + 1 + order - (-bit // 8)
+        out[i] = t, end
+    for rows in linear.values():
+        for (i, end, _), t in zip(rows, _restore_linear([r for *_, r in rows]), strict=True):
+            out[i] = t, end
     sums = crc16([f[0][f[1] : end] for f, (_, end) in zip(frames, out, strict=True)])
     for f, (_, end), c in zip(frames, out, sums.tolist(), strict=True):
         if int.from_bytes(f[0][end : end + 2], "big") != c:
@@ -346,6 +480,14 @@ def _decode_in_order(stream: bytes, first: int, samples: int) -> list[tuple[int,
     return out
 
 
+def _one_or_none(frame: tuple[bytes, int, int, int]) -> tuple[np.ndarray, int] | None:
+    """The frame on its own, so that a damaged one takes no other stream off the fast way."""
+    try:
+        return _decode_frames([frame])[0]
+    except (Damaged, IndexError):
+        return None
+
+
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
     """Samples of each stream, and its blocks as (sample offset, byte offset, samples). Raises ``Damaged``.
 
@@ -361,7 +503,7 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int,
         try:
             done = _decode_frames(frames)
         except (Damaged, IndexError):
-            done = [None] * len(group)
+            done = [_one_or_none(f) for f in frames]
         for (i, f), x in zip(group, done, strict=True):
             got[i][f] = x and (starts[i][f][0], *x)
     out = []
@@ -399,7 +541,12 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: the text of each row as a FLAC stream. Equal texts give equal streams."""
+    """doc_id, n_bytes, media: the text of each row of ``docs`` (doc_id, text) as a FLAC stream.
+
+    Equal texts give equal streams, null ones that of an empty text; repeated
+    rows and null doc_ids are kept; an empty table gives no stream; other
+    columns, whatever their names, are ignored.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [payload_of(t) for t in batch.column(1).to_pylist()]
@@ -410,21 +557,29 @@ def to_media(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+BLOCKS = "array<struct<sample_offset:bigint,byte_offset:bigint,n_samples:bigint,pcm:binary>>"
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, sample_offset, byte_offset, n_samples, pcm: the decoded frames of every stream, seekable by sample."""
+    """doc_id, n_bytes, media_bytes, media_sha256, blocks: stored streams decoded to PCM, one block for each frame.
+
+    A block has its place among the samples and that of its frame in the stream,
+    so a reader can begin at any block. A damaged stream fails the job; repeated
+    rows are kept; an empty table gives none.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for key, (samples, blocks) in zip(range(batch.num_rows), decode(batch.column(1).to_pylist()), strict=True):
-            rows += [(key, b, s, o, n, samples[s : s + n].tobytes()) for b, (s, o, n) in enumerate(blocks)]
-        ints = [pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 5)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *ints, pa.array([r[5] for r in rows], pa.binary())],
-            names=["doc_id", "block", "sample_offset", "byte_offset", "n_samples", "pcm"],
-        )
+        streams = batch.column(2).to_pylist()
+        made = decode(streams)
+        blocks = [x for samples, bs in made for x in ((s, o, n, samples[s : s + n].tobytes()) for s, o, n in bs)]
+        fields = [pa.array([b[i] for b in blocks], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        each = pa.StructArray.from_arrays(fields, names=["sample_offset", "byte_offset", "n_samples", "pcm"])
+        ends = np.concatenate(([0], np.cumsum([len(bs) for _, bs in made]))).astype(np.int32)
+        new = [pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.ListArray.from_arrays(pa.array(ends), each)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return map_arrow(media.select("doc_id", "media"), run, f"doc_id {kind}, block long, sample_offset long, byte_offset long, n_samples long, pcm binary")
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
 
 
 def feature(samples: np.ndarray) -> str:
@@ -434,24 +589,27 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={x.mean():.3f};std={x.std():.3f};crossings={int(np.count_nonzero(up[1:] != up[:-1]))};peak={int(np.abs(samples.astype(np.int16)).max(initial=0))}"
 
 
-RESULT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_byte_offset long"
 
 
-def measure(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``RESULT`` of stored streams, all but n_bytes from what is decoded; a damaged stream fails the job."""
+def measure(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``RESULT`` of ``pcm_blocks``, the payload put together again by sample offsets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        streams, rows = batch.column(2).to_pylist(), []
-        for s, (samples, _) in zip(streams, decode(streams), strict=True):
-            payload = (samples.view(np.uint8) + np.uint8(128)).tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(s), hashlib.sha256(s).hexdigest(), feature(samples)))
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        rows = []
+        for size, digest, blocks in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            blocks.sort(key=lambda b: b["sample_offset"])
+            samples = np.frombuffer(b"".join(b["pcm"] for b in blocks), np.int8)
+            payload = payload_from(samples)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), size, digest, feature(samples), len(blocks), blocks[-1]["byte_offset"]))
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "n_bytes", *(x.split()[0] for x in RESULT.split(", "))])
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, {RESULT}")
+    kind = decoded.schema["doc_id"].dataType.simpleString()
+    return map_arrow(decoded, run, f"doc_id {kind}, n_bytes long, {RESULT}")
 
 
 def op8_flac_media(spark, sf_dir: str) -> DataFrame:
-    return measure(to_media(table(spark, sf_dir, "documents")))
+    stored = written(to_media(table(spark, sf_dir, "documents")))
+    return measure(pcm_blocks(stored))

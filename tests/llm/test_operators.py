@@ -597,13 +597,25 @@ def test_warc_damage(spark):
 def test_flac_round_trip():
     rng = random.Random(4)
     payloads = [bytes(64), b"a" * 5000, rng.randbytes(70_000), bytes([0, 255] * 3000), bytes(range(256)) * 9, ("naïve text " * 900).encode(), b"x", b""]
+    wave = np.rint(60 * np.sin(np.arange(5000) / 3) + 30 * np.sin(np.arange(5000) / 7)).astype(np.int8)
+    payloads += [flac.payload_from(wave), flac.payload_from(wave[:100])]
     streams = flac.encode(payloads)
     for p, s, (samples, blocks) in zip(payloads, streams, flac.decode(streams), strict=True):
-        assert (samples.view(np.uint8) + np.uint8(128)).tobytes() == p
+        assert flac.payload_from(samples) == p
         assert sum(n for *_, n in blocks) == len(p)
         for offset, at, n in blocks:
             assert s[at : at + 2] == b"\xff\xf8" and flac.seek(s, offset) <= at and n
     assert flac.encode(payloads) == streams
+    kinds = lambda s: {s[sub] >> 1 for _, _, sub in flac._frame_starts(s, flac._headers(s)[2], flac._headers(s)[0])}
+    assert kinds(streams[-2]) == {31 + flac.LPC} and len(streams[-2]) < 0.7 * 5000  # linear predictors win on a wave
+    assert kinds(streams[1]) <= {8, 9, 10}
+    assert sorted(set(flac.TO_SAMPLE.tolist())) == list(range(-128, 128))
+    bad = bytearray(streams[3])
+    bad[-1] ^= 1  # the checksum of a frame: its stream alone fails, the others are read side by side
+    with pytest.raises(flac.Damaged):
+        flac.decode([*streams, bytes(bad)])
+    frames = [(s, *flac._frame_starts(s, flac._headers(s)[2], flac._headers(s)[0])[0]) for s in (streams[0], bytes(bad))]
+    assert flac._one_or_none(frames[0]) is not None
     for i in (len(streams[2]) // 2, len(streams[2]) - 1, 30):
         bad = bytearray(streams[2])
         bad[i] ^= 0x10
@@ -615,8 +627,8 @@ def bits_of(fields):
     return "".join(format(v & ((1 << n) - 1), f"0{n}b") for v, n in fields)
 
 
-def frame(n, subframe):
-    head = b"\xff\xf8\x70\x02\x00" + (n - 1).to_bytes(2, "big")
+def frame(n, subframe, number=0):
+    head = b"\xff\xf8\x70\x02" + flac._coded_number(number) + (n - 1).to_bytes(2, "big")
     body = subframe + "0" * (-len(subframe) % 8)
     raw = head + bytes([flac.crc8(head)]) + int(body, 2).to_bytes(len(body) // 8, "big")
     return raw + int(flac.crc16([raw])[0]).to_bytes(2, "big")
@@ -641,9 +653,12 @@ def test_flac_of_other_writers():
     fixed4 = bits_of([(0, 1), (12, 6), (0, 1), *((v, 8) for v in x[:4]), (1, 2), (0, 4), (2, 5)])
     fixed4 += rice([x[i] - 4 * x[i - 1] + 6 * x[i - 2] - 4 * x[i - 3] + x[i - 4] for i in range(4, 16)], 2)
     for want, s in ((x, sub), (x, verbatim), ([-7] * 16, constant), (x, fixed4)):
-        payload = bytes((v + 128) % 256 for v in want)
-        whole = flac._stream(payload, [frame(16, s)])
+        whole = flac._stream(np.array(want, np.int8), [frame(16, s)])
         assert flac.decode([whole])[0][0].tolist() == want
+    # Many frames of another writer behind each other cost no more than their length.
+    n = 3000
+    long = flac._stream(np.array(x * n, np.int8), []) + b"".join(frame(16, sub, i) for i in range(n))
+    assert flac.decode([long])[0][0].tolist() == x * n
 
 
 def test_flac_query(spark, sf, duck, edge):
@@ -651,12 +666,23 @@ def test_flac_query(spark, sf, duck, edge):
     for r in queries()["op8_flac_media"](spark, sf).collect():
         n, p = flac.payload_of(docs[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    got = flac.measure(flac.to_media(edge)).collect()
+        assert r["n_blocks"] == -(-len(p) // flac.BLOCK) and 0 < r["last_byte_offset"] < r["media_bytes"]
+    media = flac.to_media(edge)
+    got = flac.measure(flac.pcm_blocks(media)).collect()
     assert len(got) == 9 and len({tuple(r)[1:] for r in got if r["doc_id"] in (1, None)}) == 1
     assert [r["payload_bytes"] for r in got if r["doc_id"] in (2, 3)] == [64, 64]
-    blocks = flac.pcm_blocks(flac.to_media(edge.where("doc_id = 4"))).orderBy("sample_offset").collect()
-    assert bytes((b + 128) % 256 for r in blocks for b in r["pcm"]).startswith(LONG.encode())
-    assert flac.measure(flac.to_media(edge.limit(0))).count() == 0
+    stream = media.where("doc_id = 4").first()["media"]
+    blocks = flac.pcm_blocks(media.where("doc_id = 4")).first()["blocks"]
+    whole = flac.payload_from(np.frombuffer(b"".join(b["pcm"] for b in blocks), np.int8))
+    assert whole.startswith(LONG.encode()) and not whole[len(LONG) :].strip(b"\0")
+    at = 0
+    for b in blocks:  # each block can be read on its own from its place in the stream
+        assert b["sample_offset"] == at and len(b["pcm"]) == b["n_samples"]
+        if at % (50 * flac.BLOCK) == 0:
+            n, p = flac._frame_header(stream, b["byte_offset"])
+            assert flac._decode_frames([(stream, b["byte_offset"], n, p)])[0][0].tobytes() == b["pcm"]
+        at += b["n_samples"]
+    assert flac.measure(flac.pcm_blocks(flac.to_media(edge.limit(0)))).count() == 0
 
 
 def url_base(url):
