@@ -1,11 +1,12 @@
 """License scans: ordered signature rules on the words of a text.
 
 A text becomes its lower-case words with single spaces between; rules are
-regular expressions on that form. ``RULES`` crosses license families, versions
-and ways of naming a license, several hundred rules in order. A rule runs only
-where its keyword occurs. Detections are resolved by priority, then length,
-then place: one that lies inside a kept one of another rule goes. The base
-phrases are always counted and always keep their labels.
+regular expressions on that form. Most are written out one by one in
+``license_rules`` (notices, headers, sentences of license bodies, links, names,
+exceptions); the rest spell the ways to name a license of ``FAMILIES`` with a
+version. A rule runs only where its keyword occurs. Detections are resolved by
+priority, then length, then place: one that lies inside a kept one of another
+rule goes. The base phrases are always counted and always keep their labels.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from changelens.llm.common import map_arrow, table
+from changelens.llm.license_rules import lines as written_rules
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -64,33 +66,6 @@ VERSIONED_WAYS = [("under (?:the )?(?:terms of )?(?:the )?{n}(?: public)?{v}", 7
 _LATER = "(?: of the licen[sc]e)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?"
 # Families whose notices spell versions out, as (label, name, versions).
 GNU = [("gpl", "general", "123"), ("lgpl", "lesser general", "3"), ("lgpl", "library general", "2"), ("agpl", "affero general", "3")]
-# Texts of licenses and notices that name none, as (label, keyword, pattern, priority).
-TEXTS = [
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software", 95),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose", 95),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 95),
-    ("bsd-3-clause", "neither the name", "neither the name of [^ ]+(?: [^ ]+){0,8} nor the names of its contributors may be used to endorse", 96),
-    ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 95),
-    ("lgpl", "free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", 95),
-    ("apache-2", "apache org licenses", "apache org licenses license 2 0", 95),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 95),
-    ("public-domain", "public domain", "(?:released|dedicated|placed|is)(?: in| into| to)?(?: the)? public domain", 50),
-    ("apache-2", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 95),
-    ("mpl-2", "this source code form", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0", 96),
-    ("bsl-1", "permission is hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 95),
-    ("zlib", "this software is provided", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 95),
-    ("wtfpl-2", "everyone is permitted", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", 95),
-    ("dual", "dual", "dual(?:ly)? licen[sc]ed", 65),
-    ("dual", "licen", "licen[sc]ed under either(?: of)?", 65),
-    ("classpath-exception", "classpath", "classpath exception", 65),
-    ("gcc-exception", "gcc", "gcc runtime library exception", 65),
-    ("llvm-exception", "llvm", "llvm exceptions?", 65),
-    ("linking-exception", "linking", "linking exception", 65),
-    ("linking-exception", "as a special exception", "as a special exception the copyright holders? [^ ]+(?: [^ ]+){0,8} give you permission to link", 65),
-    ("proprietary", "all rights reserved", "all rights reserved", 20),
-    ("proprietary", "confidential", "proprietary and confidential", 40),
-    ("non-commercial", "commercial", "(?:for )?non ?commercial (?:use|purposes) only", 45),
-]
 
 
 class Rule(NamedTuple):
@@ -106,9 +81,9 @@ def _label(family: str, version: str) -> str:
 
 
 @cache
-def rules() -> list[Rule]:
-    """All rules, strongest first. A rule with a version outranks the same way of naming without one."""
-    made = [(label, key, pattern, priority) for label, key, pattern, priority in TEXTS]
+def family_rules() -> list[Rule]:
+    """The rules of ``FAMILIES``. One with a version outranks the same way of naming without one."""
+    made = []
     for family, names, versions in FAMILIES:
         for name in names:
             for way, priority in WAYS + VERSIONED_WAYS:
@@ -125,21 +100,33 @@ def rules() -> list[Rule]:
             notice = f"gnu {name} public licen[sc]e as published by the free software foundation(?: either)? version {major}(?: 0)?"
             made.append((f"{family}-{major}", "gnu", notice, 97))
             made.append((f"{family}-{major}-or-later", "gnu", notice + _LATER, 97))
-    out = [Rule(label, key.encode(), re.compile(f" (?=({pattern}) )".encode()), priority) for label, key, pattern, priority in made]
-    return sorted(out, key=lambda r: -r.priority)
+    return [_rule(*m) for m in made]
+
+
+def _rule(label: str, keyword: str, pattern: str, priority: int) -> Rule:
+    return Rule(label, keyword.encode(), re.compile(f" (?=({pattern}) )".encode()), priority)
 
 
 @cache
-def _by_keyword() -> list[tuple[bytes, list[Rule]]]:
-    """Rules by gate: a rule is tried if its keyword, a word or the start of words, occurs."""
-    out: dict[bytes, list[Rule]] = {}
-    for r in rules():
-        out.setdefault(r.keyword, []).append(r)
-    return list(out.items())
+def rules() -> list[Rule]:
+    """All rules, strongest first."""
+    return sorted(family_rules() + [_rule(*m) for m in written_rules()], key=lambda r: -r.priority)
 
 
-#: Every rule but those of ``TEXTS`` holds one of these, so a text without any needs no other gate.
-_HINTS = (b" licen", b" spdx ", b" under ")
+@cache
+def _gates() -> tuple[dict[bytes, list[Rule]], dict[bytes, list[Rule]]]:
+    """The rules of ``FAMILIES`` by keyword, which may be the start of a word, and the written ones by the first word of theirs."""
+    named: dict[bytes, list[Rule]] = {}
+    first: dict[bytes, list[Rule]] = {}
+    for r in family_rules():
+        named.setdefault(r.keyword, []).append(r)
+    for m in written_rules():
+        first.setdefault(m[1].split()[0].encode(), []).append(_rule(*m))
+    return named, first
+
+
+#: Every rule of ``FAMILIES`` holds one of these.
+_HINTS = (b" licens", b" spdx ", b" under ", b" gnu ")
 _LOWER = bytes(i + 32 * (65 <= i <= 90) if (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128) else 32 for i in range(256))
 
 
@@ -152,13 +139,12 @@ class Hit(NamedTuple):
 
 def detections(form: bytes) -> list[Hit]:
     """Resolved detections on the spaced form, places in bytes."""
-    found = []
-    hinted = any(h in form for h in _HINTS)
-    texts = {r[1].encode() for r in TEXTS}
-    for key, members in _by_keyword():
-        if (hinted or key in texts) and b" " + key in form:
-            found += [Hit(r.label, m.start(1), m.end(1), r.priority) for r in members for m in r.pattern.finditer(form)]
-    return resolved(found)
+    form = form.replace(b" licenc", b" licens")
+    named, first = _gates()
+    tried = [r for word in first.keys() & set(form.split()) for r in first[word] if b" %b " % r.keyword in form]
+    if any(h in form for h in _HINTS):
+        tried += [r for key, members in named.items() if b" " + key in form for r in members]
+    return resolved([Hit(r.label, m.start(1), m.end(1), r.priority) for r in tried for m in r.pattern.finditer(form)])
 
 
 def resolved(found: list[Hit]) -> list[Hit]:
@@ -212,7 +198,12 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id and ``RESULT``, one row for each row of ``docs``; repeated rows get equal rows, other columns are ignored."""
+    """doc_id and ``RESULT``, one row for each row of ``docs`` (doc_id, text).
+
+    A null text counts as empty: no words, no labels, score 0, null first_word
+    and last_word. A null doc_id stays; repeated rows get equal rows; an empty
+    table gives none; other columns, whatever their names, are ignored.
+    """
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -224,6 +224,71 @@ def test_license_spellings():
     assert scan("the gplv of v3 tables and a file under 3 tables") == {""}
 
 
+def example_of(pattern):
+    """A text that a written rule matches: optional parts left out, the first of alternatives, a word for any word."""
+    while True:
+        plain = re.sub(r"\(\?:[^()]*\)[?*]", "", pattern)
+        plain = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?:\{[^}]*\})?", r"\1", plain)
+        if plain == pattern:
+            break
+        pattern = plain
+    pattern = re.sub(r"(?<=[^ ]) \?", "", pattern.split("|")[0])
+    pattern = re.sub(r".\?", "", pattern.replace(" ?", " ")).replace("[^ ]+", "word")
+    return " ".join(re.sub(r"\[(.)[^]]*\]", r"\1", pattern).split())
+
+
+def test_license_written_rules():
+    """Each written rule finds a text made from itself, behind its keyword; and there are hundreds, no two alike."""
+    lines = licenses.written_rules()
+    assert len(lines) > 250 and len({(x[0], x[2]) for x in lines}) == len(lines)
+    for label, keyword, pattern, priority in lines:
+        text = example_of(pattern)
+        form = f" so {text} it is ".encode()
+        rule = licenses._rule(label, keyword, pattern, priority)
+        found = rule.pattern.search(form)
+        assert found, (pattern, text)
+        assert f" {keyword} ".encode() in form, (keyword, text)
+        hits = licenses.detections(form)  # the rule's own detection stays, or lies inside a stronger one
+        assert any(h.start <= found.start(1) and found.end(1) <= h.end and h.priority >= priority for h in hits), text
+
+
+def labels_by_hand(text):
+    """Every rule on the whole text without gates, every pair of detections compared."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    form = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    form = form.replace(" licenc", " licens").encode()
+    hits = [licenses.Hit(r.label, m.start(1), m.end(1), r.priority) for r in licenses.rules() for m in r.pattern.finditer(form)]
+    kept = []
+    for h in sorted(hits, key=lambda h: (-h.priority, h.start - h.end, h.start, h.label)):
+        if not any(k.start <= h.start and h.end <= k.end for k in kept):
+            kept.append(h)
+    return {h.label for h in kept}, max((h.priority for h in kept), default=0) / 105
+
+
+def test_license_labels_against_hand(spark, sf, duck):
+    docs = dict(duck.sql("select doc_id, text from documents").fetchall())
+    rng = random.Random(9)
+    extra = {10_000_000 + i: " ".join(example_of(rng.choice(licenses.written_rules())[2]) if rng.random() < 0.7 else rng.choice(["under the MIT license", "CC BY-NC", "of the", "licence"]) for _ in range(rng.randint(1, 8))) for i in range(60)}
+    df = spark.createDataFrame([(k, t) for k, t in extra.items()], "doc_id long, text string")
+    got = queries()["op3_license_rules"](spark, sf).collect() + licenses.find(df).collect()
+    assert len(got) == len(docs) + len(extra)
+    for r in got:
+        text = docs[r["doc_id"]] if r["doc_id"] in docs else extra[r["doc_id"]]
+        labels, score = labels_by_hand(text)
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert r["labels"] == ",".join(sorted(labels | base)) and r["score"] == pytest.approx(1.0 if base else score)
+
+
+def test_license_edges(spark, edge):
+    got = licenses.find(edge).collect()
+    assert len(got) == 9 and licenses.find(edge.limit(0)).collect() == []
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    assert by[2] == by[3] == [(0, 0, None, None, "", "", 0.0)] and by[1][0] == by[1][1] == by[None][0] == (7, 0, None, None, "", "", 0.0)
+    assert by[4][0][0] == 100_000 and len(by[5]) == 2
+
+
 def test_license_suppression_against_all_pairs():
     rng = random.Random(11)
     for _ in range(200):
