@@ -159,23 +159,25 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     than doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, capacity, with_ids))
+    # The salt tells equal rows apart, so that repeated rows go to different buckets.
+    made = pieces(docs, tokenizer, capacity, with_ids)
+    cut = written(made.withColumn("salt", F.monotonically_increasing_id()))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     rows = places(plan(counts, capacity), capacity)
     where = spark.createDataFrame(rows, "len_ long, lo long, hi long, per long, first long, at long, filled long, padded_length long")
     buckets = max(1, -(-sum(counts.values()) // BUCKET))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(buckets)))
     sums = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     back = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("length").alias("l_"), F.col("bucket").alias("b_"), F.coalesce(F.sum("n").over(back), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "salt")
     ranked = dealt.withColumn("inner", F.row_number().over(inner) - 1).join(bases, (F.col("length") == F.col("l_")) & (F.col("bucket") == F.col("b_")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("inner"))
     hit = ranked.join(F.broadcast(where), (F.col("length") == F.col("len_")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     k = F.col("rank") - F.col("lo")
     sequence = (F.col("first") + F.floor(k / F.col("per"))).cast("long").alias("sequence_id")
     offset = (F.col("at") + F.pmod(k, F.col("per")) * F.col("length")).cast("long").alias("offset")
-    return hit.select(*cut.columns, sequence, offset, "filled", "padded_length")
+    return hit.select(*made.columns, sequence, offset, "filled", "padded_length")
 
 
 def op6_pack_bin_slack(spark, sf_dir: str) -> DataFrame:
