@@ -47,18 +47,15 @@ def permuted(df: DataFrame, name: str, j: Column, n: Column, *key: Column | str)
     """``df`` plus ``name``: a pseudorandom bijection of 0..n-1 at ``j``, another one for each key.
 
     Rounds of a Feistel shift on the largest q x m rectangle (q the root of n),
-    each followed by a rotation that moves what lies outside of it. Each step is
-    a column of its own, so that the expression does not grow with the rounds.
+    each followed by a rotation that moves what lies outside of it. The rounds
+    are one fold, so that the expression does not grow with them.
     """
     df = df.withColumn("j_", j).withColumn("n_", n).withColumn("k_", F.xxhash64(F.lit(SEED), *key))
     df = df.withColumn("q_", F.greatest(F.floor(F.sqrt(F.col("n_").cast("double"))), F.lit(1).cast("long"))).withColumn("m_", F.expr("n_ div q_"))
-    for r in range(3):
-        df = df.withColumn("u_", F.expr("j_ div q_")).withColumn("v_", F.pmod("j_", "q_"))
-        df = df.withColumn("v_", F.pmod(F.col("v_") + F.pmod(F.xxhash64(F.lit(2 * r), "u_", "k_"), "q_"), "q_"))
-        df = df.withColumn("u_", F.pmod(F.col("u_") + F.pmod(F.xxhash64(F.lit(2 * r + 1), "v_", "k_"), "m_"), "m_"))
-        inside = F.when(F.col("j_") < F.col("q_") * F.col("m_"), F.col("u_") * F.col("q_") + F.col("v_")).otherwise(F.col("j_"))
-        df = df.withColumn("j_", F.pmod(inside + F.pmod(F.xxhash64(F.lit(100 + r), "k_"), "n_"), "n_"))
-    return df.withColumn(name, F.col("j_")).drop("j_", "n_", "k_", "q_", "m_", "u_", "v_")
+    column = "pmod(pmod(a, q_) + pmod(xxhash64(2 * r, a div q_, k_), q_), q_)"
+    row = f"pmod(a div q_ + pmod(xxhash64(2 * r + 1, {column}, k_), m_), m_)"
+    turn = f"pmod(if(a < q_ * m_, {row} * q_ + {column}, a) + pmod(xxhash64(100 + r, k_), n_), n_)"
+    return df.withColumn(name, F.expr(f"aggregate(array(0L, 1L, 2L), j_, (a, r) -> {turn})")).drop("j_", "n_", "k_", "q_", "m_")
 
 
 def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -165,6 +162,7 @@ def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     bases = counts.select(F.col("source").alias("s_"), F.col("shard").alias("shard_"), "earlier")
     numbered = numbered.join(bases, F.col("source").eqNullSafe(F.col("s_")) & (F.col("shard") == F.col("shard_"))).drop("s_", "shard_")
     numbered = numbered.join(named, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    numbered = written(numbered)
     numbered = permuted(numbered, "slot", F.col("earlier") + F.col("inside"), F.col("drawn_"), F.lit("slots"), "source")
     keep = ["source", "slot", "shard", "place"]
     held = numbered.where("slot < slots_").select(*keep)
