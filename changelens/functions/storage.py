@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``, in a folder of this application.
+
+    Local sessions without the setting (tests) get a folder of their own; on a
+    cluster a missing setting is an error, as executors share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:

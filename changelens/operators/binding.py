@@ -3,10 +3,10 @@
 obligations (id, rule_id, kind, subject_id, subject_project, subject_display, required);
 evidence (id, kind, status, check_id, subject, target, source_digest, refs array of (id, project, name), subjects array of string).
 
-The theta join of all rules is an equi-join on a fixed table of which evidence
-kinds each obligation kind admits, and, where a rule needs equal names, on the
-name as well: pairs that no rule can match are never made. Evidence for whole
-repositories and heuristic names is joined by kind alone, as the rules demand.
+The theta join of all rules is a union of equi-joins that finds every pair which
+a rule may match, and a decision on these pairs: by equal names, by a run of
+letters that a name and one which contains it share, and by kind for evidence
+of whole repositories, where every pair is a link.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import blank, heuristic_match, last_name, same_text, slashes, trim_signature
+from changelens.functions.storage import kept
 
 # Evidence kinds that an obligation kind admits.
 CANDIDATES = {
@@ -125,40 +126,84 @@ def decision() -> Column:
     )
 
 
-#: Rules whose match needs equal keys, as (obligation kind, evidence kind): the others pair by kind.
-KEYED = [("TestMapping", "TestMapping"), ("TestMapping", "RuntimeCoverage"), ("ManualReview", "ManualReview"), ("Architecture", "Architecture"), ("AppContract", "RuntimeCoverage"), ("AppContract", "Build"), ("AppContract", "StaticAnalysis"), ("CallerContract", "Build")]
+# Kinds, as (obligation kind, evidence kind), whose rules admit names that contain each other, and evidence of the whole repository.
+HEURISTIC = [("Build", "Build"), ("CrossProject", "Build"), ("Test", "TestCase"), ("Test", "TestRun"), ("CallerContract", "TestCase"), ("CallerContract", "TestRun")]
+WIDE = [("Build", "Build"), ("CrossProject", "Build"), ("Compatibility", "ApiCompatibility"), ("StaticAnalysis", "StaticAnalysis")]
+#: Letters of the run by which a name meets the names that contain it.
+GRAM = 4
 
 
-def bind(obligations: DataFrame, evidence: DataFrame, digest: str | None = None, rejected: bool = True) -> DataFrame:
-    """B-01: obligation_id, evidence_id, relation, strength, rule, reason.
+def run_key(name: Column) -> Column:
+    """One run of ``GRAM`` letters of a name, that of the least hash, so that common beginnings do not gather; a shorter name whole."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - GRAM + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(GRAM)))
+    least = F.array_min(F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))
+    return F.when(F.length(name) < GRAM, name).otherwise(least["r"])
 
-    Evidence of another or without source digest is rejected by every obligation
-    but those of uncertainty; ``rejected`` leaves these rows out, one for each
-    pair, where only the verdict is wanted.
+
+def run_keys(name: Column) -> Column:
+    """Every run of up to ``GRAM`` letters of a name: whatever it contains has its ``run_key`` among them."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
+
+
+def _names(*parts: Column) -> Column:
+    """The distinct names of arrays ``parts``, in lower case, with and without signature."""
+    all_ = F.transform(F.filter(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]), lambda n: ~blank(n)), lambda n: F.lower(n))
+    return F.array_distinct(F.concat(all_, F.transform(all_, trim_signature)))
+
+
+def _of_kinds(pairs: list[tuple[str, str]]) -> Column:
+    return F.struct("o_kind", "e_kind").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in pairs])
+
+
+def _candidates(wants: DataFrame, valid: DataFrame) -> DataFrame:
+    """obligation_id, evidence_id of every pair that a rule may match."""
+    pair = ["obligation_id", "evidence_id"]
+    w = wants.withColumn("names", _names(F.array("subject_id", "subject_project", "subject_display")))
+    refs = F.coalesce(F.flatten(F.transform("refs", lambda r: F.array(r["id"], r["project"], r["name"]))), F.array().cast("array<string>"))
+    stems = F.concat(F.coalesce(F.transform("subjects", file_stem), F.array().cast("array<string>")), F.array(file_stem(F.col("target"))))
+    v = valid.withColumn("names", _names(refs, F.col("subjects"), stems, F.array("subject", slashes("target"))))
+    named, have = w.select("obligation_id", "o_kind", "e_kind", F.explode("names").alias("name")), v.select("evidence_id", "e_kind", F.explode("names").alias("name"))
+    equal = named.select("obligation_id", "e_kind", "name").join(have, ["e_kind", "name"]).select(*pair)
+    loose, kinds = named.where(_of_kinds(HEURISTIC)).drop("o_kind"), [e for _, e in HEURISTIC]
+    held = have.where(F.col("e_kind").isin(*kinds))
+    within = loose.withColumn("key", run_key(F.col("name"))).join(held.select("evidence_id", "e_kind", F.col("name").alias("long"), F.explode(run_keys(F.col("name"))).alias("key")), ["e_kind", "key"]).where(F.col("long").contains(F.col("name")))
+    around = loose.withColumn("key", F.explode(run_keys(F.col("name")))).join(held.select("evidence_id", "e_kind", F.col("name").alias("short"), run_key(F.col("name")).alias("key")), ["e_kind", "key"]).where(F.col("name").contains(F.col("short")))
+    tails = loose.withColumn("key", last_name("name")).where("length(key) >= 8").join(held.select("evidence_id", "e_kind", last_name("name").alias("key")), ["e_kind", "key"])
+    # Evidence of the whole repository, and a build for an interface, link with every obligation of their kinds.
+    kind = wants.select("obligation_id", "o_kind", "e_kind")
+    wide = kind.where(_of_kinds(WIDE)).join(valid.where(repository_wide(F.col("target"))).select("evidence_id", "e_kind"), "e_kind")
+    builds = kind.where(_of_kinds([("Compatibility", "Build")])).join(valid.select("evidence_id", "e_kind"), "e_kind")
+    out = equal
+    for more in (within, around, tails, wide, builds):
+        out = out.unionByName(more.select(*pair))
+    return out.distinct()
+
+
+def bind(obligations: DataFrame, evidence: DataFrame, digest: str | None = None) -> DataFrame:
+    """B-01: obligation_id, evidence_id, relation, strength, rule, reason of every link.
+
+    Evidence of another or without source digest makes no link; ``rejections``
+    has it. Ids of obligations and of evidence are unique.
     """
-    spark = obligations.sparkSession
     o = obligations.where("kind <> 'Uncertainty'").select(F.col("id").alias("obligation_id"), F.col("kind").alias("o_kind"), "subject_id", "subject_project", "subject_display")
-    e = evidence.withColumn("state", digest_state(digest)).select(F.col("id").alias("evidence_id"), F.col("kind").alias("e_kind"), "status", "subject", "target", "refs", "subjects", "state")
-    valid = e.where("state = 'valid'").drop("state")
-    kinds = candidate_kinds(spark)
-    keyed = F.struct("o_kind", "e_kind").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in KEYED])
-    wants = o.join(F.broadcast(kinds), "o_kind")  # a fixed table
-    by_key = wants.where(keyed).withColumn("key", F.explode(F.array_distinct(F.filter(F.transform(F.array("subject_id", "subject_project"), lambda k: F.lower(k)), lambda k: k.isNotNull()))))
-    names = F.concat(
-        F.coalesce(F.flatten(F.transform("refs", lambda r: F.array(r["id"], r["project"]))), F.array()),
-        F.coalesce(F.flatten(F.transform("subjects", lambda s: F.array(s, file_stem(s)))), F.array()),
-        F.array(F.col("subject"), file_stem(F.col("target"))),
-    )
-    have = valid.withColumn("key", F.explode(F.array_distinct(F.filter(F.transform(names, lambda n: F.lower(n)), lambda n: n.isNotNull()))))
-    some = by_key.join(have, ["e_kind", "key"]).withColumn("d", decision()).where("d is not null").drop("key")
-    rest = wants.where(~keyed).join(valid, "e_kind").withColumn("d", decision()).where("d is not null")
-    link = ["obligation_id", "evidence_id", "d.relation", "d.strength", "d.rule", "d.reason"]
-    out = some.select(*link).distinct().unionByName(rest.select(*link))
-    if not rejected:
-        return out
-    bad = e.where("state <> 'valid'").select("evidence_id", F.when(F.col("state") == "missing", "EVIDENCE_SOURCE_IDENTITY_MISSING").otherwise("EVIDENCE_STALE_SOURCE").alias("reason"))
-    turned = o.select("obligation_id").crossJoin(bad)  # the rule itself asks for every pair
-    return out.unionByName(turned.select("obligation_id", "evidence_id", F.lit("rejected").alias("relation"), F.lit(0).alias("strength"), F.lit("BIND_SOURCE_DIGEST").alias("rule"), "reason"))
+    e = evidence.withColumn("state", digest_state(digest)).where("state = 'valid'")
+    valid = e.select(F.col("id").alias("evidence_id"), F.col("kind").alias("e_kind"), "status", "subject", "target", "refs", "subjects")
+    wants = o.join(F.broadcast(candidate_kinds(obligations.sparkSession)), "o_kind")  # a fixed table
+    pairs = kept(_candidates(wants, valid))
+    both = pairs.join(o, "obligation_id").join(valid, "evidence_id").withColumn("d", decision()).where("d is not null")
+    return both.select("obligation_id", "evidence_id", "d.relation", "d.strength", "d.rule", "d.reason")
+
+
+def rejections(obligations: DataFrame, evidence: DataFrame, digest: str | None = None) -> DataFrame:
+    """B-01: evidence_id, rule, reason, obligations of evidence with another or without source digest: every obligation but those of uncertainty rejects it, so their number stands for them."""
+    bad = evidence.withColumn("state", digest_state(digest)).where("state <> 'valid'")
+    reason = F.when(F.col("state") == "missing", "EVIDENCE_SOURCE_IDENTITY_MISSING").otherwise("EVIDENCE_STALE_SOURCE")
+    n = obligations.where("kind <> 'Uncertainty'").agg(F.count(F.lit(1)).alias("obligations"))
+    return bad.select(F.col("id").alias("evidence_id"), F.lit("BIND_SOURCE_DIGEST").alias("rule"), reason.alias("reason")).crossJoin(F.broadcast(n)).where("obligations > 0")  # one row
 
 
 def admitted(evidence: DataFrame, planned: DataFrame) -> DataFrame:
@@ -187,7 +232,8 @@ def verdict(evaluated: DataFrame, evidence: DataFrame, constraints: DataFrame, c
     broken = evidence.where("status = 'InfraError'").select("check_id", "target")
     by_check = broken.join(evaluated.select(F.lower("subject_id").alias("s")).distinct(), F.lower("check_id") == F.col("s"), "left_semi").agg(F.count(F.lit(1)).alias("infra"))
     projects = evaluated.where(~blank("subject_project")).select(F.lower("subject_project").alias("p")).distinct()
-    by_target = broken.where(~blank("target")).join(projects, F.lower("target").contains(F.col("p")), "left_semi").agg(F.count(F.lit(1)).alias("infra_target"))
+    targets = broken.where(~blank("target")).select(F.lower("target").alias("t")).distinct().withColumn("key", F.explode(run_keys(F.col("t"))))
+    by_target = targets.join(projects.withColumn("key", run_key(F.col("p"))), "key").where(F.col("t").contains(F.col("p"))).agg(F.count(F.lit(1)).alias("infra_target"))
     every = broken.agg(F.count(F.lit(1)).alias("infra_all"))
     blocking = constraints.agg(F.count(F.when(F.lower("severity") == "blocking", 1)).alias("blocking"))
     one = o.crossJoin(by_check).crossJoin(by_target).crossJoin(every).crossJoin(blocking)  # a row each
@@ -280,8 +326,37 @@ def imported_trust(planned: DataFrame, imported: DataFrame, digest: str) -> Data
     return j.agg(F.coalesce(F.bool_and(F.coalesce(F.col("source_digest") == digest, F.lit(False))), F.lit(False)).alias("trusted"))
 
 
-def canonical_digest(rows: DataFrame, order: list[str]) -> DataFrame:
-    """V-05, F-14: SHA-256 of the rows as JSON in order; a certificate's rows, a bounded document."""
-    line = F.to_json(F.struct(*rows.columns))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n")
-    return rows.agg(F.sha2(listed.cast("binary"), 256).alias("digest"))
+def section_digest(rows: DataFrame, key: str) -> DataFrame:
+    """digest: SHA-256 of the rows as JSON lines, whatever their order, in two levels: rows by the first byte of the hash of ``key``, then these buckets.
+
+    No task holds more than a bucket of the rows.
+    """
+    line = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("line")
+    held = rows.select(F.substring(F.sha2(F.col(key).cast("string").cast("binary"), 256), 1, 2).alias("bucket"), line)
+    part = held.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("digest"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat_ws(":", x["bucket"], x["digest"]))
+    return part.agg(F.sha2(F.array_join(whole, "\n").cast("binary"), 256).alias("digest"))
+
+
+# The fields of a certificate's statement, in order. Texts first, then the sections that are tables.
+STATEMENT = ["schema_version", "base_revision", "head_revision", "verdict", "source_digest", "toolchain"]
+SECTIONS = ["impact", "plan", "evidence", "evaluation", "verification_plan", "constraints", "artifact_manifest"]
+
+
+def canonical_digest(fields: dict[str, str | None], sections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """V-05: section (statement or a section's name), digest: of each section (rows and their key) and of the whole statement.
+
+    The statement is its fields and the digests of its sections as lines of
+    name=value, in the fixed order; what is not given is empty.
+    """
+    parts = None
+    for name in SECTIONS:
+        if name in sections:
+            one = section_digest(*sections[name]).select(F.lit(SECTIONS.index(name)).alias("n"), F.lit(name).alias("section"), "digest")
+            parts = one if parts is None else parts.unionByName(one)
+    parts = kept(parts)  # a row for each section
+    head = [F.lit(f"{c}={fields.get(c) or ''}") for c in STATEMENT]
+    listed = F.map_from_entries(F.collect_list(F.struct("section", "digest")))
+    lines = F.concat_ws("\n", *head, *[F.concat(F.lit(f"{c}="), F.coalesce(listed[c], F.lit(""))) for c in SECTIONS])
+    statement = parts.agg(F.sha2(lines.cast("binary"), 256).alias("digest")).select(F.lit("statement").alias("section"), "digest")
+    return parts.select("section", "digest").unionByName(statement)

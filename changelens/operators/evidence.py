@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import blank, slashes
@@ -136,17 +136,42 @@ def retargeted(command: Column, old: Column, new: Column) -> Column:
 
 
 def profile_order(profile: list[str], needs: dict[str, list[str]]) -> list[str]:
-    """D-06: checks of a profile after what they need."""
+    """D-06: checks of a profile after what they need; ``needs`` names every known check. An unknown one raises."""
     from changelens.operators.obligations import with_dependencies
 
+    if unknown := {*profile, *(c for x in needs.values() for c in x)} - needs.keys():
+        raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
+
     return with_dependencies(profile, needs)
 
 
-def summary_lines(verdict: DataFrame, statuses: DataFrame) -> list[str]:
-    """V-22: a short text of a verdict row and the counts of statuses."""
-    v = verdict.first()
-    counts = statuses.groupBy("status").count().orderBy("status").collect()  # five statuses at most
-    return [f"## {v['verdict']}", f"required {v['required_n']}, proven {v['proven_n']}, failed {v['failed_n']}", *[f"- {r['status']}: {r['count']}" for r in counts]]
+#: Unresolved obligations that a summary lists.
+MAX_LISTED = 30
+
+
+def summary_lines(verdict: DataFrame, obligations: DataFrame, constraints: DataFrame, reason: str | None = None) -> DataFrame:
+    """V-22: part, k, line: a summary of a verdict row in Markdown, in the order of part and k.
+
+    obligations (id, rule_id, subject_id, status and, where known, file);
+    constraints (code, message, severity), the blocking ones are listed.
+    """
+    text = lambda df, part, *lines: df.select(F.posexplode(F.array(*lines)).alias("k", "line")).select(F.lit(part).alias("part"), F.col("k").cast("long").alias("k"), "line")
+    open_ = obligations.where("status = 'Unresolved'")
+    sums = obligations.agg(F.count(F.when(F.col("status") == "Proven", 1)).alias("proven"), F.count(F.when(F.col("status") == "Unresolved", 1)).alias("open"))
+    head = [F.lit("## Proof verdict"), F.lit(""), F.concat(F.lit("**"), F.upper("verdict"), F.lit("**"))]
+    out = text(verdict, 0, *head, *([F.lit(f"Reason: `{reason}`")] if reason else []), F.lit(""))
+    out = out.unionByName(text(sums, 1, F.concat(F.lit("Obligations: "), "proven", F.lit(" proven / "), "open", F.lit(" unresolved"))))
+    out = out.unionByName(text(sums.where("open > 0"), 2, F.lit(""), F.concat(F.lit("### Unresolved ("), "open", F.lit(")"))))
+    file = F.col("file") if "file" in obligations.columns else F.lit(None).cast("string")
+    line = F.concat(F.lit("- `"), "rule_id", F.lit("` "), F.coalesce("subject_id", F.lit("")), F.lit(" ("), F.coalesce(file, F.lit("unknown file")), F.lit(")"))
+    listed = open_.select("id", line.alias("line")).orderBy("id").limit(MAX_LISTED)
+    out = out.unionByName(listed.select(F.lit(3).alias("part"), (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("k"), "line"))
+    more = F.concat(F.lit("- ... and "), F.col("open") - MAX_LISTED, F.lit(" more"))
+    out = out.unionByName(text(sums.where(F.col("open") > MAX_LISTED), 4, more))
+    blocking = constraints.where("lower(severity) = 'blocking'")
+    out = out.unionByName(text(blocking.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), 5, F.lit(""), F.concat(F.lit("### Blocking constraints ("), "n", F.lit(")"))))
+    said = blocking.select(F.concat(F.lit("- `"), "code", F.lit("` "), F.coalesce("message", F.lit(""))).alias("line"))
+    return out.unionByName(said.select(F.lit(6).alias("part"), (F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("k"), "line"))
 
 
 def attestation(digest: str, key: bytes) -> str:

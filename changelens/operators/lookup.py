@@ -82,12 +82,12 @@ def resolve(symbols: DataFrame, query: str, callable_only: bool = False, limit:
     return kept.select(*SYMBOL, (F.count(F.lit(1)).over(Window.partitionBy()) > 1).alias("ambiguous"))
 
 
-def in_files(symbols: DataFrame, paths: DataFrame, limit: int = 500) -> DataFrame:
+def in_files(symbols: DataFrame, paths: DataFrame, limit: int | None = 500) -> DataFrame:
     """L-11: symbols of the files that ``paths`` (path) names, by path or project and path, without regard to case."""
     want = paths.select(path_key("path").alias("want")).distinct()
     keyed = symbols.where(~F.col("kind").isin("File", "Namespace")).withColumn("want", F.explode(F.array(path_key("relative_path"), project_path_key("project", "relative_path"))))
     hit = keyed.join(want, "want", "left_semi").select(*SYMBOL).distinct()
-    return hit.orderBy("qualified_name", "id").limit(limit)
+    return hit if limit is None else hit.orderBy("qualified_name", "id").limit(limit)
 
 
 def public_symbols(symbols: DataFrame, limit: int = 100_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import STRUCTURAL_KINDS, approx_tokens, blank, is_test, map_label
+from changelens.functions.storage import kept
 from changelens.sources.graph import SYMBOL
 
 # Name parts that mark a symbol as central.
@@ -64,39 +65,71 @@ def map_order(project: str | None = None) -> list[Column]:
     return [F.desc("score"), external, F.col("project"), F.col("qualified_name"), F.coalesce(F.col("signature"), F.lit("")), F.col("id")]
 
 
-def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | None = None, project: str | None = None, candidates: int = 4000) -> list[str]:
-    """A-02: lines of a repository map within ``budget`` tokens.
+def _map_line_label(name: str, qualified: str, kind: str) -> str:
+    """The name, or for callables the last two parts of the qualified name without signature, and parentheses."""
+    if kind not in ("Method", "Constructor"):
+        return name
+    parts = [x for x in qualified.split("(")[0].split(".") if x]
+    return f"{'.'.join(parts[-2:]) if len(parts) > 1 else name}()"
 
-    Scores and the first targets of the best ``candidates`` symbols (a token is
-    at least one symbol, so more than the budget are never needed) are computed
-    by Spark; the budget is spent in order on the driver: a symbol that does not
-    fit is passed over, a target that does not fit ends its symbol's list.
+
+def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | None = None, project: str | None = None, batch: int = 2000) -> list[str]:
+    """A-02: lines of a repository map within ``budget`` tokens (of four characters, line ends included).
+
+    A head of four lines, then the symbols in the order of their scores with
+    their first targets. A symbol that does not fit is passed over, a target
+    that does not fit ends its symbol's list. The ranked symbols are a table;
+    the driver reads the next ``batch`` of those whose line fits into what is
+    left, until nothing is left or no symbol fits: each batch takes one at
+    least, so the budget bounds the batches, and no symbol is left out.
     """
     from changelens.operators.relations import top_targets
     from changelens.operators.traverse import focus_distance
 
     near = focus_distance(symbols, edges, focus) if focus else None
-    top = map_scores(symbols, edges, focus, project, near).orderBy(*map_order(project)).limit(min(candidates, max(1, budget)))
-    top = top.withColumn("label", map_label("qualified_name", "kind"))
-    targets = top_targets(symbols, edges).withColumn("target", map_label("qualified_name", "kind")).select(F.col("via_source").alias("id"), "rn", "target")
-    lists = top.join(targets, "id", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rn", "target"))).alias("targets"))
-    rows = top.join(lists, "id").orderBy(*map_order(project)).select("project", "kind", "label", "targets").collect()
-    cost = lambda text: -(-len(text) // 4)
-    out, used, current = [], 0, None
-    for r in rows:
-        line, head = f"  {r['kind']} {r['label']}", None if r["project"] == current else f"[{r['project']}]"
-        need = cost(line) + (cost(head) if head else 0)
-        if used + need > budget:
-            continue
-        out += [head, line] if head else [line]
-        used, current = used + need, r["project"]
-        for t in r["targets"]:
-            more = f"    -> {t['target']}"
-            if t["target"] is None or used + cost(more) > budget:
-                break
-            out.append(more)
-            used += cost(more)
-    return out
+    own = symbols.where("kind <> 'Namespace'")
+    short = F.filter(F.split(F.substring_index("qualified_name", "(", 1), r"\."), lambda x: x != "")
+    label = F.when(F.size(short) > 1, F.array_join(F.slice(short, -2, 2), ".")).otherwise(F.col("name"))
+    size = F.when(F.col("kind").isin("Method", "Constructor"), F.length(label) + 2).otherwise(F.length("name"))
+    ranked = map_scores(own, edges, focus, project, near).withColumn("tokens", F.ceil((size + 3) / 4))
+    order = map_order(project)
+    keyed = ranked.select("id", "name", "qualified_name", "kind", "tokens", F.struct((-F.col("score")).alias("a"), *[x.alias(n) for n, x in zip("bcdef", order[1:], strict=True)]).alias("place"))
+    keyed = kept(keyed)
+    named = project or project_label(own.select("project", F.lit(1).alias("all")), "all").first()
+    lines, used = [], 0
+
+    def add(line: str) -> bool:
+        nonlocal used
+        more = (1 if lines else 0) + len(line)
+        if lines and -(-used // 4) - (-more // 4) > max(1, budget):
+            return False
+        lines.append(line)
+        used += more
+        return True
+
+    for line in ("# CodeMap", f"project: {named if isinstance(named, str) else named['label'] if named else 'unknown'}", f"symbols: {symbols.count()}", ""):
+        add(line)
+    last = None
+    targets = top_targets(symbols, edges).select(F.col("via_source").alias("id"), F.struct("rn", "name", "qualified_name", "kind").alias("t"))
+    while (room := max(1, budget) - -(-used // 4)) > 0:
+        rest = keyed.where(F.col("tokens") <= room)
+        if last is not None:
+            rest = rest.where(F.col("place") > F.struct(*[F.lit(v).alias(n) for n, v in last.asDict().items()]).cast(keyed.schema["place"].dataType))
+        part = kept(rest.orderBy("place").limit(batch))
+        rows = part.orderBy("place").collect()  # a batch
+        if not rows:
+            break
+        lists: dict[str, list] = {}
+        for r in targets.join(F.broadcast(part.select("id")), "id").collect():  # three of each symbol of a batch
+            lists.setdefault(r["id"], []).append(r["t"])
+        for r in rows:
+            if not add(f"  {_map_line_label(r['name'], r['qualified_name'], r['kind'])}"):
+                continue
+            for t in sorted(lists.get(r["id"], []), key=lambda t: t["rn"]):
+                if not add(f"    > {_map_line_label(t['name'], t['qualified_name'], t['kind'])}"):
+                    break
+        last = rows[-1]["place"]
+    return lines
 
 
 def project_label(rows: DataFrame, *keys: str) -> DataFrame:

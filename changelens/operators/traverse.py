@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import FLOW_HTTP_KINDS, FLOW_UI_KINDS, REFERENCE_KINDS, STRUCTURAL_KINDS, enough
-from changelens.functions.storage import kept
+from changelens.functions.storage import kept, shared_path
 from changelens.operators.relations import callers, di_narrowed
 from changelens.sources.graph import SYMBOL, VIA
 
@@ -22,10 +22,11 @@ FLOWS = {"http": FLOW_HTTP_KINDS, "ui": FLOW_UI_KINDS, "all": sorted({*FLOW_HTTP
 IMPACT = [*SYMBOL, *VIA, "depth", "root_id"]
 
 
-def bfs(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool, via_order: list[str], root_returns: bool = True) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool, via_order: list[str], root_returns: bool = True, per_root: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """T-07: root_id, id, depth and via columns of what ``roots`` (root_id) reach in 1 to ``depth`` steps.
 
     ``edges`` are filtered already; ``via_order`` names the edge columns that choose among edges from the level before.
+    Where only the nearest ``per_root`` nodes that are ``known`` (id) are wanted, a root stops at the level that completes them.
     """
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     via = F.struct(*via_order, *[c for c in ("source_id", "target_id", "kind", "line", "resolution_kind", "confidence") if c not in via_order])
@@ -43,6 +44,9 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool, via_order
         seen = reached.select("root_id", "id")
         visited = seen if visited is None else visited.unionByName(seen)
         frontier = seen.withColumnRenamed("id", "at")
+        if per_root is not None and level < depth:
+            full = visited.join(known, "id", "left_semi").groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= per_root)
+            frontier = frontier.join(full, "root_id", "left_anti")
         if level < depth and not frontier.limit(1).count():
             break
     out = levels[0]
@@ -70,15 +74,16 @@ def callees(symbols: DataFrame, edges: DataFrame, root_id: str, depth: int = 1,
 
 
 def impact(
-    symbols: DataFrame, edges: DataFrame, roots: DataFrame, depth: int, profile: str = "code", registrations: DataFrame | None = None, root_returns: bool = True
+    symbols: DataFrame, edges: DataFrame, roots: DataFrame, depth: int, profile: str = "code", registrations: DataFrame | None = None, root_returns: bool = True, per_root: int | None = None
 ) -> DataFrame:
-    """T-02, T-05: everything that depends on the roots (root_id), for each root on its own."""
+    """T-02, T-05: everything that depends on the roots (root_id), for each root on its own; with ``per_root`` the levels that hold its nearest ones."""
     e = edges.where(F.col("kind").isin(*PROFILES[profile]))
     if registrations is not None and "ImplementedBy" in PROFILES[profile]:
         e = di_narrowed(e, registrations)
     if depth < 1:
         return _named(bfs(e, roots.limit(0), 1, True, ["source_id"]), symbols)
-    return _named(bfs(e, roots, depth, True, ["source_id", "kind", "target_id", "line"], root_returns), symbols)
+    known = None if per_root is None else symbols.select("id").distinct()
+    return _named(bfs(e, roots, depth, True, ["source_id", "kind", "target_id", "line"], root_returns, per_root, known), symbols)
 
 
 def flow(
@@ -96,7 +101,7 @@ def impact_union(symbols: DataFrame, edges: DataFrame, roots: DataFrame, depth:
 
     Least depth wins, then the earliest root.
     """
-    each = impact(symbols, edges, roots, depth, profile, registrations)
+    each = impact(symbols, edges, roots, depth, profile, registrations, per_root=per_root)
     rank = Window.partitionBy("root_id").orderBy("depth", "qualified_name", "id")
     cut = each.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= per_root).join(roots.select("root_id", "root_order"), "root_id")
     first = Window.partitionBy("id").orderBy("depth", "root_order")
@@ -125,19 +130,24 @@ def budgeted_callers(symbols: DataFrame, edges: DataFrame, roots: DataFrame, bud
 
 def changed_impact(symbols: DataFrame, edges: DataFrame, changed: DataFrame, depth: int, least: float, limit: int, profile: str = "code") -> DataFrame:
     """T-11: impact union of changed symbols (id), then enough confidence, then the first rows."""
-    roots = changed.select(F.col("id").alias("root_id"), F.dense_rank().over(Window.orderBy("id")).alias("root_order"))
+    roots = changed.select(F.col("id").alias("root_id"), F.col("id").alias("root_order")).distinct()  # roots count in the order of their ids
     union = impact_union(symbols, edges, roots, depth, limit, profile)
     return union.where(enough("via_confidence", least)).orderBy("depth", "qualified_name", "id").limit(limit)
 
 
 def deletion_impact(symbols: DataFrame, edges: DataFrame, deleted: DataFrame, per_symbol: int) -> DataFrame:
-    """T-10: callers of the symbols that stood in deleted files (path), as the base graph has them."""
+    """T-10: callers of the symbols that stood in deleted files (path), as the base graph has them.
+
+    The first ``per_symbol`` of each symbol; ``truncated`` says of a symbol's
+    rows that it has more.
+    """
     from changelens.operators.lookup import in_files
 
-    gone = in_files(symbols, deleted, 1_000_000).select(F.col("id").alias("target_id"))
+    gone = in_files(symbols, deleted, None).select(F.col("id").alias("target_id"))
     hit = callers(symbols, edges, gone)
     w = Window.partitionBy("via_target").orderBy("project", "qualified_name", F.coalesce("signature", F.lit("")), "id")
-    return hit.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_symbol).drop("rn")
+    more = F.count(F.lit(1)).over(Window.partitionBy("via_target")) > per_symbol
+    return hit.withColumn("rn", F.row_number().over(w)).withColumn("truncated", more).where(F.col("rn") <= per_symbol).drop("rn")
 
 
 def focus_distance(symbols: DataFrame, edges: DataFrame, focus: str, depth: int = 2) -> DataFrame:
@@ -153,25 +163,29 @@ def focus_distance(symbols: DataFrame, edges: DataFrame, focus: str, depth: int
     return root.select(F.col("root_id").alias("id"), F.lit(0).alias("distance")).unionByName(reached.select("id", F.col("depth").alias("distance")))
 
 
-def propagate(dirty: DataFrame, references: DataFrame, fingerprints: DataFrame, rounds: int = 100) -> DataFrame:
+def propagate(dirty: DataFrame, references: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """T-13: project, selected: dirty projects and, against the references (project, depends_on), their dependents.
 
     Nothing spreads from a project whose public surface (project, before, after) is known and unchanged;
-    a dependent that only such projects reach is listed as not selected.
+    a dependent that only such projects reach is listed as not selected. Each round adds its projects to a
+    table, until a round has none, however long the chains are.
     """
+    spark = dirty.sparkSession
     same = fingerprints.where("before is not null and after is not null and before = after").select("project")
+    path, held = shared_path(spark), shared_path(spark)
     frontier = kept(dirty.select("project").distinct())
-    selected, skipped = frontier, None
-    for _ in range(rounds):
-        still = frontier.join(same, "project", "left_semi")
-        held = references.join(still.select(F.col("project").alias("depends_on")), "depends_on", "left_semi").select("project")
-        skipped = held if skipped is None else skipped.unionByName(held)
+    skipped = references.select("project").limit(0)
+    skipped.write.parquet(held)
+    while True:
+        frontier.write.mode("append").parquet(path)
+        selected = spark.read.schema(frontier.schema).parquet(path)
+        still = frontier.join(same, "project", "left_semi").select(F.col("project").alias("depends_on"))
+        references.join(still, "depends_on", "left_semi").select("project").write.mode("append").parquet(held)
         moving = frontier.join(same, "project", "left_anti").select(F.col("project").alias("depends_on"))
         frontier = kept(references.join(moving, "depends_on", "left_semi").select("project").distinct().join(selected, "project", "left_anti"))
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
-        selected = selected.unionByName(frontier)
-    rest = skipped.distinct().join(selected, "project", "left_anti")
+    rest = spark.read.schema(skipped.schema).parquet(held).distinct().join(selected, "project", "left_anti")
     return selected.select("project", F.lit(True).alias("selected")).unionByName(rest.select("project", F.lit(False).alias("selected")))
 
 
@@ -188,23 +202,30 @@ def slice_of(uses: DataFrame, seeds: DataFrame, backward: bool = True, depth: in
 
 
 def project_cycles(references: list[tuple[str, str]]) -> list[str]:
-    """T-12, C-04: cycles of the project graph (project, depends_on), as paths; projects are few and lie on the driver."""
+    """T-12, C-04: cycles of the project graph (project, depends_on), as paths.
+
+    Projects, unlike symbols, are few enough for the driver; the walk keeps its
+    own stack, so a chain may be as long as there are projects.
+    """
     after: dict[str, list[str]] = {}
     for a, b in sorted(set(references)):
         after.setdefault(a, []).append(b)
-    state: dict[str, int] = {}
+    done: set[str] = set()
     found: list[str] = []
-
-    def visit(node: str, path: list[str]) -> None:
-        state[node] = 1
-        for nxt in after.get(node, []):
-            if state.get(nxt) == 1:
-                found.append(" -> ".join([*path[path.index(nxt) :], nxt]))
-            elif nxt not in state:
-                visit(nxt, [*path, nxt])
-        state[node] = 2
-
-    for node in sorted(after):
-        if node not in state:
-            visit(node, [node])
+    for first in sorted(after):
+        if first in done:
+            continue
+        path, place, stack = [first], {first: 0}, [iter(after[first])]
+        while stack:
+            nxt = next(stack[-1], None)
+            if nxt is None:
+                stack.pop()
+                done.add(path[-1])
+                del place[path.pop()]
+            elif nxt in place:
+                found.append(" -> ".join([*path[place[nxt] :], nxt]))
+            elif nxt not in done:
+                place[nxt] = len(path)
+                path.append(nxt)
+                stack.append(iter(after.get(nxt, [])))
     return found

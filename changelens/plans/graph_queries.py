@@ -238,7 +238,7 @@ def t03(spark, sf):
     return traverse.flow(g.symbols, g.edges, "c:2", "http", 3, 0.92, g.di)
 
 
-_UNION = f""", roots AS (SELECT id AS root_id, row_number() OVER (ORDER BY id) AS root_order FROM symbols WHERE kind = 'Interface' AND start_line <= 9), ok AS (SELECT * FROM edges e WHERE e.kind IN {_CODE})
+_UNION = f""", roots AS (SELECT id AS root_id, row_number() OVER (ORDER BY id) AS root_order FROM symbols WHERE kind = 'Interface'), ok AS (SELECT * FROM edges e WHERE e.kind IN {_CODE})
 , walk(root_id, id, depth) AS (SELECT root_id, root_id, 0 FROM roots UNION SELECT w.root_id, e.source_id, w.depth + 1 FROM ok e JOIN walk w ON e.target_id = w.id WHERE w.depth < 2)
 , least AS (SELECT root_id, id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY root_id, id)
 , one AS (SELECT {S}, {E}, m.depth, m.root_id, row_number() OVER (PARTITION BY m.root_id, m.id ORDER BY e.source_id, e.kind, e.target_id, e.line) AS rn FROM least m JOIN ok e ON e.source_id = m.id
@@ -255,7 +255,7 @@ def t04(spark, sf):
 def _roots(g):
     from pyspark.sql import Window
 
-    return g.symbols.where("kind = 'Interface' and start_line <= 9").select(F.col("id").alias("root_id"), F.row_number().over(Window.orderBy("id")).cast("long").alias("root_order"))
+    return g.symbols.where("kind = 'Interface'").select(F.col("id").alias("root_id"), F.row_number().over(Window.orderBy("id")).cast("long").alias("root_order"))
 
 
 @query("t05_impact_detailed", f"{_UNION} SELECT {C}, {V}, depth, root_id FROM one WHERE rn = 1")
@@ -277,7 +277,7 @@ def t08(spark, sf):
     return traverse.walk_truncated(g.symbols, g.edges, _roots(g), 2, 300)
 
 
-@query("t09_budgeted_callers", f""", roots AS (SELECT id AS root_id, row_number() OVER (ORDER BY id) AS root_order FROM symbols WHERE kind = 'Interface' AND start_line <= 9)
+@query("t09_budgeted_callers", f""", roots AS (SELECT id AS root_id, row_number() OVER (ORDER BY id) AS root_order FROM symbols WHERE kind = 'Interface')
 , c AS (SELECT {S}, r.root_order, e.target_id AS via_target, row_number() OVER (PARTITION BY e.target_id, s.id ORDER BY e.line, e.source_id, e.kind) AS k FROM edges e JOIN roots r ON e.target_id = r.root_id JOIN symbols s ON s.id = e.source_id
 WHERE e.kind = 'Calls' OR (e.kind = 'References' AND e.resolution_kind = 'semantic' AND starts_with(s.project, 'scip:')))
 SELECT id, via_target, rn FROM (SELECT *, row_number() OVER (ORDER BY root_order, project, qualified_name, coalesce(signature, ''), id) AS rn FROM c WHERE k = 1) WHERE rn <= 100""")
@@ -295,7 +295,9 @@ def t10(spark, sf):
     return traverse.deletion_impact(g.symbols, g.edges, spark.createDataFrame([("NATION_5.cs",)], "path string"), 5).select("id", "via_target")
 
 
-@query("t13_propagation", None)
+@query("t13_propagation", """WITH RECURSIVE refs AS (SELECT 'n' || i AS project, 'n' || (i // 2) AS depends_on FROM range(60) t(i) WHERE i <> i // 2), same AS (SELECT 'n' || i AS project FROM range(60) t(i) WHERE i % 5 = 0)
+, sel(project) AS (SELECT unnest(['n1', 'n5']) UNION SELECT r.project FROM refs r JOIN sel ON sel.project = r.depends_on WHERE r.depends_on NOT IN (SELECT project FROM same))
+SELECT project, true AS selected FROM sel UNION ALL SELECT DISTINCT r.project, false FROM refs r JOIN sel ON sel.project = r.depends_on JOIN same ON same.project = r.depends_on WHERE r.project NOT IN (SELECT project FROM sel)""", graph=False)
 def t13(spark, sf):
     """Projects as nations; references from supplier to customer nations; public surfaces change in every third."""
     r = spark.range(60).select(F.concat(F.lit("n"), F.col("id")).alias("project"), F.concat(F.lit("n"), F.expr("id div 2")).alias("depends_on")).where("project <> depends_on")
@@ -393,11 +395,11 @@ def a09(spark, sf):
     return rank.coverage(_candidates(g).join(g.symbols.select("id", "project"), "id"))
 
 
-@query("a10_merged_spans", """, sp AS (SELECT file_id AS file, start_line AS st, end_line AS en FROM symbols WHERE start_line % 60 < 20), m AS (SELECT *, max(en) OVER (PARTITION BY file ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp)
+@query("a10_merged_spans", """, sp AS (SELECT file_id AS file, start_line AS st, end_line AS en FROM symbols), m AS (SELECT *, max(en) OVER (PARTITION BY file ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp)
 , k AS (SELECT *, sum(CASE WHEN st > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT file, min(st) AS start, max(en) AS "end", count(*) AS spans FROM k GROUP BY file, island""")
 def a10(spark, sf):
-    s = star(spark, sf).symbols.where("start_line % 60 < 20").select(F.col("file_id").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    s = star(spark, sf).symbols.select(F.col("file_id").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     return rank.merged_spans(s)
 
 

@@ -128,15 +128,16 @@ def b02(spark, sf):
     return binding.candidate_kinds(spark)
 
 
-_BUILD = ", o AS (SELECT 'o:' || id AS id, project AS subject_id, id AS sid FROM symbols WHERE start_line <= 4), e AS (SELECT 'e:' || id AS id, CASE start_line % 3 WHEN 0 THEN 'all.sln' WHEN 1 THEN 'src/' || lower(project) || '.csproj' ELSE 'src/x/' || project || 'More.csproj' END AS target FROM symbols WHERE start_line <= 4)"
+_BUILD = ", o AS (SELECT 'o:' || id AS id, project AS subject_id, id AS sid FROM symbols), e AS (SELECT 'e:' || project || m AS id, CASE m WHEN 0 THEN 'all.sln' WHEN 1 THEN 'src/' || lower(project) || '.csproj' ELSE 'src/x/' || project || 'More.csproj' END AS target FROM (SELECT DISTINCT project, start_line % 3 AS m FROM symbols))"
 
 
 def _builds(spark, sf, kind, subject="project", e_kind="Build"):
-    s = star(spark, sf).symbols.where("start_line <= 4")
+    """Obligations of every symbol, builds of every project."""
+    s = star(spark, sf).symbols
     o = s.select(F.concat(F.lit("o:"), "id").alias("id"), F.lit("P").alias("rule_id"), F.lit(kind).alias("kind"), F.col(subject).alias("subject_id"), F.col("project").alias("subject_project"), F.lit(None).cast("string").alias("subject_display"), F.lit(True).alias("required"))
-    m = F.col("start_line") % 3
+    m = F.col("m")
     target = F.when(m == 0, "all.sln").when(m == 1, F.concat(F.lit("src/"), F.lower("project"), F.lit(".csproj"))).otherwise(F.concat(F.lit("src\\x\\"), "project", F.lit("More.csproj")))
-    e = s.select(F.concat(F.lit("e:"), "id").alias("id"), F.lit(e_kind).alias("kind"), F.lit("Pass").alias("status"), F.lit("c").alias("check_id"), F.col("id").alias("subject"), target.alias("target"), F.lit("now").alias("source_digest"), F.lit(None).cast("array<struct<id:string,project:string,name:string>>").alias("refs"), F.lit(None).cast("array<string>").alias("subjects"))
+    e = s.select("project", (F.col("start_line") % 3).alias("m")).distinct().select(F.concat(F.lit("e:"), "project", "m").alias("id"), F.lit(e_kind).alias("kind"), F.lit("Pass").alias("status"), F.lit("c").alias("check_id"), F.lit(None).cast("string").alias("subject"), target.alias("target"), F.lit("now").alias("source_digest"), F.lit(None).cast("array<struct<id:string,project:string,name:string>>").alias("refs"), F.lit(None).cast("array<string>").alias("subjects"))
     return binding.bind(kept(o), kept(e), "now").select("obligation_id", "evidence_id", "rule", "strength")
 
 
@@ -165,7 +166,7 @@ def b07(spark, sf):
 
 @query("b08_direct_links", f"{_BOUND} SELECT obligation_id, evidence_id, rule FROM ln WHERE relation = 'direct'")
 def b08(spark, sf):
-    return binding.bind(*_bound(spark, sf), digest="now", rejected=False).where("relation = 'direct'").select("obligation_id", "evidence_id", "rule")
+    return binding.bind(*_bound(spark, sf), digest="now").where("relation = 'direct'").select("obligation_id", "evidence_id", "rule")
 
 
 @query("d03_lines_in_hunks", "SELECT l_orderkey, p_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE l_linenumber * 7 >= p_size AND l_linenumber * 7 < p_size + greatest(p_size % 9, 1)", graph=False)
@@ -248,14 +249,23 @@ def v21(spark, sf):
     return arch.surface(star(spark, sf).symbols).select("project", "entries")
 
 
-@query("v22_summary")
+_V22 = """, un AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM st WHERE status = 'Unresolved'), pv AS (SELECT count(*) FILTER (status = 'Proven') AS p, count(*) FILTER (status = 'Unresolved') AS u, count(*) FILTER (required AND status = 'Failed') AS f FROM st)
+SELECT 0 AS part, CAST(k AS BIGINT) AS k, line FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest(['## Proof verdict', '', '**' || CASE WHEN f > 0 THEN 'NOTREADY' ELSE '' END || '**', 'Reason: `OBLIGATION_FAILED`', '']) AS line FROM pv)
+UNION ALL SELECT 1, 0, 'Obligations: ' || p || ' proven / ' || u || ' unresolved' FROM pv
+UNION ALL SELECT 2, k, line FROM (SELECT unnest([0, 1]) AS k, unnest(['', '### Unresolved (' || u || ')']) AS line FROM pv WHERE u > 0)
+UNION ALL SELECT 3, k, '- `P` ' || subject_id || ' (unknown file)' FROM un WHERE k < 30
+UNION ALL SELECT 4, 0, '- ... and ' || (u - 30) || ' more' FROM pv WHERE u > 30
+UNION ALL SELECT 5, k, line FROM (SELECT unnest([0, 1]) AS k, unnest(['', '### Blocking constraints (1)']) AS line) UNION ALL SELECT 6, 0, '- `C1` rules are missing'"""
+
+
+@query("v22_summary", f"{_BOUND} {_V22}")
 def v22(spark, sf):
     from changelens.operators.evidence import summary_lines
 
     o, e = _bound(spark, sf)
-    st = kept(binding.statuses(o, binding.bind(o, e, "now", rejected=False), e))
-    lines = summary_lines(binding.verdict(st, e, spark.createDataFrame([], "code string, severity string")), st)
-    return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    st = kept(binding.statuses(o, binding.bind(o, e, "now"), e))
+    constraints = spark.createDataFrame([("C1", "rules are missing", "Blocking"), ("C2", "no matter", "info")], "code string, message string, severity string")
+    return summary_lines(binding.verdict(st, e, constraints), st, constraints, "OBLIGATION_FAILED")
 
 
 @query("s26_diagram")

@@ -8,7 +8,7 @@ from changelens.functions import exprs as X
 from changelens.functions.storage import kept
 from changelens.operators import arch, binding, diagnostics, evidence, incremental, obligations, rank, relations, traverse
 from changelens.plans.base import C, S, query
-from changelens.plans.change_queries import _CHANGE, _LISTINGS, POLICY, _change, _listings
+from changelens.plans.change_queries import _BOUND, _CHANGE, _LISTINGS, POLICY, _bound, _change, _listings
 from changelens.plans.graph_queries import _IS_TEST, _SURFACES, _surfaces
 from changelens.sources import readers, scip
 from changelens.sources.graph import SYMBOL
@@ -115,11 +115,11 @@ def r01(spark, sf):
     return relations.members(g.symbols, e, "s:3")
 
 
-@query("a12_with_members", f"""SELECT id, members FROM (SELECT {S} FROM symbols s WHERE kind = 'Interface' AND start_line <= 20) LEFT JOIN (SELECT source_id AS id, string_agg(name, ',' ORDER BY rn) AS members FROM (SELECT e.source_id, s.name, row_number() OVER (PARTITION BY e.source_id ORDER BY s.start_line NULLS LAST, s.name, s.id) AS rn FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.kind = 'Calls' AND s.kind = 'Method') WHERE rn <= 8 GROUP BY source_id) USING (id)""")
+@query("a12_with_members", f"""SELECT id, members FROM (SELECT {S} FROM symbols s WHERE kind = 'Interface') LEFT JOIN (SELECT source_id AS id, string_agg(name, ',' ORDER BY rn) AS members FROM (SELECT e.source_id, s.name, row_number() OVER (PARTITION BY e.source_id ORDER BY s.start_line NULLS LAST, s.name, s.id) AS rn FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.kind = 'Calls' AND s.kind = 'Method') WHERE rn <= 8 GROUP BY source_id) USING (id)""")
 def a12(spark, sf):
     g = star(spark, sf)
     e = g.edges.withColumn("kind", F.when(F.col("kind") == "Calls", "Contains").otherwise(F.col("kind")))
-    return rank.with_members(g.symbols.where("kind = 'Interface' and start_line <= 20").select(*SYMBOL), g.symbols, e).select("id", "members")
+    return rank.with_members(g.symbols.where("kind = 'Interface'").select(*SYMBOL), g.symbols, e).select("id", "members")
 
 
 @query("a05_providers", f"""SELECT {C}, provider FROM (SELECT * FROM (SELECT {S}, 'methods' AS provider, 0 AS o FROM symbols s WHERE kind = 'Method' ORDER BY qualified_name, id LIMIT 8) UNION ALL SELECT * FROM (SELECT {S}, 'types', 1 FROM symbols s WHERE kind = 'Class' ORDER BY qualified_name, id LIMIT 8)) ORDER BY o, qualified_name, id LIMIT 12""")
@@ -182,10 +182,22 @@ def v11(spark, sf):
     return binding.coverage_hits(o, ch.where("id like 'c:%' and length(id) % 2 = 1").select(F.col("display").alias("method")))
 
 
-@query("v05_canonical_digest")
+_SECTION = """SELECT '{name}' AS section, sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS digest FROM (SELECT left(sha256({key}), 2) AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT {key}, sha256(CAST(to_json({{{row}}}) AS VARCHAR)) AS line FROM {table}) GROUP BY 1)"""
+_V05 = ", parts AS (" + " UNION ALL ".join([
+    _SECTION.format(name="impact", key="id", row="'id': id, 'project': project", table="symbols"),
+    _SECTION.format(name="evidence", key="id", row="'id': id, 'kind': kind, 'status': status, 'source_digest': digest", table="ev"),
+    _SECTION.format(name="evaluation", key="id", row="'id': id, 'kind': kind, 'required': required, 'status': status", table="st"),
+]) + """) SELECT * FROM parts UNION ALL SELECT 'statement', sha256(concat_ws(chr(10), 'schema_version=3', 'base_revision=b', 'head_revision=h', 'verdict=NotReady', 'source_digest=now', 'toolchain=',
+'impact=' || (SELECT digest FROM parts WHERE section = 'impact'), 'plan=', 'evidence=' || (SELECT digest FROM parts WHERE section = 'evidence'), 'evaluation=' || (SELECT digest FROM parts WHERE section = 'evaluation'), 'verification_plan=', 'constraints=', 'artifact_manifest='))"""
+
+
+@query("v05_canonical_digest", f"{_BOUND} {_V05}")
 def v05(spark, sf):
-    _, ch, *_ = _change(spark, sf)
-    return binding.canonical_digest(ch.select("id", "project"), ["id"])
+    o, e = _bound(spark, sf)
+    st = binding.statuses(o, binding.bind(o, e, "now"), e).select("id", "kind", "required", "status")
+    fields = {"schema_version": "3", "base_revision": "b", "head_revision": "h", "verdict": "NotReady", "source_digest": "now"}
+    sections = {"impact": star(spark, sf).symbols.select("id", "project"), "evidence": e.select("id", "kind", "status", "source_digest"), "evaluation": st}
+    return binding.canonical_digest(fields, {k: (v, "id") for k, v in sections.items()})
 
 
 @query("v06_run_ids", "SELECT o_orderkey, 'run-' || CASE WHEN o_orderkey % 2 = 0 THEN 'nosrc' ELSE left(sha256(CAST(o_orderkey AS VARCHAR)), 12) END || '-' || left(sha256('base|' || o_orderstatus || '|full'), 8) AS run_id FROM orders", graph=False)
@@ -237,7 +249,7 @@ def v20(spark, sf):
 
 @query("d06_check_order")
 def d06(spark, sf):
-    order = evidence.profile_order(["test", "lint"], {"test": ["build"], "build": ["restore"], "lint": ["restore"]})
+    order = evidence.profile_order(["test", "lint"], {"test": ["build"], "build": ["restore"], "lint": ["restore"], "restore": []})
     return spark.createDataFrame(list(enumerate(order)), "n int, check_id string")
 
 

@@ -1,5 +1,7 @@
 """Hand-made graphs: shapes, confidence, injection, ambiguity, storage and scale of plans."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,10 +111,91 @@ def test_replace_projects_sweeps_edges(spark):
     assert {(r["source_id"], r["target_id"]) for r in got.edges.collect()} == {("a", "c"), ("c", "b")} and got.symbols.count() == 3
 
 
+def test_replace_projects_without_symbols(spark):
+    """A project whose files have lost their symbols is replaced all the same."""
+    a, b = letters(spark, "ab", "P"), letters(spark, "c", "Q")
+    files = spark.createDataFrame([("f", "P", "x", "cs"), ("h", "Q", "y", "cs")], "id string, project string, relative_path string, language string")
+    g = G.Graph(files, a.union(b), edges(spark, ("a", "c", "Calls", None)))
+    fresh = G.Graph(files.where("project = 'Q'"), b.limit(0), edges(spark, ("a", "c", "Calls", None)).limit(0))
+    got = incremental.replace_projects(g, fresh, spark.createDataFrame([], "project string"))
+    assert got.files.count() == 2 and {r["id"] for r in got.symbols.collect()} == {"a", "b"} and got.edges.count() == 0
+
+
+def map_by_hand(ranked, targets, project, budget):
+    """Lines of a map, one after the other, from (id, label) in order and the target labels of each."""
+    lines, chars = [], 0
+
+    def add(line):
+        nonlocal chars
+        more = len(line) + bool(lines)
+        if lines and math.ceil(chars / 4) + math.ceil(more / 4) > budget:
+            return False
+        lines.append(line)
+        chars += more
+        return True
+
+    for line in ("# CodeMap", f"project: {project}", f"symbols: {len(ranked)}", ""):
+        add(line)
+    for id_, label in ranked:
+        if add(f"  {label}"):
+            for t in targets.get(id_, []):
+                if not add(f"    > {t}"):
+                    break
+    return lines
+
+
 def test_map_budget(spark):
     e = edges(spark, ("a", "b", "Calls", None), ("a", "c", "Calls", None), ("b", "c", "Calls", None))
-    lines = rank.build_map(letters(spark), e, 30)
-    assert lines[0] == "[P]" and sum(-(-len(x) // 4) for x in lines) <= 30 and rank.build_map(letters(spark), e, 0) == []
+    lines = rank.build_map(letters(spark), e, 60)
+    assert lines[:4] == ["# CodeMap", "project: P", f"symbols: {letters(spark).count()}", ""] and lines[4].startswith("  ")
+    assert rank.build_map(letters(spark), e, 0) == ["# CodeMap"]
+    # Twelve long names before a short one: none of them fits, the short one does.
+    long = [(f"x{i}", f"{'L' * 200}{i}", 1) for i in range(12)] + [("y", "S", 0)]
+    s = letters(spark, "a").limit(1).drop("id", "name", "qualified_name").crossJoin(spark.createDataFrame([(i, n) for i, n, _ in long], "id string, name string")).withColumn("qualified_name", F.when(F.col("id") == "y", "zz").otherwise(F.col("name"))).select(*letters(spark).columns)
+    assert rank.build_map(s, e.limit(0), 20, batch=5) == ["# CodeMap", "project: P", "symbols: 13", "", "  S" if s.first()["kind"] != "Method" else "  S()"]
+
+
+def test_map_query_by_hand(spark, sf):
+    g = G.star_graph(spark, sf)
+    label = lambda r: rank._map_line_label(r["name"], r["qualified_name"], r["kind"])
+    ranked = [(r["id"], label(r)) for r in rank.map_scores(g.symbols.where("kind <> 'Namespace'"), g.edges).orderBy(*rank.map_order()).collect()]
+    targets = {}
+    for r in relations.top_targets(g.symbols, g.edges).orderBy("via_source", "rn").collect():
+        targets.setdefault(r["via_source"], []).append(label(r))
+    projects = {r["project"] for r in g.symbols.select("project").distinct().collect()}
+    for budget, batch in ((400, 2000), (77, 3)):
+        assert rank.build_map(g.symbols, g.edges, budget, batch=batch) == map_by_hand(ranked, targets, "multiple" if len(projects) > 1 else projects.pop(), budget)
+
+
+def test_cycles_of_long_chains():
+    chain = [(f"p{i:05}", f"p{i + 1:05}") for i in range(5000)]
+    assert traverse.project_cycles(chain) == []
+    found = traverse.project_cycles([*chain, ("p05000", "p00000"), ("p00002", "p00001")])
+    assert len(found) == 2 and found[0] == "p00001 -> p00002 -> p00001" and found[1].count(" -> ") == 5001
+
+
+def test_propagation_of_long_chains(spark):
+    refs = spark.range(30).select(F.concat(F.lit("p"), F.col("id") + 1).alias("project"), F.concat(F.lit("p"), "id").alias("depends_on"))
+    got = traverse.propagate(spark.createDataFrame([("p0",)], "project string"), refs, spark.createDataFrame([], "project string, before string, after string"))
+    assert got.where("selected").count() == 31
+
+
+def test_deletion_impact_reports_truncation(spark):
+    e = edges(spark, *[(x, "a", "Calls", None) for x in "bcd"], ("a", "b", "Calls", None))
+    s = letters(spark)
+    path = s.where("id = 'a'").select(F.col("relative_path").alias("path"))
+    got = traverse.deletion_impact(s, e, path, 2).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["via_target"], []).append(r["truncated"])
+    assert of["a"] == [True, True]
+
+
+def test_unknown_checks_raise():
+    from changelens.operators import evidence
+
+    with pytest.raises(ValueError, match="unknown checks: lint"):
+        evidence.profile_order(["test"], {"test": ["lint"]})
 
 
 def test_exprs(spark):
