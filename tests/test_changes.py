@@ -43,7 +43,7 @@ def test_build_binding(spark):
     got = {r["evidence_id"]: (r["relation"], r["strength"], r["rule"]) for r in binding.bind(o, e, "d").collect()}
     assert got == {"exact": ("direct", 3, "BIND_BUILD_PROJECT"), "part": ("supporting", 2, "BIND_BUILD_PROJECT_HEURISTIC"), "wide": ("supporting", 2, "BIND_BUILD_SOLUTION")}
     assert [tuple(r) for r in binding.rejections(o, e, "d").collect()] == [("stale", "BIND_SOURCE_DIGEST", "EVIDENCE_STALE_SOURCE", 1)]
-    plan = binding._candidates(o.selectExpr("id as obligation_id", "kind as o_kind", "'Build' as e_kind", "subject_id", "subject_project", "subject_display"), e.selectExpr("id as evidence_id", "kind as e_kind", "status", "subject", "target", "refs", "subjects"))._jdf.queryExecution().executedPlan().toString()
+    plan = binding._candidates(o.selectExpr("id as obligation_id", "kind as o_kind", "subject_id", "subject_project", "subject_display").join(binding.candidate_kinds(spark), "o_kind"), e.selectExpr("id as evidence_id", "kind as e_kind", "status", "subject", "target", "refs", "subjects"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
