@@ -3,9 +3,10 @@
 DataFrame operations and Spark ML only. The trees learn from the URLs that a
 rule judges, which are its labels, and see lexical features alone: lengths,
 depth, digit ratio, entropy, parameter counts and the statistics of the host's
-suffix among the labelled URLs. They are fitted on a sample of about
-``TRAIN_ROWS`` distinct labelled URLs, picked by hash, so the suffix statistics
-have at most that many rows and may be broadcast.
+suffix among all labelled rows. In training, a row sees the statistics of the
+other folds only, so that its own label is no feature of it. The trees are
+fitted on a sample of about ``TRAIN_ROWS`` distinct labelled URLs, picked by
+hash, half of each verdict where both have as many; weights restore the shares.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 8, 3, 7
 #: Hash values that the sample picks from: a share of a few out of 10^15 URLs is no zero.
 HASHES = 1 << 60
+#: Folds of the suffix statistics, and the most suffixes that are broadcast; more are joined by a shuffle.
+FOLDS, MOST_BROADCAST = 5, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,28 +72,55 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def sample(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """About ``train_rows`` distinct URLs of ``labelled``, picked by hash before anything is shuffled by URL."""
-    total = labelled.agg(F.approx_count_distinct("url", 0.01)).first()[0]
-    share = min(1.0, train_rows / max(1, total))
-    picked = labelled.where(F.pmod(F.xxhash64("url"), F.lit(HASHES)) < int(share * HASHES))
-    return picked.groupBy("url", "host", "path").agg(F.min("verdict").alias("verdict"))
+    """About ``train_rows`` distinct URLs of ``labelled``, as many of each verdict, picked by hash before anything is shuffled by URL; weight: the URLs that one stands for."""
+    totals = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.approx_count_distinct("url", 0.01).alias("n")).collect()}  # two verdicts
+    share = {v: min(1.0, train_rows / len(totals) / max(1, n)) for v, n in totals.items()}
+    least, weight = F.lit(0), F.lit(1.0)
+    for v, x in share.items():
+        least, weight = F.when(F.col("verdict") == v, int(x * HASHES)).otherwise(least), F.when(F.col("verdict") == v, 1 / x).otherwise(weight)
+    picked = labelled.where(F.pmod(F.xxhash64("url"), F.lit(HASHES)) < least)
+    return picked.groupBy("url", "host", "path").agg(F.min("verdict").alias("verdict")).withColumn("weight", weight)
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).alias("fold")
+
+
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """suffix, fold, n, blocked of all labelled rows, combined before they are shuffled; fold -1 holds the sum of all."""
+    rows = labelled.select(F.substring_index("host", ".", -1).alias("suffix"), _fold(), (F.col("verdict") == "block").cast("long").alias("b"))
+    each = written(rows.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("blocked")))
+    total = each.groupBy("suffix").agg(F.lit(-1).cast("long").alias("fold"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    return each.select("suffix", F.col("fold").cast("long").alias("fold"), "n", "blocked").unionByName(total)
+
+
+def _suffix_features(n: Column, blocked: Column) -> list[Column]:
+    return [F.log1p(n.cast("double")).alias("f_suffix_n"), ((blocked + 1) / (n + 2)).alias("f_suffix_blocked")]
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[GBTClassificationModel | None, DataFrame]:
     """Trees and suffix statistics from ``labelled`` (url, host, path, verdict). No trees unless both verdicts occur."""
-    picked = written(sample(labelled, train_rows))
-    rows = lexical(picked).withColumn("label", (F.col("verdict") == "block").cast("double"))
-    suffixes = written(rows.groupBy("suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_n"), ((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("f_suffix_blocked")))
-    train = written(with_vector(rows, suffixes).select("features", "label").coalesce(4))
+    stats = written(suffix_statistics(labelled))
+    all_, own = stats.where("fold = -1").drop("fold"), stats.where("fold >= 0")
+    suffixes = written(all_.select("suffix", *_suffix_features(F.col("n"), F.col("blocked"))))
+    rows = lexical(written(sample(labelled, train_rows))).withColumn("label", (F.col("verdict") == "block").cast("double"))
+    rows = rows.withColumn("fold", _fold()).join(all_.withColumnsRenamed({"n": "n_all", "blocked": "b_all"}), "suffix").join(own, ["suffix", "fold"], "left")
+    rest = [F.col(a) - F.coalesce(F.col(b), F.lit(0)) for a, b in (("n_all", "n"), ("b_all", "blocked"))]
+    train = written(_vector(rows.select("*", *_suffix_features(*rest))).select("features", "label", "weight").coalesce(4))
     if train.select("label").distinct().count() < 2:
         return None, suffixes
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(train), suffixes
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, weightCol="weight").fit(train), suffixes
+
+
+def _vector(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
 
 def with_vector(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-    joined = rows.join(F.broadcast(suffixes), "suffix", "left")  # TRAIN_ROWS rows at most
-    filled = joined.fillna({"f_suffix_n": 0.0, "f_suffix_blocked": 0.5})
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(filled)
+    """``rows`` of ``lexical`` with the statistics of their suffix and the vector of features."""
+    small = suffixes.count() <= MOST_BROADCAST
+    joined = rows.join(F.broadcast(suffixes) if small else suffixes, "suffix", "left")
+    return _vector(joined.fillna({"f_suffix_n": 0.0, "f_suffix_blocked": 0.5}))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -98,7 +128,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, train_ro
 
     A null url has empty host and path and is judged by the trees, as any that
     no rule fits; without trees (no labels of both kinds) it is allowed.
-    Repeated rows get equal rows; other columns are ignored.
+    Repeated rows get equal rows and null page_ids stay; an empty table gives
+    none; other columns, whatever their names, are ignored.
     """
     rule, verdict = rule_columns(RULES if rules is None else rules)
     named = split_url(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("by_rule", verdict)

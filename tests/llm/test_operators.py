@@ -796,6 +796,8 @@ def test_url_edges_and_features(spark):
         host, path, rule, verdict = url_base(u)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and (verdict is None or got[i]["verdict"] == verdict)
     assert urls.judge(df.limit(0)).collect() == []
+    twice = urls.judge(df.unionByName(df).unionByName(df.limit(1).withColumn("page_id", F.lit(None).cast("int"))))
+    assert twice.count() == 2 * len(us) + 1 and twice.where("page_id is not null").distinct().count() == len(us)
     f = {r["page_id"]: r for r in urls.lexical(urls.split_url(df.select("page_id", "url"))).collect()}
     for i in (3, 7, 8):
         c = Counter(us[i].lower())
@@ -816,6 +818,35 @@ def test_url_trees_learn(spark):
     assert right >= 0.95 * held.count()
 
 
+def test_url_trees_on_held_out_urls(spark):
+    """Trees fitted on half of the labelled URLs of the table judge the other half no worse than one verdict for all; rare verdicts stay in the sample."""
+    rule, verdict = urls.rule_columns(urls.RULES)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    labelled = urls.split_url(pages).withColumn("verdict", verdict).where(rule.isNotNull()).dropDuplicates(["url"])
+    half = F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))
+    model, suffixes = urls.fit(labelled.where(half == 0).select("url", "host", "path", "verdict"))
+    out = model.transform(urls.with_vector(urls.lexical(labelled.where(half == 1)), suffixes))
+    said = [(r["suffix"], r["verdict"], r["prediction"] > 0.5) for r in out.select("suffix", "verdict", "prediction").collect()]
+    # Of net all labels are block. Within com the rules differ by a path segment, which lexical features do not show.
+    assert all(block for suffix, _, block in said if suffix == "net") and {v for _, v, _ in said} == {"allow", "block"}
+    most = max(Counter(v for _, v, _ in said).values())
+    assert sum((v == "block") == block for _, v, block in said) >= most - 0.05 * len(said)
+    rare = labelled.where("verdict = 'allow'").unionByName(labelled.where("verdict = 'block'").limit(3)).select("url", "host", "path", "verdict")
+    got = {r["verdict"]: (r["n"], r["w"]) for r in urls.sample(rare, 60).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
+    total = rare.where("verdict = 'allow'").count()
+    assert got["block"] == (3, 3.0) and 10 <= got["allow"][0] <= 60 and 0.4 < got["allow"][1] / total < 1.7
+
+
+def test_url_statistics_leave_the_own_fold_out(spark):
+    """A suffix with one row says nothing about that row: its training features are those of an unseen suffix."""
+    rows_ = [(f"http://a.s{i}/x{i}", f"a.s{i}", "/", "block" if i % 2 else "allow") for i in range(200)]
+    df = spark.createDataFrame(rows_, "url string, host string, path string, verdict string")
+    stats = urls.suffix_statistics(df)
+    assert stats.where("fold = -1").count() == 200 and stats.agg(F.sum("n")).first()[0] == 400
+    model, _ = urls.fit(df)
+    assert model.featureImportances[urls.FEATURES.index("f_suffix_blocked")] == 0
+
+
 def test_url_sample(spark):
     twice = spark.range(8000).select(F.concat(F.lit("http://a.org/"), F.pmod("id", F.lit(4000))).alias("url"), F.lit("a.org").alias("host"), F.lit("/").alias("path"), F.lit("allow").alias("verdict"))
     assert urls.sample(twice, 10_000).count() == 4000
