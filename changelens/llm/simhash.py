@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm.common import ascii_lower, map_arrow, table, written
@@ -187,8 +187,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A key for each band of the MinHash signature, as signed 64-bit integers; and a byte of each minimum."""
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band of the MinHash signature, as signed 64-bit integers; and seven bits of each minimum, seven minima to an integer."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         least = np.minimum(least, (shingles[at : at + 1024] * _MULTIPLY + _ADD).min(axis=1))
@@ -197,7 +197,8 @@ def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     for j in range(BAND_ROWS):
         keys = (keys ^ rows[:, j]) * _ODD
         keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64), (least * _ODD >> np.uint64(56)).astype(np.uint8).tobytes()
+    bits = np.append(least * _ODD >> np.uint64(57), np.zeros(-len(least) % 7, np.uint64)).reshape(-1, 7)
+    return keys.view(np.int64), (bits << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -227,47 +228,87 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
-def _likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose signatures agree in ``LIKELY`` of their bytes: similar texts do but for 4.5 standard deviations."""
+def _alike(x: str, y: str) -> Column:
+    """Whether two signatures agree in ``LIKELY`` of their minima: similar texts do but for 4.5 standard deviations.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * BAND_ROWS) for i in (2, 3))
-        return batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LIKELY, pa.bool_()))
+    Minima lie in bytes whose highest bit is free: adding 127 sets it where two differ.
+    """
+    full, high = sum(0x7F << 8 * j for j in range(7)), sum(0x80 << 8 * j for j in range(7))
+    n = BANDS * BAND_ROWS
+    apart = sum((F.bit_count((F.col(x)[i].bitwiseXOR(F.col(y)[i]) + F.lit(full)).bitwiseAND(F.lit(high))) for i in range(-(-n // 7))), F.lit(0))
+    return apart <= int((1 - LIKELY) * n)
 
+
+def _likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose signatures are alike."""
     first, second = (prints.select(F.col("fp").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").where(_alike("sa", "sb")).select("a", "b")
+
+
+def _open_buckets(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """t, key, fp, label, main, n of the buckets whose nodes have several labels; main: the most frequent one, n: their size."""
+    named = full.join(labels, F.col("fp") == F.col("node"), "left").select("t", "key", "fp", F.coalesce("label", "fp").alias("label"))
+    sizes = named.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("t", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1")
+    return written(named.join(mixed.drop("k"), ["t", "key"]))
+
+
+def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """a, b: every node outside the component of its bucket's hub, and the hub.
+
+    The hub is first the node that shares buckets with most others, the middle
+    of a group of near copies, then a node of the main component by chance.
+    """
+    if turn:
+        rank = F.struct((F.col("label") == F.col("main")).alias("m"), F.xxhash64(F.lit(turn), "fp").alias("h"), "fp")
+        rated = open_
+    else:
+        rated = open_.join(open_.groupBy("fp").agg(F.sum("n").alias("shared")), "fp")
+        rank = F.struct("shared", "fp")
+    hubs = rated.groupBy("t", "key").agg(F.max_by(F.struct("fp", "label"), rank).alias("hub"))
+    pairs = open_.join(hubs, ["t", "key"]).where(F.col("label") != F.col("hub.label"))
+    return pairs.select(F.greatest("fp", "hub.fp").alias("a"), F.least("fp", "hub.fp").alias("b")).distinct()
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``node``, ``label`` of the hashes of ``texts`` (hash, text; distinct) that have a link, as in ``link``.
 
     Candidates share a band; every link is verified on the texts. Stars of the
-    buckets come first, then all pairs of a bucket that have different labels
-    and of which one is outside the bucket's most frequent component.
+    buckets come first. Where a bucket keeps several labels, its nodes are
+    compared with one hub after another, for as long as that finds links; then
+    all pairs of different labels of which one is outside the bucket's most
+    frequent component, those that are not alike dropped inside of the join.
     """
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [band_keys(shingle_set(t)) for t in batch.column(1).to_pylist()]
-        new = [pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.binary())]
+        new = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in range(2)]
         return pa.RecordBatch.from_arrays([batch.column(0), *new], names=["fp", "keys", "sig"])
 
-    prints = written(map_arrow(texts.select("hash", "text"), keys, "fp long, keys array<long>, sig binary"))
+    prints = written(map_arrow(texts.select("hash", "text"), keys, "fp long, keys array<long>, sig array<long>"))
     keyed = prints.select("fp", F.posexplode("keys").alias("t", "key"))
     ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
     full = written(keyed.join(ends, ["t", "key"]))
     stars = full.select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
-    edges = written(_verified(stars, texts))
+    edges = written(_verified(_likely(stars, prints), texts))
     full = full.where("n > 2").select("t", "key", "fp")
     labels = written(connected_components(edges))
-    named = full.join(labels, F.col("fp") == F.col("node"), "left").select("t", "key", "fp", F.coalesce("label", "fp").alias("label"))
-    sizes = named.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("t", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = written(named.join(mixed.drop("k"), ["t", "key"]))
-    few = open_.where("label <> main").select("t", "key", F.col("fp").alias("x"), F.col("label").alias("xl"))
-    found = few.join(open_, ["t", "key"]).where(F.col("xl") != F.col("label"))
+    open_, turn = _open_buckets(full, labels), 0
+    while not open_.isEmpty():
+        more = written(_verified(_likely(_hub_pairs(open_, turn), prints), texts))
+        if more.isEmpty() and turn:
+            break
+        if not more.isEmpty():
+            edges = written(edges.unionByName(more))
+            labels = written(connected_components(edges))
+            open_ = _open_buckets(full, labels)
+        turn += 1
+    signed = open_.join(prints.select("fp", "sig"), "fp")
+    few = signed.where("label <> main").select(F.col("t").alias("t_"), F.col("key").alias("key_"), F.col("fp").alias("x"), F.col("label").alias("xl"), F.col("sig").alias("xs"))
+    found = few.join(signed, (F.col("t_") == F.col("t")) & (F.col("key_") == F.col("key")) & (F.col("xl") != F.col("label")) & _alike("xs", "sig"))
     found = found.select(F.greatest("x", "fp").alias("a"), F.least("x", "fp").alias("b")).distinct()
-    more = written(_verified(_likely(found, prints), texts))
-    if more.limit(1).count():
+    more = written(_verified(found, texts))
+    if not more.isEmpty():
         labels = written(connected_components(edges.unionByName(more)))
     return labels
 

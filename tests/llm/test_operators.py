@@ -131,6 +131,21 @@ def similar_groups(texts):
     return group
 
 
+def test_signatures_alike(spark):
+    """The comparison of packed signatures against the minima themselves."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[: int(400 * s)], rng.integers(0, 2**63, 400 - int(400 * s), dtype=np.uint64)))) for s in (1, 0.95, 0.9, 0.8, 0.6, 0.3, 0)]
+    sigs = [simhash.band_keys(x)[1] for x in sets]
+    minima = [np.concatenate([(s >> (8 * j)) & 127 for j in range(7)]) for s in sigs]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    df = spark.createDataFrame([(i, j, sigs[i].tolist(), sigs[j].tolist()) for i, j in pairs], "i int, j int, x array<long>, y array<long>")
+    got = {(r["i"], r["j"]): r["ok"] for r in df.select("i", "j", simhash._alike("x", "y").alias("ok")).collect()}
+    n = simhash.BANDS * simhash.BAND_ROWS
+    assert got == {(i, j): bool((minima[i] != minima[j]).sum() <= int((1 - simhash.LIKELY) * n)) for i, j in pairs}
+    assert got[0, 1] and not got[0, 6] and len(set(got.values())) == 2
+
+
 def test_near_dedup_against_all_pairs(spark):
     """Copies with a word changed here and there, against the components of all pairs with a Jaccard of 0.8 or more."""
     rng = random.Random(7)
