@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Kinds of symbols and edges.
 CALLABLE_KINDS = ["Method", "Constructor", "Function"]
 STRUCTURAL_KINDS = ["Contains", "Defines"]
 REFERENCE_KINDS = ["References", "Calls", "Constructs", "UsesType", "Implements", "Inherits"]
