@@ -41,6 +41,8 @@ _CHUNK = 1 << 16
 #: Limits of ``keep_one``. Bands of MinHash meet at 0.8 with probability 1 - (1 - 0.8^BAND_ROWS)^BANDS = 0.9993, above with more.
 KEEP_SHINGLE, KEEP_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS, LIKELY = 24, 6, 0.65
+#: 64-bit words of an odd sketch.
+SKETCH = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = np.array([[xxhash.xxh64_intdigest(b"multiply", i) | 1] for i in range(BANDS * BAND_ROWS)], np.uint64)
 _ADD = np.array([[xxhash.xxh64_intdigest(b"add", i)] for i in range(BANDS * BAND_ROWS)], np.uint64)
@@ -211,6 +213,33 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= KEEP_SIMILARITY * (len(x) + len(y) - both)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``SKETCH`` signed 64-bit integers of parity bits: a shingle flips one bit, so what two sets share cancels out of the XOR of their sketches."""
+    at = (shingles * _ODD) >> np.uint64(64 - (SKETCH * 64 - 1).bit_length())
+    odd = (np.bincount(at.astype(np.int64), minlength=SKETCH * 64) % 2).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _sketches(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """fp, n (shingles), odd (sketch) of the ``nodes`` (fp, distinct)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        new = [pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *new], names=["fp", "n", "odd"])
+
+    return map_arrow(texts.join(nodes, F.col("hash") == F.col("fp"), "left_semi").select("hash", "text"), run, "fp long, n long, odd array<long>")
+
+
+def _may_be_similar(x: str, y: str, nx: str, ny: str) -> Column:
+    """False only where two sets cannot be similar: bits in which their sketches differ are at most the shingles that only one has.
+
+    J >= s holds if those are at most (1 - s) / (1 + s) of both sizes' sum.
+    """
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH)), F.lit(0))
+    return apart <= (F.col(nx) + F.col(ny)) * ((1 - KEEP_SIMILARITY) / (1 + KEEP_SIMILARITY)) + 1e-6
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose texts are similar."""
 
@@ -277,7 +306,8 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     buckets come first. Where a bucket keeps several labels, its nodes are
     compared with one hub after another, for as long as that finds links; then
     all pairs of different labels of which one is outside the bucket's most
-    frequent component, those that are not alike dropped inside of the join.
+    frequent component; the join drops those whose sketches show that they
+    cannot be similar.
     """
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -303,10 +333,13 @@ def similar_texts(texts: DataFrame) -> DataFrame:
             labels = written(connected_components(edges))
             open_ = _open_buckets(full, labels)
         turn += 1
-    signed = open_.join(prints.select("fp", "sig"), "fp")
-    few = signed.where("label <> main").select(F.col("t").alias("t_"), F.col("key").alias("key_"), F.col("fp").alias("x"), F.col("label").alias("xl"), F.col("sig").alias("xs"))
-    found = few.join(signed, (F.col("t_") == F.col("t")) & (F.col("key_") == F.col("key")) & (F.col("xl") != F.col("label")) & _alike("xs", "sig"))
-    found = found.select(F.greatest("x", "fp").alias("a"), F.least("x", "fp").alias("b")).distinct()
+    sketches = _sketches(open_.select("fp").distinct(), texts).join(prints.select("fp", "sig"), "fp")
+    signed = open_.select("t", "key", "fp", "label", "main").join(written(sketches), "fp")
+    few = signed.where("label <> main").select(*[F.col(c).alias(f"{c}_") for c in ("t", "key", "fp", "label", "sig", "odd", "n")])
+    other = (F.col("label_") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("fp_") < F.col("fp")))
+    close = _alike("sig_", "sig") & _may_be_similar("odd_", "odd", "n_", "n")
+    found = few.join(signed, (F.col("t_") == F.col("t")) & (F.col("key_") == F.col("key")) & other & close)
+    found = found.select(F.greatest("fp_", "fp").alias("a"), F.least("fp_", "fp").alias("b")).distinct()
     more = written(_verified(found, texts))
     if not more.isEmpty():
         labels = written(connected_components(edges.unionByName(more)))

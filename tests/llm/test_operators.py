@@ -146,6 +146,26 @@ def test_signatures_alike(spark):
     assert got[0, 1] and not got[0, 6] and len(set(got.values())) == 2
 
 
+def test_sketches_lose_no_similar_pair(spark):
+    """At, above and below the limit, short and long sets and empty ones: no similar pair goes; unlike ones go where sketches are not full (9000 fill them)."""
+    rng = np.random.default_rng(5)
+    sets = [np.array([], np.uint64)]
+    for n in (1, 9, 90, 900, 9000):
+        base = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for share in (0, 0.02, 0.1, 0.111, 0.13, 0.2, 0.4):
+            new = int(n * share)
+            sets.append(np.unique(np.concatenate([base[new:], rng.integers(0, 2**64, new, np.uint64)])))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    odd = [simhash.odd_sketch(s).tolist() for s in sets]
+    data = [(i, j, odd[i], odd[j], len(sets[i]), len(sets[j])) for i, j in pairs]
+    df = spark.createDataFrame(data, "i int, j int, x array<long>, y array<long>, nx long, ny long")
+    got = {(r["i"], r["j"]): r["ok"] for r in df.select("i", "j", simhash._may_be_similar("x", "y", "nx", "ny").alias("ok")).collect()}
+    alike = {(i, j) for i, j in pairs if simhash.similar(sets[i], sets[j])}
+    assert len(alike) > 60 and all(got[p] for p in alike)
+    unlike = [(i, j) for i, j in pairs if (i, j) not in alike and max(len(sets[i]), len(sets[j])) <= 900]
+    assert sum(got[p] for p in unlike) < 0.05 * len(unlike) and not got[15, 21] and not got[22, 28]
+
+
 def test_near_dedup_against_all_pairs(spark):
     """Copies with a word changed here and there, against the components of all pairs with a Jaccard of 0.8 or more."""
     rng = random.Random(7)
