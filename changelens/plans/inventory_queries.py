@@ -59,6 +59,18 @@ def s29(spark, sf):
     return d.select("doc_id", "kind", "old_sha", "new_sha", F.col("new_spans")[0]["start"].alias("new_start"), F.col("new_spans")[0]["end"].alias("new_end"))
 
 
+@query("s25_sinks", "SELECT 'json' AS sink, id || '|' || project || '|' || CAST(start_line AS VARCHAR) AS line FROM symbols UNION ALL SELECT 'text', qualified_name FROM symbols")
+def s25(spark, sf):
+    """S-25: rows written as JSON lines and as text, read back."""
+    s = star(spark, sf).symbols.select("id", "project", "start_line", "qualified_name")
+    rows_, lines = shared_path(spark), shared_path(spark)
+    readers.write_json(s.drop("qualified_name"), rows_)
+    readers.write_lines(s, lines, "qualified_name")
+    back = spark.read.schema("id string, project string, start_line int").json(rows_)
+    text = spark.read.text(lines).select(F.lit("text").alias("sink"), F.col("value").alias("line"))
+    return back.select(F.lit("json").alias("sink"), F.concat_ws("|", "id", "project", "start_line").alias("line")).unionByName(text)
+
+
 @query("s30_stored_surface", "SELECT project, kind, qualified_name FROM symbols WHERE visibility = 'public'")
 def s30(spark, sf):
     path = shared_path(spark)
@@ -228,6 +240,20 @@ def m10(spark, sf):
     return watch.current(spark, state)
 
 
+@query("m12_update_wave", ", af AS (SELECT id, project, CASE WHEN project = 'ASIA.Tests' THEN start_line + 1 ELSE start_line END AS start_line FROM symbols WHERE project <> 'EUROPE' AND NOT (project = 'scip:AMERICA' AND start_line % 2 = 0)) SELECT id, project, CAST(start_line AS INT) AS start_line FROM af")
+def m12(spark, sf):
+    """M-12: a wave: the projects whose listing changed are replaced by their new analysis, projects that are gone leave, the rest stays as stored."""
+    g = star(spark, sf)
+    line = F.when(F.col("project") == "ASIA.Tests", F.col("start_line") + 1).otherwise(F.col("start_line")).cast(g.symbols.schema["start_line"].dataType)
+    after = g.symbols.where("project <> 'EUROPE' and not (project = 'scip:AMERICA' and start_line % 2 = 0)").withColumn("start_line", line)
+    listing = lambda s: s.select("project", F.col("id").alias("relative_path"), F.col("start_line").cast("string").alias("content_hash"))
+    before_, after_ = listing(g.symbols), listing(after)
+    dirty = incremental.dirty_projects(before_, after_)
+    new = after.join(dirty, "project", "left_semi").select(*after.columns)
+    fresh = G.Graph(g.files.join(dirty, "project", "left_semi").select(*g.files.columns), new, g.edges.join(new.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*g.edges.columns))
+    return incremental.replace_projects(g, fresh, incremental.removed_projects(before_, after_)).symbols.select("id", "project", F.col("start_line").cast("int").alias("start_line"))
+
+
 @query("v13_attestation", "SELECT true AS ok, false AS forged", graph=False)
 def v13(spark, sf):
     from changelens.operators.evidence import attestation, attested
