@@ -1,5 +1,5 @@
 """Training-data pipeline operators.
 
-Ten operators over text, pages and conversations, their driver queries and the
+Thirteen operators over text, pages, conversations and vectors, their driver queries and the
 small helpers they share. Nothing outside this subpackage imports it.
 """

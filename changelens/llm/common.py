@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows of text that travel to a Python worker at once; keeps batches small when texts are long.
 TEXT_ROWS_PER_BATCH = 512
@@ -51,6 +52,24 @@ def removed(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` plus ``name`` (long): the place of each row in the order of ``order``, from 0.
+
+    Rows are sorted by ranges, so a task holds the rows of a range and no task
+    all of them; the places of a range begin after the sum of those before it.
+    """
+    inside = 33  # bits of monotonically_increasing_id that count the rows of a partition
+    laid = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("laid__", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("laid__", inside).alias("part__")
+    sums = laid.groupBy(part).agg(F.count(F.lit(1)).alias("n__"))
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("base__"))
+    place = F.col("base__") + F.col("laid__").bitwiseAND(F.lit((1 << inside) - 1))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    # A row for each partition of the sort.
+    return laid.select("*", part).join(F.broadcast(bases), "part__").select(*own, place.alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
