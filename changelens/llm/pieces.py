@@ -18,11 +18,13 @@ compressed.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
@@ -38,6 +40,7 @@ BLOCK_DOCS, BLOCK_WORDS = 1 << 14, 1 << 20
 BUCKET_WORDS, CHARS_PER_WORD = 1 << 18, 6
 MARK = "▁"
 _END = b"\xff"  # no byte of UTF-8
+_RUN = re.compile("  +")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -62,26 +65,20 @@ def load(path: str) -> sentencepiece.SentencePieceProcessor:
     return sp
 
 
-def marked_words(text: str | None) -> list[str]:
-    """The words of a whole text, each with the markers before it but the first, which encoding adds again; markers at the end stay with the last word."""
-    if not text:
-        return []
-    text = text.replace(MARK, " ")
-    body = text.rstrip(" ")
-    if not body:
-        return [text]
-    words = body.split(" ")
-    words[-1] += text[len(body) :]
-    if "" not in words:
-        return words
-    out, before = [], ""
-    for w in words:
-        if w:
-            out.append(before + w)
-            before = ""
-        else:
-            before += " "
-    return out
+def spaced(text: str | None) -> str:
+    """``text`` with one blank between marked words: further white space of a run, and that at the ends, is spelled as markers.
+
+    A marked word lacks the first of its markers, which encoding adds again;
+    markers at the end stay with the last word.
+    """
+    text = text or ""
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    if text[:1] == " " or text[-1:] == " ":
+        body = text.strip(" ")
+        before = len(text) - len(text.lstrip(" "))
+        text = MARK * before + body + MARK * (len(text) - before - len(body))
+    return _RUN.sub(lambda m: " " + MARK * (len(m[0]) - 1), text) if "  " in text else text
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -106,38 +103,38 @@ def _blocks(docs: DataFrame, buckets: int, texts: bool) -> DataFrame:
     task reads the same rows each time.
     """
 
-    def emit(block: int, ids: list, sizes: list[int], at: list[np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in seen]
+    def emit(block: int, ids: list, sizes: list[np.ndarray], words: list[pa.Array]) -> pa.RecordBatch:
+        seen = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+        raw = seen.dictionary.cast(pa.large_binary()).to_pylist()
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
         order = np.argsort(bucket, kind="stable")
         if texts:
             place = np.empty(len(raw), np.int64)
             place[order] = np.arange(len(raw))
-            places = place[np.concatenate(at)] if at else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_packed(places)]), pa.array([len(raw)])], names=[c.split()[0] for c in _TEXTS.split(", ")]
-            )
-            return
+            columns = [pa.array([block]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, np.concatenate(sizes))), pa.array([_packed(place[seen.indices.to_numpy()])]), pa.array([len(raw)])]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _TEXTS.split(", ")])
         first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        lists = [_END.join(raw[i] for i in part) for part in np.split(order, first[1:])] if len(raw) else []
+        lists = [_END.join(raw[i] for i in part) for part in np.split(order, first[1:])]
         columns = [pa.array([block] * len(lists), pa.int64()), pa.array(bucket[order][first], pa.int32()), pa.array([zstandard.compress(x, 1) for x in lists], pa.binary()), pa.array([zlib.crc32(x) for x in lists], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _WORDS.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _WORDS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
-        ids, sizes, at, seen, total = [], [], [], {}, 0
+        ids, sizes, words, total = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = marked_words(text)
-                at.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
-                ids.append(doc_id)
-                sizes.append(len(words))
-                total += len(words)
-                if len(ids) == BLOCK_DOCS or total >= BLOCK_WORDS:
-                    yield from emit(block, ids, sizes, at, seen)
-                    block, ids, sizes, at, seen, total = block + 1, [], [], [], {}, 0
+            # Few texts at a time, so that a block is closed soon after it is full.
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                split = pc.split_pattern(pa.array([spaced(t) for t in part.column(1).to_pylist()], pa.large_string()), " ")
+                ids += part.column(0).to_pylist()
+                sizes.append(split.value_lengths().to_numpy().astype(np.int64))
+                words.append(split.flatten())
+                total += len(words[-1])
+                if len(ids) >= BLOCK_DOCS or total >= BLOCK_WORDS:
+                    yield emit(block, ids, sizes, words)
+                    block, ids, sizes, words, total = block + 1, [], [], [], 0
         if ids:
-            yield from emit(block, ids, sizes, at, seen)
+            yield emit(block, ids, sizes, words)
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _TEXTS if texts else _WORDS)
 
@@ -225,7 +222,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = load(path).decode([x or [] for x in batch.column(1).to_pylist()])
+        ids = batch.column(1)
+        flat, ends = ids.flatten().to_numpy().tolist(), np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+        texts = load(path).decode([flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]) if ends else []
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded string")
