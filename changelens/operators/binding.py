@@ -4,13 +4,19 @@ obligations (id, rule_id, kind, subject_id, subject_project, subject_display, re
 evidence (id, kind, status, check_id, subject, target, source_digest, refs array of (id, project, name), subjects array of string).
 
 The theta join of all rules is a union of equi-joins that finds every pair which
-a rule may match, and a decision on these pairs: by equal names, by a run of
-letters that a name and one which contains it share, and by kind for evidence
-of whole repositories, where every pair is a link.
+a rule may match, and a decision on these pairs: by equal names, and by the
+rarest run of letters of a name among the names which may contain it.
+
+Rules look at few columns, so obligations and evidence that agree in them are
+one class, and links hold between classes. Evidence of a whole repository links
+with every obligation of a kind: that is one row for the kind. So links grow
+with the classes, and pairs are made only where they are asked for.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,27 +132,41 @@ def decision() -> Column:
     )
 
 
-# Kinds, as (obligation kind, evidence kind), whose rules admit names that contain each other, and evidence of the whole repository.
+# Kinds, as (obligation kind, evidence kind), whose rules admit names that contain each other.
 HEURISTIC = [("Build", "Build"), ("CrossProject", "Build"), ("Test", "TestCase"), ("Test", "TestRun"), ("CallerContract", "TestCase"), ("CallerContract", "TestRun")]
-WIDE = [("Build", "Build"), ("CrossProject", "Build"), ("Compatibility", "ApiCompatibility"), ("StaticAnalysis", "StaticAnalysis")]
-#: Letters of the run by which a name meets the names that contain it.
+# Obligation kinds whose rules look at the project of the subject.
+OF_PROJECT = ["Compatibility", "CallerContract", "AppContract"]
+#: Letters of the runs by which a name meets the names that contain it.
 GRAM = 4
 
 
-def run_key(name: Column) -> Column:
-    """One run of ``GRAM`` letters of a name, that of the least hash, so that common beginnings do not gather; a shorter name whole."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - GRAM + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(GRAM)))
-    least = F.array_min(F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))
-    return F.when(F.length(name) < GRAM, name).otherwise(least["r"])
+def runs(name: Column, n: int) -> Column:
+    """Every run of ``n`` letters of a name, once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(n))))
 
 
-def run_keys(name: Column) -> Column:
-    """Every run of up to ``GRAM`` letters of a name: whatever it contains has its ``run_key`` among them."""
+def rarest_runs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """kind, name, key, n: of each needle (kind, name; ``GRAM`` letters or more) the run that fewest haystacks of its kind have, and how many; needles with a run that none has are left out."""
+    have = haystacks.select("kind", F.explode(runs(F.col("name"), GRAM)).alias("key")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    wants = needles.where(F.length("name") >= GRAM).withColumn("runs", runs(F.col("name"), GRAM))
+    rated = wants.select("kind", "name", F.size("runs").alias("all"), F.explode("runs").alias("key")).join(have, ["kind", "key"])
+    best = rated.groupBy("kind", "name", "all").agg(F.min(F.struct("n", "key")).alias("best"), F.count(F.lit(1)).alias("found"))
+    return best.where("found = all").select("kind", "name", "best.key", "best.n")
 
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(n)))
 
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
+def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """kind, name, long: every needle and haystack (kind, name; distinct, not empty) of one kind where the haystack contains the needle and more.
+
+    A prefix filter: what contains a needle has all of its runs, so the needle
+    looks only among the names with its rarest one. Needles of fewer letters
+    than ``GRAM`` are runs themselves, and every name that they meet is a hit.
+    """
+    long = haystacks.select("kind", F.col("name").alias("long"))
+    keyed = long.select("kind", "long", F.explode(runs(F.col("long"), GRAM)).alias("key"))
+    hit = rarest_runs(needles, haystacks).drop("n").join(keyed, ["kind", "key"]).where(F.col("long").contains(F.col("name")))
+    parts = long.select("kind", "long", F.explode(F.array_distinct(F.concat(*[runs(F.col("long"), n) for n in range(1, GRAM)]))).alias("name"))
+    short = needles.where(F.length("name") < GRAM).select("kind", "name").join(parts, ["kind", "name"])
+    return hit.select("kind", "name", "long").unionByName(short.select("kind", "name", "long")).where("name <> long")
 
 
 def _names(*parts: Column) -> Column:
@@ -160,42 +180,97 @@ def _of_kinds(pairs: list[tuple[str, str]]) -> Column:
 
 
 def _candidates(wants: DataFrame, valid: DataFrame) -> DataFrame:
-    """obligation_id, evidence_id of every pair that a rule may match."""
+    """obligation_id, evidence_id of every pair that a rule which looks at names may match."""
     pair = ["obligation_id", "evidence_id"]
-    w = wants.withColumn("names", _names(F.array("subject_id", "subject_project", "subject_display")))
+    project = F.when(F.col("o_kind").isin(*OF_PROJECT), F.col("subject_project"))
+    w = wants.withColumn("names", _names(F.array(F.col("subject_id"), project, F.col("subject_display"))))
     refs = F.coalesce(F.flatten(F.transform("refs", lambda r: F.array(r["id"], r["project"], r["name"]))), F.array().cast("array<string>"))
     stems = F.concat(F.coalesce(F.transform("subjects", file_stem), F.array().cast("array<string>")), F.array(file_stem(F.col("target"))))
     v = valid.withColumn("names", _names(refs, F.col("subjects"), stems, F.array("subject", slashes("target"))))
-    named, have = w.select("obligation_id", "o_kind", "e_kind", F.explode("names").alias("name")), v.select("evidence_id", "e_kind", F.explode("names").alias("name"))
+    named, have = kept(w.select("obligation_id", "o_kind", "e_kind", F.explode("names").alias("name"))), kept(v.select("evidence_id", "e_kind", F.explode("names").alias("name")))
     equal = named.select("obligation_id", "e_kind", "name").join(have, ["e_kind", "name"]).select(*pair)
     loose, kinds = named.where(_of_kinds(HEURISTIC)).drop("o_kind"), [e for _, e in HEURISTIC]
     held = have.where(F.col("e_kind").isin(*kinds))
-    within = loose.withColumn("key", run_key(F.col("name"))).join(held.select("evidence_id", "e_kind", F.col("name").alias("long"), F.explode(run_keys(F.col("name"))).alias("key")), ["e_kind", "key"]).where(F.col("long").contains(F.col("name")))
-    around = loose.withColumn("key", F.explode(run_keys(F.col("name")))).join(held.select("evidence_id", "e_kind", F.col("name").alias("short"), run_key(F.col("name")).alias("key")), ["e_kind", "key"]).where(F.col("name").contains(F.col("short")))
+    # Names meet as names; what bears them comes after.
+    one, two = (kept(x.select(F.col("e_kind").alias("kind"), "name").distinct()) for x in (loose, held))
+    within = contained(one, two).select(F.col("kind").alias("e_kind"), "name", F.col("long").alias("other"))
+    around = contained(two, one).select(F.col("kind").alias("e_kind"), F.col("long").alias("name"), F.col("name").alias("other"))
+    loosely = within.unionByName(around).join(loose, ["e_kind", "name"]).join(held.withColumnRenamed("name", "other"), ["e_kind", "other"])
     tails = loose.withColumn("key", last_name("name")).where("length(key) >= 8").join(held.select("evidence_id", "e_kind", last_name("name").alias("key")), ["e_kind", "key"])
-    # Evidence of the whole repository, and a build for an interface, link with every obligation of their kinds.
-    kind = wants.select("obligation_id", "o_kind", "e_kind")
-    wide = kind.where(_of_kinds(WIDE)).join(valid.where(repository_wide(F.col("target"))).select("evidence_id", "e_kind"), "e_kind")
-    builds = kind.where(_of_kinds([("Compatibility", "Build")])).join(valid.select("evidence_id", "e_kind"), "e_kind")
-    out = equal
-    for more in (within, around, tails, wide, builds):
-        out = out.unionByName(more.select(*pair))
-    return out.distinct()
+    return equal.unionByName(loosely.select(*pair)).unionByName(tails.select(*pair)).distinct()
 
 
-def bind(obligations: DataFrame, evidence: DataFrame, digest: str | None = None) -> DataFrame:
-    """B-01: obligation_id, evidence_id, relation, strength, rule, reason of every link.
+SUBJECT = ["subject_id", "subject_project", "subject_display"]
+_LINK = ["relation", "strength", "rule", "reason"]
+
+
+@dataclass
+class Bound:
+    """B-01: the links of a plan, by classes.
+
+    obligations (obligation_id, o_class, o_kind) and evidence (evidence_id,
+    e_class, e_kind) tell what belongs to a class; links (o_class, e_class and
+    the link) hold for all pairs of two classes; kind_links (o_kind, e_class and
+    the link) for all obligations of a kind whose class has no link with the evidence's.
+    """
+
+    obligations: DataFrame
+    evidence: DataFrame
+    links: DataFrame
+    kind_links: DataFrame
+
+    def expanded(self) -> DataFrame:
+        """obligation_id, evidence_id and the link of every pair: may be the product of both."""
+        classes = self.obligations.select("o_class", "o_kind").distinct()
+        rest = self.kind_links.join(classes, "o_kind").join(self.links.select("o_class", "e_class"), ["o_class", "e_class"], "left_anti")
+        pairs = self.links.select("o_class", "e_class", *_LINK).unionByName(rest.select("o_class", "e_class", *_LINK))
+        each = pairs.join(self.obligations.select("obligation_id", "o_class"), "o_class").join(self.evidence.select("evidence_id", "e_class"), "e_class")
+        return each.select("obligation_id", "evidence_id", *_LINK)
+
+    def counted(self) -> DataFrame:
+        """evidence_id, o_kind, the link, and the number of obligations of that kind that it holds for: a few rows for each evidence."""
+        sizes = self.obligations.groupBy("o_class", "o_kind").agg(F.count(F.lit(1)).alias("n"))
+        by_class = self.links.join(sizes, "o_class").groupBy("o_kind", "e_class", *_LINK).agg(F.sum("n").alias("obligations"))
+        taken = by_class.groupBy("o_kind", "e_class").agg(F.sum("obligations").alias("taken"))
+        kinds = sizes.groupBy("o_kind").agg(F.sum("n").alias("n"))
+        rest = self.kind_links.join(kinds, "o_kind").join(taken, ["o_kind", "e_class"], "left").withColumn("obligations", F.col("n") - F.coalesce("taken", F.lit(0)))
+        every = by_class.unionByName(rest.where("obligations > 0").select(*by_class.columns)).groupBy("o_kind", "e_class", *_LINK).agg(F.sum("obligations").alias("obligations"))
+        return every.join(self.evidence.select("evidence_id", "e_class"), "e_class").select("evidence_id", "o_kind", *_LINK, "obligations")
+
+
+def _class(*columns: Column | str) -> Column:
+    """A key for rows that agree in ``columns``, in 256 bits."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def bound(obligations: DataFrame, evidence: DataFrame, digest: str | None = None) -> Bound:
+    """B-01: what ``bind`` gives, as classes and kinds.
 
     Evidence of another or without source digest makes no link; ``rejections``
     has it. Ids of obligations and of evidence are unique.
     """
-    o = obligations.where("kind <> 'Uncertainty'").select(F.col("id").alias("obligation_id"), F.col("kind").alias("o_kind"), "subject_id", "subject_project", "subject_display")
-    e = evidence.withColumn("state", digest_state(digest)).where("state = 'valid'")
-    valid = e.select(F.col("id").alias("evidence_id"), F.col("kind").alias("e_kind"), "status", "subject", "target", "refs", "subjects")
-    wants = o.join(F.broadcast(candidate_kinds(obligations.sparkSession)), "o_kind")  # a fixed table
-    pairs = kept(_candidates(wants, valid))
-    both = pairs.join(o, "obligation_id").join(valid, "evidence_id").withColumn("d", decision()).where("d is not null")
-    return both.select("obligation_id", "evidence_id", "d.relation", "d.strength", "d.rule", "d.reason")
+    o = obligations.where("kind <> 'Uncertainty'").select(F.col("id").alias("obligation_id"), F.col("kind").alias("o_kind"), *SUBJECT)
+    o = kept(o.withColumn("o_class", _class("o_kind", *SUBJECT)))
+    e = evidence.withColumn("state", digest_state(digest)).where("state = 'valid'").withColumn("e_kind", F.col("kind"))
+    # Of the status, rules see whether a review passed.
+    e = e.withColumn("status", F.when((F.col("kind") == "ManualReview") & (F.col("status") == "Pass"), "Pass").otherwise(""))
+    looked_at = ["e_kind", "status", "subject", "target", "refs", "subjects"]
+    e = kept(e.select(F.col("id").alias("evidence_id"), *looked_at).withColumn("e_class", _class(*looked_at)))
+    os, es = o.drop("obligation_id").dropDuplicates(["o_class"]), e.drop("evidence_id").dropDuplicates(["e_class"])
+    kinds = F.broadcast(candidate_kinds(obligations.sparkSession))  # a fixed table
+    pairs = _candidates(os.join(kinds, "o_kind").withColumnRenamed("o_class", "obligation_id"), es.withColumnRenamed("e_class", "evidence_id"))
+    both = pairs.join(os.withColumnRenamed("o_class", "obligation_id"), "obligation_id").join(es.withColumnRenamed("e_class", "evidence_id"), "evidence_id")
+    decided = decision()  # a large expression, built once
+    links = kept(both.withColumn("d", decided).where("d is not null").select(F.col("obligation_id").alias("o_class"), F.col("evidence_id").alias("e_class"), "d.*"))
+    # What an obligation of nothing links with is what every obligation of its kind links with.
+    nothing = [F.lit(None).cast("string").alias(c) for c in SUBJECT]
+    kind_links = es.join(kinds, "e_kind").select("*", *nothing).withColumn("d", decided).where("d is not null").select("o_kind", "e_class", "d.*")
+    return Bound(o.select("obligation_id", "o_class", "o_kind"), e.select("evidence_id", "e_class", "e_kind"), links, kept(kind_links))
+
+
+def bind(obligations: DataFrame, evidence: DataFrame, digest: str | None = None) -> DataFrame:
+    """B-01: obligation_id, evidence_id, relation, strength, rule, reason of every link, pair by pair; ``bound`` has them in a few rows."""
+    return bound(obligations, evidence, digest).expanded()
 
 
 def rejections(obligations: DataFrame, evidence: DataFrame, digest: str | None = None) -> DataFrame:
@@ -211,13 +286,17 @@ def admitted(evidence: DataFrame, planned: DataFrame) -> DataFrame:
     return evidence.join(planned.select("check_id").distinct(), "check_id", "left_semi")
 
 
-def statuses(obligations: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """V-01: obligations with status: failed, blocked, proven, else unresolved, by direct links of strength 3."""
-    e = evidence.select(F.col("id").alias("evidence_id"), F.col("status").alias("e_status"))
-    strong = links.where("relation = 'direct' and strength >= 3").join(e, "evidence_id")
-    seen = strong.groupBy(F.col("obligation_id").alias("id")).agg(
-        F.max(F.when(F.col("e_status") == "Fail", 3).when(F.col("e_status") == "InfraError", 2).when(F.col("e_status") == "Pass", 1).otherwise(0)).alias("best")
-    )
+def statuses(obligations: DataFrame, links: DataFrame | Bound, evidence: DataFrame) -> DataFrame:
+    """V-01: obligations with status: failed, blocked, proven, else unresolved, by direct links of strength 3; no pairs are made of links by classes."""
+    rank = F.when(F.col("status") == "Fail", 3).when(F.col("status") == "InfraError", 2).when(F.col("status") == "Pass", 1).otherwise(0)
+    e = evidence.select(F.col("id").alias("evidence_id"), rank.alias("rank"))
+    direct = "relation = 'direct' and strength >= 3"
+    if isinstance(links, Bound):
+        of_class = links.evidence.join(e, "evidence_id").groupBy("e_class").agg(F.max("rank").alias("rank"))
+        best = links.links.where(direct).join(of_class, "e_class").groupBy("o_class").agg(F.max("rank").alias("best"))
+        seen = links.obligations.join(best, "o_class").select(F.col("obligation_id").alias("id"), "best")
+    else:
+        seen = links.where(direct).join(e, "evidence_id").groupBy(F.col("obligation_id").alias("id")).agg(F.max("rank").alias("best"))
     best = F.when(F.col("kind") == "Uncertainty", 0).otherwise(F.coalesce("best", F.lit(0)))
     name = F.when(best == 3, "Failed").when(best == 2, "Blocked").when(best == 1, "Proven").otherwise("Unresolved")
     return obligations.join(seen, "id", "left").withColumn("status", name).drop("best")
@@ -231,9 +310,11 @@ def verdict(evaluated: DataFrame, evidence: DataFrame, constraints: DataFrame, c
     )
     broken = evidence.where("status = 'InfraError'").select("check_id", "target")
     by_check = broken.join(evaluated.select(F.lower("subject_id").alias("s")).distinct(), F.lower("check_id") == F.col("s"), "left_semi").agg(F.count(F.lit(1)).alias("infra"))
-    projects = evaluated.where(~blank("subject_project")).select(F.lower("subject_project").alias("p")).distinct()
-    targets = broken.where(~blank("target")).select(F.lower("target").alias("t")).distinct().withColumn("key", F.explode(run_keys(F.col("t"))))
-    by_target = targets.join(projects.withColumn("key", run_key(F.col("p"))), "key").where(F.col("t").contains(F.col("p"))).agg(F.count(F.lit(1)).alias("infra_target"))
+    one_kind = lambda c: F.lower(c).alias("name")
+    projects = evaluated.where(~blank("subject_project")).select(F.lit("").alias("kind"), one_kind("subject_project")).distinct()
+    targets = broken.where(~blank("target")).select(F.lit("").alias("kind"), one_kind("target")).distinct()
+    held = contained(projects, targets).select("name").unionByName(projects.join(targets, ["kind", "name"]).select("name"))
+    by_target = held.agg(F.count(F.lit(1)).alias("infra_target"))
     every = broken.agg(F.count(F.lit(1)).alias("infra_all"))
     blocking = constraints.agg(F.count(F.when(F.lower("severity") == "blocking", 1)).alias("blocking"))
     one = o.crossJoin(by_check).crossJoin(by_target).crossJoin(every).crossJoin(blocking)  # a row each

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.functions.exprs import blank, is_generated, relative_identity
+from changelens.functions.exprs import blank, is_generated, redact, relative_identity
 
 # Points of the correlation score.
 POINTS = {"line_in_hunk": 100, "frame_in_hunk": 90, "changed_file": 60, "test_file": 50, "compiler": 50, "assertion": 45, "warning": -20, "generated": -40, "framework": -60}
@@ -184,9 +184,50 @@ def retained(runs: DataFrame, now: Column, keep: int = 20, days: int = 7, protec
     return j.select(*runs.columns, (F.col("recent").isNull() & old & ~safe & ~F.col("active")).alias("prune"))
 
 
+# Names of where a diagnostic comes from; others are written in lower case.
+PROVENANCE = {"msbuildbinarylog": "msbuild-binlog", "vstestloggerevent": "vstest-logger", "trx": "trx"}
+
+
+def pack_line(reasons: Column | None = None) -> Column:
+    """D-14: one diagnostic as text: test, code and place as far as known, the redacted message, where it comes from, and the reasons (array) of its score."""
+    part = lambda c: F.when(blank(c), "").otherwise(F.concat(F.col(c), F.lit("  ")))
+    place = F.when(F.col("file").isNotNull(), F.concat("file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("")), F.lit("  "))).otherwise("")
+    source = F.lower("source")
+    for known, name in PROVENANCE.items():
+        source = F.when(F.lower("source") == known, name).otherwise(source)
+    said = F.format_string("  [%s, confidence=%.2f]", source, F.col("confidence").cast("double"))
+    why = F.lit("") if reasons is None else F.when(F.size(reasons) > 0, F.concat(F.lit("  {"), F.array_join(reasons, ","), F.lit("}"))).otherwise("")
+    return F.concat(part("test_name"), part("code"), place, redact("message"), said, why)
+
+
 def failure_pack(ranked_rows: DataFrame, n: int = 20) -> DataFrame:
     """D-14: lines of the first errors."""
     top = ranked_rows.where("severity = 'Error'").orderBy(*rank_order()).limit(n)
-    place = F.when(F.col("file").isNotNull(), F.concat(F.lit("  "), "file", F.lit(":"), F.coalesce("line", F.lit(0)))).otherwise("")
-    text = F.concat(F.rpad(F.coalesce("code", F.lit("")), 9, " "), "message", place, F.format_string("  [%s, confidence=%.2f]", "source", "confidence"))
-    return top.select("id", "score", text.alias("text"))
+    return top.select("id", "score", pack_line().alias("text"))
+
+
+def pack_text(status: str, run: str, checks: DataFrame, ranked_rows: DataFrame, notes: DataFrame, cuts: DataFrame, profile: str | None = None, git_available: bool = True, n: int = 20, title: str = "VERIFY") -> DataFrame:
+    """D-14: part, k, line: the whole failure pack of a run, ordered by part and k.
+
+    checks (nth, check_id, kind, status, exit_code, source_id, artifact), notes
+    (nth, note) and cuts (nth, check_id, reason, artifact, lines array) are those
+    of one run and are listed by ``nth``; of the errors the first ``n``. Messages and excerpts are redacted.
+    """
+    spark = checks.sparkSession
+    row = lambda part, lines: spark.createDataFrame([(part, i, x) for i, x in enumerate(lines)], "part int, k long, line string")
+    head = [f"{title}: {status.upper()}", f"Profile: {profile or 'default'}", f"Run: {run}"] + ([] if git_available else ["Git evidence: unavailable"])
+    at = F.col("nth").cast("long")
+    said = F.concat(F.lit("Check "), "check_id", F.lit(" ("), "kind", F.lit("): "), "status", F.lit(" exit="), F.coalesce(F.col("exit_code").cast("string"), F.lit("n/a")), F.lit(" source="), F.coalesce("source_id", F.lit("unknown")))
+    raw = F.when(~blank("artifact"), F.concat(F.lit("  Raw: "), "artifact"))
+    each = checks.select(F.lit(1).alias("part"), at.alias("n_"), F.posexplode(F.filter(F.array(said, raw), lambda x: x.isNotNull())).alias("i", "line")).select("part", (F.col("n_") * 2 + F.col("i")).alias("k"), "line")
+    # A limited number of rows, in one list.
+    top = failure_pack(ranked_rows, n).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "text"))).alias("all"))
+    errors = top.select(F.lit(3).alias("part"), F.posexplode(F.when(F.size("all") > 0, F.transform("all", lambda x: x["text"])).otherwise(F.array(F.lit("  (none captured)")))).alias("k", "line")).withColumn("k", F.col("k").cast("long"))
+    out = row(0, head).unionByName(each).unionByName(row(2, ["", "Primary diagnostics:"])).unionByName(errors)
+    listed = notes.select(F.lit(5).alias("part"), at.alias("k"), F.concat(F.lit("  - "), "note").alias("line"))
+    first = lambda of, part, lines: of.limit(1).select(F.lit(part).alias("part"), F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("k", "line")).withColumn("k", F.col("k").cast("long"))
+    out = out.unionByName(first(notes, 4, ["", "Sufficiency notes:"])).unionByName(listed)
+    cut = F.concat(F.array(F.concat(F.lit("["), "check_id", F.lit("] "), "reason", F.lit("  "), "artifact")), F.transform("lines", lambda x: F.concat(F.lit("  "), redact(x))))
+    cut_lines = cuts.select(F.lit(7).alias("part"), at.alias("n_"), F.posexplode(cut).alias("i", "line")).select("part", (F.shiftleft("n_", 20) + F.col("i")).alias("k"), "line")
+    out = out.unionByName(first(cuts, 6, ["", "Raw excerpts:"])).unionByName(cut_lines)
+    return out.unionByName(row(8, ["", f"Git diff: {run}/git/diff.patch", f"Failure pack: {run}/failure-pack.txt"]))

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from changelens.functions.storage import kept
+
 from changelens.functions.exprs import APP_KINDS, blank, glob_regex, paths_align, slashes, stable_id, symbol_matches, trim_signature
 
 COLUMNS = ["id", "rule_id", "kind", "subject_id", "required", "risk_weight", "reason"]
@@ -250,7 +252,7 @@ def path_policy(deltas: DataFrame, p: Policy) -> DataFrame:
 
 
 def greedy_checks(covers: dict[str, set[str]], weights: dict[str, int], costs: dict[str, int]) -> list[str]:
-    """P-12: checks that together cover all that any covers, by weight gained for the cost; the catalog of checks is a short list."""
+    """P-12: checks that together cover all that any covers, by weight gained for the cost, over sets in memory: ``greedy_cover`` for a short list."""
     rest, chosen = set().union(*covers.values()) if covers else set(), []
     while rest:
         gain = {c: sum(weights.get(o, 1) for o in ids & rest) / max(1, costs.get(c, 1)) for c, ids in covers.items() if c not in chosen}
@@ -262,6 +264,42 @@ def greedy_checks(covers: dict[str, set[str]], weights: dict[str, int], costs: d
     return chosen
 
 
+def greedy_cover(covers: DataFrame, obligations: DataFrame, costs: DataFrame) -> DataFrame:
+    """P-12: step, check_id, gain of the checks chosen: each time the one with most weight gained for its cost, ties by id.
+
+    ``covers`` (check_id, obligation_id), ``obligations`` (id, risk_weight),
+    ``costs`` (check_id, cost; 1 where none is given). A step is one aggregation
+    by check over what no chosen check covers, and one row comes back from it;
+    the driver holds the chosen checks, at most the catalog.
+    """
+    spark = covers.sparkSession
+    weight = F.greatest(F.lit(1), F.coalesce("risk_weight", F.lit(1)))
+    by_id = obligations.groupBy(F.col("id").alias("obligation_id")).agg(F.first("risk_weight").alias("risk_weight"))
+    rest = kept(covers.distinct().join(by_id, "obligation_id", "left").join(costs.select("check_id", F.greatest(F.lit(1), "cost").alias("cost")), "check_id", "left").select("check_id", "obligation_id", weight.alias("weight"), F.coalesce("cost", F.lit(1)).alias("cost")))
+    chosen: list[tuple[int, str, int]] = []
+    while True:
+        gains = rest.groupBy("check_id", "cost").agg(F.sum("weight").alias("gain"))
+        best = gains.orderBy(F.desc(F.col("gain").cast("double") / F.col("cost")), "check_id").first()
+        if best is None:
+            return spark.createDataFrame(chosen, "step int, check_id string, gain long")
+        chosen.append((len(chosen), best["check_id"], best["gain"]))
+        done = rest.where(F.col("check_id") == best["check_id"]).select("obligation_id")
+        rest = kept(rest.join(done, "obligation_id", "left_anti"))
+
+
+def needed(chosen: DataFrame, needs: DataFrame) -> DataFrame:
+    """P-12: check_id, depth of the chosen checks (check_id) and all they need (check_id, depends_on), over any number of steps: 0 if chosen, else the steps from the nearest chosen one."""
+    level, depth = kept(chosen.select("check_id").distinct()), 0
+    out = level.withColumn("depth", F.lit(0))
+    while True:
+        depth += 1
+        after = needs.join(level, "check_id", "left_semi").select(F.col("depends_on").alias("check_id")).distinct()
+        level = kept(after.join(out.select("check_id"), "check_id", "left_anti"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+
+
 def with_dependencies(chosen: list[str], needs: dict[str, list[str]]) -> list[str]:
     """P-12, D-06: the chosen checks after those they need; raises on a cycle."""
     out: list[str] = []

@@ -6,7 +6,7 @@ import importlib
 
 from changelens.plans import base
 
-_MODULES = ["graph_queries", "change_queries", "more_queries", "inventory_queries", "function_queries"]
+_MODULES = ["graph_queries", "change_queries", "more_queries", "inventory_queries", "function_queries", "depth_queries"]
 
 
 def queries() -> dict[str, base.Query]:

@@ -145,19 +145,6 @@ def p11(spark, sf):
 _CAPS = [("build-all", "Build", None), ("build-europe", "Build", "EUROPE"), ("api", "Compatibility", None), ("tests", "Test", None), ("lint", "StaticAnalysis", None)]
 
 
-@query("p12_greedy_checks")
-def p12(spark, sf):
-    pairs = obligations.coverable(_plan(spark, sf), spark.createDataFrame(_CAPS, "check_id string, kind string, project string"))
-    gains = pairs.join(_plan(spark, sf).select(F.col("id").alias("obligation_id"), "risk_weight"), "obligation_id")
-    covers: dict[str, set[str]] = {}
-    weights: dict[str, int] = {}
-    for r in gains.collect():  # a plan of one change over a short catalog
-        covers.setdefault(r["check_id"], set()).add(r["obligation_id"])
-        weights[r["obligation_id"]] = max(1, r["risk_weight"])
-    chosen = obligations.greedy_checks(covers, weights, {"build-all": 3, "tests": 5})
-    return spark.createDataFrame(list(enumerate(obligations.with_dependencies(chosen, {"tests": ["build-all"]}))), "step int, check_id string")
-
-
 @query("p13_uncovered", f"{_CHANGE} {_VIOLATIONS}, pl AS ({_PLAN}) SELECT 'REQUIRED_EVIDENCE_CAPABILITY_MISSING' AS code, 'blocking' AS severity, id AS subject FROM pl WHERE required AND kind NOT IN ('Build', 'Compatibility', 'Test', 'StaticAnalysis')")
 def p13(spark, sf):
     plan = _plan(spark, sf)
@@ -201,6 +188,11 @@ def b01(spark, sf):
     return binding.bind(*_bound(spark, sf), digest="now")
 
 
+@query("b01_link_counts", f"{_BOUND} SELECT evidence_id, ob.kind AS o_kind, relation, CAST(strength AS INT) AS strength, rule, reason, count(*) AS obligations FROM ln JOIN ob ON ob.id = obligation_id GROUP BY ALL")
+def b01_link_counts(spark, sf):
+    return binding.bound(*_bound(spark, sf), digest="now").counted()
+
+
 @query("b01_rejections", f"{_BOUND} SELECT id AS evidence_id, 'BIND_SOURCE_DIGEST' AS rule, CASE WHEN digest IS NULL THEN 'EVIDENCE_SOURCE_IDENTITY_MISSING' ELSE 'EVIDENCE_STALE_SOURCE' END AS reason, (SELECT count(*) FROM ob) AS obligations FROM ev WHERE digest IS NULL OR digest <> 'now'")
 def b01_rejections(spark, sf):
     return binding.rejections(*_bound(spark, sf), digest="now")
@@ -214,13 +206,13 @@ def b03(spark, sf):
 @query("v01_statuses", f"{_BOUND} SELECT id, kind, required, status FROM st")
 def v01(spark, sf):
     o, e = _bound(spark, sf)
-    return binding.statuses(o, binding.bind(o, e, "now"), e).select("id", "kind", "required", "status")
+    return binding.statuses(o, binding.bound(o, e, "now"), e).select("id", "kind", "required", "status")
 
 
 @query("v02_verdict", f"{_BOUND} SELECT 'NotReady' AS verdict, count(*) FILTER (required) AS required_n, count(*) FILTER (required AND status = 'Proven') AS proven_n, count(*) FILTER (required AND status = 'Failed') AS failed_n, CAST(1 AS BIGINT) AS blocking_n FROM st")
 def v02(spark, sf):
     o, e = _bound(spark, sf)
-    ev = binding.statuses(o, binding.bind(o, e, "now"), e)
+    ev = binding.statuses(o, binding.bound(o, e, "now"), e)
     return binding.verdict(ev, e, spark.createDataFrame([("C", "Blocking")], "code string, severity string"))
 
 
@@ -237,13 +229,13 @@ def a14(spark, sf):
     from changelens.operators import rank
 
     o, e = _bound(spark, sf)
-    return rank.certificate_summary(binding.statuses(o, binding.bind(o, e, "now"), e), spark.createDataFrame([("C", "blocking"), ("D", "advisory")], "code string, severity string"))
+    return rank.certificate_summary(binding.statuses(o, binding.bound(o, e, "now"), e), spark.createDataFrame([("C", "blocking"), ("D", "advisory")], "code string, severity string"))
 
 
 @query("l17_open_obligations", f"{_BOUND} SELECT id, status FROM st WHERE status IN ('Unresolved', 'Failed')")
 def l17(spark, sf):
     o, e = _bound(spark, sf)
-    return binding.statuses(o, binding.bind(o, e, "now"), e).where("status in ('Unresolved', 'Failed')").select("id", "status")
+    return binding.statuses(o, binding.bound(o, e, "now"), e).where("status in ('Unresolved', 'Failed')").select("id", "status")
 
 
 @query("v08_exceptions", f"{_BOUND} SELECT id, CASE WHEN subject_id LIKE 's:%' THEN 'Expired' WHEN subject_id = 'p:3' THEN 'Valid' ELSE NULL END AS exception FROM ob")
@@ -257,7 +249,7 @@ def v08(spark, sf):
 @query("v09_certificate_diff", f"{_BOUND}, b AS (SELECT id, status FROM st WHERE length(id) % 2 = 0 OR required), a AS (SELECT id, CASE WHEN required THEN 'Proven' ELSE status END AS status FROM st WHERE length(id) % 3 <> 0) SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.id = b.id WHERE b.id IS NULL OR a.id IS NULL OR a.status <> b.status")
 def v09(spark, sf):
     o, e = _bound(spark, sf)
-    st = kept(binding.statuses(o, binding.bind(o, e, "now"), e).withColumn("what", F.lit("obligation")))
+    st = kept(binding.statuses(o, binding.bound(o, e, "now"), e).withColumn("what", F.lit("obligation")))
     after = st.where("length(id) % 3 <> 0").withColumn("status", F.when(F.col("required"), "Proven").otherwise(F.col("status")))
     return binding.certificate_diff(st.where("length(id) % 2 = 0 or required"), after).select("id", "change")
 

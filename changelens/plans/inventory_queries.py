@@ -120,15 +120,6 @@ def t07(spark, sf):
     return traverse.bfs(g.edges, traverse.single_root(g.symbols, "s:2"), 2, False, ["source_id"], root_returns=False).select("id", "depth")
 
 
-@query("c04_cycles")
-def c04(spark, sf):
-    g = star(spark, sf)
-    own = g.symbols.select("id", "project")
-    pairs = g.edges.join(own.toDF("source_id", "a"), "source_id").join(own.toDF("target_id", "b"), "target_id").where("a <> b").select("a", "b").distinct()
-    found = traverse.project_cycles([(r["a"], r["b"]) for r in pairs.collect()])  # pairs of projects
-    return spark.createDataFrame(list(enumerate(found)), "n int, cycle string")
-
-
 @query("p05_unmapped", f"{_CHANGE} {_P05}")
 def p05(spark, sf):
     _, ch, im, ca, rel, tm, *_ = _change(spark, sf)
@@ -289,7 +280,7 @@ def v22(spark, sf):
     from changelens.operators.evidence import summary_lines
 
     o, e = _bound(spark, sf)
-    st = kept(binding.statuses(o, binding.bind(o, e, "now"), e))
+    st = kept(binding.statuses(o, binding.bound(o, e, "now"), e))
     constraints = spark.createDataFrame([("C1", "rules are missing", "Blocking"), ("C2", "no matter", "info")], "code string, message string, severity string")
     return summary_lines(binding.verdict(st, e, constraints), st, constraints, "OBLIGATION_FAILED")
 

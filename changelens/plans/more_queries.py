@@ -136,12 +136,6 @@ def t14(spark, sf):
     return traverse.slice_of(uses, spark.createDataFrame([("0",)], "id string"), backward=False, depth=6)
 
 
-@query("t12_project_cycles")
-def t12(spark, sf):
-    refs = [(f"p{i}", f"p{(i * 3 + 1) % 7}") for i in range(7)] + [("p1", "p0")]
-    return spark.createDataFrame(list(enumerate(traverse.project_cycles(refs))), "n int, cycle string")
-
-
 @query("c05_architecture_check", """, l AS (SELECT id, CASE WHEN contains(lower(project), 'asia') THEN 'asia' WHEN contains(lower(project), 'europe') THEN 'europe' END AS layer FROM symbols WHERE NOT starts_with(project, 'external:'))
 , f AS (SELECT 'fan-in' AS rule, target_id AS id, count(*) AS n FROM edges GROUP BY target_id UNION ALL SELECT 'fan-out', source_id, count(*) FROM edges GROUP BY source_id)
 SELECT 'layer' AS rule, e.source_id AS subject, e.target_id AS object FROM edges e JOIN l a ON a.id = e.source_id JOIN l b ON b.id = e.target_id WHERE e.kind IN ('UsesType', 'Calls', 'Imports', 'Inherits') AND a.layer = 'asia' AND b.layer = 'europe'
@@ -194,7 +188,7 @@ _V05 = ", parts AS (" + " UNION ALL ".join([
 @query("v05_canonical_digest", f"{_BOUND} {_V05}")
 def v05(spark, sf):
     o, e = _bound(spark, sf)
-    st = binding.statuses(o, binding.bind(o, e, "now"), e).select("id", "kind", "required", "status")
+    st = binding.statuses(o, binding.bound(o, e, "now"), e).select("id", "kind", "required", "status")
     fields = {"schema_version": "3", "base_revision": "b", "head_revision": "h", "verdict": "NotReady", "source_digest": "now"}
     sections = {"impact": star(spark, sf).symbols.select("id", "project"), "evidence": e.select("id", "kind", "status", "source_digest"), "evaluation": st}
     return binding.canonical_digest(fields, {k: (v, "id") for k, v in sections.items()})
