@@ -187,3 +187,36 @@ def attested(digest: str, signature: str, key: bytes) -> bool:
     import hmac
 
     return hmac.compare_digest(hmac.new(key, digest.encode(), hashlib.sha256).hexdigest(), signature)
+
+
+def attestation_of(digest: Column, key: bytes) -> Column:
+    """V-13: HMAC-SHA-256 of a column of digests, in built-in functions; ``attestation`` row by row."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in block).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, digest.cast("binary")), 256))), 256)
+
+
+# Providers of attestations.
+UNSIGNED, SIGNED = "none", "hmac-sha256"
+
+
+def trusted(envelopes: DataFrame, key: bytes | None, issuers: list[str] | None = None, require_signed: bool = False, claims: dict[str, list[str]] | None = None) -> DataFrame:
+    """V-13: ``envelopes`` (statement_digest, provider, signer, payload and, where ``claims`` are asked for, claims as a map) with valid, trusted and reason (null if trusted).
+
+    An envelope is valid if its signature is that of its digest, or if it has
+    none. It is trusted if its signer is among the issuers, where there is a list
+    of them, if it is signed, where that is required, and if each claim asked for
+    has one of the values allowed; without a claim of its ref, that of the branch counts.
+    """
+    provider = F.lower("provider")
+    known = provider.isin(UNSIGNED, SIGNED)
+    match = F.lit(False) if key is None else F.coalesce(F.lower("payload") == attestation_of(F.col("statement_digest"), key), F.lit(False))
+    listed = F.lit(True) if not issuers else F.coalesce(F.col("signer").isin(*issuers), F.lit(False))
+    broken = F.when(F.coalesce(~known, F.lit(True)), "UNKNOWN_PROVIDER").when((provider == SIGNED) & F.lit(key is None), "KEY_MISSING").when((provider == SIGNED) & ~match, "SIGNATURE_MISMATCH")
+    doubted = F.when(~listed, "ISSUER_NOT_TRUSTED").when((provider == UNSIGNED) & F.lit(require_signed), "SIGNATURE_REQUIRED")
+    for name, allowed in (claims or {}).items():
+        said = F.coalesce(F.col("claims")["ref"], F.col("claims")["branch"]) if name == "ref" else F.col("claims")[name]
+        doubted = doubted.when(~F.coalesce(said.isin(*allowed), F.lit(False)), f"CLAIM_MISMATCH:{name}")
+    return envelopes.withColumn("valid", broken.isNull()).withColumn("reason", F.coalesce(broken, doubted)).withColumn("trusted", F.col("reason").isNull())

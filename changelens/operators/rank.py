@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import STRUCTURAL_KINDS, approx_tokens, blank, is_test, map_label
+from changelens.functions.ordering import placed
 from changelens.functions.storage import kept
 from changelens.sources.graph import SYMBOL
 
@@ -189,13 +190,13 @@ def ranked_candidates(candidates: DataFrame, goal: str) -> DataFrame:
     """A-07: candidates (id, via_kind, tier, depth, confidence, cost) with relevance and rank."""
     c = candidates.withColumn("relevance", relevance(goal, F.col("via_kind")))
     order = [F.desc("relevance"), F.desc("tier"), F.col("depth"), F.desc(F.coalesce("confidence", F.lit(1.0))), F.greatest(F.lit(1), F.col("cost")), F.col("id")]
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return placed(c, order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
     """A-08: ``ranked`` (rank, cost) with ``selected``: a prefix by rank that ends before the first row over budget."""
-    total = F.sum(F.greatest(F.lit(1), F.col("cost"))).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("spent", total).withColumn("selected", F.col("spent") <= budget)
+    total = placed(ranked, [F.asc("rank")], "place__", "spent", F.greatest(F.lit(1), F.col("cost")))
+    return total.drop("place__").withColumn("selected", F.col("spent") <= budget)
 
 
 def coverage(candidates: DataFrame) -> DataFrame:

@@ -85,12 +85,6 @@ def p04(spark, sf):
     return obligations.tests(ch, im, ca, rel, tm, POLICY)
 
 
-@query("p06_uncertainty", "SELECT 'O-' || r || '-' || left(sha256(r || '|Uncertainty|' || c), 8) AS id, r AS rule_id, 'Uncertainty' AS kind, c AS subject_id, true AS required, 1 AS risk_weight, c AS reason FROM (VALUES ('P006', 'IMPACT_LOCATION_UNKNOWN'), ('P006', 'CALLER_POTENTIALLY_TRUNCATED'), ('P007', 'HEURISTIC_EDGE_BLOCKING')) t(r, c)", graph=False)
-def p06(spark, sf):
-    c = obligations.Completeness(location="partial", callers_truncated=True, heuristic_edges=True)
-    return obligations.uncertainty(spark, c, obligations.Policy(heuristic_impact="blocking"))
-
-
 @query("p07_static_analysis", f"{_CHANGE} {_P07}")
 def p07(spark, sf):
     _, ch, im, *_ = _change(spark, sf)

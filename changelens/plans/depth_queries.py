@@ -1,13 +1,14 @@
-"""Driver queries of operators that work in steps: cycles, investigations, span budgets, covers, freshness, and the failure pack's text."""
+"""Driver queries of operators that work in steps (cycles, investigations, span budgets, covers, freshness), of texts, and of rules over given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from changelens.functions.storage import kept, shared_path
-from changelens.operators import cycles, diagnostics, investigation, obligations
+from changelens.operators import binding, cycles, diagnostics, evidence, investigation, obligations, traverse
 from changelens.plans.base import query
-from changelens.plans.change_queries import _CAPS, _CHANGE, _DIAG, _PLAN, _VIOLATIONS, _diagnostics, _plan
+from changelens.plans.change_queries import _BOUND, _CAPS, _CHANGE, _DIAG, _PLAN, _VIOLATIONS, _bound, _change, _diagnostics, _plan
+from changelens.sources import scip, web
 from changelens.sources.graph import star_graph as star
 
 
@@ -146,3 +147,105 @@ def d14_text(spark, sf):
     notes = c.select("nth", F.concat(F.lit("see "), "check_id").alias("note"))
     cuts = c.select("nth", "check_id", F.lit("unparsed").alias("reason"), raw.alias("artifact"), F.array("check_id", F.lit("password=x")).alias("lines"))
     return diagnostics.pack_text("Fail", "runs/1", checks, ranked, notes, cuts, git_available=False)
+
+
+_T13 = "SELECT DISTINCT 'n' || p_partkey AS project, 'n' || (p_partkey // 2) AS depends_on FROM part WHERE p_partkey > 0"
+
+
+@query("t13_propagation", f"""WITH RECURSIVE refs AS ({_T13}), same AS (SELECT 'n' || p_partkey AS project FROM part WHERE p_size % 5 = 0)
+, sel(project) AS (SELECT unnest(['n1', 'n5']) UNION SELECT r.project FROM refs r JOIN sel ON sel.project = r.depends_on WHERE r.depends_on NOT IN (SELECT project FROM same))
+SELECT project, true AS selected FROM sel UNION ALL SELECT DISTINCT r.project, false FROM refs r JOIN sel ON sel.project = r.depends_on JOIN same ON same.project = r.depends_on WHERE r.project NOT IN (SELECT project FROM sel)""", graph=False)
+def t13(spark, sf):
+    """Projects as parts, each of which depends on the one of half its number; the surfaces of some sizes are unchanged."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    name = lambda c: F.concat(F.lit("n"), c)
+    refs = p.where("p_partkey > 0").select(name("p_partkey").alias("project"), name(F.expr("p_partkey div 2")).alias("depends_on")).distinct()
+    prints = p.select(name("p_partkey").alias("project"), F.lit("a").alias("before"), F.when(F.col("p_size") % 5 == 0, "a").otherwise("b").alias("after"))
+    return traverse.propagate(spark.createDataFrame([("n1",), ("n5",)], "project string"), refs, prints)
+
+
+@query("v18_capabilities", """SELECT check_id, unnest(kinds) AS kind, project, cost FROM (SELECT 'c' || o_orderkey AS check_id, CASE o_orderkey % 3 WHEN 0 THEN ['Build', 'CrossProject'] WHEN 1 THEN ['Test', 'CallerContract'] ELSE ['StaticAnalysis'] END AS kinds, CASE o_orderkey % 3 WHEN 1 THEN 'P' || o_custkey || '.Tests' END AS project, CAST(greatest(1, o_orderkey % 4) AS INT) AS cost FROM orders WHERE o_orderkey % 5 <> 0)""", graph=False)
+def v18(spark, sf):
+    k = F.col("o_orderkey")
+    command = F.when(k % 3 == 0, "dotnet build All.sln").when(k % 3 == 1, F.format_string('dotnet test "src\\P%s.Tests.csproj" -c Release', "o_custkey")).otherwise("dotnet lint --all")
+    kind = F.when(k % 5 == 0, "format").when(k % 3 == 0, "build").when(k % 3 == 1, "Test").otherwise("analysis")
+    c = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("c"), k).alias("check_id"), kind.alias("kind"), command.alias("command"), (k % 4).cast("int").alias("cost"))
+    return evidence.capabilities(c).select("check_id", "kind", "project", "cost")
+
+
+@query("b02_candidate_kinds", f"""{_BOUND}, ck(o_kind, e_kind) AS (VALUES ('Build', 'Build'), ('CrossProject', 'Build'), ('Compatibility', 'ApiCompatibility'), ('Compatibility', 'Build'), ('Test', 'TestCase'), ('Test', 'TestRun'), ('CallerContract', 'TestCase'), ('CallerContract', 'TestRun'), ('CallerContract', 'Build'), ('TestMapping', 'TestMapping'), ('TestMapping', 'RuntimeCoverage'), ('ManualReview', 'ManualReview'), ('AppContract', 'RuntimeCoverage'), ('AppContract', 'Build'), ('AppContract', 'StaticAnalysis'), ('Architecture', 'Architecture'), ('StaticAnalysis', 'StaticAnalysis'))
+SELECT o_kind, e_kind, (SELECT count(*) FROM ob WHERE ob.kind = o_kind) AS obligations, (SELECT count(*) FROM ev WHERE ev.kind = e_kind) AS evidence FROM ck""")
+def b02(spark, sf):
+    """How many obligations and how much evidence each admitted pair of kinds has."""
+    o, e = (x.groupBy(F.col("kind").alias(k)).agg(F.count(F.lit(1)).alias(n)) for x, k, n in zip(_bound(spark, sf), ("o_kind", "e_kind"), ("obligations", "evidence"), strict=True))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return binding.candidate_kinds(spark).join(o, "o_kind", "left").join(e, "e_kind", "left").select("o_kind", "e_kind", zero("obligations"), zero("evidence"))
+
+
+@query("p06_uncertainty", f"{_CHANGE}, un(r, c, hit) AS (SELECT 'P006', 'IMPACT_LOCATION_UNKNOWN', EXISTS (SELECT 1 FROM dl WHERE kind = 'Deleted') UNION ALL SELECT 'P006', 'CALLER_POTENTIALLY_TRUNCATED', (SELECT count(*) FROM ca) > 50 UNION ALL SELECT 'P007', 'HEURISTIC_EDGE_BLOCKING', EXISTS (SELECT 1 FROM rel WHERE resolution = 'heuristic')) SELECT 'O-' || r || '-' || left(sha256(r || '|Uncertainty|' || c), 8) AS id, r AS rule_id, 'Uncertainty' AS kind, c AS subject_id, true AS required, 1 AS risk_weight, c AS reason FROM un WHERE hit")
+def p06(spark, sf):
+    """What limits a change's conclusions, as its deltas, callers and relations have it."""
+    _, _, _, callers, rel, _, deltas, _ = _change(spark, sf)
+    many = callers.select("changed_id", "caller_id", "caller_project", "is_test").distinct().limit(51).count() > 50
+    c = obligations.Completeness(location="complete" if deltas.where("kind = 'Deleted'").isEmpty() else "partial", callers_truncated=many, heuristic_edges=not rel.where("resolution = 'heuristic'").isEmpty())
+    return obligations.uncertainty(spark, c, obligations.Policy(heuristic_impact="blocking"))
+
+
+_IPAD, _OPAD = (bytes(b ^ pad for b in b"key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query("v13_attestation", f"SELECT o_orderkey, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(sha256(CAST(o_orderkey AS VARCHAR)))))) AS payload FROM orders", graph=False)
+def v13(spark, sf):
+    digest = F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", evidence.attestation_of(digest, b"key").alias("payload"))
+
+
+@query("v13_trust", """SELECT o_orderkey, o_orderkey % 4 IN (0, 2) OR o_orderkey % 4 = 1 AND o_custkey % 2 = 0 AS valid, CASE WHEN o_orderkey % 4 = 3 THEN 'UNKNOWN_PROVIDER' WHEN o_orderkey % 4 = 1 AND o_custkey % 2 = 1 THEN 'SIGNATURE_MISMATCH' WHEN o_custkey % 3 = 0 THEN 'ISSUER_NOT_TRUSTED' WHEN o_orderkey % 4 IN (0, 2) THEN 'SIGNATURE_REQUIRED' END AS reason FROM orders""", graph=False)
+def v13_trust(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    digest = F.sha2(k.cast("string").cast("binary"), 256)
+    provider = F.when(k % 4 == 3, "other").when(k % 4 == 1, "HMAC-SHA256").otherwise("None")
+    envelopes = spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey", digest.alias("statement_digest"), provider.alias("provider"), F.when(c % 3 == 0, "someone").when(c % 3 == 1, "ci").otherwise("owner").alias("signer"), F.when(c % 2 == 0, evidence.attestation_of(digest, b"key")).otherwise("00").alias("payload")
+    )
+    return evidence.trusted(envelopes, b"key", ["ci", "owner"], require_signed=True).select("o_orderkey", "valid", "reason")
+
+
+@query("d06_check_order", "WITH RECURSIVE up(i, n) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT) FROM nation WHERE n_regionkey IN (1, 3) UNION ALL SELECT i, n // 2 FROM up WHERE n > 0), fi AS (SELECT n, min(i) AS i FROM up GROUP BY n) SELECT row_number() OVER (ORDER BY i, n) - 1 AS n, 'n' || n AS check_id FROM fi", graph=False)
+def d06(spark, sf):
+    """A profile of the nations of two regions, each a check that needs the one of half its number."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_regionkey").collect()  # a profile is a short list
+    needs = {f"n{r['n_nationkey']}": [f"n{r['n_nationkey'] // 2}"] if r["n_nationkey"] else [] for r in rows}
+    profile = [f"n{r['n_nationkey']}" for r in sorted(rows, key=lambda r: r["n_nationkey"]) if r["n_regionkey"] in (1, 3)]
+    return spark.createDataFrame(list(enumerate(evidence.profile_order(profile, needs))), "n long, check_id string")
+
+
+def _field(n, data):
+    """A field of bytes in an index message, of less than 128 bytes."""
+    return F.concat(F.unhex(F.lit(f"{n << 3 | 2:02x}")), F.unhex(F.lpad(F.hex(F.length(data)), 2, "0")), data)
+
+
+@query("s07_scip_rows", "SELECT 'f' || s_suppkey || '.ts' AS doc, r AS row, sy AS symbol, ln AS start_line FROM supplier, (VALUES ('document', NULL, NULL), ('occurrence', 'a().', 5), ('occurrence', 'b().', 7), ('symbol', 'a().', 26), ('relationship', 'a().', NULL)) t(r, sy, ln)", graph=False)
+def s07(spark, sf):
+    """An index for each supplier, built as the messages that a file holds."""
+    raw = lambda b: F.unhex(F.lit(b.hex()))
+    text = lambda t: F.lit(t).cast("binary")
+    first = F.concat(_field(1, raw(bytes([4, 0, 3]))), _field(2, text("a().")), raw(bytes([3 << 3, 1])), _field(7, raw(bytes([4, 0, 9, 1]))))
+    second = F.concat(_field(1, raw(bytes([6, 0, 3]))), _field(2, text("b().")))
+    symbol = F.concat(_field(1, text("a().")), raw(bytes([5 << 3, 26])), _field(6, text("a")), _field(4, F.concat(_field(1, text("b().")), raw(bytes([3 << 3, 1])))))
+    path = F.concat(F.lit("f"), "s_suppkey", F.lit(".ts")).cast("binary")
+    index = _field(2, F.concat(_field(1, path), _field(2, first), _field(2, second), _field(3, symbol), _field(4, text("ts"))))
+    files = spark.read.parquet(f"{sf}/supplier.parquet").select(index.alias("content")).select(F.length("content").cast("long").alias("length"), "content")
+    return scip.decoded(files).select("doc", "row", "symbol", "start_line")
+
+
+_S13 = " UNION ALL ".join(
+    f"SELECT page_id, '{name}' AS relation, '{kind}' AS kind, unnest(regexp_extract_all(coalesce(html, ''), '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS target, {web.CONFIDENCE[how]} AS confidence FROM pages"
+    for name, kind, how, pattern in web.PATTERNS if name != "class"
+)
+
+
+@query("s13_web_relations", f"""WITH r AS ({_S13} UNION ALL SELECT page_id, 'class', 'UsesCss', unnest(regexp_split_to_array(c, '\\s+')), 0.85 FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '\\sclass\\s*=\\s*["'']([^"'']+)["'']', 1)) AS c FROM pages))
+SELECT page_id, relation, kind, target, CAST(confidence AS DOUBLE) AS confidence, count(*) AS uses FROM r WHERE target <> '' GROUP BY ALL""", graph=False)
+def s13(spark, sf):
+    return web.web_relations(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id", "html")

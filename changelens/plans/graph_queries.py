@@ -295,16 +295,6 @@ def t10(spark, sf):
     return traverse.deletion_impact(g.symbols, g.edges, spark.createDataFrame([("NATION_5.cs",)], "path string"), 5).select("id", "via_target")
 
 
-@query("t13_propagation", """WITH RECURSIVE refs AS (SELECT 'n' || i AS project, 'n' || (i // 2) AS depends_on FROM range(60) t(i) WHERE i <> i // 2), same AS (SELECT 'n' || i AS project FROM range(60) t(i) WHERE i % 5 = 0)
-, sel(project) AS (SELECT unnest(['n1', 'n5']) UNION SELECT r.project FROM refs r JOIN sel ON sel.project = r.depends_on WHERE r.depends_on NOT IN (SELECT project FROM same))
-SELECT project, true AS selected FROM sel UNION ALL SELECT DISTINCT r.project, false FROM refs r JOIN sel ON sel.project = r.depends_on JOIN same ON same.project = r.depends_on WHERE r.project NOT IN (SELECT project FROM sel)""", graph=False)
-def t13(spark, sf):
-    """Projects as nations; references from supplier to customer nations; public surfaces change in every third."""
-    r = spark.range(60).select(F.concat(F.lit("n"), F.col("id")).alias("project"), F.concat(F.lit("n"), F.expr("id div 2")).alias("depends_on")).where("project <> depends_on")
-    fp = spark.range(60).select(F.concat(F.lit("n"), F.col("id")).alias("project"), F.lit("a").alias("before"), F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("after"))
-    return traverse.propagate(spark.createDataFrame([("n1",), ("n5",)], "project string"), r, fp)
-
-
 _DEGREE = ", deg AS (SELECT id, sum(i) AS incoming, sum(o) AS outgoing FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM edges WHERE kind NOT IN ('Contains', 'Defines') UNION ALL SELECT target_id, 1, 0 FROM edges WHERE kind NOT IN ('Contains', 'Defines')) GROUP BY id)"
 _SCORE = f"""CAST(coalesce(incoming, 0) * 2 + coalesce(outgoing, 0) + CASE WHEN kind = 'Interface' THEN 6 ELSE 0 END + CASE WHEN kind IN ('Class', 'Struct', 'Record') AND visibility = 'public' THEN 4 ELSE 0 END + CASE WHEN visibility = 'public' THEN 2 ELSE 0 END
 + CASE WHEN regexp_matches(lower(name), 'service|handler|repository|controller|factory|provider|gateway|writer|query') THEN 3 ELSE 0 END + CASE WHEN kind = 'Constructor' THEN coalesce(outgoing, 0) ELSE 0 END + CASE WHEN {_IS_TEST} THEN -10 ELSE 0 END

@@ -11,7 +11,7 @@ from changelens.plans.base import C, query
 from changelens.plans.change_queries import _BOUND, _CHANGE, _P05, POLICY, _bound, _change
 from changelens.plans.graph_queries import _ENOUGH, _FIND, _bfs_sql, walked
 from changelens.sources import graph as G
-from changelens.sources import readers, scip, snapshots, web
+from changelens.sources import readers, snapshots
 from changelens.sources.graph import star_graph as star
 
 
@@ -30,16 +30,6 @@ def s06(spark, sf):
     return spark.read.parquet(f"{path}/metadata")
 
 
-@query("s13_web_relations", r"""WITH r AS (SELECT page_id, 'script-src' AS relation, 'Imports' AS kind, unnest(regexp_extract_all(coalesce(html, ''), '<script[^>]*\ssrc\s*=\s*["'']([^"'']+)["'']', 1)) AS target, 0.9 AS confidence FROM pages
-UNION ALL SELECT page_id, 'link-href', 'Imports', unnest(regexp_extract_all(coalesce(html, ''), '<link[^>]*\shref\s*=\s*["'']([^"'']+)["'']', 1)), 0.9 FROM pages
-UNION ALL SELECT page_id, 'class', 'UsesCss', unnest(regexp_split_to_array(c, '\s+')), 0.85 FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '\sclass\s*=\s*["'']([^"'']+)["'']', 1)) AS c FROM pages)
-UNION ALL SELECT page_id, 'element-id', 'UsesElement', unnest(regexp_extract_all(coalesce(html, ''), 'getElementById\(\s*["'']([^"'']+)["'']\s*\)', 1)), 0.6 FROM pages)
-SELECT page_id, relation, kind, target, CAST(confidence AS DOUBLE) AS confidence, count(*) AS uses FROM r WHERE target <> '' GROUP BY ALL""", graph=False)
-def s13(spark, sf):
-    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
-    return web.web_relations(p, "page_id", "html").where("relation in ('script-src', 'link-href', 'class', 'element-id')")
-
-
 @query("s27_project_references", "SELECT DISTINCT 'p' || s_suppkey AS project, 'n' || s_nationkey AS depends_on FROM supplier", graph=False)
 def s27(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet")
@@ -78,16 +68,6 @@ def s30(spark, sf):
     return snapshots.load_surface(spark, path, "abc").select("project", "kind", "qualified_name")
 
 
-@query("s07_scip_rows", "SELECT * FROM (VALUES ('document', 'x.ts', NULL, NULL), ('occurrence', 'x.ts', 'a().', 5), ('occurrence', 'x.ts', 'b().', 7), ('symbol', 'x.ts', 'a().', 26), ('relationship', 'x.ts', 'a().', NULL)) t(row, doc, symbol, start_line)", graph=False)
-def s07(spark, sf):
-    field = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
-    number = lambda n, v: bytes([n << 3, v])
-    occ = field(2, field(1, bytes([4, 0, 3])) + field(2, b"a().") + number(3, 1) + field(7, bytes([4, 0, 9, 1]))) + field(2, field(1, bytes([6, 0, 3])) + field(2, b"b()."))
-    sym = field(3, field(1, b"a().") + number(5, 26) + field(6, b"a") + field(4, field(1, b"b().") + number(3, 1)))
-    index = field(2, field(1, b"x.ts") + occ + sym + field(4, b"ts"))
-    return scip.decoded(spark.createDataFrame([(len(index), bytearray(index))], "length long, content binary")).select("row", "doc", "symbol", "start_line")
-
-
 @query("l04_contains_tier", _FIND.format(S=", ".join(f"s.{c}" for c in G.SYMBOL), C=C, q="r#000000012"))
 def l04(spark, sf):
     return lookup.find(star(spark, sf).symbols, "R#000000012")
@@ -126,11 +106,6 @@ def p05(spark, sf):
     return obligations.tests(ch, im, ca, rel, tm, POLICY).where("rule_id = 'P005'")
 
 
-@query("b02_candidate_kinds", "SELECT * FROM (VALUES ('Build', 'Build'), ('CrossProject', 'Build'), ('Compatibility', 'ApiCompatibility'), ('Compatibility', 'Build'), ('Test', 'TestCase'), ('Test', 'TestRun'), ('CallerContract', 'TestCase'), ('CallerContract', 'TestRun'), ('CallerContract', 'Build'), ('TestMapping', 'TestMapping'), ('TestMapping', 'RuntimeCoverage'), ('ManualReview', 'ManualReview'), ('AppContract', 'RuntimeCoverage'), ('AppContract', 'Build'), ('AppContract', 'StaticAnalysis'), ('Architecture', 'Architecture'), ('StaticAnalysis', 'StaticAnalysis')) t(o_kind, e_kind)", graph=False)
-def b02(spark, sf):
-    return binding.candidate_kinds(spark)
-
-
 _BUILD = ", o AS (SELECT 'o:' || id AS id, project AS subject_id, id AS sid FROM symbols), e AS (SELECT 'e:' || project || m AS id, CASE m WHEN 0 THEN 'all.sln' WHEN 1 THEN 'src/' || lower(project) || '.csproj' ELSE 'src/x/' || project || 'More.csproj' END AS target FROM (SELECT DISTINCT project, start_line % 3 AS m FROM symbols))"
 
 
@@ -245,14 +220,6 @@ def m12(spark, sf):
     return incremental.replace_projects(g, fresh, incremental.removed_projects(before_, after_)).symbols.select("id", "project", F.col("start_line").cast("int").alias("start_line"))
 
 
-@query("v13_attestation", "SELECT true AS ok, false AS forged", graph=False)
-def v13(spark, sf):
-    from changelens.operators.evidence import attestation, attested
-
-    s = attestation("digest", b"key")
-    return spark.createDataFrame([(attested("digest", s, b"key"), attested("digest", s, b"other"))], "ok boolean, forged boolean")
-
-
 @query("v19_retargeted", "SELECT o_orderkey, 'dotnet test b' || o_orderkey || '.csproj -c R' AS command FROM orders", graph=False)
 def v19(spark, sf):
     from changelens.operators.evidence import retargeted

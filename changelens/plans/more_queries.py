@@ -229,11 +229,6 @@ def v17(spark, sf):
     return evidence.cached(c, o)
 
 
-@query("v18_capabilities", "SELECT * FROM (VALUES ('b', 'Build', NULL), ('b', 'CrossProject', NULL), ('t', 'Test', 'App.Tests'), ('t', 'CallerContract', 'App.Tests')) t(check_id, kind, project)", graph=False)
-def v18(spark, sf):
-    return evidence.capabilities(spark.createDataFrame([("b", "build", "dotnet build All.sln", 2), ("t", "Test", 'dotnet test "src\\App.Tests.csproj" -c Release', None), ("x", "format", "dotnet format", 1)], "check_id string, kind string, command string, cost int")).select("check_id", "kind", "project")
-
-
 @query("v20_degradations", f"{_FLAGS} SELECT run_id, concat_ws(',', CASE WHEN a THEN 'FileWideFallback' END, CASE WHEN b THEN 'UntrackedCaptureFailed' END, CASE WHEN h > 0 THEN 'ContentHashCaptureFailed' END) AS degradations FROM r", graph=False)
 def v20(spark, sf):
     k = F.col("o_orderkey")
@@ -241,12 +236,6 @@ def v20(spark, sf):
     return evidence.degradations(r)
 
 
-@query("d06_check_order")
-def d06(spark, sf):
-    order = evidence.profile_order(["test", "lint"], {"test": ["build"], "build": ["restore"], "lint": ["restore"], "restore": []})
-    return spark.createDataFrame(list(enumerate(order)), "n int, check_id string")
-
-
 @query("d07_blocked", ", bl(id) AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 40 = 3 UNION SELECT s.s_suppkey FROM supplier s JOIN bl ON s.s_suppkey // 2 = bl.id AND s.s_suppkey > 0) SELECT CAST(s_suppkey AS VARCHAR) AS check_id, CASE WHEN s_suppkey % 40 = 3 THEN 'Fail' WHEN s_suppkey IN (SELECT id FROM bl) THEN 'Blocked' ELSE 'Pass' END AS status FROM supplier")
 def d07(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.functions.storage import kept, shared_path
-from changelens.operators import binding, cycles, diagnostics, investigation, obligations
+from changelens.operators import binding, cycles, diagnostics, evidence, investigation, obligations
 from changelens.plans.change_queries import _bound
 from changelens.streaming import watch
 
@@ -198,3 +198,13 @@ def test_pack_line(spark):
     df = spark.createDataFrame([("t.x", "E1", "a.cs", 3, "Bearer abc", "Trx", 0.5, ["line", "test"]), (None, None, None, None, "m", "Other", 1.0, [])], "test_name string, code string, file string, line int, message string, source string, confidence double, why array<string>")
     got = [r[0] for r in df.select(diagnostics.pack_line(F.col("why"))).collect()]
     assert got == ["t.x  E1  a.cs:3  Bearer ***  [trx, confidence=0.50]  {line,test}", "m  [other, confidence=1.00]"]
+
+
+def test_trust_policy(spark):
+    key = b"k" * 70
+    rows = [("d", "None", "ci", None, {"ref": "main"}), ("d", "hmac-sha256", "ci", evidence.attestation("d", key), {"branch": "main"}), ("d", "hmac-sha256", "ci", evidence.attestation("e", key), {"ref": "main"}), ("d", "x", "ci", None, None), ("d", "none", "other", None, {"ref": "main"}), ("d", "none", "ci", None, {"ref": "dev", "branch": "main"}), ("d", None, "ci", None, None)]
+    e = spark.createDataFrame(rows, "statement_digest string, provider string, signer string, payload string, claims map<string,string>")
+    got = [(r["valid"], r["reason"]) for r in evidence.trusted(e, key, ["ci"], claims={"ref": ["main"]}).collect()]
+    assert got == [(True, None), (True, None), (False, "SIGNATURE_MISMATCH"), (False, "UNKNOWN_PROVIDER"), (True, "ISSUER_NOT_TRUSTED"), (True, "CLAIM_MISMATCH:ref"), (False, "UNKNOWN_PROVIDER")]
+    got = [(r["valid"], r["reason"]) for r in evidence.trusted(e.limit(2), None, require_signed=True).collect()]
+    assert got == [(True, "SIGNATURE_REQUIRED"), (False, "KEY_MISSING")]
