@@ -31,8 +31,8 @@ SHARD = 4096
 BUCKET = 1_000
 #: Places that one task draws.
 PLACES_PER_TASK = 200_000
-#: Numbers that share a bucket in a search for ranges.
-RANGE_BUCKET = 64
+#: Numbers that share a bucket in a search for ranges, and buckets at most: beyond them buckets hold more numbers.
+RANGE_BUCKET, RANGE_BUCKETS = 64, 1 << 20
 #: Any other seed gives another mix of the same sizes.
 SEED = 7
 _WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -99,18 +99,16 @@ def offsets(docs: DataFrame) -> DataFrame:
     return joined.select(*docs.columns, (F.col("base") + F.col("inner")).alias("start"))
 
 
-def in_ranges(rows: DataFrame, at: str, ranges: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` plus ``columns`` of the range (lo, hi; not empty, none overlaps) that holds ``at``, from a join by buckets.
+def in_ranges(rows: DataFrame, at: str, ranges: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """``rows`` plus ``columns`` of the range (lo, hi; not empty, none overlaps, all below ``total``) that holds ``at``, from a join by buckets.
 
-    Ranges are whole numbers, so a bucket of ``RANGE_BUCKET`` numbers meets no
-    more ranges than that, however many there are.
+    There are ``RANGE_BUCKETS`` buckets at most, so a range of any length is in
+    no more of them. A bucket meets no more ranges than it has numbers.
     """
-    spread = ranges.select(
-        F.struct("lo", "hi", *columns).alias("range_"),
-        F.explode(F.sequence(F.expr(f"lo div {RANGE_BUCKET}"), F.expr(f"(hi - 1) div {RANGE_BUCKET}"))).alias("bucket_"),
-    )
+    width = max(RANGE_BUCKET, -(-total // RANGE_BUCKETS))
+    spread = ranges.select(F.struct("lo", "hi", *columns).alias("range_"), F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("bucket_"))
     held = spread.groupBy("bucket_").agg(F.collect_list("range_").alias("ranges_"))
-    hit = rows.withColumn("bucket_", F.expr(f"{at} div {RANGE_BUCKET}")).join(held, "bucket_")
+    hit = rows.withColumn("bucket_", F.expr(f"{at} div {width}")).join(held, "bucket_")
     one = F.filter("ranges_", lambda r: (r["lo"] <= F.col(at)) & (F.col(at) < r["hi"]))[0]
     return hit.withColumn("range_", one).select(*rows.columns, *[F.col(f"range_.{c}").alias(c) for c in columns])
 
@@ -128,7 +126,7 @@ def draws(spark: SparkSession, ranges: DataFrame, total: int, shard: int = SHARD
     """
     places = spark.range(0, total, 1, max(1, -(-total // PLACES_PER_TASK)))
     drawn = places.select(F.col("id").alias("at_"), F.pmod(F.xxhash64(F.lit(SEED), F.lit("draw"), "id"), F.lit(total)).alias("u_"))
-    found = in_ranges(drawn, "u_", ranges, ["source"])
+    found = in_ranges(drawn, "u_", ranges, ["source"], total)
     return found.select(F.expr(f"at_ div {shard}").alias("shard"), F.pmod("at_", F.lit(shard)).alias("place"), "source")
 
 
@@ -168,7 +166,7 @@ def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     held = numbered.where("slot < slots_").select(*keep)
     spare = numbered.where("slot >= slots_").select("shard", "place", (F.col("over_lo") + F.col("slot") - F.col("slots_")).alias("q_"))
     lacking = p.where("under > 0").select(F.col("under_lo").alias("lo"), (F.col("under_lo") + F.col("under")).alias("hi"), "source", F.col("drawn").alias("first"), F.col("under_lo").alias("from"))
-    moved = in_ranges(spare, "q_", lacking, ["source", "first", "from"]).withColumn("slot", F.col("first") + F.col("q_") - F.col("from"))
+    moved = in_ranges(spare, "q_", lacking, ["source", "first", "from"], total).withColumn("slot", F.col("first") + F.col("q_") - F.col("from"))
     sizes = p.select(F.col("source").alias("source_"), "source_size", "full", "blocks", "passes", "rest")
     s = written(held.unionByName(moved.select(*keep)))
     s = s.join(sizes, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")

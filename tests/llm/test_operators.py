@@ -972,3 +972,13 @@ def test_entry_lists_all(spark):
     ops = [n for n in e.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in ops) == list(range(1, 11)) and "pipeline" in e.queries()
     assert json.dumps(sorted(e.oracle_sql()))
+
+
+def test_ranges_of_any_length(spark):
+    """Billions of slots: a range is in a bounded number of buckets, and every number finds its range."""
+    bounds = [0, 1, 64, 1000, 3 * 10**9, 3 * 10**9 + 5, 7 * 10**9]
+    ranges = spark.createDataFrame([(lo, hi, f"s{lo}") for lo, hi in zip(bounds, bounds[1:])], "lo long, hi long, source string")
+    rng = random.Random(4)
+    at = sorted({0, 1, 63, 64, 999, 1000, *bounds[4:6], bounds[-1] - 1, *(rng.randrange(bounds[-1]) for _ in range(500))})
+    got = mixing.in_ranges(spark.createDataFrame([(x,) for x in at], "u long"), "u", ranges, ["source"], bounds[-1])
+    assert {(r["u"], r["source"]) for r in got.collect()} == {(x, f"s{max(b for b in bounds if b <= x)}") for x in at}
