@@ -41,7 +41,7 @@ bsd-2-clause | 88 | 2 clause bsd | 2 clause bsd(?: license)?
 bsd-2-clause | 88 | two clause bsd | two clause bsd(?: license)?
 bsd-2-clause | 74 | opensource org | opensource org licenses bsd 2 clause
 bsd-2-clause-patent | 92 | bsd 2 clause plus patent | bsd 2 clause plus patent(?: license)?
-bsd-3-clause | 96 | neither the name | neither the names? of [^ ]+(?: [^ ]+){0,8} nor the names of (?:its|their|any)(?: [^ ]+)? contributors may be used to endorse
+bsd-3-clause | 96 | contributors may be used to endorse | neither the names? of [^ ]+(?: [^ ]+){0,8} nor the names of (?:its|their|any)(?: [^ ]+)? contributors may be used to endorse
 bsd-3-clause | 94 | neither the name | neither the name of the copyright holder nor the names of its contributors
 bsd-3-clause | 88 | 3 clause bsd | 3 clause bsd(?: license)?
 bsd-3-clause | 88 | three clause bsd | three clause bsd(?: license)?
@@ -162,7 +162,7 @@ artistic-2 | 88 | artistic license | artistic license(?: version)? 2 0
 artistic | 84 | same terms as perl | under the same terms as perl(?: itself| 5)?
 python-2 | 90 | python software foundation license | python software foundation license(?: version)? 2
 python-2 | 88 | psf license agreement | psf license agreement for python
-ruby | 86 | ruby license | ruby s? ?license
+ruby | 86 | ruby | ruby (?:s )?license
 php-3.01 | 90 | php license | version 3 0?1 of the php license
 php-3.01 | 84 | php license | php license version 3 0?1
 zend-2 | 86 | zend license | zend license version 2 0
@@ -218,7 +218,7 @@ oracle-bcl | 82 | binary code license | oracle binary code license(?: agreement)
 ofl-1.1 | 95 | sil open font license | this font software is licensed under the sil open font license version 1 1
 ofl-1.1 | 88 | font software | the font software may be sold as part of a larger software package
 ofl | 78 | scripts sil org | scripts sil org ofl
-ofl | 80 | reserved font name | with reserved font names?
+ofl | 80 | with reserved font | with reserved font names?
 ubuntu-font-1 | 88 | ubuntu font | ubuntu font licen[sc]e version 1 0
 gust-font | 84 | gust font license | gust font license
 odbl-1 | 92 | open database license | (?:made available|licensed) under the open database license
@@ -271,12 +271,12 @@ research-only | 64 | research purposes only | (?:for )?(?:non commercial )?resea
 evaluation-only | 62 | evaluation purposes only | (?:for )?evaluation purposes only
 non-commercial | 64 | commercial use | (?:not for|no) commercial use
 non-commercial | 62 | non commercial | for non commercial (?:use|purposes)(?: only)?
-non-commercial | 60 | personal use only | for personal(?: non commercial)? use only
+non-commercial | 60 | use only | for personal(?: non commercial)? use only
 no-derivatives | 60 | derivative works | no derivative works(?: are)?(?: permitted| allowed)?
 educational-only | 60 | educational use only | (?:for )?educational use only
-proprietary | 66 | trade secret | contains? (?:confidential|proprietary)(?: and (?:confidential|proprietary))? information and trade secrets?
+proprietary | 66 | information and trade | contains? (?:confidential|proprietary)(?: and (?:confidential|proprietary))? information and trade secrets?
 proprietary | 64 | strictly prohibited | unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|work)(?: [^ ]+){0,6} is strictly prohibited
-proprietary | 64 | written permission | may not be (?:copied|reproduced|distributed|used)(?: [^ ]+){0,8} without (?:the )?(?:prior|express|explicit)? ?written permission
+proprietary | 64 | written permission | may not be (?:copied|reproduced|distributed|used)(?: [^ ]+){0,8} without (?:the )?(?:(?:prior|express|explicit) )?written permission
 proprietary | 62 | end user license agreement | end user license agreement
 proprietary | 60 | license key | requires a valid license key
 """
