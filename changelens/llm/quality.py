@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import map_arrow
+from changelens.llm.common import map_arrow, map_batches
 
 # Very common words of each language, lower case.
 COMMON_WORDS = {
@@ -174,7 +174,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         )
 
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    rows = known.mapInArrow(sums, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
+    rows = map_batches(known, sums, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
     for r in rows.collect():  # languages x bins: a fixed number
         at = out.setdefault(r["lang"], (np.zeros(len(CLASSES), np.int64), np.zeros(len(PLACE) + 1, np.int64)))
         at[r["kind"]][r["bin"]] = r["n"]
