@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import CALLABLE_KINDS, display_name, path_key, project_path_key, same_text, slashes
-from changelens.sources.graph import SYMBOL
+from changelens.functions.storage import kept
+from changelens.sources.graph import GRAM, SYMBOL, Graph, grams_of, holding
 
 
 def name_order() -> list[Column]:
@@ -44,6 +45,25 @@ def find(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return kept.orderBy(*order).limit(max(1, limit)).select(*SYMBOL, "score")
 
 
+def find_stored(graph: Graph, query: str, limit: int = 20, lists: int = 4) -> DataFrame:
+    """L-04: ``find`` on a stored graph, by the postings of the query's rarest ``lists`` grams.
+
+    Ids that stand in all of these postings, and the query as an id, are read from
+    the symbols and ranked by ``find``, which tests the whole query again. Queries
+    of less than three characters have no gram and read all symbols.
+    """
+    text = query.lower()
+    if graph.postings is None or len(text) < GRAM:
+        return find(graph.symbols, query, limit)
+    spark = graph.symbols.sparkSession
+    grams = [r["gram"] for r in spark.range(1).select(F.explode(grams_of(F.lit(text))).alias("gram")).collect()]  # of the query
+    counts = {r["gram"]: r["n"] for r in graph.grams.where(F.col("gram").isin(grams)).collect()}
+    chosen = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:lists]
+    ids = graph.postings.where(F.col("gram").isin(chosen)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(chosen)).select("id")
+    ids = kept(ids.unionByName(spark.range(1).select(F.lit(query).alias("id"))).distinct())
+    return find(by_ids(holding(graph.symbols, "id", ids, "id"), ids), query, limit)
+
+
 def by_ids(symbols: DataFrame, ids: DataFrame) -> DataFrame:
     """L-06: symbols with an id of ``ids`` (id); unknown ids give nothing."""
     return symbols.join(ids.select("id").distinct(), "id", "left_semi").select(*SYMBOL)

@@ -4,18 +4,21 @@ Each level joins the frontier with the edges, keeps the least via edge of every
 new node (a minimum, combined before the shuffle) and drops visited nodes. A
 level is written to the shared folder, so plans stay short and lost executors
 cost one level. Roots are not visited at first: on a cycle a root comes back at
-the cycle's length, unless ``root_returns`` is false.
+the cycle's length, unless ``root_returns`` is false. Of edges that are stored
+by the end where a level starts, each level reads the folders of its frontier.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import FLOW_HTTP_KINDS, FLOW_UI_KINDS, REFERENCE_KINDS, STRUCTURAL_KINDS, enough
 from changelens.functions.storage import kept, shared_path
 from changelens.operators.relations import callers, di_narrowed
-from changelens.sources.graph import SYMBOL, VIA
+from changelens.sources.graph import SYMBOL, VIA, holding
 
 PROFILES = {"code": REFERENCE_KINDS, "app": sorted({*REFERENCE_KINDS, *FLOW_HTTP_KINDS, *FLOW_UI_KINDS})}
 FLOWS = {"http": FLOW_HTTP_KINDS, "ui": FLOW_UI_KINDS, "all": sorted({*FLOW_HTTP_KINDS, *FLOW_UI_KINDS})}
@@ -30,13 +33,13 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool, via_order
     """
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     via = F.struct(*via_order, *[c for c in ("source_id", "target_id", "kind", "line", "resolution_kind", "confidence") if c not in via_order])
-    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("id"), via.alias("via"))
+    steps = [F.col(near).alias("at"), F.col(far).alias("id"), via.alias("via")]
     start = roots.select("root_id").distinct()
     frontier = start.select("root_id", F.col("root_id").alias("at"))
     visited = start.select("root_id", F.col("root_id").alias("id")) if not root_returns else None
-    levels = []
+    levels, counts = [], []
     for level in range(1, depth + 1):
-        reached = frontier.join(steps, "at").groupBy("root_id", "id").agg(F.min("via").alias("via"))
+        reached = frontier.join(holding(edges, near, frontier, "at").select(*steps), "at").groupBy("root_id", "id").agg(F.min("via").alias("via"))
         if visited is not None:
             reached = reached.join(visited, ["root_id", "id"], "left_anti")
         reached = kept(reached.withColumn("depth", F.lit(level)))
@@ -45,7 +48,8 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool, via_order
         visited = seen if visited is None else visited.unionByName(seen)
         frontier = seen.withColumnRenamed("id", "at")
         if per_root is not None and level < depth:
-            full = visited.join(known, "id", "left_semi").groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= per_root)
+            counts.append(kept(reached.join(known, "id", "left_semi").groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))))
+            full = reduce(DataFrame.unionByName, counts).groupBy("root_id").agg(F.sum("n").alias("n")).where(F.col("n") >= per_root)
             frontier = frontier.join(full, "root_id", "left_anti")
         if level < depth and not frontier.limit(1).count():
             break
@@ -60,7 +64,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool, via_order
 
 
 def _named(reached: DataFrame, symbols: DataFrame) -> DataFrame:
-    return reached.join(symbols.select(*SYMBOL), "id").select(*IMPACT)
+    return reached.join(holding(symbols, "id", reached, "id").select(*SYMBOL), "id").select(*IMPACT)
 
 
 def single_root(symbols: DataFrame, root_id: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changelens.functions import exprs as X
-from changelens.functions.storage import kept
+from changelens.functions.storage import kept, shared_path
 from changelens.operators import arch, lookup, rank, relations, traverse
 from changelens.plans.base import C, E, S, V, query
 from changelens.sources import graph as G
@@ -20,6 +20,13 @@ def walked(spark, sf):
     return g
 
 
+def stored(spark, sf):
+    """The graph saved to the shared folder and loaded: by either end of its edges, with postings of its names."""
+    path = shared_path(spark)
+    G.save(star(spark, sf), path)
+    return G.load(spark, path)
+
+
 _IS_TEST = "(lower(project) LIKE '%.tests' OR lower(name) LIKE '%tests' OR ('/' || lower(replace(relative_path, chr(92), '/')) || '/') LIKE '%/test/%' OR ('/' || lower(replace(relative_path, chr(92), '/')) || '/') LIKE '%/tests/%' OR ('/' || lower(relative_path) || '/') LIKE '%tests.cs/%')"
 _ENOUGH = "(e.confidence IS NULL OR e.confidence >= {})"
 _CODE = "('References', 'Calls', 'Constructs', 'UsesType', 'Implements', 'Inherits')"
@@ -68,6 +75,16 @@ SELECT {C}, score FROM h WHERE tier = (SELECT max(tier) FROM h) AND score // 100
 ORDER BY score DESC, starts_with(project, 'external:'), qualified_name, coalesce(signature, ''), id LIMIT 20"""
 
 
+@query("l04_find_postings", _FIND.format(S=S, C=C, q="er#"))
+def l04_postings(spark, sf):
+    return lookup.find_stored(stored(spark, sf), "er#")
+
+
+@query("l04_find_postings_long", _FIND.format(S=S, C=C, q="#000000042"))
+def l04_postings_long(spark, sf):
+    return lookup.find_stored(stored(spark, sf), "#000000042")
+
+
 @query("l01_find_contains", _FIND.format(S=S, C=C, q="er#00000001"))
 def l01(spark, sf):
     return lookup.find(star(spark, sf).symbols, "er#00000001")
@@ -226,6 +243,18 @@ def t02(spark, sf):
     return traverse.impact(g.symbols, g.edges, traverse.single_root(g.symbols, "s:1"), 3)
 
 
+@query("t01_callees_stored", _bfs_sql("edges", "c:3", 3, False, "e.source_id, e.target_id", f"e.kind = 'Calls' AND {_ENOUGH.format(0.93)}"))
+def t01_stored(spark, sf):
+    g = stored(spark, sf)
+    return traverse.callees(g.symbols, g.forward, "c:3", 3, 0.93)
+
+
+@query("t02_impact_stored", _bfs_sql("edges", "s:2", 3, True, "e.source_id, e.kind, e.target_id, e.line", f"e.kind IN {_CODE}"))
+def t02_stored(spark, sf):
+    g = stored(spark, sf)
+    return traverse.impact(g.symbols, g.edges, traverse.single_root(g.symbols, "s:2"), 3)
+
+
 @query("t02_impact_app_di", _PICK + _bfs_sql("narrowed", "p:2", 2, True, "e.source_id, e.kind, e.target_id, e.line", f"e.kind IN {_APP}"))
 def t02_app(spark, sf):
     g = walked(spark, sf)

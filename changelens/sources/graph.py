@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from changelens.functions.exprs import STRUCTURAL_KINDS
 
 SCHEMA_VERSION = "4"
+GRAM = 3
 SYMBOL = ["id", "project", "relative_path", "kind", "name", "qualified_name", "signature", "start_line", "end_line", "visibility", "language"]
 VIA = ["via_source", "via_target", "via_kind", "via_line", "via_resolution", "via_confidence"]
 
@@ -46,6 +49,7 @@ class Graph:
     """files(id, project, relative_path, ...), symbols joined with their file, and typed edges.
 
     ``forward`` are the edges as stored by source, for walks along them; ``edges`` of a stored graph lie by target.
+    ``postings`` (gram, id) and ``grams`` (gram, n) are the stored index of names.
     """
 
     files: DataFrame
@@ -53,6 +57,8 @@ class Graph:
     edges: DataFrame
     di: DataFrame | None = None
     forward: DataFrame | None = None
+    postings: DataFrame | None = None
+    grams: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.forward = self.edges if self.forward is None else self.forward
@@ -76,26 +82,68 @@ class NotReadable(RuntimeError):
     """The stored graph is being built or has another version."""
 
 
-def save(graph: Graph, path: str, analyzer_versions: dict[str, str] | None = None) -> None:
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def grams_of(text: Column) -> Column:
+    """The distinct runs of three characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: text.substr(i, F.lit(GRAM))))
+
+
+def name_postings(symbols: DataFrame) -> DataFrame:
+    """gram, id: the runs of three characters of qualified and plain names, in lower case."""
+    names = symbols.select("id", F.explode(F.array(F.lower("qualified_name"), F.lower("name"))).alias("text")).where(F.length("text") >= GRAM)
+    return names.select(F.explode(grams_of(F.col("text"))).alias("gram"), "id").distinct()
+
+
+def save(graph: Graph, path: str, analyzer_versions: dict[str, str] | None = None, buckets: int = 16) -> None:
     """S-05/S-06: tables and metadata below ``path``; the state is set to ready last.
 
-    Symbols lie by id, edges by target and once more by source, so that lookups
-    read the row groups that hold their keys. Ranges are cut by both ends: a hub
-    with many edges spreads over several.
+    Symbols lie by id, edges by target and once more by source: in folders by the
+    hash of that key, sorted by it inside, so that ``holding`` reads the folders
+    and row groups of the keys wanted. ``buckets`` should grow with the graph, to
+    leave about a gigabyte in each. Ranges are cut by both ends: a hub with many
+    edges spreads over several files of its folder. Postings lie by gram and id.
     """
     spark = graph.symbols.sparkSession
+    layout = []
 
     def put(df: DataFrame, name: str, *by: str) -> None:
         df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def deal(df: DataFrame, name: str, *by: str) -> None:
+        df = df.drop("bucket").withColumn("bucket", bucket_of(F.col(by[0]), buckets))
+        df.repartitionByRange("bucket", *by).sortWithinPartitions("bucket", *by).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        layout.append((name, by[0], buckets, df.schema.json()))
+
     put(graph.files, "files", "project", "relative_path")
-    put(graph.symbols, "symbols", "id")
-    put(graph.edges, "edges", "target_id", "source_id")
-    put(graph.edges, "edges_by_source", "source_id", "target_id")
+    deal(graph.symbols, "symbols", "id")
+    deal(graph.edges, "edges", "target_id", "source_id")
+    deal(graph.edges, "edges_by_source", "source_id", "target_id")
+    put(name_postings(graph.symbols), "postings", "gram", "id")
+    put(spark.read.schema("gram string, id string").parquet(f"{path}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams", "gram")
+    spark.createDataFrame(layout, "name string, key string, buckets int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     meta = {"schema_version": SCHEMA_VERSION, "state": "ready", **{f"analyzer:{k}": v for k, v in (analyzer_versions or {}).items()}}
     spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def holding(stored: DataFrame, key: str, wanted: DataFrame, column: str) -> DataFrame:
+    """The part of a stored table that can hold rows whose ``key`` is in ``wanted.column``, without its other folders and row groups.
+
+    Rows of other keys may remain. A table that does not lie by ``key``, and rows
+    that were added to a stored table, come back whole. One job over ``wanted``;
+    the driver gets the numbers of the folders, the least and the largest key.
+    """
+    lies = stored.schema["bucket"].metadata if "bucket" in stored.columns else {}
+    if lies.get("key") != key:
+        return stored
+    found = wanted.agg(F.collect_set(bucket_of(F.col(column), lies["buckets"])).alias("at"), F.min(column).alias("least"), F.max(column).alias("most")).first()
+    if found["least"] is None:
+        return stored.limit(0)
+    return stored.where((F.col("bucket").isNull() | F.col("bucket").isin(sorted(found["at"]))) & F.col(key).between(found["least"], found["most"]))
+
+
 def load(spark: SparkSession, path: str, analyzer_versions: dict[str, str] | None = None) -> Graph:
     """S-01, S-04: the stored graph, after the checks of state, schema and analyzer versions."""
     meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}  # a handful of keys
@@ -106,7 +154,17 @@ def load(spark: SparkSession, path: str, analyzer_versions: dict[str, str] | Non
     for k, v in (analyzer_versions or {}).items():
         if meta.get(f"analyzer:{k}", v) != v:
             raise NotReadable(f"analyzer {k} has another version")
-    return Graph(*(spark.read.parquet(f"{path}/{t}") for t in ("files", "symbols", "edges")), forward=spark.read.parquet(f"{path}/edges_by_source"))
+    layout = {r["name"]: r for r in spark.read.parquet(f"{path}/layout").collect()}  # three rows
+
+    def dealt(name: str) -> DataFrame:
+        row = layout[name]
+        table = spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(f"{path}/{name}")
+        return table.withMetadata("bucket", {"key": row["key"], "buckets": row["buckets"]})
+
+    return Graph(
+        spark.read.parquet(f"{path}/files"), dealt("symbols"), dealt("edges"), forward=dealt("edges_by_source"),
+        postings=spark.read.schema("gram string, id string").parquet(f"{path}/postings"), grams=spark.read.schema("gram string, n long").parquet(f"{path}/grams"),
+    )
 
 
 def architecture_projection(graph: Graph, exclude_heuristic: bool = False) -> Graph:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions import exprs as X
 from changelens.operators import arch, incremental, lookup, rank, relations, traverse
 from changelens.sources import graph as G
+from tests.conftest import rows
 
 SYMBOLS = "id string, file_id string, project string, relative_path string, kind string, name string, qualified_name string, signature string, start_line int, end_line int, visibility string, language string"
 EDGES = "source_id string, target_id string, kind string, line int, resolution_kind string, confidence double"
@@ -218,3 +219,61 @@ def test_plans_push_down_and_avoid_python(spark, sf):
     assert "Python" not in plan and "CartesianProduct" not in plan
     plan = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey = 5").select("l_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "PushedFilters" in plan
+
+
+def _stored(spark, sf, tmp_path):
+    g = G.star_graph(spark, sf)
+    G.save(g, str(tmp_path / "g"))
+    return g, G.load(spark, str(tmp_path / "g"))
+
+
+def test_stored_adjacency_reads_the_folders_of_a_frontier(spark, sf, tmp_path):
+    g, got = _stored(spark, sf, tmp_path)
+    assert G.Graph(g.files, got.symbols, got.edges).forward.schema["bucket"].metadata == {"key": "target_id", "buckets": 16}
+    one = traverse.single_root(got.symbols, "s:1")
+    near = G.holding(got.edges.where("kind = 'Calls'"), "target_id", one, "root_id")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(isnull(bucket" in plan and "GreaterThanOrEqual(target_id,s:1)" in plan
+    assert {r["target_id"] for r in near.select("target_id").distinct().collect()} == {"s:1"}
+    assert rows(near.drop("bucket")) == rows(g.edges.where("kind = 'Calls' and target_id = 's:1'"))
+    assert G.holding(got.edges, "source_id", one, "root_id") is got.edges and G.holding(g.edges, "target_id", one, "root_id") is g.edges
+    assert G.holding(got.edges, "target_id", one.limit(0), "root_id").count() == 0
+    for depth in (1, 3):
+        assert rows(traverse.impact(got.symbols, got.edges, one, depth)) == rows(traverse.impact(g.symbols, g.edges, one, depth))
+    assert rows(traverse.callees(got.symbols, got.forward, "c:1", 3)) == rows(traverse.callees(g.symbols, g.edges, "c:1", 3))
+    # Either order of the edges gives the same rows, and so do edges that came after the graph was stored.
+    assert rows(traverse.callees(got.symbols, got.edges, "c:1", 2)) == rows(traverse.callees(g.symbols, g.edges, "c:1", 2))
+    more = edges(spark, ("c:5", "s:1", "Calls", None))
+    assert rows(traverse.impact(got.symbols, got.edges.unionByName(more, allowMissingColumns=True), one, 2)) == rows(traverse.impact(g.symbols, g.edges.unionByName(more), one, 2))
+    assert traverse.impact(got.symbols, got.edges, one.limit(0), 2).count() == 0
+
+
+def test_stored_graph_may_be_empty_and_stored_again(spark, tmp_path):
+    s = letters(spark)
+    g = G.Graph(s.select(F.col("file_id").alias("id"), "project", "relative_path", "language"), s, edges(spark, ("a", "b", "Calls", None)).limit(0))
+    G.save(g, str(tmp_path / "g"))
+    got = G.load(spark, str(tmp_path / "g"))
+    assert got.edges.count() == 0 and got.symbols.count() == s.count()
+    assert traverse.callees(got.symbols, got.forward, "a", 2).count() == 0
+    G.save(got, str(tmp_path / "h"), buckets=3)
+    again = G.load(spark, str(tmp_path / "h"))
+    assert rows(again.symbols.drop("bucket")) == rows(s) and again.symbols.schema["bucket"].metadata["buckets"] == 3
+
+
+def test_a_root_stops_where_its_nearest_rows_are_complete(spark):
+    s = letters(spark, "abcd")
+    e = edges(spark, ("b", "a", "Calls", None), ("c", "b", "Calls", None), ("d", "c", "Calls", None))
+    roots = spark.createDataFrame([("a",)], "root_id string")
+    for returns in (True, False):
+        got = {n: sorted(r["id"] for r in traverse.impact(s, e, roots, 3, root_returns=returns, per_root=n).collect()) for n in (1, 2, 3)}
+        assert got == {1: ["b"], 2: ["b", "c"], 3: ["b", "c", "d"]}
+
+
+def test_find_on_a_stored_graph(spark, sf, tmp_path):
+    g, got = _stored(spark, sf, tmp_path)
+    name = g.symbols.where("kind = 'Class'").orderBy("id").first()
+    for q in ("er#", "SUPPLIER#000000001", "s:1", "c:12", "Customer.", "er", "#", "zzzz", "0000000", name["name"], name["qualified_name"].upper(), "a%b", "Customer.Customer#000000007()"):
+        assert rows(lookup.find_stored(got, q)) == rows(lookup.find(g.symbols, q)), q
+    assert rows(lookup.find_stored(g, "er#")) == rows(lookup.find(g.symbols, "er#"))
+    near = got.postings.where(F.col("gram").isin(["er#"]))
+    assert "In(gram" in near._jdf.queryExecution().executedPlan().toString() or "EqualTo(gram,er#)" in near._jdf.queryExecution().executedPlan().toString()
