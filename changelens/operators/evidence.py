@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.exprs import blank, slashes
+from changelens.functions.wire import wire_json
 from changelens.operators.binding import coverage_hits
 from changelens.operators.obligations import mapped_tests
 
+#: Fields of a certificate's statement, in their fixed order.
+STATEMENT_FIELDS = ["schema_version", "base_revision", "head_revision", "verdict", "impact", "plan", "evidence", "evaluation", "source_digest", "toolchain", "verification_plan", "constraints", "artifact_manifest"]
 REFS = "array<struct<id:string,project:string,name:string>>"
 
 
@@ -220,3 +223,43 @@ def trusted(envelopes: DataFrame, key: bytes | None, issuers: list[str] | None =
         said = F.coalesce(F.col("claims")["ref"], F.col("claims")["branch"]) if name == "ref" else F.col("claims")[name]
         doubted = doubted.when(~F.coalesce(said.isin(*allowed), F.lit(False)), f"CLAIM_MISMATCH:{name}")
     return envelopes.withColumn("valid", broken.isNull()).withColumn("reason", F.coalesce(broken, doubted)).withColumn("trusted", F.col("reason").isNull())
+
+
+def with_section(certificates: DataFrame, name: str, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Certificates (``key``, ...) with the array ``name`` of their ``rows``, sorted by ``order`` and then all else; none: an empty array.
+
+    A section is what one change has; rows of a whole repository are hashed by ``binding.canonical_digest``.
+    """
+    fields = [c for c in rows.columns if c != key]
+    keyed = F.struct(F.struct(*order, *[c for c in fields if c not in order]).alias("by"), F.struct(*fields).alias("row"))
+    one = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["row"]).alias(name))
+    return certificates.join(one, key, "left").withColumn(name, F.coalesce(name, F.array().cast(one.schema[name].dataType)))
+
+
+def statements(certificates: DataFrame) -> DataFrame:
+    """V-05: certificates with ``statement``, the JSON of their statement's fields, and its SHA-256 ``statement_digest``.
+
+    Missing fields are null. Further columns (run id, attestation) stay and do not count.
+    """
+    have = [F.col(c) if c in certificates.columns else F.lit(None).cast("string").alias(c) for c in STATEMENT_FIELDS]
+    whole = certificates.withColumn("statement__", F.struct(*have))
+    text = wire_json(F.col("statement__"), whole.schema["statement__"].dataType)
+    return whole.withColumn("statement", text).withColumn("statement_digest", F.sha2(F.col("statement").cast("binary"), 256)).drop("statement__")
+
+
+def write_certificates(certificates: DataFrame, path: str, key: str) -> None:
+    """S-25: a folder for each certificate (``key``, one row each) with the JSON of all its columns but the key."""
+    fields = [c for c in certificates.columns if c != key]
+    whole = certificates.select(key, F.struct(*fields).alias("c"))
+    whole.select(key, wire_json(F.col("c"), whole.schema["c"].dataType).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+
+
+def summaries(certificates: DataFrame, obligations: DataFrame, key: str) -> DataFrame:
+    """S-25: the summary beside each certificate: verdict, digests, counts and its unresolved obligations.
+
+    obligations: ``key``, rule_id, claim, status, reason_code, subject_id, file; what is not PROVEN is unresolved, by rule and claim.
+    """
+    counts = obligations.groupBy(key).agg(F.count_if(F.col("status") == "PROVEN").alias("proven_count"), F.count_if(F.col("status") != "PROVEN").alias("unresolved_count"))
+    heads = certificates.select(key, "verdict", "source_digest", "statement_digest").join(counts, key, "left").fillna(0, ["proven_count", "unresolved_count"])
+    open_ = obligations.where("status <> 'PROVEN'").select(key, "rule_id", "claim", "status", "reason_code", "subject_id", "file")
+    return with_section(heads, "unresolved", open_, key, ["rule_id", "claim"])

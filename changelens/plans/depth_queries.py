@@ -249,3 +249,37 @@ _S13 = " UNION ALL ".join(
 SELECT page_id, relation, kind, target, CAST(confidence AS DOUBLE) AS confidence, count(*) AS uses FROM r WHERE target <> '' GROUP BY ALL""", graph=False)
 def s13(spark, sf):
     return web.web_relations(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id", "html")
+
+
+_CERT = r"""WITH ev AS (SELECT l_orderkey AS k, string_agg('    {' || chr(10) || '      "id": "' || l_linenumber || '",' || chr(10) || '      "kind": "' || l_returnflag || '\u002B' || l_linestatus || '",' || chr(10) || '      "passed": ' || CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END || chr(10) || '    }', ',' || chr(10) ORDER BY CAST(l_linenumber AS VARCHAR), l_returnflag || '+' || l_linestatus, l_quantity > 25) AS evidence FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey)
+, st AS (SELECT o_orderkey AS k, o_orderstatus AS v, '{' || chr(10) || concat_ws(',' || chr(10), '  "schemaVersion": 3', '  "baseRevision": "b' || o_custkey || '"', '  "headRevision": "h' || o_orderkey || '"', '  "verdict": "' || o_orderstatus || '"', '  "impact": null', '  "plan": null',
+ '  "evidence": ' || CASE WHEN evidence IS NULL THEN '[]' ELSE '[' || chr(10) || evidence || chr(10) || '  ]' END, '  "evaluation": null', '  "sourceDigest": ' || CASE WHEN o_custkey % 3 = 0 THEN 'null' ELSE '"' || sha256(CAST(o_orderkey AS VARCHAR)) || '"' END, '  "toolchain": null', '  "verificationPlan": null', '  "constraints": null', '  "artifactManifest": null') || chr(10) || '}' AS statement FROM orders LEFT JOIN ev ON o_orderkey = k)
+"""
+
+
+def _certificates(spark, sf):
+    o, i = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    k = F.col("o_orderkey")
+    source = F.when(F.col("o_custkey") % 3 != 0, F.sha2(k.cast("string").cast("binary"), 256))
+    heads = o.select(k.alias("k"), F.lit(3).alias("schema_version"), F.concat(F.lit("b"), "o_custkey").alias("base_revision"), F.concat(F.lit("h"), k).alias("head_revision"), F.col("o_orderstatus").alias("verdict"), source.alias("source_digest"))
+    rows = i.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("id"), F.concat("l_returnflag", F.lit("+"), "l_linestatus").alias("kind"), (F.col("l_quantity") > 25).alias("passed"))
+    return evidence.statements(evidence.with_section(heads, "evidence", rows, "k", ["id"]))
+
+
+@query("v05_statement_json", f"{_CERT} SELECT k, statement, sha256(statement) AS statement_digest FROM st", graph=False)
+def v05_statement(spark, sf):
+    return _certificates(spark, sf).select("k", "statement", "statement_digest")
+
+
+@query("s25_certificates", f"""{_CERT}, b AS (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_returnflag <> 'N') AS open, count(*) FILTER (WHERE l_returnflag = 'N') AS good FROM lineitem GROUP BY l_orderkey)
+SELECT v AS folder, count(*) AS documents, CAST(sum(coalesce(good, 0)) AS BIGINT) AS proven, CAST(sum(coalesce(open, 0)) AS BIGINT) AS unresolved, max(sha256(statement)) AS last_digest FROM st LEFT JOIN b USING (k) GROUP BY v""", graph=False)
+def s25_certificates(spark, sf):
+    """Summaries written as documents below a folder for each verdict and read back."""
+    c = _certificates(spark, sf)
+    i = spark.read.parquet(f"{sf}/lineitem.parquet")
+    o = i.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("rule_id"), F.concat(F.lit("claim "), F.col("l_linenumber")).alias("claim"), F.when(F.col("l_returnflag") == "N", "PROVEN").otherwise("UNRESOLVED").alias("status"), F.lit(None).cast("string").alias("reason_code"), F.concat(F.lit("p:"), "l_partkey").alias("subject_id"), F.lit(None).cast("string").alias("file"))
+    path = shared_path(spark)
+    evidence.write_certificates(evidence.summaries(c, o, "k").withColumn("folder", F.col("verdict")).drop("k"), path, "folder")
+    text = spark.read.option("lineSep", "\n}\n").text(path).select("folder", F.concat("value", F.lit("\n}")).alias("value"))
+    back = text.select("folder", F.from_json("value", "statementDigest string, provenCount long, unresolvedCount long, unresolved array<struct<ruleId:string>>").alias("d"))
+    return back.groupBy("folder").agg(F.count(F.lit(1)).alias("documents"), F.sum("d.provenCount").alias("proven"), F.sum(F.greatest(F.size("d.unresolved"), F.lit(0)).cast("long")).alias("unresolved"), F.max("d.statementDigest").alias("last_digest"))

@@ -138,3 +138,59 @@ def test_index_file(spark, tmp_path):
     g = scip.to_graph("demo", *scip.tables(scip.read_indexes(spark, str(tmp_path / "i.scip"))))
     assert {(r["name"], r["kind"], r["start_line"], r["end_line"]) for r in g.symbols.collect()} == {("a", "Method", 5, 10), ("b().", "Class", 21, 23)}
     assert {(r["source_id"][-5:], r["kind"], r["line"]) for r in g.edges.collect()} == {("%28%29."[-5:], "References", 7), ("28%29."[-5:], "Implements", None), ("28%29."[-5:], "ImplementedBy", None)}
+
+
+def test_wire_json_equals_a_plain_writer(spark):
+    import hashlib
+    import json
+    import re
+
+    from changelens.operators import evidence
+    from changelens.functions.wire import camel, wire_json
+
+    texts = ["", "plain", 'a"b\\c/d', "x<y>&'z'+`~", "tab\tnl\ncr\rbell\x07del\x7f", "é漢\U0001f600", "\b\f", None]
+    numbers = [0.0, 1.0, 0.9, 0.0001, 0.00001, 1.25e-7, 123456.789, 1e14, 1e15, 1.5e20, -2.5, None]
+    cols = "k int, schema_version int, base_revision string, impact array<struct<display_name:string,confidence:double,tags:array<string>>>, toolchain struct<sdk:string,ok:boolean>"
+    data = [(n, 3, t, None if n == 3 else [(t, x, [t, "q"] if n % 2 else []) for x in numbers[: n * 2]], None if n == 2 else (t, n % 2 == 0)) for n, t in enumerate(texts)]
+    got = {r["k"]: r for r in evidence.statements(spark.createDataFrame(data, cols)).collect()}
+
+    def plain(v):
+        form = {0.0: "0", 1.0: "1", 0.00001: "1E-05", 1.25e-7: "1.25E-07", 1e14: "100000000000000", 1e15: "1E+15", 1.5e20: "1.5E+20"}
+        marks: list[str] = []
+
+        def walk(x):
+            if isinstance(x, float):
+                marks.append(form.get(x, repr(x)))
+                return f"@@{len(marks) - 1}@@"
+            return {a: walk(b) for a, b in x.items()} if isinstance(x, dict) else [walk(b) for b in x] if isinstance(x, list) else x
+
+        out = json.dumps(walk(v), indent=2, ensure_ascii=True)
+        out = re.sub(r"\\u([0-9a-f]{4})", lambda m: "\\u" + m[1].upper(), out).replace('\\"', "\\u0022").replace("\x7f", "\\u007F")
+        for c in "<>&'+`":
+            out = out.replace(c, f"\\u{ord(c):04X}")
+        return re.sub('"@@([0-9]+)@@"', lambda m: marks[int(m[1])], out)
+
+    for k, v, base, impact, tool in data:
+        want = dict.fromkeys(camel(c) for c in evidence.STATEMENT_FIELDS)
+        want |= {"schemaVersion": v, "baseRevision": base, "impact": impact and [{"displayName": a, "confidence": x, "tags": g} for a, x, g in impact] if impact is not None else None, "toolchain": tool and {"sdk": tool[0], "ok": tool[1]}}
+        assert got[k]["statement"] == plain(want), k
+        assert got[k]["statement_digest"] == hashlib.sha256(got[k]["statement"].encode()).hexdigest()
+    with pytest.raises(TypeError):
+        wire_json(F.current_date(), spark.range(1).select(F.current_date().alias("d")).schema["d"].dataType)
+
+
+def test_certificates_are_folders_of_one_document(spark, tmp_path):
+    import json
+
+    from changelens.operators import evidence
+
+    heads = spark.createDataFrame([("r1", "READY", "s", 3), ("r2", "NOT_READY", None, 3)], "run_id string, verdict string, source_digest string, schema_version int")
+    c = evidence.statements(evidence.with_section(heads, "evidence", spark.createDataFrame([("r1", "e2", "x"), ("r1", "e1", "y"), ("r1", "e1", "y")], "run_id string, id string, kind string"), "run_id", ["id"]))
+    assert {r["run_id"]: [x["id"] for x in r["evidence"]] for r in c.collect()} == {"r1": ["e1", "e1", "e2"], "r2": []}
+    o = spark.createDataFrame([("r2", "P2", "c", "FAILED", "F", "s:1", "a.cs"), ("r2", "P1", "d", "PENDING", None, "s:2", None), ("r2", "P0", "d", "PROVEN", None, "s:2", None)], "run_id string, rule_id string, claim string, status string, reason_code string, subject_id string, file string")
+    evidence.write_certificates(evidence.summaries(c, o, "run_id"), str(tmp_path / "s"), "run_id")
+    docs = {r["run_id"]: json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "s"), wholetext=True).collect()}
+    assert [x["ruleId"] for x in docs["r2"]["unresolved"]] == ["P1", "P2"] and docs["r2"]["provenCount"] == 1
+    assert docs["r1"]["unresolved"] == [] and docs["r1"]["unresolvedCount"] == 0
+    digests = {r["run_id"]: r["statement_digest"] for r in c.collect()}
+    assert {k: d["statementDigest"] for k, d in docs.items()} == digests
