@@ -145,15 +145,14 @@ def risk(changed: DataFrame, impact: DataFrame) -> DataFrame:
     ``changed`` are symbol rows, ``impact`` rows have via columns and root_id.
     """
     api = (F.lower("visibility") == "public") & F.col("kind").isin(*PUBLIC_API_KINDS)
-    apis = changed.select(*SYMBOL).unionByName(impact.select(*SYMBOL)).where(api).agg(F.count_distinct("id").alias("public_apis"))
     projects = changed.select(F.lower("project").alias("p")).distinct().withColumn("own", F.lit(True))
-    rated = impact.join(projects, F.lower("project") == F.col("p"), "left")
     weight = F.when(F.col("via_confidence").isNull() | (F.col("via_confidence") == 0), 1.0).otherwise(F.col("via_confidence"))
-    seen = rated.agg(
-        F.count(F.when(F.col("via_kind") == "Calls", 1)).alias("callers"), F.count(F.when(F.col("own").isNull(), 1)).alias("cross_project"),
-        F.coalesce(F.avg(weight), F.lit(1.0)).alias("weight"),
-    )
-    tested = impact.where(is_test()).select(F.col("root_id").alias("id")).distinct()
+    # The impact is walked once: what is counted of it is written, without its names.
+    rated = impact.join(projects, F.lower("project") == F.col("p"), "left")
+    rated = kept(rated.select("root_id", "id", api.alias("api"), (F.col("via_kind") == "Calls").alias("calls"), F.col("own").isNull().alias("cross"), weight.alias("weight"), is_test().alias("test")))
+    apis = changed.where(api).select("id").unionByName(rated.where("api").select("id")).agg(F.count_distinct("id").alias("public_apis"))
+    seen = rated.agg(F.count_if("calls").alias("callers"), F.count_if("cross").alias("cross_project"), F.coalesce(F.avg("weight"), F.lit(1.0)).alias("weight"))
+    tested = rated.where("test").select(F.col("root_id").alias("id")).distinct()
     untested = changed.where(~is_test()).join(tested, "id", "left_anti").agg(F.count(F.lit(1)).alias("untested"))
     one = apis.crossJoin(seen).crossJoin(untested)  # a row each
     total = F.col("public_apis") * 2 + F.col("callers") * F.col("weight") + F.col("cross_project") * 2 + F.col("untested") * 3
