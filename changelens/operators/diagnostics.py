@@ -32,20 +32,42 @@ def in_hunk(line: Column) -> Column:
     return (line >= F.col("new_start")) & (line < F.col("new_start") + F.greatest("new_length", F.lit(1)))
 
 
+#: Lines of a bin, as a power of two, by which lines meet the ranges of their file.
+BIN = 10
+
+
+def islands(hunks: DataFrame) -> DataFrame:
+    """key, first, end: the lines of hunks (key, new_start, new_length) as ranges that neither touch nor overlap, ``end`` excluded; equal hunks count once."""
+    at = hunks.select("key", F.col("new_start").cast("long").alias("first"), (F.col("new_start") + F.greatest("new_length", F.lit(1))).cast("long").alias("end")).where("key is not null and first < end").distinct()
+    w = Window.partitionBy("key").orderBy("first", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = at.withColumn("new", F.when(F.col("first") > reach, 1).otherwise(0))
+    island = opened.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("key", "island").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("island")
+
+
+def struck(points: DataFrame, hunks: DataFrame) -> DataFrame:
+    """``points`` (key, line) that stand in a hunk (key, new_start, new_length) of their file, once each however many hunks hold them."""
+    bins = F.sequence(F.shiftright("first", BIN), F.shiftright(F.col("end") - 1, BIN))
+    ranges = islands(hunks).select("key", "first", "end", F.explode(bins).alias("bin"))
+    hit = points.withColumn("bin", F.shiftright(F.col("line").cast("long"), BIN)).join(ranges, ["key", "bin"])
+    return hit.where((F.col("line") >= F.col("first")) & (F.col("line") < F.col("end"))).select(*points.columns)
+
+
 def scored(diagnostics: DataFrame, frames: DataFrame, hunks: DataFrame, changed: DataFrame, root: str | None = None) -> DataFrame:
-    """D-01: ``diagnostics`` with score. Lines meet hunks in a join on the file; frames are added up first."""
+    """D-01: ``diagnostics`` with score. Lines meet the merged hunks of their file; frames are added up first."""
     files = changed.select(_key("file", root).alias("key")).distinct().withColumn("hit", F.lit(True))
     h = hunks.select(_key("file", root).alias("key"), "new_start", "new_length")
     d = diagnostics.select("*", _key("file", root).alias("key"))
     own = d.where("key is not null").select("id", "key", "line")
-    lines = own.join(h, "key").where(in_hunk(F.col("line"))).select("id").distinct().withColumn("line_hit", F.lit(True))
-    f = frames.select("diagnostic_id", "is_framework", "line", _key("file", root).alias("key"), F.monotonically_increasing_id().alias("n"))
+    lines = struck(own, h).select("id").distinct().withColumn("line_hit", F.lit(True))
+    f = frames.select("diagnostic_id", "is_framework", "line", _key("file", root).alias("key"))
     code = f.where("not is_framework and key is not null")
     touched = code.join(files, "key", "left_semi").groupBy("diagnostic_id").agg(F.count(F.lit(1)).alias("frame_files"))
-    struck = code.where("line > 0").join(h, "key").where(in_hunk(F.col("line"))).groupBy("diagnostic_id").agg(F.count_distinct("n").alias("frame_hunks"))
+    hits = struck(code.where("line > 0"), h).groupBy("diagnostic_id").agg(F.count(F.lit(1)).alias("frame_hunks"))
     outside = f.where("is_framework").groupBy("diagnostic_id").agg(F.count(F.lit(1)).alias("framework"))
     j = d.join(files, "key", "left").join(lines, "id", "left")
-    for extra in (touched, struck, outside):
+    for extra in (touched, hits, outside):
         j = j.join(extra.withColumnRenamed("diagnostic_id", "id"), "id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     on = lambda c: F.coalesce(c, F.lit(False))

@@ -39,3 +39,36 @@ def test_a_walk_writes_no_edges_and_not_its_last_level(spark, sf):
     two = traverse.impact(g.symbols, g.edges, roots, 2)
     assert len(set(os.listdir(held)) - before) == 1
     assert two.groupBy("depth").count().count() == 2
+
+
+def test_links_of_a_large_class_are_made_in_parts(spark):
+    from changelens.operators import binding
+
+    n = 2000
+    ids = spark.range(n)
+    nothing = lambda t: F.lit(None).cast(t)
+    o = ids.select(F.concat(F.lit("o"), "id").alias("id"), F.lit("P").alias("rule_id"), F.lit("StaticAnalysis").alias("kind"), F.lit("A").alias("subject_id"), F.lit("A").alias("subject_project"), nothing("string").alias("subject_display"), F.lit(True).alias("required"))
+    target = F.when(F.col("id") % 2 == 0, "all.sln").otherwise("x.csproj")
+    e = ids.where("id < 400").select(F.concat(F.lit("e"), "id").alias("id"), F.lit("StaticAnalysis").alias("kind"), F.lit("Pass").alias("status"), F.lit("c").alias("check_id"), F.when(F.col("id") < 300, "A").otherwise("B").alias("subject"), target.alias("target"), F.lit("now").alias("source_digest"), nothing("array<struct<id:string,project:string,name:string>>").alias("refs"), nothing("array<string>").alias("subjects"))
+    bound = binding.bound(o, e, "now")
+    pairs = bound.expanded()
+    assert pairs.count() == pairs.select("obligation_id", "evidence_id").distinct().count() == n * 350
+    spread = pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < n * 350 * 0.7
+    uncertain = o.limit(1).withColumn("id", F.lit("u")).withColumn("kind", F.lit("Uncertainty"))
+    o2 = o.where("id in ('o0', 'o1')").unionByName(uncertain)
+    byclass, bypairs = (relations.explain(o2, x, e).orderBy("id").collect() for x in (binding.bound(o2, e, "now"), binding.bind(o2, e, "now")))
+    assert byclass == bypairs and byclass[-1]["links"] is None and len(byclass[0]["links"]) == 350
+
+
+def test_lines_meet_merged_hunks_once(spark):
+    from changelens.operators import diagnostics
+
+    # Each hunk 500 times, as a table of many changes has them; some overlap, touch, are empty, or span bins.
+    base = [("f", 5, 3), ("f", 7, 4), ("f", 11, 0), ("f", 20, None), ("f", 1000, 1100), ("g", 5, 1), (None, 5, 9), ("g", None, 2)]
+    hunks = spark.createDataFrame(base * 500, "key string, new_start int, new_length int")
+    points = spark.createDataFrame([(k, x) for k in ("f", "g", "h", None) for x in (None, -1, 0, 4, 5, 6, 7, 10, 11, 12, 20, 21, 999, 1000, 1023, 1024, 2047, 2048, 2099, 2100)], "key string, line int")
+    want = {(k, x) for k, x in ((r["key"], r["line"]) for r in points.collect()) if k and x is not None for f, s, n in base if f == k and s is not None and s <= x < s + max(n or 0, 1)}
+    got = diagnostics.struck(points, hunks)
+    assert sorted((r["key"], r["line"]) for r in got.collect()) == sorted(want)
+    assert diagnostics.islands(hunks).count() == 4
