@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.exprs import STRUCTURAL_KINDS, is_test
 from changelens.operators.traverse import project_cycles
+from changelens.sources.graph import touching
 
 LAYER_KINDS = ["UsesType", "Calls", "Imports", "Inherits"]
 ENTRY = ["kind", "qualified_name", "signature"]
@@ -34,6 +35,9 @@ def layer_violations(symbols: DataFrame, edges: DataFrame, layers: list[str], fo
     bad = F.lit(False)
     for a, b in forbid:
         bad = bad | ((F.lower("from_layer") == a.lower()) & (F.lower("to_layer") == b.lower()))
+    # Edges with both ends in layers that some rule names, before they meet the symbols.
+    named = lambda end, which: end.where(F.lower(which).isin([r[which == "to_layer"].lower() for r in forbid]))
+    e = touching(touching(e, "source_id", named(src, "from_layer"), "source_id"), "target_id", named(dst, "to_layer"), "target_id")
     return e.join(src, "source_id").join(dst, "target_id").where(bad).select("source_id", "target_id", "kind", "from_layer", "to_layer")
 
 

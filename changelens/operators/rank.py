@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions.exprs import STRUCTURAL_KINDS, approx_tokens, blank, is_test, map_label
 from changelens.functions.ordering import placed
 from changelens.functions.storage import kept
-from changelens.sources.graph import SYMBOL
+from changelens.sources.graph import SYMBOL, touching
 
 # Name parts that mark a symbol as central.
 CENTRAL_NAMES = ["service", "handler", "repository", "controller", "factory", "provider", "gateway", "writer", "query"]
@@ -226,7 +226,8 @@ def with_members(matches: DataFrame, symbols: DataFrame, edges: DataFrame, per_s
     m = symbols.where(F.col("kind").isin(*MEMBER_KINDS)).select(F.col("id").alias("member_id"), F.col("name").alias("member"), F.col("start_line").alias("line"))
     e = edges.where("kind = 'Contains'").select(F.col("source_id").alias("id"), F.col("target_id").alias("member_id"))
     w = Window.partitionBy("id").orderBy(F.asc_nulls_last("line"), "member", "member_id")
-    ranked = e.join(matches.select("id"), "id", "left_semi").join(m, "member_id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_symbol)
+    e = touching(touching(e, "id", matches, "id"), "member_id", m, "member_id")
+    ranked = e.join(m, "member_id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_symbol)
     lists = ranked.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "member"))), lambda x: x["member"]), ",").alias("members"))
     return matches.join(lists, "id", "left")
 
