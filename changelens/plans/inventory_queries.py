@@ -20,7 +20,7 @@ def s04(spark, sf):
     path = shared_path(spark)
     G.save(star(spark, sf), path, {"csharp": "1"})
     g = G.load(spark, path, {"csharp": "1"})
-    return g.symbols.agg(F.count(F.lit(1)).alias("symbols")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges")))
+    return g.symbols.agg(F.count(F.lit(1)).alias("symbols")).crossJoin(g.edge_count())
 
 
 @query("s06_metadata", "SELECT * FROM (VALUES ('schema_version', '4'), ('state', 'ready'), ('analyzer:csharp', '1')) t(key, value)", graph=False)

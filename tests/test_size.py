@@ -72,3 +72,15 @@ def test_lines_meet_merged_hunks_once(spark):
     got = diagnostics.struck(points, hunks)
     assert sorted((r["key"], r["line"]) for r in got.collect()) == sorted(want)
     assert diagnostics.islands(hunks).count() == 4
+
+
+def test_bundles_are_stored_unexpanded(spark, sf, tmp_path):
+    g = G.star_graph(spark, sf)
+    G.save(g, str(tmp_path / "g"))
+    got = G.load(spark, str(tmp_path / "g"))
+    n, product = g.edges.count(), g.bundles.expanded().count()
+    held = [spark.read.parquet(str(tmp_path / "g" / t)).count() for t in ("edges", "edges_by_source")]
+    assert product > 0 and held == [n - product] * 2
+    assert got.edges.count() == got.forward.count() == got.edge_count().first()[0] == g.edge_count().first()[0] == n
+    assert sorted(map(repr, got.forward.select(*G.EDGE).collect())) == sorted(map(repr, g.edges.select(*G.EDGE).collect()))
+    assert got.edges.schema["bucket"].metadata["key"] == "target_id" and got.forward.schema["bucket"].metadata["key"] == "source_id"
