@@ -7,14 +7,15 @@ inside a turn, and removing one backslash before each escaped character gives
 the text back.
 
 Every assistant turn is the target of one example: all turns before it are its
-context, its reply alone is under the loss mask. Examples of a conversation are
-prefixes of each other, so their texts together grow with the square of its
-turns. An example therefore holds its own ``segment`` (what follows the previous
-target, up to its reply) and a reference to its context, the segments before it:
-how many, their turns and characters, and a checksum of them in their order. The
-loss mask counts from the start of the whole example. ``read_back`` follows the
-reference of every example through the segments it has read and fails where one
-does not fit; ``with_context`` spells the contexts out. Turns after the last
+context, its reply alone is under the loss mask. ``expand`` spells every example
+out, context included, so the texts of a conversation together grow with the
+square of its turns; they are made row by row behind the one shuffle and
+``read_back`` takes what it needs of each where it is made, so no task holds
+more than one of them. Beside its ``text`` an example has its own ``segment``
+(what follows the previous target, up to its reply) and what its context is: the
+segments before it, their turns and characters, and a checksum of them in their
+order. ``read_back`` reads segments, masks and contexts from the whole examples
+and fails where a context is not the example before it. Turns after the last
 target are one more row without a loss.
 """
 
@@ -49,9 +50,9 @@ def _context() -> Column:
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """Examples of ``turns`` (conv_id, turn, role, text): conv_id, example, is_target, n_turns, segment, context, loss_start, loss_chars.
+    """Examples of ``turns`` (conv_id, turn, role, text): conv_id, example, is_target, n_turns, text, segment, context, loss_start, loss_chars.
 
-    context: a struct of ``CONTEXT``. loss_start and loss_chars count code points
+    text: the whole example, as it is trained on. context: a struct of ``CONTEXT``. loss_start and loss_chars count code points
     of the example, context included. Turns are ordered by turn (null first),
     then role and text; repeated rows are repeated turns; null role or text is
     empty; the rows without a conv_id are one conversation; an empty table gives
@@ -70,39 +71,46 @@ def expand(turns: DataFrame) -> DataFrame:
     head = F.regexp_extract(last["body"], r"(?s)^\Q<|im_start|>\E(?:[^\\\n]++|\\.)*+\n", 0)
     reply = F.length(last["body"]) - F.length(head) - len(END) - 1
     out = parts.select("conv_id", "example", last["target"].alias("is_target"), F.size("ps").cast("long").alias("n_turns"), segment.alias("segment"), reply.alias("reply"))
-    out = out.withColumn("context", _context())
+    upto = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumns({"context": _context(), "prefix": F.collect_list("segment").over(upto)})
     return out.select(
-        "conv_id", "example", "is_target", "n_turns", "segment", "context",
+        "conv_id", "example", "is_target", "n_turns", F.array_join("prefix", "").alias("text"), "segment", "context",
         F.when(F.col("is_target"), F.col("context.chars") + F.length("segment") - len(END) - 1 - F.col("reply")).cast("long").alias("loss_start"),
         F.when(F.col("is_target"), F.col("reply")).otherwise(0).cast("long").alias("loss_chars"),
     )
 
 
 def with_context(examples: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_chars of the targets: whole examples, as they are trained on."""
-    order = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "segment")).over(order)), lambda s: s["segment"]), "")
-    return examples.withColumn("text", text).where("is_target").select("conv_id", "example", "text", "loss_start", "loss_chars")
+    """conv_id, example, text, loss_start, loss_chars of the targets."""
+    return examples.where("is_target").select("conv_id", "example", "text", "loss_start", "loss_chars")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """What the formatted examples say of each conversation: the digests of turns and of the trained text.
 
-    Every example's context is compared with the segments that are read before
-    it; one that does not fit fails the job. expanded_chars: characters of all
-    whole examples, contexts included; formatted_chars has each segment once.
+    All is read from the texts of the whole examples: an example's own segment
+    behind its context, the reply under its mask. Its context must be the text of
+    the example before it, and be what it says; one that does not fit fails the
+    job. expanded_chars: characters of all whole examples, contexts included;
+    formatted_chars has each segment once.
     """
-    parsed = examples.select("*", F.slice(F.split("segment", r"\Q<|im_start|>\E"), 2, 2_000_000_000).alias("turns"), F.col("context").alias("said"))
-    # What follows uses the context as it is found in the segments, not as it is said.
-    found = parsed.drop("context", "n_turns").withColumn("n_turns", F.size("turns").cast("long")).withColumn("found", _context())
-    wrong = F.raise_error(F.concat(F.lit("a context does not fit the segments before it: "), F.to_json("said")))
-    found = found.withColumn("context", F.when(F.col("said") == F.col("found"), F.col("found")).otherwise(wrong))
-    loss = F.when(F.col("is_target"), unescaped(F.expr("substring(segment, int(loss_start - context.chars) + 1, int(loss_chars))"))).otherwise("")
-    whole = F.when(F.col("is_target"), F.col("context.chars") + F.length("segment")).otherwise(F.lit(0)).cast("long")
+    chars = F.col("context.chars").cast("int")
+    under = F.when(F.col("is_target"), unescaped(F.expr("substring(text, int(loss_start) + 1, int(loss_chars))"))).otherwise("")
+    whole = F.when(F.col("is_target"), F.length("text")).otherwise(F.lit(0)).cast("long")
+    parsed = examples.select(
+        "conv_id", "example", F.col("context").alias("said"), F.col("text").substr(chars + 1, F.length("text")).alias("segment"), under.alias("loss"), whole.alias("whole"),
+        F.xxhash64(F.col("text").substr(F.lit(1), chars)).alias("head"), F.xxhash64("text").alias("hash"),
+    )
+    parsed = parsed.withColumn("turns", F.slice(F.split("segment", r"\Q<|im_start|>\E"), 2, 2_000_000_000))
+    # Whole texts go no further: the windows hold segments and hashes.
+    order = Window.partitionBy("conv_id").orderBy("example")
+    found = parsed.withColumn("n_turns", F.size("turns").cast("long")).withColumns({"found": _context(), "before": F.coalesce(F.lag("hash").over(order), F.xxhash64(F.lit("")))})
+    wrong = F.raise_error(F.concat(F.lit("a context does not fit the segments before it: "), F.to_json("said"))).cast("long")
+    whole = F.when((F.col("said") == F.col("found")) & (F.col("head") == F.col("before")), F.col("whole")).otherwise(wrong)
     role = lambda t: F.regexp_extract(t, r"(?s)^((?:[^\\\n]++|\\.)*+)\n", 1)
     text = lambda t: F.substring(t, F.length(role(t)) + 2, F.length(t) - F.length(role(t)) - 2 - len(END))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(unescaped(role(t)), F.lit("\n"), unescaped(text(t)), F.lit("\n"))), "")
-    each = found.select("conv_id", F.struct("example", lines.alias("lines"), loss.alias("loss"), F.col("n_turns").alias("n"), F.length("segment").alias("chars"), whole.alias("whole")).alias("e"))
+    each = found.select("conv_id", F.struct("example", lines.alias("lines"), "loss", F.col("n_turns").alias("n"), F.length("segment").alias("chars"), whole.alias("whole")).alias("e"))
     convs = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     joined = lambda f: F.array_join(F.transform("es", lambda e: e[f]), "")
     return convs.select(

@@ -228,6 +228,20 @@ def test_chat_examples(spark):
     assert chat.read_back(chat.expand(df.limit(0))).collect() == []
 
 
+def test_chat_examples_are_whole_in_the_query(spark):
+    """The query's examples hold their contexts, and its results come from these texts."""
+    data = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(7)]
+    ex = chat.expand(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    texts = [r["text"] for r in ex.orderBy("example").collect()]
+    turn = lambda i: f"{chat.START}{data[i][2]}\n{data[i][3]}{chat.END}\n"
+    assert texts == ["".join(map(turn, range(n))) for n in (2, 4, 6, 7)]
+    for where in ("turn 0", "turn 2", "turn 3"):
+        bad = ex.withColumn("text", F.when(F.col("example") == 2, F.regexp_replace("text", where, where[:-1] + "9")).otherwise(F.col("text")))
+        with pytest.raises(Exception, match="context does not fit"):
+            chat.read_back(bad).collect()
+    assert chat.read_back(ex.withColumn("segment", F.lit("not read"))).collect() == chat.read_back(ex).collect()
+
+
 def license_base(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
