@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions.exprs import STRUCTURAL_KINDS, approx_tokens, blank, is_test, map_label
 from changelens.functions.ordering import placed
 from changelens.functions.storage import kept
-from changelens.sources.graph import SYMBOL, touching
+from changelens.sources.graph import EDGE, SYMBOL, Bundles, touching
 
 # Name parts that mark a symbol as central.
 CENTRAL_NAMES = ["service", "handler", "repository", "controller", "factory", "provider", "gateway", "writer", "query"]
@@ -22,18 +22,26 @@ RELEVANCE = {
 }
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """id, incoming, outgoing of non-structural edges; both ends are counted in one aggregation."""
+def degrees(edges: DataFrame, bundles: Bundles | None = None) -> DataFrame:
+    """id, incoming, outgoing of non-structural edges; both ends are counted in one aggregation, those of ``bundles`` by the sizes of the other side."""
     e = edges.where(~F.col("kind").isin(*STRUCTURAL_KINDS))
-    ends = e.select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target_id").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
-    return ends.groupBy(F.col("x.id").alias("id")).agg(F.sum("x.i").alias("incoming"), F.sum("x.o").alias("outgoing"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("o")), F.struct(F.col("target_id").alias("id"), F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("o")))).alias("x")).select("x.*")
+    if bundles is not None:
+        s, t = bundles.sources.where(~F.col("kind").isin(*STRUCTURAL_KINDS)), bundles.targets
+        size = lambda df: df.groupBy(*bundles.keys).agg(F.count(F.lit(1)).alias("n"))
+        ends = ends.unionByName(s.join(size(t), bundles.keys).select(F.col("source_id").alias("id"), F.lit(0).cast("long").alias("i"), F.col("n").alias("o")))
+        ends = ends.unionByName(t.join(size(s), bundles.keys).select(F.col("target_id").alias("id"), F.col("n").alias("i"), F.lit(0).cast("long").alias("o")))
+    return ends.groupBy("id").agg(F.sum("i").alias("incoming"), F.sum("o").alias("outgoing"))
 
 
-def map_scores(symbols: DataFrame, edges: DataFrame, focus: str | None = None, project: str | None = None, distances: DataFrame | None = None) -> DataFrame:
-    """A-01: symbol rows with their score for a repository map; ``distances`` (id, distance) come from the focus."""
+def map_scores(symbols: DataFrame, edges: DataFrame, focus: str | None = None, project: str | None = None, distances: DataFrame | None = None, bundles: Bundles | None = None) -> DataFrame:
+    """A-01: symbol rows with their score for a repository map; ``distances`` (id, distance) come from the focus.
+
+    Edges of ``bundles`` count beside ``edges``.
+    """
     n0 = lambda c: F.coalesce(F.col(c), F.lit(0))
     name = F.lower("name")
-    s = symbols.where("kind <> 'Namespace'").select(*SYMBOL).join(degrees(edges), "id", "left")
+    s = symbols.where("kind <> 'Namespace'").select(*SYMBOL).join(degrees(edges, bundles), "id", "left")
     if project:
         s = s.where(F.lower("project") == project.lower())
     public = F.col("visibility") == "public"
@@ -74,7 +82,7 @@ def _map_line_label(name: str, qualified: str, kind: str) -> str:
     return f"{'.'.join(parts[-2:]) if len(parts) > 1 else name}()"
 
 
-def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | None = None, project: str | None = None, batch: int = 2000) -> list[str]:
+def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | None = None, project: str | None = None, batch: int = 2000, bundles: Bundles | None = None) -> list[str]:
     """A-02: lines of a repository map within ``budget`` tokens (of four characters, line ends included).
 
     A head of four lines, then the symbols in the order of their scores with
@@ -82,17 +90,19 @@ def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | No
     that does not fit ends its symbol's list. The ranked symbols are a table;
     the driver reads the next ``batch`` of those whose line fits into what is
     left, until nothing is left or no symbol fits: each batch takes one at
-    least, so the budget bounds the batches, and no symbol is left out.
+    least, so the budget bounds the batches, and no symbol is left out. Targets
+    are ranked for the symbols of a batch only. ``bundles`` are edges beside
+    ``edges``; with a focus these are spelt out where its distances are walked.
     """
     from changelens.operators.relations import top_targets
     from changelens.operators.traverse import focus_distance
 
-    near = focus_distance(symbols, edges, focus) if focus else None
+    near = focus_distance(symbols, edges if bundles is None else edges.select(*EDGE).unionByName(bundles.expanded()), focus) if focus else None
     own = symbols.where("kind <> 'Namespace'")
     short = F.filter(F.split(F.substring_index("qualified_name", "(", 1), r"\."), lambda x: x != "")
     label = F.when(F.size(short) > 1, F.array_join(F.slice(short, -2, 2), ".")).otherwise(F.col("name"))
     size = F.when(F.col("kind").isin("Method", "Constructor"), F.length(label) + 2).otherwise(F.length("name"))
-    ranked = map_scores(own, edges, focus, project, near).withColumn("tokens", F.ceil((size + 3) / 4))
+    ranked = map_scores(own, edges, focus, project, near, bundles).withColumn("tokens", F.ceil((size + 3) / 4))
     order = map_order(project)
     keyed = ranked.select("id", "name", "qualified_name", "kind", "tokens", F.struct((-F.col("score")).alias("a"), *[x.alias(n) for n, x in zip("bcdef", order[1:], strict=True)]).alias("place"))
     keyed = kept(keyed)
@@ -111,7 +121,6 @@ def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | No
     for line in ("# CodeMap", f"project: {named if isinstance(named, str) else named['label'] if named else 'unknown'}", f"symbols: {symbols.count()}", ""):
         add(line)
     last = None
-    targets = top_targets(symbols, edges).select(F.col("via_source").alias("id"), F.struct("rn", "name", "qualified_name", "kind").alias("t"))
     while (room := max(1, budget) - -(-used // 4)) > 0:
         rest = keyed.where(F.col("tokens") <= room)
         if last is not None:
@@ -121,7 +130,9 @@ def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | No
         if not rows:
             break
         lists: dict[str, list] = {}
-        for r in targets.join(F.broadcast(part.select("id")), "id").collect():  # three of each symbol of a batch
+        there = bundles and Bundles(touching(bundles.sources, "source_id", part, "id"), bundles.targets, bundles.keys)
+        targets = top_targets(symbols, touching(edges, "source_id", part, "id"), bundles=there)
+        for r in targets.select(F.col("via_source").alias("id"), F.struct("rn", "name", "qualified_name", "kind").alias("t")).collect():  # three of each symbol of a batch
             lists.setdefault(r["id"], []).append(r["t"])
         for r in rows:
             if not add(f"  {_map_line_label(r['name'], r['qualified_name'], r['kind'])}"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changelens.functions.storage import kept, shared_path
-from changelens.operators import binding, cycles, diagnostics, evidence, investigation, obligations, traverse
+from changelens.operators import binding, cycles, diagnostics, evidence, investigation, obligations, relations, traverse
 from changelens.plans.base import query
 from changelens.plans.change_queries import _BOUND, _CAPS, _CHANGE, _DIAG, _PLAN, _VIOLATIONS, _bound, _change, _diagnostics, _plan
 from changelens.sources import scip, web
@@ -19,9 +19,7 @@ from changelens.sources.graph import star_graph as star
 SELECT component, count(*) AS size, any_value(cycle) AS cycle FROM part JOIN best ON best.s = component GROUP BY component""")
 def c04(spark, sf):
     g = star(spark, sf)
-    own = g.symbols.select("id", "project")
-    pairs = g.edges.join(own.toDF("source_id", "a"), "source_id").join(own.toDF("target_id", "b"), "target_id").where("a <> b").select("a", "b")
-    return cycles.cycles(pairs)
+    return cycles.cycles(relations.project_pairs(g.symbols, g.single, g.bundles).where("a <> b"))
 
 
 @query("t12_project_cycles", """WITH RECURSIVE nx AS (SELECT 'p' || s_suppkey AS a, 'p' || ((s_suppkey * s_suppkey + 3) % (SELECT count(*) FROM supplier) + 1) AS b FROM supplier)

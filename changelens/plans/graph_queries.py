@@ -207,7 +207,7 @@ def r08(spark, sf):
 FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.kind IN ('Calls', 'UsesType', 'Constructs')) WHERE rn <= 3""")
 def r09(spark, sf):
     g = star(spark, sf)
-    return relations.top_targets(g.symbols, g.edges)
+    return relations.top_targets(g.symbols, g.single, bundles=g.bundles)
 
 
 _PICK = """, pick AS (SELECT r.target_id AS interface, min(x.target_id) AS implementation FROM (SELECT target_id, min(source_id) AS reg FROM di WHERE kind = 'Registers' GROUP BY target_id HAVING count(*) = 1) r
@@ -331,7 +331,7 @@ _SCORE = f"""CAST(coalesce(incoming, 0) * 2 + coalesce(outgoing, 0) + CASE WHEN
 @query("a01_map_scores", f"{_DEGREE} SELECT {C}, {_SCORE.format(more='')} FROM symbols LEFT JOIN deg USING (id)")
 def a01(spark, sf):
     g = star(spark, sf)
-    return rank.map_scores(g.symbols, g.edges)
+    return rank.map_scores(g.symbols, g.single, bundles=g.bundles)
 
 
 @query("a01_map_scores_focus", f"""{_DEGREE}, u AS (SELECT source_id, target_id FROM edges UNION ALL SELECT target_id, source_id FROM edges)
@@ -347,7 +347,7 @@ def a01_focus(spark, sf):
 @query("a02_map_lines")
 def a02(spark, sf):
     g = star(spark, sf)
-    lines = rank.build_map(g.symbols, g.edges, 400)
+    lines = rank.build_map(g.symbols, g.single, 400, bundles=g.bundles)
     return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 
 

@@ -84,3 +84,17 @@ def test_bundles_are_stored_unexpanded(spark, sf, tmp_path):
     assert got.edges.count() == got.forward.count() == got.edge_count().first()[0] == g.edge_count().first()[0] == n
     assert sorted(map(repr, got.forward.select(*G.EDGE).collect())) == sorted(map(repr, g.edges.select(*G.EDGE).collect()))
     assert got.edges.schema["bucket"].metadata["key"] == "target_id" and got.forward.schema["bucket"].metadata["key"] == "source_id"
+
+
+def test_bundles_are_counted_and_ranked_unexpanded(spark, sf):
+    from changelens.operators import rank
+
+    g = G.star_graph(spark, sf)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    for spelt, bundled in (
+        (rank.map_scores(g.symbols, g.edges), rank.map_scores(g.symbols, g.single, bundles=g.bundles)),
+        (relations.top_targets(g.symbols, g.edges), relations.top_targets(g.symbols, g.single, bundles=g.bundles)),
+        (relations.project_pairs(g.symbols, g.edges), relations.project_pairs(g.symbols, g.single, g.bundles)),
+    ):
+        assert same(spelt, bundled) and spelt.columns == bundled.columns
+    assert rank.build_map(g.symbols, g.edges, 120, batch=7) == rank.build_map(g.symbols, g.single, 120, batch=7, bundles=g.bundles)
