@@ -98,3 +98,20 @@ def test_bundles_are_counted_and_ranked_unexpanded(spark, sf):
     ):
         assert same(spelt, bundled) and spelt.columns == bundled.columns
     assert rank.build_map(g.symbols, g.edges, 120, batch=7) == rank.build_map(g.symbols, g.single, 120, batch=7, bundles=g.bundles)
+
+
+def test_rounds_of_cycles_pass_nothing_through_the_driver(spark, monkeypatch):
+    from changelens.operators import cycles
+
+    plans, keep = [], cycles.kept
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(cycles, "kept", kept)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("e", "g")], "a string, b string")
+    got = cycles.cycles(edges)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == [("a", 3, "a -> b -> c -> a"), ("d", 2, "d -> e -> d"), ("f", 1, "f -> f")]
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
