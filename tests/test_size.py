@@ -115,3 +115,12 @@ def test_rounds_of_cycles_pass_nothing_through_the_driver(spark, monkeypatch):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert sorted(map(tuple, got.collect())) == [("a", 3, "a -> b -> c -> a"), ("d", 2, "d -> e -> d"), ("f", 1, "f -> f")]
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_groups_of_uses_are_hashed_and_know_any_flag(spark, sf):
+    lines = spark.createDataFrame([(1, 2, f, 1, 0.0, 0.1) for f in ("R", "N")] + [(1, 3, f, 2, 0.5, 0.2) for f in ("B", "N")] + [(1, 4, f, 3, 0.5, 0.2) for f in ("A", "Z", None)] + [(2, 4, None, 3, 0.5, 0.2)], "l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_tax double, l_discount double")
+    uses = G._uses(lines, ("p:", "l_partkey"), ("s:", "l_suppkey"))
+    # The least flag decides: B is before N and neither of the two that count.
+    assert {(r["source_id"], r["target_id"]): r["rf"] for r in uses.collect()} == {("p:1", "s:2"): "N", ("p:1", "s:3"): "other", ("p:1", "s:4"): "A", ("p:2", "s:4"): None}
+    plan = G.star_graph(spark, sf).single._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
