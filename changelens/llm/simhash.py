@@ -21,7 +21,9 @@ The result is exact: two nodes with different labels that share a bucket are
 compared, nodes with equal labels need no comparison.
 
 ``keep_one``, the stage of the pipeline, has limits of its own: 5-word shingles
-and a Jaccard similarity of 0.8, candidates by bands of MinHash, links verified.
+and a Jaccard similarity of 0.8. Its texts meet under the same masks of their
+fingerprints, every pair within ``RADIUS``, and, as similar texts may differ in
+more bits than masks can reach, also in bands of MinHash; links are verified.
 """
 
 from __future__ import annotations
@@ -59,6 +61,9 @@ def covers(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return out
 
 
+_COVERS = np.array(covers(), np.int64)
+
+
 def fingerprint(text: str | None) -> int:
     """SimHash of a whole text over its 4-word shingles, as a signed 64-bit integer; zero without words."""
     words = ascii_lower(text or "").split()
@@ -203,6 +208,20 @@ def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), (bits << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> np.int64:
+    """SimHash of a set of shingle hashes, as ``fingerprint`` makes it of those of a text."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _CHUNK):
+        ones += np.unpackbits(shingles[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)[0]
+
+
+def meeting_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the tables where near copies meet, bands of MinHash and then the fingerprint under each mask, and the signature of ``band_keys``."""
+    keys, signature = band_keys(shingles)
+    return np.append(keys, _COVERS & set_fingerprint(shingles)), signature
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two shingle sets have a Jaccard similarity of ``KEEP_SIMILARITY`` or more; two empty ones have."""
     if not len(x) or not len(y):
@@ -302,7 +321,7 @@ def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``node``, ``label`` of the hashes of ``texts`` (hash, text; distinct) that have a link, as in ``link``.
 
-    Candidates share a band; every link is verified on the texts. Stars of the
+    Candidates share a band or a masked fingerprint; every link is verified on the texts. Stars of the
     buckets come first. Where a bucket keeps several labels, its nodes are
     compared with one hub after another, for as long as that finds links; then
     all pairs of different labels of which one is outside the bucket's most
@@ -311,7 +330,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     """
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [band_keys(shingle_set(t)) for t in batch.column(1).to_pylist()]
+        found = [meeting_keys(shingle_set(t)) for t in batch.column(1).to_pylist()]
         new = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in range(2)]
         return pa.RecordBatch.from_arrays([batch.column(0), *new], names=["fp", "keys", "sig"])
 

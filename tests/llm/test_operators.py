@@ -996,3 +996,23 @@ def test_ranges_of_any_length(spark):
     at = sorted({0, 1, 63, 64, 999, 1000, *bounds[4:6], bounds[-1] - 1, *(rng.randrange(bounds[-1]) for _ in range(500))})
     got = mixing.in_ranges(spark.createDataFrame([(x,) for x in at], "u long"), "u", ranges, ["source"], bounds[-1])
     assert {(r["u"], r["source"]) for r in got.collect()} == {(x, f"s{max(b for b in bounds if b <= x)}") for x in at}
+
+
+def test_near_dedup_meets_under_the_masks_of_fingerprints(spark, monkeypatch):
+    import numpy as np
+
+    from changelens.llm import simhash
+
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1500], "other", *words[1501:]]), " ".join(f"v{i}" for i in range(3000))]
+    prints = [simhash.set_fingerprint(simhash.shingle_set(t)) for t in texts]
+    assert bin(int(prints[0] ^ prints[1]) & (1 << 64) - 1).count("1") <= simhash.RADIUS
+    least = simhash.band_keys
+
+    def apart(shingles):
+        # No two texts share a band.
+        return np.arange(simhash.BANDS) + shingles[:1].view(np.int64), least(shingles)[1]
+
+    monkeypatch.setattr(simhash, "band_keys", apart)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, 2]
