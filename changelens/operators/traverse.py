@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from changelens.functions.exprs import FLOW_HTTP_KINDS, FLOW_UI_KINDS, REFERENCE_KINDS, STRUCTURAL_KINDS, enough
 from changelens.functions.storage import kept, shared_path
-from changelens.operators.relations import callers, di_narrowed
-from changelens.sources.graph import SYMBOL, VIA, holding, touching
+from changelens.operators.relations import callers, di_narrowed, first_callers
+from changelens.sources.graph import EDGE, SYMBOL, VIA, Bundles, holding, touching
 
 PROFILES = {"code": REFERENCE_KINDS, "app": sorted({*REFERENCE_KINDS, *FLOW_HTTP_KINDS, *FLOW_UI_KINDS})}
 FLOWS = {"http": FLOW_HTTP_KINDS, "ui": FLOW_UI_KINDS, "all": sorted({*FLOW_HTTP_KINDS, *FLOW_UI_KINDS})}
@@ -152,15 +152,19 @@ def changed_impact(symbols: DataFrame, edges: DataFrame, changed: DataFrame, dep
     return union.where(enough("via_confidence", least)).orderBy("depth", "qualified_name", "id").limit(limit)
 
 
-def deletion_impact(symbols: DataFrame, edges: DataFrame, deleted: DataFrame, per_symbol: int) -> DataFrame:
+def deletion_impact(symbols: DataFrame, edges: DataFrame, deleted: DataFrame, per_symbol: int, bundles: Bundles | None = None) -> DataFrame:
     """T-10: callers of the symbols that stood in deleted files (path), as the base graph has them.
 
     The first ``per_symbol`` of each symbol; ``truncated`` says of a symbol's
-    rows that it has more.
+    rows that it has more. Of ``bundles``, edges beside ``edges``, a symbol's
+    callers are those of its whole bundle, of which the first ``per_symbol`` and
+    one more decide both.
     """
     from changelens.operators.lookup import in_files
 
     gone = in_files(symbols, deleted, None).select(F.col("id").alias("target_id"))
+    if bundles is not None:
+        edges = edges.select(*EDGE).unionByName(first_callers(symbols, bundles, per_symbol + 1).expanded())
     hit = callers(symbols, edges, gone)
     w = Window.partitionBy("via_target").orderBy("project", "qualified_name", F.coalesce("signature", F.lit("")), "id")
     more = F.count(F.lit(1)).over(Window.partitionBy("via_target")) > per_symbol

@@ -319,7 +319,7 @@ WHERE e.kind = 'Calls' OR (e.kind = 'References' AND e.resolution_kind = 'semant
 SELECT id, via_target FROM (SELECT *, row_number() OVER (PARTITION BY via_target ORDER BY project, qualified_name, coalesce(signature, ''), id) AS rn FROM c WHERE k = 1) WHERE rn <= 5""")
 def t10(spark, sf):
     g = star(spark, sf)
-    return traverse.deletion_impact(g.symbols, g.edges, spark.createDataFrame([("NATION_5.cs",)], "path string"), 5).select("id", "via_target")
+    return traverse.deletion_impact(g.symbols, g.single, spark.createDataFrame([("NATION_5.cs",)], "path string"), 5, g.bundles).select("id", "via_target")
 
 
 _DEGREE = ", deg AS (SELECT id, sum(i) AS incoming, sum(o) AS outgoing FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM edges WHERE kind NOT IN ('Contains', 'Defines') UNION ALL SELECT target_id, 1, 0 FROM edges WHERE kind NOT IN ('Contains', 'Defines')) GROUP BY id)"

@@ -124,3 +124,14 @@ def test_groups_of_uses_are_hashed_and_know_any_flag(spark, sf):
     assert {(r["source_id"], r["target_id"]): r["rf"] for r in uses.collect()} == {("p:1", "s:2"): "N", ("p:1", "s:3"): "other", ("p:1", "s:4"): "A", ("p:2", "s:4"): None}
     plan = G.star_graph(spark, sf).single._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_deletions_take_the_first_callers_of_a_bundle_only(spark, sf):
+    g = G.star_graph(spark, sf)
+    deleted = spark.createDataFrame([("NATION_5.cs",), ("nation_7.cs",)], "path string")
+    few = relations.first_callers(g.symbols, g.bundles, 1)
+    assert few.sources.groupBy(*few.keys).count().where("count > 1").isEmpty()
+    for n in (1, 2, 5):
+        spelt = traverse.deletion_impact(g.symbols, g.edges, deleted, n)
+        held = traverse.deletion_impact(g.symbols, g.single, deleted, n, g.bundles)
+        assert sorted(map(str, held.collect())) == sorted(map(str, spelt.collect()))
