@@ -391,16 +391,37 @@ def certificate_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def suggest_maps(bare: DataFrame, tests: DataFrame) -> DataFrame:
     """V-10: id, test: tests (id, display, file) for symbols (id, display, file) without one: of the same file, or whose name holds a part of theirs.
 
-    Parts of four letters or more count. A name that contains a part contains its
-    first four letters, so names meet parts by their runs of four letters.
+    Parts of four letters or more count. Each distinct part meets the tests that
+    hold it once: a name holds a part if one of its windows of the part's length,
+    tried where the part's first four letters stand, is the part. The pairs, whose
+    number can be the product of both sides, are made last, in parts of the
+    symbols; a pair is taken for its first reason only, so pairs are not shuffled.
     """
-    t = tests.select(F.col("display").alias("test"), F.lower("file").alias("key"))
-    same = bare.where(~blank("file")).select("id", F.lower("file").alias("key")).join(t, "key").select("id", "test")
-    grams = F.expr("array_distinct(transform(sequence(1, greatest(1, length(display) - 3)), i -> substring(display, i, 4)))")
-    named = tests.select(F.col("display").alias("test"), F.explode(grams).alias("key"))
-    parts = bare.select("id", F.explode(F.array_distinct(F.split("display", r"\."))).alias("raw")).select("id", F.trim("raw").alias("part")).where("length(part) >= 4")
-    hit = parts.withColumn("key", F.substring("part", 1, 4)).join(named, "key").where(F.col("test").contains(F.col("part")))
-    return same.unionByName(hit.select("id", "test")).distinct()
+    file = F.when(~blank("file"), F.lower("file"))
+    t = tests.groupBy(F.col("display").alias("test")).agg(F.collect_set(F.lower("file")).alias("files"))
+    split = F.filter(F.transform(F.split("display", r"\."), F.trim), lambda p: F.length(p) >= 4)
+    own = bare.select("id", file.alias("own_file"), F.array_distinct(split).alias("parts")).distinct()
+    reasons = F.concat(F.array(F.struct(F.lit(0).alias("nth"), F.concat(F.lit("f:"), "own_file").alias("key"))), F.transform("parts", lambda p, i: F.struct((i + 1).alias("nth"), F.concat(F.lit("p:"), p).alias("key"))))
+    member = F.xxhash64("id", "own_file", "parts").alias("member")
+    members = kept(own.select("id", "own_file", "parts", member, F.explode(reasons).alias("r")).select("id", "own_file", "parts", "member", "r.*").where("key is not null"))
+    known = members.select("key").distinct()
+    part = known.where("key like 'p:%'").select("key", F.expr("substring(key, 3)").alias("part"))
+    starts = part.select(F.substring("part", 1, 4).alias("gram"), F.length("part").alias("n")).distinct()
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("test") - 3))).alias("at")
+    windows = t.select("test", "files", at).withColumn("gram", F.expr("substring(test, at, 4)")).join(starts, "gram")
+    named = windows.select("test", "files", F.concat(F.lit("p:"), F.expr("substring(test, at, n)")).alias("key")).join(known, "key", "left_semi")
+    same = t.select("test", "files", F.explode(F.transform("files", lambda f: F.concat(F.lit("f:"), f))).alias("key")).join(known, "key", "left_semi")
+    held = kept(same.unionByName(named.distinct()))
+    size = 1000  # the tests of a key go to each of its parts
+    at_part = F.pmod(F.col("member"), F.coalesce("parts__", F.lit(1)))
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts__"))
+    n = int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_ = members.join(sizes, "key").withColumn("deal", at_part.cast("int")).drop("parts__")
+    copies = held.join(sizes, "key").select("test", "files", "key", F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)).alias("deal"))
+    both = dealt_.repartition(n, "key", "deal").join(copies, ["key", "deal"])
+    of_file = F.coalesce(F.array_contains("files", F.col("own_file")), F.lit(False))
+    earlier = F.exists(F.slice("parts", F.lit(1), F.greatest(F.lit(0), F.col("nth") - 1)), lambda p: F.col("test").contains(p))
+    return both.where((F.col("nth") == 0) | (~of_file & ~earlier)).select("id", "test")
 
 
 def coverage_hits(obligations: DataFrame, executed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from changelens.functions import exprs as X
 from changelens.functions.storage import kept
 from changelens.operators import arch, binding, diagnostics, evidence, incremental, obligations, rank, relations, traverse
 from changelens.plans.base import C, S, query
-from changelens.plans.change_queries import _BOUND, _CHANGE, _LISTINGS, POLICY, _bound, _change, _listings
+from changelens.plans.change_queries import _BOUND, _CHANGE, _LISTINGS, POLICY, _bound, _change, _changed, _listings
 from changelens.plans.graph_queries import _IS_TEST, _SURFACES, _surfaces
 from changelens.sources import readers, scip
 from changelens.sources.graph import SYMBOL
@@ -164,7 +164,7 @@ def v03s(spark, sf):
 
 @query("v10_map_suggestions", f"{_CHANGE}{_BARE}, ts AS (SELECT DISTINCT qualified_name || '.Checks.' || CAST(start_line AS VARCHAR) AS display, relative_path AS file FROM symbols WHERE start_line BETWEEN 3 AND 6) SELECT DISTINCT id, t.display AS test FROM bare JOIN ts t ON lower(t.file) = lower(bare.file) OR contains(t.display, split_part(bare.display, '.', 1)) OR contains(t.display, split_part(bare.display, '.', 2))")
 def v10(spark, sf):
-    g, ch, *_ = _change(spark, sf)
+    g, ch = _changed(spark, sf)
     ts = g.symbols.where("start_line between 3 and 6").select(F.concat("qualified_name", F.lit(".Checks."), "start_line").alias("display"), F.col("relative_path").alias("file")).distinct()
     return binding.suggest_maps(ch.where("id like 'c:%' and not is_test"), ts)
 

@@ -135,3 +135,14 @@ def test_deletions_take_the_first_callers_of_a_bundle_only(spark, sf):
         spelt = traverse.deletion_impact(g.symbols, g.edges, deleted, n)
         held = traverse.deletion_impact(g.symbols, g.single, deleted, n, g.bundles)
         assert sorted(map(str, held.collect())) == sorted(map(str, spelt.collect()))
+
+
+def test_suggestions_shuffle_no_pairs(spark):
+    from changelens.operators import binding
+
+    names = [("b1", "Alpha.Alpha1", "a.cs"), ("b2", "Alpha.Beta", None), ("b3", " .abc", "A.cs"), ("b3", " .abc", "A.cs"), ("b4", "Gamma", " ")]
+    tests = [("Alpha.Alpha1.Checks", "x.cs"), ("Alpha.Alpha1.Checks", "a.cs"), ("My.Betas", "b.cs"), ("T", "A.CS"), ("Other", None)]
+    hit = binding.suggest_maps(spark.createDataFrame(names, "id string, display string, file string"), spark.createDataFrame(tests, "display string, file string"))
+    expected = [("b1", "Alpha.Alpha1.Checks"), ("b1", "T"), ("b2", "Alpha.Alpha1.Checks"), ("b2", "My.Betas"), ("b3", "Alpha.Alpha1.Checks"), ("b3", "T")]
+    assert sorted(map(tuple, hit.collect())) == expected
+    assert "Aggregate [id" not in "\n".join(optimized(hit))
