@@ -318,7 +318,7 @@ def f15(spark, sf):
 
 @query("f22_confidence", "SELECT source_id, target_id, kind, confidence IS NOT NULL AND confidence BETWEEN 0 AND 1 AS ok FROM edges")
 def f22(spark, sf):
-    return star(spark, sf).edges.select("source_id", "target_id", "kind", X.valid_confidence("confidence").alias("ok"))
+    return star(spark, sf).whole().select("source_id", "target_id", "kind", X.valid_confidence("confidence").alias("ok"))
 
 
 @query("p12_coverable", f"{_CHANGE} SELECT DISTINCT 'b' AS check_id, project AS subject FROM im WHERE EXISTS (SELECT 1 FROM ch WHERE is_public)")

@@ -146,3 +146,30 @@ def test_suggestions_shuffle_no_pairs(spark):
     expected = [("b1", "Alpha.Alpha1.Checks"), ("b1", "T"), ("b2", "Alpha.Alpha1.Checks"), ("b2", "My.Betas"), ("b3", "Alpha.Alpha1.Checks"), ("b3", "T")]
     assert sorted(map(tuple, hit.collect())) == expected
     assert "Aggregate [id" not in "\n".join(optimized(hit))
+
+
+def one_bundle(spark, sf, path, suppliers, customers):
+    """The small tables with so many suppliers and customers more, all of one nation and digit; returns the folder."""
+    for t in G.BASE_TABLES:
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        n, key, nation = {"supplier": (suppliers, "s_suppkey", "s_nationkey"), "customer": (customers, "c_custkey", "c_nationkey")}.get(t, (0, None, None))
+        if n:
+            first, kind = df.limit(1), dict(df.dtypes)
+            more = first.crossJoin(spark.range(n).withColumnRenamed("id", "i")).withColumn(key, (F.col("i") * 10 + 1_000_001).cast(kind[key])).withColumn(nation, F.lit(3).cast(kind[nation])).drop("i")
+            df = df.unionByName(more)
+        df.coalesce(1).write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_all_edges_of_a_large_bundle_are_made_in_blocks(spark, sf, tmp_path, monkeypatch):
+    from changelens import plans
+
+    for name, n in (("BLOCK_SOURCES", 50), ("BLOCK_TARGETS", 20), ("TASK_EDGES", 2000)):
+        monkeypatch.setattr(G, name, n, raising=False)
+    large = one_bundle(spark, sf, tmp_path, 200, 500)
+    got = plans.queries()["f22_confidence"](spark, large).where("source_id like 's:1%' and target_id like 'c:1%' and length(source_id) = 9 and length(target_id) = 9")
+    spread = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(spread) == got.distinct().count() == 200 * 500
+    assert len(spread) > 20 and max(spread) <= 15_000
+    g = G.star_graph(spark, large)
+    assert sorted(map(repr, g.bundles.in_blocks().collect())) == sorted(map(repr, g.bundles.expanded().collect()))
