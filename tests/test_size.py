@@ -173,3 +173,47 @@ def test_all_edges_of_a_large_bundle_are_made_in_blocks(spark, sf, tmp_path, mon
     assert len(spread) > 20 and max(spread) <= 15_000
     g = G.star_graph(spark, large)
     assert sorted(map(repr, g.bundles.in_blocks().collect())) == sorted(map(repr, g.bundles.expanded().collect()))
+
+
+def test_replaced_projects_keep_bundles_unexpanded_and_edges_once(spark, sf):
+    from changelens.operators import incremental
+
+    f = spark.createDataFrame([("A",), ("B",), ("C",)], "project string")
+    sym = lambda rows: spark.createDataFrame(rows, "id string, project string")
+    src = lambda rows: spark.createDataFrame(rows, "k int, source_id string, kind string, line int, resolution_kind string, confidence double")
+    tgt = lambda rows: spark.createDataFrame(rows, "k int, target_id string")
+    one = lambda rows: spark.createDataFrame(rows, "source_id string, target_id string, kind string, line int, resolution_kind string, confidence double, source_file_id string")
+    call = ("Calls", 1, "semantic", None)
+    # s1 stands in two bundles that share t1; s2 twice in one; s3 has no line; gone is of a project that is replaced; t9 is no symbol.
+    b = G.Bundles(src([(1, "s1", *call), (2, "s1", *call), (1, "s2", *call), (1, "s2", *call), (1, "s3", "Calls", None, "semantic", None), (1, "gone", *call), (2, "s4", "Uses", 2, "semantic", None)]), tgt([(1, "t1"), (1, "t2"), (1, "t2"), (2, "t1"), (2, "t3"), (1, "t9")]), ["k"])
+    single = one([("s2", "t1", *call, None), ("s2", "t1", *call, "f"), ("s3", "t2", "Calls", None, "x", 0.5, None), ("s4", "t2", *call, None), ("s4", "t2", *call, None), ("s1", "t3", *call, None)])
+    old = G.Graph.of(f, sym([(i, "A") for i in ("s1", "s2", "s3", "s4", "t1", "t2", "t3")] + [("gone", "B")]), single, b)
+    # The fresh project calls as before, and s2 comes with it once more, to another target too.
+    fb = G.Bundles(src([(1, "new", *call), (1, "s2", *call)]), tgt([(1, "t1"), (1, "t3")]), ["k"])
+    fresh = G.Graph.of(f.where("project = 'B'"), sym([("new", "B")]), one([("new", "t1", *call, None)]), fb)
+    spelt = lambda g: G.Graph(g.files, g.symbols, g.edges)
+    removed = f.where("project = 'C'")
+    key = ["source_id", "target_id", "kind", "line", "source_file_id"]
+    got, want = incremental.replace_projects(old, fresh, removed), incremental.replace_projects(spelt(old), spelt(fresh), removed)
+    for edges in (got.edges, got.whole().withColumn("source_file_id", F.lit(None).cast("string"))):
+        seen, due = ([sorted(map(str, df.select(*key[: 4 if edges is not got.edges else 5]).collect())) for df in (edges, want.edges)])
+        assert seen == due
+    other = G.Graph.of(fresh.files, fresh.symbols, fresh.single, G.Bundles(fb.sources.withColumnRenamed("k", "j"), fb.targets.withColumnRenamed("k", "j"), ["j"]))
+    assert sorted(map(str, incremental.replace_projects(old, other, removed).edges.select(*key).collect())) == sorted(map(str, want.edges.select(*key).collect()))
+    assert ("gone" not in {r["source_id"] for r in got.edges.collect()}) and not got.bundles.sources.where("source_id = 'new'").isEmpty()
+
+
+def test_replaced_projects_shuffle_no_edges_of_bundles(spark, sf, tmp_path):
+    from changelens import plans
+
+    store, double = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, double, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    large = one_bundle(spark, sf, tmp_path, 500, 1000)
+    before = shuffled()
+    q = plans.queries()["s05_replace_projects"](spark, large)
+    n = q.groupBy("kind").count().where("kind = 'Calls'").first()["count"]
+    assert n >= 500 * 1000 and shuffled() - before < n / 2
