@@ -78,6 +78,10 @@ class EndOfBits(Damaged):
     """A frame goes on behind the bytes at hand."""
 
 
+#: What reading bytes that are no frame may raise: ``Damaged``, negative shifts and short buffers are ValueErrors.
+_NO_FRAME = (ValueError, IndexError, OverflowError)
+
+
 def crc8(data: bytes) -> int:
     c = 0
     for b in data:
@@ -324,6 +328,8 @@ def _frame_header(stream: bytes, at: int) -> tuple[int, int]:
     if stream[at : at + 2] not in (b"\xff\xf8", b"\xff\xf9"):
         raise Damaged("no sync code")
     code, lead = stream[at + 2] >> 4, stream[at + 4]
+    if code == 0:
+        raise Damaged("reserved block size")
     p = at + 5 + (7 - (lead ^ 0xFF).bit_length() if lead >= 0xC0 else 0)
     if code in (6, 7):
         n = int.from_bytes(stream[p : p + code - 5], "big") + 1
@@ -377,17 +383,18 @@ def _frame_starts(stream: bytes, first: int, samples: int) -> list[tuple[int, in
     """(begin, samples, subframe) of the frames, by sync codes whose header has a fitting checksum and the next number.
 
     Residuals may imitate a header; ``decode`` therefore checks that frames adjoin.
+    A frame has at most the samples that STREAMINFO allows, so an imitated one takes no more room than others.
     """
-    out, at, number = [], first, 0
+    out, at, number, most = [], first, 0, int.from_bytes(stream[10:12], "big")
     sync = stream[first : first + 2]
     while samples > 0 and at >= 0:
         coded = _coded_number(number)
         if stream[at + 4 : at + 4 + len(coded)] == coded:
             try:
                 n, p = _frame_header(stream, at)
-            except (Damaged, IndexError):
+            except _NO_FRAME:
                 n = 0
-            if n:
+            if 0 < n <= min(samples, most):
                 out.append((at, n, p))
                 samples -= n
                 number += 1
@@ -484,7 +491,7 @@ def _one_or_none(frame: tuple[bytes, int, int, int]) -> tuple[np.ndarray, int] |
     """The frame on its own, so that a damaged one takes no other stream off the fast way."""
     try:
         return _decode_frames([frame])[0]
-    except (Damaged, IndexError):
+    except _NO_FRAME:
         return None
 
 
@@ -502,7 +509,7 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int,
         frames = [(streams[i], *starts[i][f]) for i, f in group]
         try:
             done = _decode_frames(frames)
-        except (Damaged, IndexError):
+        except _NO_FRAME:
             done = [_one_or_none(f) for f in frames]
         for (i, f), x in zip(group, done, strict=True):
             got[i][f] = x and (starts[i][f][0], *x)
