@@ -134,6 +134,16 @@ def _close(x: str, y: str, radius: int):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
 
 
+def _shared_buckets(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (fp, t, key) of the buckets of two nodes or more, with lo, hi (their smallest and largest node) and n.
+
+    Spark sizes exploded rows as if each were one still and would send all of
+    them to every executor, through the driver: both sides are shuffled instead.
+    """
+    ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(ends.hint("merge"), ["t", "key"])
+
+
 def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fp``, ``label`` of every fingerprint of ``nodes`` (distinct ``fp``) that has a link.
 
@@ -141,8 +151,7 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     masks = F.array(*[F.lit(m).cast("long") for m in covers(radius)])
     keyed = nodes.select("fp", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("fp")))).alias("t", "key"))
-    ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = written(keyed.join(ends, ["t", "key"]))
+    full = written(_shared_buckets(keyed))
     stars = full.select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where(F.expr("a <> b") & _close("a", "b", radius))
     edges = written(stars.distinct())
     # Buckets of two are settled by their star.
@@ -336,8 +345,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
 
     prints = written(map_arrow(texts.select("hash", "text"), keys, "fp long, keys array<long>, sig array<long>"))
     keyed = prints.select("fp", F.posexplode("keys").alias("t", "key"))
-    ends = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = written(keyed.join(ends, ["t", "key"]))
+    full = written(_shared_buckets(keyed))
     stars = full.select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
     edges = written(_verified(_likely(stars, prints), texts))
     full = full.where("n > 2").select("t", "key", "fp")
