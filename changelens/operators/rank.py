@@ -146,8 +146,19 @@ def build_map(symbols: DataFrame, edges: DataFrame, budget: int, focus: str | No
 
 def project_label(rows: DataFrame, *keys: str) -> DataFrame:
     """A-03: the one project of the rows of a group, else multiple, or unknown without any."""
-    n = F.count_distinct("project")
-    return rows.groupBy(*keys).agg(F.when(n == 1, F.min("project")).when(n > 1, "multiple").otherwise("unknown").alias("label"))
+    # Groups and their projects are hashed first, so few rows are left whose least and largest project are looked for.
+    least, most = F.min("project"), F.max("project")
+    return rows.select(*keys, "project").distinct().groupBy(*keys).agg(F.when(least == most, least).when(least < most, "multiple").otherwise("unknown").alias("label"))
+
+
+def target_labels(symbols: DataFrame, edges: DataFrame, bundles: Bundles | None = None) -> DataFrame:
+    """A-03: source_id, label of what each source points at; of ``bundles``, edges beside ``edges``, the least and the largest project of the targets tell."""
+    own = symbols.select(F.col("id").alias("target_id"), "project")
+    seen = edges.select("source_id", "target_id").join(own, "target_id", "left").select("source_id", "project")
+    if bundles is not None:
+        sides = bundles.targets.join(own, "target_id", "left").groupBy(*bundles.keys).agg(F.array_distinct(F.array(F.min("project"), F.max("project"))).alias("projects"))
+        seen = seen.unionByName(bundles.sources.join(sides, bundles.keys).select("source_id", F.explode("projects").alias("project")))
+    return project_label(seen, "source_id")
 
 
 def risk(changed: DataFrame, impact: DataFrame) -> DataFrame:
@@ -230,15 +241,19 @@ def counts(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.agg(F.count(F.lit(1)).alias("symbols")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def with_members(matches: DataFrame, symbols: DataFrame, edges: DataFrame, per_symbol: int = 8) -> DataFrame:
-    """A-12: every match with the names of its first members."""
+def with_members(matches: DataFrame, symbols: DataFrame, edges: DataFrame, per_symbol: int = 8, bundles: Bundles | None = None) -> DataFrame:
+    """A-12: every match with the names of its first members; of ``bundles``, edges beside ``edges``, only the first targets of a bundle can be among them."""
     from changelens.operators.relations import MEMBER_KINDS
 
     m = symbols.where(F.col("kind").isin(*MEMBER_KINDS)).select(F.col("id").alias("member_id"), F.col("name").alias("member"), F.col("start_line").alias("line"))
     e = edges.where("kind = 'Contains'").select(F.col("source_id").alias("id"), F.col("target_id").alias("member_id"))
-    w = Window.partitionBy("id").orderBy(F.asc_nulls_last("line"), "member", "member_id")
-    e = touching(touching(e, "id", matches, "id"), "member_id", m, "member_id")
-    ranked = e.join(m, "member_id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_symbol)
+    first = lambda *by: Window.partitionBy(*by).orderBy(F.asc_nulls_last("line"), "member", "member_id")
+    e = touching(touching(e, "id", matches, "id"), "member_id", m, "member_id").join(m, "member_id")
+    if bundles is not None:
+        t = bundles.targets.join(m, F.col("target_id") == F.col("member_id")).withColumn("nth", F.row_number().over(first(*bundles.keys))).where(F.col("nth") <= per_symbol)
+        s = touching(bundles.sources.where("kind = 'Contains'").select(*bundles.keys, F.col("source_id").alias("id")), "id", matches, "id")
+        e = e.unionByName(s.join(t, bundles.keys).select(*e.columns))
+    ranked = e.withColumn("rn", F.row_number().over(first("id"))).where(F.col("rn") <= per_symbol)
     lists = ranked.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "member"))), lambda x: x["member"]), ",").alias("members"))
     return matches.join(lists, "id", "left")
 

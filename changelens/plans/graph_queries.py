@@ -354,7 +354,7 @@ def a02(spark, sf):
 @query("a03_project_label", """SELECT source_id, CASE WHEN count(DISTINCT project) = 1 THEN min(project) WHEN count(DISTINCT project) > 1 THEN 'multiple' ELSE 'unknown' END AS label FROM edges e LEFT JOIN symbols s ON s.id = e.target_id GROUP BY source_id""")
 def a03(spark, sf):
     g = star(spark, sf)
-    return rank.project_label(g.edges.join(g.symbols.select("id", "project"), F.col("target_id") == F.col("id"), "left"), "source_id")
+    return rank.target_labels(g.symbols, g.single, g.bundles)
 
 
 @query("a04_risk", f"""{_UNION}, imp AS (SELECT * FROM one WHERE rn = 1), ch AS (SELECT s.* FROM symbols s JOIN roots ON id = root_id)

@@ -11,7 +11,7 @@ from changelens.plans.base import C, S, query
 from changelens.plans.change_queries import _BOUND, _CHANGE, _LISTINGS, POLICY, _bound, _change, _changed, _listings
 from changelens.plans.graph_queries import _IS_TEST, _SURFACES, _surfaces
 from changelens.sources import readers, scip
-from changelens.sources.graph import SYMBOL
+from changelens.sources.graph import SYMBOL, Bundles
 from changelens.sources.graph import star_graph as star
 
 
@@ -118,8 +118,9 @@ def r01(spark, sf):
 @query("a12_with_members", f"""SELECT id, members FROM (SELECT {S} FROM symbols s WHERE kind = 'Interface') LEFT JOIN (SELECT source_id AS id, string_agg(name, ',' ORDER BY rn) AS members FROM (SELECT e.source_id, s.name, row_number() OVER (PARTITION BY e.source_id ORDER BY s.start_line NULLS LAST, s.name, s.id) AS rn FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.kind = 'Calls' AND s.kind = 'Method') WHERE rn <= 8 GROUP BY source_id) USING (id)""")
 def a12(spark, sf):
     g = star(spark, sf)
-    e = g.edges.withColumn("kind", F.when(F.col("kind") == "Calls", "Contains").otherwise(F.col("kind")))
-    return rank.with_members(g.symbols.where("kind = 'Interface'").select(*SYMBOL), g.symbols, e).select("id", "members")
+    held = lambda df: df.withColumn("kind", F.when(F.col("kind") == "Calls", "Contains").otherwise(F.col("kind")))
+    bundles = Bundles(held(g.bundles.sources), g.bundles.targets, g.bundles.keys)
+    return rank.with_members(g.symbols.where("kind = 'Interface'").select(*SYMBOL), g.symbols, held(g.single), bundles=bundles).select("id", "members")
 
 
 @query("a05_providers", f"""SELECT {C}, provider FROM (SELECT * FROM (SELECT {S}, 'methods' AS provider, 0 AS o FROM symbols s WHERE kind = 'Method' ORDER BY qualified_name, id LIMIT 8) UNION ALL SELECT * FROM (SELECT {S}, 'types', 1 FROM symbols s WHERE kind = 'Class' ORDER BY qualified_name, id LIMIT 8)) ORDER BY o, qualified_name, id LIMIT 12""")
