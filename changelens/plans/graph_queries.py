@@ -162,8 +162,7 @@ def r02(spark, sf):
 WHERE e.kind = 'Calls' OR (e.kind = 'References' AND e.resolution_kind = 'semantic' AND starts_with(s.project, 'scip:')) GROUP BY ALL) GROUP BY via_target""")
 def r02_all(spark, sf):
     g = star(spark, sf)
-    hit = relations.callers(g.symbols, g.edges, g.symbols.select(F.col("id").alias("target_id")))
-    return hit.groupBy(F.col("via_target").alias("target_id")).agg(F.count(F.lit(1)).alias("callers"))
+    return relations.caller_counts(g.symbols, g.single, g.bundles)
 
 
 @query("r04_implementations", f"""SELECT {C}, {V} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE via_kind WHEN 'ImplementedBy' THEN 0 ELSE 1 END, via_source, via_target) AS rn FROM (
