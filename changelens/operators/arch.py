@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.exprs import STRUCTURAL_KINDS, is_test
 from changelens.operators.traverse import project_cycles
-from changelens.sources.graph import touching
+from changelens.sources.graph import Bundles, touching
 
 LAYER_KINDS = ["UsesType", "Calls", "Imports", "Inherits"]
 ENTRY = ["kind", "qualified_name", "signature"]
@@ -26,10 +26,11 @@ def layer_of(layers: list[str]) -> Column:
     return out
 
 
-def layer_violations(symbols: DataFrame, edges: DataFrame, layers: list[str], forbid: list[tuple[str, str]]) -> DataFrame:
-    """C-01: source, target, kind and layers of edges between forbidden layers (a short list of rules)."""
+def layer_violations(symbols: DataFrame, edges: DataFrame, layers: list[str], forbid: list[tuple[str, str]], bundles: Bundles | None = None) -> DataFrame:
+    """C-01: source, target, kind and layers of edges between forbidden layers (a short list of rules); ``bundles`` are edges beside ``edges``, of which sides in other layers do not meet."""
     s = repository_symbols(symbols).select("id", "qualified_name", layer_of(layers).alias("layer")).where("layer is not null")
-    e = edges.where(F.col("kind").isin(*LAYER_KINDS)).select("source_id", "target_id", "kind")
+    columns = ["source_id", "target_id", "kind"]
+    e = edges.where(F.col("kind").isin(*LAYER_KINDS)).select(*columns)
     src = s.select(F.col("id").alias("source_id"), F.col("layer").alias("from_layer"), F.col("qualified_name").alias("source_name"))
     dst = s.select(F.col("id").alias("target_id"), F.col("layer").alias("to_layer"), F.col("qualified_name").alias("target_name"))
     bad = F.lit(False)
@@ -37,35 +38,56 @@ def layer_violations(symbols: DataFrame, edges: DataFrame, layers: list[str], fo
         bad = bad | ((F.lower("from_layer") == a.lower()) & (F.lower("to_layer") == b.lower()))
     # Edges with both ends in layers that some rule names, before they meet the symbols.
     named = lambda end, which: end.where(F.lower(which).isin([r[which == "to_layer"].lower() for r in forbid]))
-    e = touching(touching(e, "source_id", named(src, "from_layer"), "source_id"), "target_id", named(dst, "to_layer"), "target_id")
+    at_source = lambda df: touching(df, "source_id", named(src, "from_layer"), "source_id")
+    at_target = lambda df: touching(df, "target_id", named(dst, "to_layer"), "target_id")
+    e = at_target(at_source(e))
+    if bundles is not None:
+        sides = at_source(bundles.sources.where(F.col("kind").isin(*LAYER_KINDS))), at_target(bundles.targets)
+        # Bundles that lead from a layer to one that it must not reference; of the others no edge is made.
+        a = sides[0].join(src, "source_id").select(*bundles.keys, "from_layer").distinct()
+        b = sides[1].join(dst, "target_id").select(*bundles.keys, "to_layer").distinct()
+        there = a.join(b, bundles.keys).where(bad).select(*bundles.keys).distinct()
+        left = Bundles(*[df.join(there, bundles.keys, "left_semi") for df in sides], bundles.keys)
+        e = e.unionByName(left.expanded().select(*columns))
     return e.join(src, "source_id").join(dst, "target_id").where(bad).select("source_id", "target_id", "kind", "from_layer", "to_layer")
 
 
-def fan_violations(symbols: DataFrame, edges: DataFrame, most_in: int = 40, most_out: int = 40) -> DataFrame:
-    """C-02: rule (fan-in, fan-out), symbol and count beyond the maximum."""
-    e = edges.where(~F.col("kind").isin(*STRUCTURAL_KINDS))
-    incoming = e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_in).withColumn("rule", F.lit("fan-in"))
-    outgoing = e.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_out).withColumn("rule", F.lit("fan-out"))
+def fan_violations(symbols: DataFrame, edges: DataFrame, most_in: int = 40, most_out: int = 40, bundles: Bundles | None = None) -> DataFrame:
+    """C-02: rule (fan-in, fan-out), symbol and count beyond the maximum; of ``bundles``, edges beside ``edges``, one side is counted for the other."""
+
+    def beyond(end: str, other: str, most: int, rule: str) -> DataFrame:
+        n = F.count(F.lit(1)).alias("n")
+        each = edges.where(~F.col("kind").isin(*STRUCTURAL_KINDS)).groupBy(F.col(end).alias("id")).agg(n)
+        if bundles is not None:
+            sides = {"source_id": bundles.sources.where(~F.col("kind").isin(*STRUCTURAL_KINDS)), "target_id": bundles.targets}
+            counted = sides[end].select(*bundles.keys, F.col(end).alias("id")).join(sides[other].groupBy(*bundles.keys).agg(n), bundles.keys)
+            each = each.unionByName(counted.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+        return each.where(F.col("n") > most).withColumn("rule", F.lit(rule))
+
+    incoming, outgoing = beyond("target_id", "source_id", most_in, "fan-in"), beyond("source_id", "target_id", most_out, "fan-out")
     return repository_symbols(symbols).select("id", "qualified_name").join(incoming.unionByName(outgoing), "id").select("rule", "id", "qualified_name", "n")
 
 
-def orphans(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """C-03: public types and methods outside of tests that nothing but structure points at."""
+def orphans(symbols: DataFrame, edges: DataFrame, bundles: Bundles | None = None) -> DataFrame:
+    """C-03: public types and methods outside of tests that nothing but structure points at; of ``bundles``, edges beside ``edges``, a target needs a bundle with any source."""
     hit = repository_symbols(symbols).where((F.lower("visibility") == "public") & F.col("kind").isin("Class", "Interface", "Method") & ~is_test())
     inbound = edges.where(~F.col("kind").isin(*STRUCTURAL_KINDS)).select(F.col("target_id").alias("id"))
+    if bundles is not None:
+        some = bundles.sources.where(~F.col("kind").isin(*STRUCTURAL_KINDS)).select(*bundles.keys).distinct()
+        inbound = inbound.unionByName(bundles.targets.join(some, bundles.keys, "left_semi").select(F.col("target_id").alias("id")))
     return hit.join(inbound, "id", "left_anti").select("id", "qualified_name", "kind")
 
 
-def check(symbols: DataFrame, edges: DataFrame, rules: dict | None, references: list[tuple[str, str]] | None) -> DataFrame | None:
-    """C-05: all violations as (rule, subject, object, message); null when rules or project references are missing."""
+def check(symbols: DataFrame, edges: DataFrame, rules: dict | None, references: list[tuple[str, str]] | None, bundles: Bundles | None = None) -> DataFrame | None:
+    """C-05: all violations as (rule, subject, object, message); null when rules or project references are missing. ``bundles`` are edges beside ``edges``."""
     if rules is None or references is None:
         return None
     spark = symbols.sparkSession
-    lay = layer_violations(symbols, edges, rules.get("layers", []), rules.get("forbid", []))
+    lay = layer_violations(symbols, edges, rules.get("layers", []), rules.get("forbid", []), bundles)
     out = lay.select(F.lit("layer").alias("rule"), F.col("source_id").alias("subject"), F.col("target_id").alias("object"), F.concat("from_layer", F.lit(" must not reference "), "to_layer").alias("message"))
-    fan = fan_violations(symbols, edges, rules.get("max_fan_in", 40), rules.get("max_fan_out", 40))
+    fan = fan_violations(symbols, edges, rules.get("max_fan_in", 40), rules.get("max_fan_out", 40), bundles)
     out = out.unionByName(fan.select("rule", F.col("id").alias("subject"), F.lit(None).cast("string").alias("object"), F.concat("qualified_name", F.lit(": "), "n").alias("message")))
-    orph = orphans(symbols, edges)
+    orph = orphans(symbols, edges, bundles)
     out = out.unionByName(orph.select(F.lit("orphan").alias("rule"), F.col("id").alias("subject"), F.lit(None).cast("string").alias("object"), F.col("qualified_name").alias("message")))
     cycles = [("cycle", c.split(" -> ")[0], None, c) for c in project_cycles(references)]
     return out.unionByName(spark.createDataFrame(cycles, "rule string, subject string, object string, message string"))

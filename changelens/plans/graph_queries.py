@@ -429,20 +429,21 @@ def a11(spark, sf):
 SELECT e.source_id, e.target_id, e.kind, a.layer AS from_layer, b.layer AS to_layer FROM edges e JOIN l a ON a.id = e.source_id JOIN l b ON b.id = e.target_id WHERE e.kind IN ('UsesType', 'Calls', 'Imports', 'Inherits') AND a.layer = 'asia' AND b.layer = 'europe'""")
 def c01(spark, sf):
     g = star(spark, sf)
-    return arch.layer_violations(g.symbols, g.edges, ["asia", "europe"], [("ASIA", "europe")])
+    return arch.layer_violations(g.symbols, g.single, ["asia", "europe"], [("ASIA", "europe")], g.bundles)
 
 
 @query("c02_fan_violations", """, f AS (SELECT 'fan-in' AS rule, target_id AS id, count(*) AS n FROM edges GROUP BY target_id UNION ALL SELECT 'fan-out', source_id, count(*) FROM edges GROUP BY source_id)
 SELECT rule, id, qualified_name, n FROM f JOIN symbols USING (id) WHERE n > 40 AND NOT starts_with(project, 'external:')""")
 def c02(spark, sf):
     g = star(spark, sf)
-    return arch.fan_violations(g.symbols, g.edges)
+    return arch.fan_violations(g.symbols, g.single, bundles=g.bundles)
 
 
 @query("c03_orphans", f"SELECT id, qualified_name, kind FROM symbols WHERE lower(visibility) = 'public' AND kind IN ('Class', 'Interface', 'Method') AND NOT starts_with(project, 'external:') AND NOT {_IS_TEST} AND id NOT IN (SELECT target_id FROM edges WHERE source_id LIKE 's:%')")
 def c03(spark, sf):
     g = star(spark, sf)
-    return arch.orphans(g.symbols, g.edges.where("source_id like 's:%'"))
+    of = lambda df: df.where("source_id like 's:%'")
+    return arch.orphans(g.symbols, of(g.single), G.Bundles(of(g.bundles.sources), g.bundles.targets, g.bundles.keys))
 
 
 @query("c06_surface", """SELECT project, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS fingerprint, count(*) AS entries FROM (SELECT DISTINCT project, kind || '|' || qualified_name || '|' || coalesce(signature, '') AS entry FROM symbols WHERE lower(visibility) = 'public') GROUP BY project""")

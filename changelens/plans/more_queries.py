@@ -145,7 +145,7 @@ UNION ALL SELECT 'orphan', id, NULL FROM symbols WHERE lower(visibility) = 'publ
 def c05(spark, sf):
     g = star(spark, sf)
     rules = {"layers": ["asia", "europe"], "forbid": [("asia", "europe")], "max_fan_in": 60, "max_fan_out": 60}
-    return arch.check(g.symbols, g.edges, rules, [("a", "b"), ("b", "a")]).select("rule", "subject", "object")
+    return arch.check(g.symbols, g.single, rules, [("a", "b"), ("b", "a")], g.bundles).select("rule", "subject", "object")
 
 
 _BARE = ", bare AS (SELECT id, display, file FROM ch WHERE id LIKE 'c:%' AND NOT is_test)"
