@@ -169,12 +169,16 @@ def risk(changed: DataFrame, impact: DataFrame) -> DataFrame:
     api = (F.lower("visibility") == "public") & F.col("kind").isin(*PUBLIC_API_KINDS)
     projects = changed.select(F.lower("project").alias("p")).distinct().withColumn("own", F.lit(True))
     weight = F.when(F.col("via_confidence").isNull() | (F.col("via_confidence") == 0), 1.0).otherwise(F.col("via_confidence"))
-    # The impact is walked once: what is counted of it is written, without its names.
+    # The impact is walked once: its rows are counted by root and by symbol, and only these counts are written.
     rated = impact.join(projects, F.lower("project") == F.col("p"), "left")
-    rated = kept(rated.select("root_id", "id", api.alias("api"), (F.col("via_kind") == "Calls").alias("calls"), F.col("own").isNull().alias("cross"), weight.alias("weight"), is_test().alias("test")))
-    apis = changed.where(api).select("id").unionByName(rated.where("api").select("id")).agg(F.count_distinct("id").alias("public_apis"))
-    seen = rated.agg(F.count_if("calls").alias("callers"), F.count_if("cross").alias("cross_project"), F.coalesce(F.avg("weight"), F.lit(1.0)).alias("weight"))
-    tested = rated.where("test").select(F.col("root_id").alias("id")).distinct()
+    rated = rated.select("root_id", "id", api.alias("api"), (F.col("via_kind") == "Calls").alias("calls"), F.col("own").isNull().alias("cross"), weight.alias("weight"), is_test().alias("test"))
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if("calls").alias("calls"), F.count_if("cross").alias("cross"), F.sum("weight").alias("weight"), F.max("api").alias("api"), F.max("test").alias("test")]
+    by = kept(rated.groupingSets([["root_id"], ["id"]], "root_id", "id").agg(F.grouping("id").alias("of_root"), *sums))
+    of_root = by.where("of_root = 1")
+    apis = changed.where(api).select("id").unionByName(by.where("of_root = 0 and api").select("id")).agg(F.count_distinct("id").alias("public_apis"))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    seen = of_root.agg(none("calls").alias("callers"), none("cross").alias("cross_project"), F.coalesce(F.sum("weight") / F.sum("n"), F.lit(1.0)).alias("weight"))
+    tested = of_root.where("test").select(F.col("root_id").alias("id"))
     untested = changed.where(~is_test()).join(tested, "id", "left_anti").agg(F.count(F.lit(1)).alias("untested"))
     one = apis.crossJoin(seen).crossJoin(untested)  # a row each
     total = F.col("public_apis") * 2 + F.col("callers") * F.col("weight") + F.col("cross_project") * 2 + F.col("untested") * 3
